@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import bytebpe, ngram_join, packing, quality, secrets, token_counts
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": packing.op3,
+    "op6_token_counts": token_counts.op6,
+    "op7_byte_bpe": bytebpe.op7,
     "op8_ngram_jaccard_join": ngram_join.op8,
+    "op9_secret_scan": secrets.op9,
+    "op10_quality_classifier": quality.op10,
 }
 
 
