@@ -151,9 +151,11 @@ def _cross_pairs(columns: DataFrame, component: DataFrame) -> DataFrame:
     parts = c.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("x.comp").alias("main"))
     c = c.join(main, "key")
-    left = c.where("comp <> main").select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    right = c.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main")
-    met = left.join(right, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _size_fits("na", "nb"))
+    # two sets share at most as many columns as each has here, so a pair beyond its bound isn't made at all
+    c = c.join(c.groupBy("sig").agg(F.count("*").alias("m")), "sig")
+    left = c.where("comp <> main").select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("m").alias("ma"))
+    right = c.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main", F.col("m").alias("mb"))
+    met = left.join(right, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _size_fits("na", "nb") & (F.least("ma", "mb") >= _least_common("na", "nb")))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
     return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(F.col("common") >= _least_common("na", "nb")).select("a", "b", "na", "nb")
 
