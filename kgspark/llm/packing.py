@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
 
-CAPACITY, SEPARATOR, REMEMBER = 2048, 0, 400_000
+CAPACITY, SEPARATOR, REMEMBER = 2048, 0, 1_000_000
 GAPS = re.compile("[ \n]+")
+CUT = re.compile("[ \n]+|(?<=[a-zß-öø-ÿ])(?=[,.!?#$%&*|])")
 
 
 def default_vocabulary() -> str:
@@ -37,34 +38,39 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """ids of whole texts; chunks between blanks and line feeds are encoded once and remembered, up to a bound.
+    """ids of whole texts; the chunks between blanks and line feeds are encoded once and remembered, up to a bound.
 
-    Its vocabularies drop white space before words are split, so such chunks are encoded independently of each other.
+    The vocabulary drops white space and splits letters from punctuation before it merges anything, so such chunks are
+    independent of each other. Texts without characters beyond U+00FF, of which lower case is one by one and no two
+    compose, are lower-cased first, as the vocabulary does, and are also cut between a letter and the marks of CUT.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(vocabulary), {}
-
-    def learn(self, text: str) -> list[str]:
-        chunks = GAPS.split(text)
+        self.tok = Tokenizer.from_file(vocabulary)
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, new: list[str]) -> None:
+        plain = [c for c in new if c.isascii() and c.isalpha() and c.islower()]
+        tokenize = self.tok.model.tokenize  # no normalizer or splitter has anything to do for these
+        self.known.update((c, np.array([t.id for t in tokenize(c)], "<u4").tobytes()) for c in plain)
+        rest = [c for c in new if c not in self.known]
+        for i in range(0, len(rest), 20_000):
+            some = rest[i : i + 20_000]
+            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True))
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian 32-bit ids."""
+        chunks = CUT.split(text.lower()) if text.isascii() or max(text) < "\u0100" else GAPS.split(text)
         known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
+        try:
+            return b"".join([known[c] for c in chunks])
+        except KeyError:
             if len(known) > REMEMBER:
                 known.clear()
-                new = list(dict.fromkeys(chunks))
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                known.update(zip(some, (tuple(e.ids) for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return chunks
-
-    def ids(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        for c in self.learn(text):
-            out += known[c]
-        return np.array(out, dtype="<u4")
+            self.learn([c for c in dict.fromkeys(chunks) if c not in known])
+            return b"".join([known[c] for c in chunks])
 
 
 @functools.lru_cache(maxsize=2)
@@ -83,14 +89,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = encoder(vocabulary)
+        enc, end = encoder(vocabulary), np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids = np.append(enc.ids(text.as_py() or ""), np.uint32(SEPARATOR)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id.as_py(), k, at, len(part), zlib.crc32(part.tobytes())))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = enc.ids(text.as_py() or "") + end
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
