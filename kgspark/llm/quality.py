@@ -99,6 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(rows.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id")
+    picked = picked.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))  # bounded, repeated ids too
     got = picked.mapInArrow(go, "doc_id bigint, y int, x binary").toArrow()
     found = [(i, y, x) for i, y, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)]
     found.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[2]))

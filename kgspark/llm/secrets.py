@@ -60,7 +60,8 @@ def bigrams(token: Column) -> Column:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
     """The log-likelihood ratio of each pair of characters, row by row; None without labelled secrets."""
-    few = docs.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    few = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # bounded, repeated ids too
     df = with_spans(scanned(few), "_word", "_t", r"[A-Za-z0-9+/_=-]{4,}+")
     secret = F.concat(F.transform("_assign", lambda x: F.regexp_extract(x["text"], ASSIGN, 1)), F.transform("_access", lambda x: x["text"]), F.transform("_hex", lambda x: x["text"]))
     apart = F.filter("_word", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
