@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, ngram_join, packing, quality, secrets, token_counts
+from . import bytebpe, merkle, ngram_join, packing, quality, secrets, token_counts
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_document_fingerprints": merkle.op1,
     "op3_best_fit_packing": packing.op3,
     "op6_token_counts": token_counts.op6,
     "op7_byte_bpe": bytebpe.op7,
