@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, merkle, ngram_join, packing, quality, secrets, token_counts
+from . import bytebpe, embedding_dedup, merkle, ngram_join, packing, pii, quality, secrets, suffix_dedup, token_counts
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_document_fingerprints": merkle.op1,
+    "op2_pii": pii.op2,
     "op3_best_fit_packing": packing.op3,
+    "op4_suffix_array_dedup": suffix_dedup.op4,
+    "op5_embedding_near_dedup": embedding_dedup.op5,
     "op6_token_counts": token_counts.op6,
     "op7_byte_bpe": bytebpe.op7,
     "op8_ngram_jaccard_join": ngram_join.op8,
