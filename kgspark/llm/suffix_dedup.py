@@ -98,7 +98,7 @@ def _pass1_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed anchors; negative buckets carry places already known as repeats."""
 
     def go(batches):
-        for t in kernels.blocks(batches, "text", 16 << 20):
+        for t in kernels.blocks(batches, "text", 8 << 20):
             b, offs = kernels.texts(t.column("text"))
             ids, tags = t.column("doc_id").to_numpy(), t.column("tag").to_numpy().astype(np.uint32)
             found = []
@@ -109,6 +109,7 @@ def _pass1_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 r["key"], r["ctx"], r["doc"], r["tag"], r["pos"] = key, ctx, ids[lo + doc], tags[lo + doc], place - at[doc]
                 found.append(r)
             r = np.concatenate(found) if found else np.zeros(0, PASS1)
+            del found, b
             if not len(r):
                 continue
             both = mix(r["key"] ^ (r["ctx"] * MULS[2]))
@@ -159,7 +160,8 @@ def _pass1(blocks: DataFrame) -> DataFrame:
             r = blockshuffle.unpack(t, PLACE)
             return rows(r["doc"], r["tag"], r["pos"], np.zeros(len(r), bool))
         r = blockshuffle.unpack(t, PASS1)
-        r = r[np.argsort(r["key"], kind="stable")]
+        del t
+        r = r[np.argsort(r["key"])]
         start = np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1]])) if len(r) else np.zeros(0, np.int64)
         each = np.diff(np.append(start, len(r)))
         if len(r):
@@ -282,7 +284,7 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, tag, whole, windows): what is repeated in each document that repeats anything."""
-    buckets = shuffle_partitions(spark)
+    buckets = 2 * shuffle_partitions(spark)  # what one task holds of a pass: half a partition
     rows = _tagged(docs.where("doc_id is not null and octet_length(text) >= 50").select("doc_id", "text")).withColumnRenamed("_tag", "tag")
     first = scratch.write(_pass1(_pass1_blocks(rows, buckets)), "pass1")
     scratch.release()
