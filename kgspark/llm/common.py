@@ -11,7 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Arrow batches of documents hold at most BATCH_ROWS rows: the default of 10,000 is meant for narrow rows and holds
+    tens of megabytes of text several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +50,7 @@ class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors, and can be dropped early."""
 
     def __init__(self, spark: SparkSession, tag: str):
+        modest_batches(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/kgspark-{tag}-{uuid.uuid4().hex[:12]}"
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.root)
