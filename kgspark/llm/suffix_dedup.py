@@ -13,7 +13,8 @@ pass 1  The suffixes that are sorted are those at anchors: positions whose GRAM-
 pass 2  For the anchors that go on and only for their windows not yet known as repeats, each window is a digit of its
         own, compared byte by byte. The smallest document of equal ones stays.
 
-Each pass deals its groups by hash, as packed blocks; before pass 1 a block's repeats within itself are settled where
+Pass 1 takes the anchors in ROUNDS parts by hash, one after the other, so that only a part of their records is on disk
+or in a task at a time. Each pass deals its groups by hash, as packed blocks; before pass 1 a block's repeats within itself are settled where
 they are read, so a text that a third of the documents hold sends one record for each block and anchor. All of it is
 exact: pass 1 compares 128 bits of hash, pass 2 the bytes.
 
@@ -25,6 +26,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,7 @@ from .common import Scratch, read_table, shuffle_partitions
 from .kernels import MULS, U, mix
 
 WINDOW, GRAM = 50, 20
+ROUNDS = 2
 SPAN = WINDOW - GRAM + 1  # grams in a window, and windows that hold a gram
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MULS[0])
 PASS1 = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4")])
@@ -94,8 +98,8 @@ def anchors(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return place, doc, gram[place], ctx
 
 
-def _pass1_blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed anchors; negative buckets carry places already known as repeats."""
+def _pass1_blocks(docs: DataFrame, buckets: int, part: int) -> DataFrame:
+    """Packed anchors of one round; negative buckets carry places already known as repeats."""
 
     def go(batches):
         for t in kernels.blocks(batches, "text", 8 << 20):
@@ -105,6 +109,8 @@ def _pass1_blocks(docs: DataFrame, buckets: int) -> DataFrame:
             for lo, hi in kernels.parts(offs, 1 << 18):
                 at = offs[lo : hi + 1] - offs[lo]
                 place, doc, key, ctx = anchors(b[offs[lo] : offs[hi]], at)
+                turn = key % U(ROUNDS) == U(part)
+                place, doc, key, ctx = place[turn], doc[turn], key[turn], ctx[turn]
                 r = np.zeros(len(place), PASS1)
                 r["key"], r["ctx"], r["doc"], r["tag"], r["pos"] = key, ctx, ids[lo + doc], tags[lo + doc], place - at[doc]
                 found.append(r)
@@ -126,6 +132,8 @@ def _pass1_blocks(docs: DataFrame, buckets: int) -> DataFrame:
                 yield pa.record_batch([pa.array([to], pa.int32()), pa.array([k.tobytes()], pa.binary())], schema=blockshuffle.ARROW)
                 r = r[~known]
             yield from blockshuffle.pack(r["key"], r, buckets)
+            del r, both, order, known, least, start
+            kernels.trim()
 
     return docs.mapInArrow(go, blockshuffle.SCHEMA)
 
@@ -179,6 +187,7 @@ def _pass1(blocks: DataFrame) -> DataFrame:
         k = np.flatnonzero(new_key)
         kinds = np.repeat(np.add.reduceat(new.astype(np.int64), k), np.diff(np.append(k, len(r))))
         told = whole | (kinds > 1)
+        kernels.trim()
         return rows(r["doc"][told], r["tag"][told], r["pos"][told], ~whole[told])
 
     return blocks.groupBy("bucket").applyInArrow(go, ANSWERS1)
@@ -269,6 +278,8 @@ def _pass2(blocks: DataFrame) -> DataFrame:
             least = np.repeat(np.minimum.reduceat(r["doc"][at], start), np.diff(np.append(start, len(at))))
             bits[at[r["doc"][at] > least]] |= np.uint32(1 << j)
         r, bits = r[bits > 0], bits[bits > 0]
+        del h
+        kernels.trim()
         order, start = _by_document(r["doc"], r["tag"])
         r, bits = r[order], bits[order]
         out = np.zeros(len(r), pair)
@@ -286,11 +297,13 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame
     """(doc_id, tag, whole, windows): what is repeated in each document that repeats anything."""
     buckets = 2 * shuffle_partitions(spark)  # what one task holds of a pass: half a partition
     rows = _tagged(docs.where("doc_id is not null and octet_length(text) >= 50").select("doc_id", "text")).withColumnRenamed("_tag", "tag")
-    first = scratch.write(_pass1(_pass1_blocks(rows, buckets)), "pass1")
-    scratch.release()
-    first = first.groupBy("doc_id", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"), F.sum(F.octet_length("open")).alias("n_open"))  # as long as one document
+    found = []
+    for part in range(ROUNDS):
+        found.append(scratch.write(_pass1(_pass1_blocks(rows, buckets, part)), f"pass1-{part}"))
+        scratch.release()
+    first = reduce(DataFrame.unionAll, found).groupBy("doc_id", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"), F.sum(F.octet_length("open")).alias("n_open"))  # as long as one document
     first = scratch.write(first, "first")
-    scratch.drop("pass1")
+    scratch.drop(*(f"pass1-{part}" for part in range(ROUNDS)))
     going = rows.join(first.where("n_open > 0").drop("n_open").hint("shuffle_hash"), ["doc_id", "tag"])
     second = scratch.write(_pass2(_pass2_blocks(going.select("doc_id", "tag", "text", "whole", "open"), buckets)), "pass2")
     scratch.release()
@@ -342,6 +355,7 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
                     kept.append(b[~gone].tobytes())
                 cols = [batch.column(c) for c in names] + [pa.array(x, pa.int64()) for x in (n, removed, spans)] + [pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "_n_bytes", "_n_removed", "_n_spans", "_kept"])
+        kernels.trim()
 
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
