@@ -96,6 +96,8 @@ def _prefix_blocks(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
             out = np.zeros(int(take.sum()), RECORD)
             out["key"], out["sig"], out["n"] = h[take], lo[owner[take]], n[owner[take]]
             yield from blockshuffle.pack(out["key"], out, buckets)
+            del h, late, owner, so_far, before, inside, rank, take, out
+            kernels.trim()
 
     return docs.select("doc_id", "text").mapInArrow(go, blockshuffle.SCHEMA)
 

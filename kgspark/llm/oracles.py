@@ -16,4 +16,54 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.seen)
 FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLES = {"op8_ngram_jaccard_join": OP8}
+
+_SECTIONS = """list_transform(list_filter(string_split(array_to_string(list_transform(list_transform(string_split({t}, chr(10)), lambda x: sha256(x)),
+  lambda x: CASE WHEN left(x, 1) < '4' THEN x || '|' ELSE x END), ''), '|'), lambda x: length(x) > 0), lambda x: sha256(x))"""
+_LEAF = r"CASE WHEN length(t) < 300 THEN regexp_extract_all({t}, '\S{{1,120}}\s{{0,8}}|\s{{1,8}}') ELSE regexp_extract_all({t}, '[^.!?\n]{{1,120}}[.!?]{{0,16}}\s{{0,8}}|[.!?\n]{{1,16}}\s{{0,8}}') END"
+_WEIGHT = "coalesce(list_sum(list_transform({a}, lambda x: length(x))), 0)"
+
+
+def _printed(t: str) -> str:
+    return f"sha256(array_to_string({_SECTIONS.format(t=t)}, '')) || ':' || array_to_string(list_transform({_SECTIONS.format(t=t)}, lambda x: left(x, 12)), '.')"
+
+
+def _near(a: str, b: str) -> str:
+    both, x, y = (_WEIGHT.format(a=c) for c in (f"list_intersect({a}, {b})", a, b))
+    return f"CASE WHEN {x} + {y} = 0 THEN 1.0 ELSE {both} / ({x} + {y} - {both}) END::DOUBLE"
+
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
+e AS (SELECT *, left(t, length(t) - length(t) // 3) || left(nt, length(t) // 3) AS ed FROM n),
+l AS MATERIALIZED (SELECT *, list_distinct({_LEAF.format(t='t')}) AS a, list_distinct({_LEAF.format(t='ed')}) AS b, list_distinct({_LEAF.format(t='nt')}) AS c FROM e)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, {_printed('t')} AS fingerprint, {_printed('ed')} AS edited_fingerprint, {_near('a', 'b')} AS near_edited, {_near('a', 'c')} AS near_next FROM l
+"""
+
+OP4 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, s, hash(h[2 * s - 1:2 * s + 98]) AS k FROM (SELECT doc_id, h, unnest(range(1, n - 48)) AS s FROM d WHERE n >= 50)),
+m AS MATERIALIZED (SELECT k, min(doc_id) AS first FROM w GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+r AS (SELECT doc_id, s FROM w JOIN m USING (k) WHERE doc_id > first),
+g AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 OR lag(s) OVER (PARTITION BY doc_id ORDER BY s) IS NULL THEN 1 ELSE 0 END AS new FROM r),
+i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM g),
+j AS MATERIALIZED (SELECT doc_id, span, min(s) AS a, max(s) + 49 AS b FROM i GROUP BY 1, 2),
+k AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next FROM j),
+kept AS (SELECT k.doc_id, string_agg(h[2 * b + 1:2 * (coalesce(next, n + 1) - 1)], '' ORDER BY a) AS tail, min(a) AS a, count(*) AS spans, sum(b - a + 1) AS removed FROM k JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE h[1:2 * (a - 1)] || tail END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP5 = """
+WITH RECURSIVE u AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.98),
+r(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON node = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) ON a = vec_id
+"""
+
+ORACLES = {"op1_document_fingerprints": OP1, "op4_suffix_array_dedup": OP4, "op5_embedding_near_dedup": OP5, "op8_ngram_jaccard_join": OP8}

@@ -121,6 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score")
             total = np.concatenate([[0.0], np.cumsum(w[columns], dtype=np.float64)])
             v = bias + SCALE * (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1.0 / (1.0 + np.exp(-np.clip(v, -35, 35))))], names=[*batch.schema.names, name])
+        kernels.trim()
 
     return docs.mapInArrow(go, _plus(docs, name))
 
