@@ -51,8 +51,9 @@ def sections(docs: DataFrame, id_col: str, heading: str, least: int = 20, text:
     parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text), rf"(?m)^(?={heading})")).alias("at", "part"))
     w = Window.partitionBy("id").orderBy("at")
     parts = parts.withColumn("start", F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    title = F.trim(F.nullif(F.regexp_extract("part", rf"^({heading})", 1), F.lit("")))
-    parts = parts.withColumn("title", title).withColumn("body", F.trim(F.regexp_replace("part", rf"^{heading}", "")))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    title = strip(F.nullif(F.regexp_extract("part", rf"^({heading})", 1), F.lit("")))
+    parts = parts.withColumn("title", title).withColumn("body", strip(F.regexp_replace("part", rf"^{heading}", "")))
     kept = parts.where(F.length("body") >= least)
     again = F.row_number().over(Window.partitionBy("id", F.lower("title")).orderBy("at")) > 1
     kept = kept.withColumn("title", F.when(F.col("title").isNotNull() & again, F.concat("title", F.lit(" (continued)"))).otherwise(F.col("title")))

@@ -66,14 +66,14 @@ def yaml_documents(spark: SparkSession, path: str, schema: StructType | str, at:
                 rows += [json.dumps(r, default=str, ensure_ascii=False) for r in data or []]
             yield pa.record_batch([pa.array(rows, pa.string())], names=["row"])
 
-    texts = spark.read.option("wholetext", True).text(path)
+    texts = spark.read.text(path, wholetext=True)
     parsed = texts.mapInArrow(go, "row string").select(F.from_json("row", schema).alias("r"))
     return parsed.select(*[F.col(f"r.{n}").alias(n) for n in names])
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (folder), file, header, meta (flat keys of the header), body of Markdown files with an optional header."""
-    df = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("p"))
+    df = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
     header = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---(?:\n|\z)", "")
     pairs = F.transform(F.regexp_extract_all(header, F.lit(r"(?m)^([A-Za-z_][\w-]*:[ \t]*\S.*)$"), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, r"^([^:]+):", 1).alias("k"), F.trim(F.regexp_replace(x, r"^[^:]+:\s*", ""), F.lit("\"' ")).alias("v")))
@@ -104,7 +104,7 @@ def functions(spark: SparkSession, path: str, language: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.record_batch([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.list_(pa.string())), pa.array(cols[4], pa.string())], names=["file", "name", "line", "calls", "doc"])
 
-    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     return texts.mapInArrow(go, "file string, name string, line int, calls array<string>, doc string")
 
 
