@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
+from . import kernels
 from .common import read_table
 
 REMEMBER = 500_000
@@ -143,6 +144,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        kernels.enter("bytebpe", coder.cache_clear)
         bpe = coder(path, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):

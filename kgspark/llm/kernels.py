@@ -22,6 +22,20 @@ def trim() -> None:
         pass
 
 
+_caches: dict = {}
+
+
+def enter(operator: str, clear=None) -> None:
+    """Start of an operator's task: what other operators remember in this worker is dropped; clear drops ours later."""
+    others = [k for k in _caches if k != operator]
+    for k in others:
+        _caches.pop(k)()
+    if others:
+        trim()
+    if clear:
+        _caches[operator] = clear
+
+
 @functools.cache
 def _libc():
     return ctypes.CDLL("libc.so.6")
@@ -68,7 +82,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 24 << 20) -> Iterator[pa.Table]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 12 << 20) -> Iterator[pa.Table]:
     """Batches gathered to tables of about `most` bytes of text: what a task holds at a time, whatever its input."""
     held, size = [], 0
     for batch in batches:

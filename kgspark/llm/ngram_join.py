@@ -48,6 +48,7 @@ def _census(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def go(batches):
+        kernels.enter("ngram")
         for t in kernels.blocks(batches, "text"):
             h, at, lo, hi = _sets(t)
             n = np.diff(at).astype(np.int32)
@@ -59,7 +60,7 @@ def _census(docs: DataFrame) -> DataFrame:
             if len(v):
                 cut = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]]))
                 c = np.diff(cut)
-                often = c >= max(2, len(first) // 2000)
+                often = c >= max(2, len(first) // 1000)
                 keys, c = _signed(v[cut[:-1]][often].copy()), c[often].astype(np.int32)
                 yield pa.record_batch([pa.array(np.ones(len(c), np.int8)), pa.nulls(len(c), pa.int64()), pa.array(c), pa.array(keys), pa.array(keys)], schema=schema)
 
@@ -73,6 +74,7 @@ def _prefix_blocks(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
     where[(common >> np.uint64(44)).astype(np.int64)] = True
 
     def go(batches):
+        kernels.enter("ngram")
         for t in kernels.blocks(batches, "text"):
             h, at, lo, _ = _sets(t)
             n = np.diff(at)
@@ -169,6 +171,7 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scra
     schema = pa.schema([("lo", pa.int64()), ("hi", pa.int64()), ("rep", pa.int64()), ("h", pa.list_(pa.int64()))])
 
     def go(batches):
+        kernels.enter("ngram")
         for t in kernels.blocks(batches, "text", 8 << 20):
             h, at, lo, hi = _sets(t)
             good = (lo == t.column("lo").to_numpy()) & (hi == t.column("hi").to_numpy())  # not another row of this doc_id

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import kernels
 from .common import Scratch, read_table
 
 CAPACITY, SEPARATOR, REMEMBER = 2048, 0, 1_000_000
@@ -89,6 +90,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        kernels.enter("packing", encoder.cache_clear)
         enc, end = encoder(vocabulary), np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             rows = []

@@ -92,6 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
 
     def go(batches):
+        kernels.enter("quality")
         for batch in batches:
             b, offs = kernels.texts(batch.column("text"))
             columns, at = features(b, offs)
@@ -113,6 +114,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS floats: 1 MB
 
     def go(batches):
+        kernels.enter("quality")
         w = shared.value
         for batch in batches:
             b, offs = kernels.texts(batch.column("text"))

@@ -102,6 +102,7 @@ def _pass1_blocks(docs: DataFrame, buckets: int, part: int) -> DataFrame:
     """Packed anchors of one round; negative buckets carry places already known as repeats."""
 
     def go(batches):
+        kernels.enter("suffix")
         for t in kernels.blocks(batches, "text", 8 << 20):
             b, offs = kernels.texts(t.column("text"))
             ids, tags = t.column("doc_id").to_numpy(), t.column("tag").to_numpy().astype(np.uint32)
@@ -223,6 +224,7 @@ def _pass2_blocks(joined: DataFrame, buckets: int) -> DataFrame:
         return r
 
     def go(batches):
+        kernels.enter("suffix")
         held, n = [], 0
         for batch in batches:
             ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernels
 from .bytebpe import _pattern, coder
 from .common import Scratch, drop_path, read_table
 
@@ -37,6 +38,7 @@ def count_tokens(rows: DataFrame, column: str, into: str, path: str) -> DataFram
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        kernels.enter("bytebpe", coder.cache_clear)
         bpe = coder(path, pattern)
         sizes: dict[str, int] = {}
         for batch in batches:
