@@ -46,6 +46,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns that an operator reads, and all of a row's own in one struct `_row`: names of these can't clash with
+    those an operator adds."""
+    return docs.select(*keep, F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The rows' own columns again, those in new replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in columns])
+
+
 class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors, and can be dropped early."""
 

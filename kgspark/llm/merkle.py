@@ -56,7 +56,7 @@ def sections(digests: Column) -> Column:
 
 
 def tree(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `paragraphs`, `sections` (digests) and `root`."""
+    """docs with `paragraphs`, `sections` (digests) and `root`; columns called like these are replaced."""
     df = docs.withColumn("paragraphs", paragraphs(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("sections", sections(F.col("paragraphs")))
     return df.withColumn("root", F.sha2(F.array_join("sections", ""), 256))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import read_table
+from .common import packed, read_table, unpacked
 
 BITS, SAMPLE, EPOCHS, SCALE, ACCEPT = 18, 6000, 3, 24.0, 0.7
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
@@ -143,4 +143,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
     model = fit(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs, model, "_quality").where(F.col("_quality") >= ACCEPT).select(docs.columns)
+    return unpacked(score(packed(docs, "text"), model).where(F.col("score") >= ACCEPT), docs.columns)

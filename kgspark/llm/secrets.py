@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import packed, read_table, unpacked
 from .native import joined, with_spans
 
 # The forms that the scan must know.
@@ -111,11 +111,13 @@ def redact(docs: DataFrame, ratios: list[float] | None, mark: str = "[SECRET]")
 
     Overlapping spans are replaced as one. Null text stays null.
     """
-    df = with_secrets(docs, ratios)
+    df = with_secrets(packed(docs, "text"), ratios)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], F.array(F.concat(F.substring(F.col("_t"), s["at"] + 1, x["start"] - s["at"]), F.lit(mark))))).otherwise(s["out"]).alias("out"))
     df = df.withColumn("_cut", F.when(F.size("spans") > 0, F.aggregate("spans", start, step)))
     text = F.when(F.col("text").isNull() | F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.col("_cut")["out"], ""), F.expr("substring(_t, _cut.at + 1)")))
     df = df.withColumn("_new", text)
-    out = [F.col("_new").alias("text") if c == "text" else F.length("_new").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
-    return df.select(*out)
+    new = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+    return unpacked(df, docs.columns, **new)

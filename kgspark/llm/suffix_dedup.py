@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blockshuffle, kernels
-from .common import Scratch, read_table, shuffle_partitions
+from .common import Scratch, packed, read_table, shuffle_partitions, unpacked
 from .kernels import MULS, U, mix
 
 WINDOW, GRAM = 50, 20
@@ -368,17 +368,17 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
 def dedup_text(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes cut out of `text`, n_chars brought up to date. Bytes of a character that is cut in
     two are dropped as well."""
-    whole = dedup(spark, docs)
+    whole = dedup(spark, packed(docs, "doc_id", "text"))
 
     @F.pandas_udf("string")
     def read(kept):
         return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
 
-    text = F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(read("_kept"))
-    out = whole.withColumn("text", text)
+    whole = whole.withColumn("_new", F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(read("_kept")))
+    new = {"text": F.col("_new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+    return unpacked(whole, docs.columns, **new)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
