@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.llm import ngram_join, packing, quality, secrets, suffix_dedup
-from kgspark.llm.common import Scratch, read_table
+from kgspark.llm.common import Scratch, packed, read_table, unpacked
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +20,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """One document of each group of near copies stays: the one of smallest doc_id. Of rows that share that doc_id the
     smallest by text stays; rows without doc_id, which belong to no group, all stay."""
     found = ngram_join.jaccard_components(spark, docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component"))
-    firsts = found.where(F.col("_id") == F.col("_component")).select("_id").distinct()
-    kept = docs.join(firsts, docs["doc_id"] == F.col("_id"), "left_semi")
-    several = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_several"))
-    single = kept.join(several, F.col("doc_id") == F.col("_several"), "left_anti")
-    many = kept.join(several, F.col("doc_id") == F.col("_several"), "left_semi")
-    whole = F.struct(*([F.coalesce("text", F.lit("")).alias("_order")] + [F.col(c) for c in docs.columns]))
-    first = many.groupBy("doc_id").agg(F.min(whole).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
-    return single.unionByName(first).unionByName(docs.where("doc_id is null"))
+    firsts = found.where(F.col("_id") == F.col("_component")).select(F.col("_id").alias("doc_id")).distinct()
+    rows = packed(docs, "doc_id", "text")
+    kept = rows.join(firsts, "doc_id", "left_semi")
+    several = kept.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    one = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("_row", F.struct(F.coalesce("text", F.lit("")), F.to_json("_row"))).alias("_row"))
+    whole = kept.join(several, "doc_id", "left_anti").select("_row").union(one.select("_row")).union(rows.where("doc_id is null").select("_row"))
+    return unpacked(whole, docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
