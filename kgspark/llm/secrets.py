@@ -2,8 +2,8 @@
 
 Two models of neighbouring characters, one of random strings and one of ordinary identifiers, are trained from labelled
 samples; a token whose mean log-likelihood ratio reaches THRESHOLD is reported. The samples: of at most SAMPLE
-documents (smallest hash of doc_id), the values that a fixed form labels as secrets, and the words that none touches.
-The scan itself covers every token of every text.
+documents (smallest hash of doc_id), the values that a fixed form labels as secrets, and the words that none touches
+and whose digits, if any, come last (else unlabelled secrets would count as ordinary). The scan itself covers every token of every text.
 
 DataFrame functions only. Offsets are code points, ends exclusive. A scan is one pass without any shuffle.
 
@@ -30,6 +30,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{16,}+"
 KINDS = ["assign", "access", "hex", "markov"]
 SHORTEST, SAMPLE, THRESHOLD = 16, 4000, 0.7
 TOKEN = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{%d,}+" % SHORTEST
+ORDINARY = "^[A-Za-z+/_=-]*[0-9]*$"
 #: characters of the models: each letter case, each digit, and one class for all else
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 N = len(ALPHABET) + 1
@@ -64,7 +65,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
     few = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # bounded, repeated ids too
     df = with_spans(scanned(few), "_word", "_t", r"[A-Za-z0-9+/_=-]{4,}+")
     secret = F.concat(F.transform("_assign", lambda x: F.regexp_extract(x["text"], ASSIGN, 1)), F.transform("_access", lambda x: x["text"]), F.transform("_hex", lambda x: x["text"]))
-    apart = F.filter("_word", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    apart = F.filter("_word", lambda w: w["text"].rlike(ORDINARY) & ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     both = df.select(F.explode(F.array(F.struct(F.lit(1).alias("y"), secret.alias("w")), F.struct(F.lit(0).alias("y"), F.transform(apart, lambda x: x["text"]).alias("w")))).alias("s")).select("s.y", F.explode("s.w").alias("w"))
     counts = both.where(F.length("w") >= 4).select("y", F.explode(bigrams(F.col("w"))).alias("pair")).groupBy("y", "pair").count().collect()  # 2 N^2 rows at most
     got = {(r[0], r[1]): r[2] for r in counts}
@@ -72,14 +73,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float] | None:
         return None
 
     def model(y: int) -> list[float]:
-        out = []
+        """Log probabilities; a pair that wasn't seen backs off to its second character: among random strings an even
+        spread over letters and digits, among ordinary identifiers how often it occurs."""
+        single = [sum(got.get((y, i * N + j), 0) for i in range(N)) for j in range(N)]
+        back = [(x + 0.5) / (sum(single) + 0.5 * N) for x in single] if not y else [(1 - 1e-3) / (N - 1)] * (N - 1) + [1e-3]
+        weight, out = (100.0 if y else 2.0), []
         for i in range(N):
-            row = [got.get((y, i * N + j), 0) + 0.1 for j in range(N)]
-            # random strings: what is seen, smoothed towards an even spread over letters and digits
-            if y:
-                row = [x + (2.0 if j < N - 1 else 0.2) for j, x in enumerate(row)]
-            total = sum(row)
-            out += [math.log(x / total) for x in row]
+            row = [got.get((y, i * N + j), 0) for j in range(N)]
+            out += [math.log((x + weight * b) / (sum(row) + weight)) for x, b in zip(row, back, strict=True)]
         return out
 
     return [round(a - b, 6) for a, b in zip(model(1), model(0), strict=True)]
