@@ -72,6 +72,8 @@ class Scratch:
         path = f"{self.root}/{name}"
         schema = df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        del df
+        self.release()
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, *names: str) -> None:

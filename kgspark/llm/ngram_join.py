@@ -133,30 +133,35 @@ def _least_common(a: str, b: str):
 
 def _leader_pairs(columns: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, na, nb): each class of a column with a few leaders of it; as many pairs as the columns have rows."""
+    # each step is written, so that the shuffles behind it can go before the next one's
     dense = columns.groupBy("key").agg(F.count("*").alias("df"))
-    central = columns.join(dense, "key").groupBy("sig").agg((F.sum(F.log2("df")) / F.max("n")).alias("weight"))
-    c = columns.join(central, "sig")
+    central = scratch.write(columns.join(dense, "key").groupBy("sig").agg((F.sum(F.log2("df")) / F.max("n")).alias("weight")), "central")
     orders = [F.struct((-F.col("weight")).alias("o"), "sig", "n")] + [F.struct(F.xxhash64("sig", F.lit(i)).cast("double").alias("o"), "sig", "n") for i in (1, 2)]
-    leaders = c.groupBy("key").agg(F.array_distinct(F.array(*(F.min(o) for o in orders))).alias("leaders"))
+    leaders = columns.join(central, "sig").groupBy("key").agg(F.array_distinct(F.array(*(F.min(o) for o in orders))).alias("leaders"))
+    leaders = scratch.write(leaders, "leaders")
     pairs = columns.join(leaders, "key").select("sig", "n", F.explode("leaders").alias("l")).where("sig <> l.sig")
-    pairs = pairs.select(F.least("sig", "l.sig").alias("a"), F.greatest("sig", "l.sig").alias("b"), F.when(F.col("sig") < F.col("l.sig"), F.col("n")).otherwise(F.col("l.n")).alias("na"), F.when(F.col("sig") < F.col("l.sig"), F.col("l.n")).otherwise(F.col("n")).alias("nb"))
-    pairs = pairs.where(_size_fits("na", "nb")).distinct()
-    lists = columns.groupBy("sig").agg(F.collect_list("key").alias("keys"))  # as long as one document's prefix at most
-    counted = pairs.join(lists.select(F.col("sig").alias("a"), F.col("keys").alias("ka")), "a").join(lists.select(F.col("sig").alias("b"), F.col("keys").alias("kb")), "b")
-    return counted.where(F.size(F.array_intersect("ka", "kb")) >= _least_common("na", "nb")).select("a", "b", "na", "nb")
+    first = F.col("sig") < F.col("l.sig")
+    pairs = pairs.select(F.least("sig", "l.sig").alias("a"), F.greatest("sig", "l.sig").alias("b"), F.when(first, F.col("n")).otherwise(F.col("l.n")).alias("na"), F.when(first, F.col("l.n")).otherwise(F.col("n")).alias("nb"))
+    pairs = scratch.write(pairs.where(_size_fits("na", "nb")).distinct(), "met")
+    lists = scratch.write(columns.groupBy("sig").agg(F.collect_list("key").alias("keys")), "lists")  # a document's prefix at most
+    some = scratch.write(pairs.join(lists.select(F.col("sig").alias("a"), F.col("keys").alias("ka")), "a").where(F.size("ka") >= _least_common("na", "nb")), "some")
+    counted = some.join(lists.select(F.col("sig").alias("b"), F.col("keys").alias("kb")), "b")
+    out = scratch.write(counted.where(F.size(F.array_intersect("ka", "kb")) >= _least_common("na", "nb")).select("a", "b", "na", "nb"), "pairs")
+    scratch.drop("central", "leaders", "met", "lists", "some")
+    return out
 
 
-def _cross_pairs(columns: DataFrame, component: DataFrame) -> DataFrame:
+def _cross_pairs(columns: DataFrame, component: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b, na, nb) of all pairs that share enough columns and lie in different components.
 
     In each column all but its largest component's classes meet the whole column, so a settled group costs its length.
     """
-    c = columns.join(component, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    c = scratch.write(columns.join(component, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "placed")
     parts = c.groupBy("key", "comp").agg(F.count("*").alias("m"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("x.comp").alias("main"))
-    c = c.join(main, "key")
+    c = scratch.write(c.join(main, "key"), "mixed")
     # two sets share at most as many columns as each has here, so a pair beyond its bound isn't made at all
-    c = c.join(c.groupBy("sig").agg(F.count("*").alias("m")), "sig")
+    c = scratch.write(c.join(c.groupBy("sig").agg(F.count("*").alias("m")), "sig"), "counted")
     left = c.where("comp <> main").select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("m").alias("ma"))
     right = c.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), "main", F.col("m").alias("mb"))
     met = left.join(right, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _size_fits("na", "nb") & (F.least("ma", "mb") >= _least_common("na", "nb")))
@@ -201,13 +206,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     classes = scratch.write(rows.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     known = docs.where("doc_id is not null")
     columns = scratch.write(_columns(_prefix_blocks(known, common, 2 * shuffle_partitions(spark))), "columns")
-    scratch.release()
-    pairs = scratch.write(_leader_pairs(columns, scratch), "pairs")
+    pairs = _leader_pairs(columns, scratch)
     links = _linked(known, classes, pairs, scratch, "first")
     found = scratch.write(connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "cc1"), "components1")
     named = links.select(F.col("x").alias("node"), F.col("a").alias("sig")).union(links.select(F.col("y").alias("node"), F.col("b").alias("sig"))).distinct()
     component = named.join(found, "node").groupBy("sig").agg(F.min("component").alias("comp"))
-    rest = _cross_pairs(columns, component).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _cross_pairs(columns, component, scratch).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     rest = scratch.write(rest, "rest")
     if rest.limit(1).count():
         more = _linked(known, classes, rest, scratch, "rest")

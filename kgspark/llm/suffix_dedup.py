@@ -302,13 +302,11 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame
     found = []
     for part in range(ROUNDS):
         found.append(scratch.write(_pass1(_pass1_blocks(rows, buckets, part)), f"pass1-{part}"))
-        scratch.release()
     first = reduce(DataFrame.unionAll, found).groupBy("doc_id", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"), F.sum(F.octet_length("open")).alias("n_open"))  # as long as one document
     first = scratch.write(first, "first")
     scratch.drop(*(f"pass1-{part}" for part in range(ROUNDS)))
     going = rows.join(first.where("n_open > 0").drop("n_open").hint("shuffle_hash"), ["doc_id", "tag"])
     second = scratch.write(_pass2(_pass2_blocks(going.select("doc_id", "tag", "text", "whole", "open"), buckets)), "pass2")
-    scratch.release()
     second = second.groupBy("doc_id", "tag").agg(F.collect_list("windows").alias("windows"))
     return first.select("doc_id", "tag", "whole").join(second, ["doc_id", "tag"], "left")
 
