@@ -90,7 +90,7 @@ def reach(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFr
     A frontier loop: each round joins the last frontier with the edges and drops what was reached before. Only the size
     of the frontier comes to the driver.
     """
-    steps = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+    steps = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     seen = cut(roots.select("id").where("id is not null").distinct().withColumn("hops", F.lit(0)))
     frontier, hop = seen, 0
     while most is None or hop < most:
@@ -99,7 +99,7 @@ def reach(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFr
         frontier = cut(new.join(seen, "id", "left_anti").withColumn("hops", F.lit(hop)))
         if not frontier.limit(1).count():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)  # all parts are checkpoints already
     return seen
 
 
