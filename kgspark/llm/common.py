@@ -80,6 +80,14 @@ class Scratch:
         for name in names:
             drop_path(self.spark, f"{self.root}/{name}")
 
+    def drop_others(self, *keep: str) -> None:
+        """Drop all tables but these."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(p):
+            if status.getPath().getName() not in keep:
+                fs.delete(status.getPath(), True)
+
     def release(self) -> None:
         """Let Spark delete shuffle files of finished steps: it does so once the driver has collected their handles."""
         gc.collect()

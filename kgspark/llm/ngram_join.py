@@ -229,6 +229,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def _joined_ids(out: DataFrame, scratch: Scratch) -> DataFrame:
     """Where several rows share a doc_id, their components are one."""
     out = scratch.write(out, "out")
+    scratch.drop_others("out")
     several = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a <> b")
     if not several.limit(1).count():
         return out

@@ -172,6 +172,7 @@ def pack(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None, ca
     rows = scratch.write(pieces(docs, vocabulary or default_vocabulary(), capacity), "pieces")
     # a piece's number within its length: its number within (length, part of the table) plus all parts before
     rows = scratch.write(rows.withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    scratch.drop("pieces")
     counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     ahead = counts.withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
