@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,14 @@ def pack(key: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.Reco
         yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary())], schema=ARROW)
 
 
+def spread(records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """One row with all records, to a negative bucket that depends on the records of the block and on no key."""
+    if len(records):
+        data = records.tobytes()
+        to = -1 - zlib.crc32(data) % buckets
+        yield pa.record_batch([pa.array([to], pa.int32()), pa.array([data], pa.binary())], schema=ARROW)
+
+
 def unpack(table: pa.Table, dtype: np.dtype) -> np.ndarray:
     found = [np.frombuffer(x, dtype=dtype) for chunk in table.column("block").chunks for x in (v.as_buffer() for v in chunk)]
     return np.concatenate(found) if found else np.zeros(0, dtype)

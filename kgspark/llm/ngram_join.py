@@ -97,7 +97,10 @@ def _prefix_blocks(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
             take = (rank < prefix[owner]) & mine[owner]
             out = np.zeros(int(take.sum()), RECORD)
             out["key"], out["sig"], out["n"] = h[take], lo[owner[take]], n[owner[take]]
-            yield from blockshuffle.pack(out["key"], out, buckets)
+            often = late[take]
+            yield from blockshuffle.pack(out["key"][~often], out[~often], buckets)
+            # a common column may hold a third of all rows: its records are dealt by block, not by column
+            yield from blockshuffle.spread(out[often], buckets)
             del h, late, owner, so_far, before, inside, rank, take, out
             kernels.trim()
 
@@ -105,20 +108,21 @@ def _prefix_blocks(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
 
 
 def _columns(blocks: DataFrame) -> DataFrame:
-    """(key, sig, n) of the columns that two classes or more share."""
+    """(key, sig, n) of the columns that two classes or more share, and of all common ones."""
     schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32())])
 
     def go(table: pa.Table) -> pa.Table:
+        often = table.num_rows and table.column("bucket")[0].as_py() < 0
         r = blockshuffle.unpack(table, RECORD)
         r = r[np.lexsort((r["sig"], r["key"]))]
-        if len(r):
+        if len(r) and not often:
             new = np.concatenate([[True], (r["key"][1:] != r["key"][:-1]) | (r["sig"][1:] != r["sig"][:-1])])
             r = r[new]
             cut = np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1], [True]]))
             r = r[np.repeat(np.diff(cut) > 1, np.diff(cut))]
         return pa.table([pa.array(_signed(r["key"].copy())), pa.array(r["sig"].copy()), pa.array(r["n"].copy())], schema=schema)
 
-    return blocks.groupBy("bucket").applyInArrow(go, "key bigint, sig bigint, n int")
+    return blocks.groupBy("bucket").applyInArrow(go, "key bigint, sig bigint, n int").distinct()
 
 
 def _size_fits(a: str, b: str):

@@ -14,7 +14,9 @@ pass 2  For the anchors that go on and only for their windows not yet known as r
         own, compared byte by byte. The smallest document of equal ones stays.
 
 Pass 1 takes the anchors in ROUNDS parts by hash, one after the other, so that only a part of their records is on disk
-or in a task at a time. Each pass deals its groups by hash, as packed blocks; before pass 1 a block's repeats within itself are settled where
+or in a task at a time. A string that stands in over CROWD contexts within one block sends one record for all, and in pass 2 its
+anchors are dealt by window, each distinct window once for a block. Each pass deals its groups by hash, as packed
+blocks; before pass 1 a block's repeats within itself are settled where
 they are read, so a text that a third of the documents hold sends one record for each block and anchor. All of it is
 exact: pass 1 compares 128 bits of hash, pass 2 the bytes.
 
@@ -43,8 +45,10 @@ SPAN = WINDOW - GRAM + 1  # grams in a window, and windows that hold a gram
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MULS[0])
 PASS1 = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4")])
 PASS2 = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("need", "<u4"), ("ctx", "u1", (SPAN + WINDOW - 1,))])
-PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4")])
-ANSWERS1 = "doc_id bigint, tag bigint, whole binary, open binary"
+SETTLED = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("bits", "<u4")])
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("kind", "u1")])
+CROWD, MARK = 32, 0xFFFFFFFF  # contexts of one string in a block that make it a crowd; the place of a crowd's record
+ANSWERS1 = "doc_id bigint, tag bigint, whole binary, open binary, crowd binary"
 ANSWERS2 = "doc_id bigint, tag bigint, windows binary"
 
 
@@ -125,15 +129,28 @@ def _pass1_blocks(docs: DataFrame, buckets: int, part: int) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
             least = np.repeat(np.minimum.reduceat(r["doc"], start), np.diff(np.append(start, len(r))))
             known = r["doc"] > least
-            if known.any():
-                k = np.zeros(int(known.sum()), PLACE)
-                for c in PLACE.names:
-                    k[c] = r[c][known]
-                to = -1 - int(both[0] % np.uint64(buckets))
-                yield pa.record_batch([pa.array([to], pa.int32()), pa.array([k.tobytes()], pa.binary())], schema=blockshuffle.ARROW)
-                r = r[~known]
+            told, kinds = [r[known]], [np.zeros(int(known.sum()), np.uint8)]
+            r = r[~known]
+            r = r[np.argsort(r["key"], kind="stable")]
+            start = np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1]]))
+            each = np.diff(np.append(start, len(r)))
+            many = each > CROWD
+            if many.any():  # one record stands for a crowd of contexts; its places go on as they are
+                crowd = np.repeat(many, each)
+                marks = r[start[many]]
+                marks["doc"], marks["pos"] = np.minimum.reduceat(r["doc"], start)[many], MARK
+                told.append(r[crowd])
+                kinds.append(np.full(int(crowd.sum()), 2, np.uint8))
+                r = np.concatenate([r[~crowd], marks])
+            told, kinds = np.concatenate(told), np.concatenate(kinds)
+            if len(told):
+                k = np.zeros(len(told), PLACE)
+                for c in ("doc", "tag", "pos"):
+                    k[c] = told[c]
+                k["kind"] = kinds
+                yield from blockshuffle.spread(k, buckets)
             yield from blockshuffle.pack(r["key"], r, buckets)
-            del r, both, order, known, least, start
+            del r, both, order, known, least, start, told, kinds
             kernels.trim()
 
     return docs.mapInArrow(go, blockshuffle.SCHEMA)
@@ -155,30 +172,29 @@ def _by_document(doc, tag, *more):
 
 def _pass1(blocks: DataFrame) -> DataFrame:
     """ANSWERS1: places whose windows all are repeats, and places that go on."""
-    names = ["doc_id", "tag", "whole", "open"]
+    names = ["doc_id", "tag", "whole", "open", "crowd"]
 
-    def rows(doc, tag, pos, on):
-        order, start = _by_document(doc, tag, on)
-        doc, tag, pos, on = doc[order], tag[order], pos[order], on[order]
-        each = np.diff(np.append(start, len(doc)))
-        n_on = np.add.reduceat(on.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
-        return pa.table([pa.array(doc[start]), pa.array(tag[start].astype(np.int64)), _lists(pos[~on].astype("<u4"), each - n_on), _lists(pos[on].astype("<u4"), n_on)], names=names)
+    def rows(doc, tag, pos, kind):
+        order, start = _by_document(doc, tag, kind)
+        doc, tag, pos, kind = doc[order], tag[order], pos[order].astype("<u4"), kind[order]
+        n = [np.add.reduceat((kind == k).astype(np.int64), start) if len(start) else np.zeros(0, np.int64) for k in range(3)]
+        return pa.table([pa.array(doc[start]), pa.array(tag[start].astype(np.int64)), *(_lists(pos[kind == k], n[k]) for k in range(3))], names=names)
 
     def go(t: pa.Table) -> pa.Table:
         if t.num_rows and t.column("bucket")[0].as_py() < 0:
             r = blockshuffle.unpack(t, PLACE)
-            return rows(r["doc"], r["tag"], r["pos"], np.zeros(len(r), bool))
+            return rows(r["doc"].copy(), r["tag"].copy(), r["pos"].copy(), r["kind"].copy())
         r = blockshuffle.unpack(t, PASS1)
         del t
         r = r[np.argsort(r["key"])]
         start = np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1]])) if len(r) else np.zeros(0, np.int64)
         each = np.diff(np.append(start, len(r)))
         if len(r):
-            several = np.minimum.reduceat(r["doc"], start) != np.maximum.reduceat(r["doc"], start)
+            several = (np.minimum.reduceat(r["doc"], start) != np.maximum.reduceat(r["doc"], start)) | (np.maximum.reduceat(r["pos"], start) == MARK)
             r = r[np.repeat(several, each)]
         if not len(r):
             none = np.zeros(0, PLACE)
-            return rows(none["doc"], none["tag"], none["pos"], np.zeros(0, bool))
+            return rows(none["doc"], none["tag"], none["pos"], none["kind"])
         r = r[np.lexsort((r["ctx"], r["key"]))]
         new_key = np.concatenate([[True], r["key"][1:] != r["key"][:-1]])
         new = new_key | np.concatenate([[True], r["ctx"][1:] != r["ctx"][:-1]])
@@ -187,9 +203,12 @@ def _pass1(blocks: DataFrame) -> DataFrame:
         whole = r["doc"] > least
         k = np.flatnonzero(new_key)
         kinds = np.repeat(np.add.reduceat(new.astype(np.int64), k), np.diff(np.append(k, len(r))))
-        told = whole | (kinds > 1)
+        mark = r["pos"] == MARK
+        crowd = np.repeat(np.maximum.reduceat(mark.astype(np.uint8), k), np.diff(np.append(k, len(r)))) > 0
+        kind = np.where(whole & ~crowd, 0, np.where(crowd, 2, 1)).astype(np.uint8)
+        told = (whole | (kinds > 1) | crowd) & ~mark
         kernels.trim()
-        return rows(r["doc"][told], r["tag"][told], r["pos"][told], ~whole[told])
+        return rows(r["doc"][told], r["tag"][told], r["pos"][told], kind[told])
 
     return blocks.groupBy("bucket").applyInArrow(go, ANSWERS1)
 
@@ -218,10 +237,32 @@ def _pass2_blocks(joined: DataFrame, buckets: int) -> DataFrame:
     bit = (U(1) << reach.astype(np.uint64)).astype(np.uint64)
 
     def flush(held):
+        """Records dealt by their string; those of crowds a window each, once for a block, with what that settles."""
         r = np.concatenate(held)
-        if len(r):
-            r["key"] = _hashes(r["ctx"][:, SPAN - 1 : SPAN - 1 + GRAM])[0][:, 0]
-        return r
+        crowd = r["key"] == 2
+        one = r[~crowd]
+        if len(one):
+            one["key"] = _hashes(one["ctx"][:, SPAN - 1 : SPAN - 1 + GRAM])[0][:, 0]
+            yield from blockshuffle.pack(one["key"], one, buckets)
+        r = r[crowd]
+        for i in range(0, len(r), 4096):
+            c = r[i : i + 4096]
+            h = _hashes(c["ctx"])[1]
+            at, j = np.nonzero(c["need"][:, None] & (np.uint32(1) << reach.astype(np.uint32)))
+            w = c[at]
+            w["key"], w["need"] = mix(h[at, j] ^ (j.astype(np.uint64) * MULS[2])), np.uint32(1) << j.astype(np.uint32)
+            order = np.lexsort((w["doc"], w["key"]))
+            w, j = w[order], j[order]
+            body = w["ctx"][np.arange(len(w))[:, None], j[:, None] + np.arange(WINDOW)]
+            same = np.concatenate([[False], (w["key"][1:] == w["key"][:-1]) & (body[1:] == body[:-1]).all(axis=1)])
+            start = np.flatnonzero(~same)
+            first = np.repeat(w["doc"][start], np.diff(np.append(start, len(w))))
+            later = w["doc"] > first
+            if later.any():
+                k = np.zeros(int(later.sum()), SETTLED)
+                k["doc"], k["tag"], k["pos"], k["bits"] = (w[x][later] for x in ("doc", "tag", "pos", "need"))
+                yield from blockshuffle.spread(k, buckets)
+            yield from blockshuffle.pack(w["key"][~later], w[~later], buckets)
 
     def go(batches):
         kernels.enter("suffix")
@@ -230,7 +271,9 @@ def _pass2_blocks(joined: DataFrame, buckets: int) -> DataFrame:
             ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
             for i in range(batch.num_rows):
                 text = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
-                whole, on = _values(batch.column("whole")[i], "<u4"), np.sort(_values(batch.column("open")[i], "<u4"))
+                whole, alone, crowd = (_values(batch.column(c)[i], "<u4") for c in ("whole", "open", "crowd"))
+                on = np.concatenate([alone, crowd])
+                kind = np.repeat(np.array([1, 2], np.uint64), [len(alone), len(crowd)])
                 size = len(text)
                 if not len(on):
                     continue
@@ -241,19 +284,18 @@ def _pass2_blocks(joined: DataFrame, buckets: int) -> DataFrame:
                 need = (s >= lo[:, None]) & (s <= hi[:, None])
                 need &= ~known[np.clip(s, 0, len(known) - 1)]
                 mask = (need * bit).sum(axis=1).astype(np.uint32)
-                on, mask = on[mask > 0], mask[mask > 0]
+                on, kind, mask = on[mask > 0], kind[mask > 0], mask[mask > 0]
                 at = on.astype(np.int64)[:, None] - (SPAN - 1) + wide
                 r = np.zeros(len(on), PASS2)
-                r["doc"], r["tag"], r["pos"], r["need"] = ids[i], tags[i], on, mask
+                r["key"], r["doc"], r["tag"], r["pos"], r["need"] = kind, ids[i], tags[i], on, mask
                 r["ctx"] = np.where((at >= 0) & (at < size), text[np.clip(at, 0, size - 1)], 0)
                 held.append(r)
                 n += len(r)
                 if n > 50_000:
-                    r, held, n = flush(held), [], 0
-                    yield from blockshuffle.pack(r["key"], r, buckets)
+                    yield from flush(held)
+                    held, n = [], 0
         if held:
-            r = flush(held)
-            yield from blockshuffle.pack(r["key"], r, buckets)
+            yield from flush(held)
 
     return joined.mapInArrow(go, blockshuffle.SCHEMA)
 
@@ -262,7 +304,17 @@ def _pass2(blocks: DataFrame) -> DataFrame:
     """ANSWERS2: (place, bits of its repeated windows) of each document."""
     pair = np.dtype([("pos", "<u4"), ("bits", "<u4")])
 
+    def answers(r, bits):
+        order, start = _by_document(r["doc"], r["tag"])
+        r, bits = r[order], bits[order]
+        out = np.zeros(len(r), pair)
+        out["pos"], out["bits"] = r["pos"], bits
+        return pa.table([pa.array(r["doc"][start].copy()), pa.array(r["tag"][start].astype(np.int64)), _lists(out, np.diff(np.append(start, len(r))))], names=["doc_id", "tag", "windows"])
+
     def go(t: pa.Table) -> pa.Table:
+        if t.num_rows and t.column("bucket")[0].as_py() < 0:
+            r = blockshuffle.unpack(t, SETTLED)
+            return answers(r, r["bits"])
         r = blockshuffle.unpack(t, PASS2)
         bits = np.zeros(len(r), np.uint32)
         h = np.concatenate([_hashes(r["ctx"][i : i + 10_000])[1] for i in range(0, len(r), 10_000)]) if len(r) else np.zeros((0, SPAN), np.uint64)
@@ -279,14 +331,9 @@ def _pass2(blocks: DataFrame) -> DataFrame:
             start = np.flatnonzero(np.concatenate([[True], ~same]))
             least = np.repeat(np.minimum.reduceat(r["doc"][at], start), np.diff(np.append(start, len(at))))
             bits[at[r["doc"][at] > least]] |= np.uint32(1 << j)
-        r, bits = r[bits > 0], bits[bits > 0]
         del h
         kernels.trim()
-        order, start = _by_document(r["doc"], r["tag"])
-        r, bits = r[order], bits[order]
-        out = np.zeros(len(r), pair)
-        out["pos"], out["bits"] = r["pos"], bits
-        return pa.table([pa.array(r["doc"][start].copy()), pa.array(r["tag"][start].astype(np.int64)), _lists(out, np.diff(np.append(start, len(r))))], names=["doc_id", "tag", "windows"])
+        return answers(r[bits > 0], bits[bits > 0])
 
     return blocks.groupBy("bucket").applyInArrow(go, ANSWERS2)
 
@@ -302,11 +349,11 @@ def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame
     found = []
     for part in range(ROUNDS):
         found.append(scratch.write(_pass1(_pass1_blocks(rows, buckets, part)), f"pass1-{part}"))
-    first = reduce(DataFrame.unionAll, found).groupBy("doc_id", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"), F.sum(F.octet_length("open")).alias("n_open"))  # as long as one document
+    first = reduce(DataFrame.unionAll, found).groupBy("doc_id", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"), F.collect_list("crowd").alias("crowd"), F.sum(F.octet_length("open") + F.octet_length("crowd")).alias("n_open"))  # as long as one document
     first = scratch.write(first, "first")
     scratch.drop(*(f"pass1-{part}" for part in range(ROUNDS)))
     going = rows.join(first.where("n_open > 0").drop("n_open").hint("shuffle_hash"), ["doc_id", "tag"])
-    second = scratch.write(_pass2(_pass2_blocks(going.select("doc_id", "tag", "text", "whole", "open"), buckets)), "pass2")
+    second = scratch.write(_pass2(_pass2_blocks(going.select("doc_id", "tag", "text", "whole", "open", "crowd"), buckets)), "pass2")
     second = second.groupBy("doc_id", "tag").agg(F.collect_list("windows").alias("windows"))
     return first.select("doc_id", "tag", "whole").join(second, ["doc_id", "tag"], "left")
 
