@@ -14,7 +14,7 @@ pass 2  For the anchors that go on and only for their windows not yet known as r
         own, compared byte by byte. The smallest document of equal ones stays.
 
 Pass 1 takes the anchors in ROUNDS parts by hash, one after the other, so that only a part of their records is on disk
-or in a task at a time. A string that stands in over CROWD contexts within one block sends one record for all, and in pass 2 its
+or in a task at a time. A string in over CROWD documents of one block, in various contexts, sends one record for all, and in pass 2 its
 anchors are dealt by window, each distinct window once for a block. Each pass deals its groups by hash, as packed
 blocks; before pass 1 a block's repeats within itself are settled where
 they are read, so a text that a third of the documents hold sends one record for each block and anchor. All of it is
@@ -47,7 +47,7 @@ PASS1 = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<u4")
 PASS2 = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("need", "<u4"), ("ctx", "u1", (SPAN + WINDOW - 1,))])
 SETTLED = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("bits", "<u4")])
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("kind", "u1")])
-CROWD, MARK = 32, 0xFFFFFFFF  # contexts of one string in a block that make it a crowd; the place of a crowd's record
+CROWD, MARK = 256, 0xFFFFFFFF  # documents of a block with one string that make it a crowd; the place of a crowd's record
 ANSWERS1 = "doc_id bigint, tag bigint, whole binary, open binary, crowd binary"
 ANSWERS2 = "doc_id bigint, tag bigint, windows binary"
 
@@ -131,10 +131,11 @@ def _pass1_blocks(docs: DataFrame, buckets: int, part: int) -> DataFrame:
             known = r["doc"] > least
             told, kinds = [r[known]], [np.zeros(int(known.sum()), np.uint8)]
             r = r[~known]
-            r = r[np.argsort(r["key"], kind="stable")]
-            start = np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1]]))
+            r = r[np.lexsort((r["doc"], r["key"]))]
+            new = np.concatenate([[True], r["key"][1:] != r["key"][:-1]])
+            start = np.flatnonzero(new)
             each = np.diff(np.append(start, len(r)))
-            many = each > CROWD
+            many = np.add.reduceat((new | np.concatenate([[True], r["doc"][1:] != r["doc"][:-1]])).astype(np.int64), start) > CROWD
             if many.any():  # one record stands for a crowd of contexts; its places go on as they are
                 crowd = np.repeat(many, each)
                 marks = r[start[many]]
@@ -150,7 +151,7 @@ def _pass1_blocks(docs: DataFrame, buckets: int, part: int) -> DataFrame:
                 k["kind"] = kinds
                 yield from blockshuffle.spread(k, buckets)
             yield from blockshuffle.pack(r["key"], r, buckets)
-            del r, both, order, known, least, start, told, kinds
+            del r, both, order, known, least, start, told, kinds, new, each, many
             kernels.trim()
 
     return docs.mapInArrow(go, blockshuffle.SCHEMA)
