@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from . import kernels
-from .common import read_table
+from .common import prepare, read_table
 
 REMEMBER = 500_000
 
@@ -136,6 +136,7 @@ def _schema(df: DataFrame, *new: StructField) -> StructType:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
     """docs with `ids` (array of int), and with `starts` and `ends` (characters) if offsets are asked for."""
+    prepare(docs.sparkSession)
     path, pattern = path or default_vocabulary(), pattern or _pattern()
     new = ["ids", "starts", "ends"] if offsets else ["ids"]
     docs = docs.drop(*new)
@@ -163,6 +164,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """tokens(ids, ...) with `decoded`, the bytes that the ids stand for; cast it to string to read it as UTF-8."""
+    prepare(tokens.sparkSession)
     path = path or default_vocabulary()
     tokens = tokens.drop("decoded")
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import io
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +25,31 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application: their Python workers import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kgspark_shipped", False):
+        return
+    top, held = pathlib.Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(top.rglob("*.py")):
+            z.write(file, str(file.relative_to(top.parent)))
+    path = f"{shared_dir(spark)}/kgspark-code-{uuid.uuid4().hex[:12]}/kgspark_code.zip"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    sc._kgspark_shipped = True
+
+
+def prepare(spark: SparkSession) -> None:
     modest_batches(spark)
+    ship(spark)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,7 +87,7 @@ class Scratch:
     """Tables written to the shared folder. They cut lineage, survive lost executors, and can be dropped early."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        modest_batches(spark)
+        prepare(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/kgspark-{tag}-{uuid.uuid4().hex[:12]}"
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.root)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import packed, read_table, unpacked
+from .common import packed, prepare, read_table, unpacked
 
 BITS, SAMPLE, EPOCHS, SCALE, ACCEPT = 18, 6000, 3, 24.0, 0.7
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-4
@@ -88,6 +88,7 @@ def fold(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Train on at most `sample` labelled rows, held-out fold left out."""
+    prepare(docs.sparkSession)
     rows = labels.where("quality is not null and doc_id is not null").where(fold(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.min("quality").alias("y"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
 
@@ -109,6 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
     """docs with a double column `name`: how likely label 1 is, from the text alone."""
+    prepare(docs.sparkSession)
     docs = docs.drop(name) if name in docs.columns else docs
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS floats: 1 MB

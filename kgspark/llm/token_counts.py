@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from .bytebpe import _pattern, coder
-from .common import Scratch, drop_path, read_table
+from .common import Scratch, drop_path, prepare, read_table
 
 DELTAS = "source string, lang string, tokenizer string, n_documents bigint, n_tokens bigint"
 VERSION = "byte_bpe_50k@1"
@@ -32,6 +32,7 @@ def count_tokens(rows: DataFrame, column: str, into: str, path: str) -> DataFram
     """rows with a bigint column `into`: the number of tokens of `column`'s whole text."""
     from pyspark.sql.types import LongType, StructField, StructType
 
+    prepare(rows.sparkSession)
     pattern = _pattern()
 
     def go(batches):
