@@ -172,13 +172,13 @@ def search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray, beam
     return found
 
 
-def spanning(found: np.ndarray) -> np.ndarray:
-    """Smallest row of each row's component in a symmetric boolean matrix."""
-    n = len(found)
+def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row of each of n rows' components; the pairs i, j hold both directions."""
     label = np.arange(n)
-    i, j = np.nonzero(found)
     if not len(i):
         return label
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
     first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
     while True:
         low = label.copy()
@@ -189,6 +189,11 @@ def spanning(found: np.ndarray) -> np.ndarray:
         label = low
 
 
+def spanning(found: np.ndarray) -> np.ndarray:
+    """Smallest row of each row's component in a symmetric boolean matrix."""
+    return _least(len(found), *np.nonzero(found))
+
+
 def nodes_of(rows: DataFrame) -> DataFrame:
     """(label, embedding, vec, weight): distinct usable vectors of each label."""
     good = "label is not null and vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) <= 3.4028235e38) and exists(embedding, x -> x <> 0)"
@@ -237,43 +242,45 @@ def _graph(placed: DataFrame) -> DataFrame:
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists of 2 DEGREE
 
 
+def found_in_chunk(t: pa.Table, beam: int) -> pa.Table:
+    """The rows of one (shard, chunk): its own nodes, and the shard's others as queries."""
+    x, ids, own = _matrix(t.column("embedding")), t.column("node").to_numpy(), t.column("own").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    x, ids, own = x[order], ids[order], own[order]
+    weight, shard = t.column("weight").to_numpy()[order], t.column("shard")[0].as_py()
+    shards, near = t.column("shards").take(pa.array(order)).to_pylist(), t.column("near").take(pa.array(order)).to_pylist()
+    mine = np.flatnonzero(own)
+    at = {int(v): i for i, v in enumerate(ids[mine])}
+    adjacency = [np.array(sorted({at[v] for v in near[i] if v in at}), np.int64) for i in mine]
+    hits = search(x[mine], adjacency, x, beam)
+    hits[mine, np.arange(len(mine))] = False
+    if len(mine) == len(ids):
+        hits |= hits.T
+    # the shard that counts a pair is the first that both are in
+    names = {s: k for k, s in enumerate(sorted({s for x_ in shards for s in x_}))}
+    member = np.zeros((len(ids), len(names)), bool)
+    for i, x_ in enumerate(shards):
+        member[i, [names[s] for s in x_]] = True
+    q, v = np.nonzero(hits)
+    both = member[q] & member[mine[v]]
+    counted = np.argmax(both, axis=1) == names[shard] if len(q) else np.zeros(0, bool)
+    links = np.bincount(q[counted], weights=weight[mine[v[counted]]].astype(np.float64), minlength=len(ids)).astype(np.int64)
+    if len(mine) == len(ids):
+        to = ids[spanning(hits)]
+    else:  # queries from other chunks meet this chunk's own components: an edge for each distinct one they hit
+        inner = hits[mine]
+        part = spanning(inner | inner.T)
+        meets = np.zeros((len(ids), len(mine)), bool)
+        meets[q, part[v]] = True
+        meets[mine, part] = True
+        row, root = np.nonzero(meets)
+        to = ids[_least(len(ids), np.concatenate([row, mine[root]]), np.concatenate([mine[root], row]))]
+    return pa.table({"node": pa.array(ids), "links": pa.array(links), "to": pa.array(to)})
+
+
 def _found(placed: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
     """(node, links, to): weight of the nodes in range that this shard counts, and a spanning edge."""
-
-    def go(t: pa.Table) -> pa.Table:
-        x, ids, own = _matrix(t.column("embedding")), t.column("node").to_numpy(), t.column("own").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x, ids, own = x[order], ids[order], own[order]
-        weight, shard = t.column("weight").to_numpy()[order], t.column("shard")[0].as_py()
-        shards, near = t.column("shards").take(pa.array(order)).to_pylist(), t.column("near").take(pa.array(order)).to_pylist()
-        mine = np.flatnonzero(own)
-        at = {int(v): i for i, v in enumerate(ids[mine])}
-        adjacency = [np.array(sorted({at[v] for v in near[i] if v in at}), np.int64) for i in mine]
-        hits = search(x[mine], adjacency, x, beam)
-        hits[mine, np.arange(len(mine))] = False
-        if len(mine) == len(ids):
-            hits |= hits.T
-        # the shard that counts a pair is the first that both are in
-        names = {s: k for k, s in enumerate(sorted({s for x_ in shards for s in x_}))}
-        member = np.zeros((len(ids), len(names)), bool)
-        for i, x_ in enumerate(shards):
-            member[i, [names[s] for s in x_]] = True
-        q, v = np.nonzero(hits)
-        both = member[q] & member[mine[v]]
-        counted = np.argmax(both, axis=1) == names[shard] if len(q) else np.zeros(0, bool)
-        links = np.bincount(q[counted], weights=weight[mine[v[counted]]].astype(np.float64), minlength=len(ids)).astype(np.int64)
-        to = ids.copy()
-        square = np.zeros((len(ids), len(ids)), bool) if len(mine) < len(ids) else None
-        if square is None:
-            to = ids[spanning(hits)]
-        else:  # queries from other chunks: an edge to the first node found, and this chunk's own components
-            inner = hits[mine]
-            to[mine] = ids[mine][spanning(inner | inner.T)]
-            outer = np.flatnonzero(~own & hits.any(axis=1))
-            to[outer] = ids[mine[np.argmax(hits[outer], axis=1)]]
-        return pa.table({"node": pa.array(ids), "links": pa.array(links), "to": pa.array(to)})
-
-    return placed.join(graph, "node").groupBy("shard", "chunk").applyInArrow(go, "node bigint, links bigint, to bigint")
+    return placed.join(graph, "node").groupBy("shard", "chunk").applyInArrow(lambda t: found_in_chunk(t, beam), "node bigint, links bigint, to bigint")
 
 
 def _audit(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> float:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from kgspark.llm import embedding_dedup as ed
 
@@ -79,3 +80,23 @@ def test_components_do_not_depend_on_the_order_of_edges(spark):
     random.Random(1).shuffle(edges)
     got = connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "t")).collect()
     assert {r["node"]: r["component"] for r in got} == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def test_one_link_across_chunks_joins_two_groups(monkeypatch):
+    """Two groups of one shard, each over both chunks, with a single link between members of different chunks."""
+    n, chunk = 40, np.arange(40) % 2
+    group = np.arange(n) // 2 % 2
+    near = group[:, None] == group[None, :]
+    near[37, 38] = near[38, 37] = True  # both hit their own group in the other chunk first
+    monkeypatch.setattr(ed, "search", lambda x, adjacency, queries, beam: near[:, mine].copy())
+    edges = []
+    for k in range(2):
+        mine = np.flatnonzero(chunk == k)
+        t = pa.table({"node": np.arange(n), "weight": np.ones(n, int), "own": chunk == k, "shard": ["s"] * n, "shards": [["s"]] * n, "near": pa.array([[]] * n, pa.list_(pa.int64())), "embedding": pa.array([[1.0]] * n, pa.list_(pa.float32()))})
+        out = ed.found_in_chunk(t, 1)
+        edges += list(zip(out["node"].to_pylist(), out["to"].to_pylist(), strict=True))
+    up = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    assert set(up) == {0}
