@@ -44,6 +44,8 @@ class Encoder:
     The vocabulary drops white space and splits letters from punctuation before it merges anything, so such chunks are
     independent of each other. Texts without characters beyond U+00FF, of which lower case is one by one and no two
     compose, are lower-cased first, as the vocabulary does, and are also cut between a letter and the marks of CUT.
+    Added tokens are matched in the text before any of that: a text that holds one's content, in either case, goes to the
+    tokenizer whole and isn't remembered.
     """
 
     def __init__(self, vocabulary: str):
@@ -51,6 +53,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(vocabulary)
         self.known: dict[str, bytes] = {}
+        self.added = sorted({t.content.lower() for t in self.tok.get_added_tokens_decoder().values()})
 
     def learn(self, new: list[str]) -> None:
         plain = [c for c in new if c.isascii() and c.isalpha() and c.islower()]
@@ -63,7 +66,10 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        chunks = CUT.split(text.lower()) if text.isascii() or max(text) < "\u0100" else GAPS.split(text)
+        low = text.lower()
+        if any(t in low for t in self.added):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks = CUT.split(low) if text.isascii() or max(text) < "\u0100" else GAPS.split(text)
         known = self.known
         try:
             return b"".join([known[c] for c in chunks])

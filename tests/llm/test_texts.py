@@ -167,6 +167,14 @@ def test_packing(spark, edge, table_dir):
     assert len(bins) == -(-sum(r["length"] for r in out) // 2048)
 
 
+def test_added_tokens_are_whole():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(packing.default_vocabulary()), packing.Encoder(packing.default_vocabulary())
+    for t in ("hello <|endoftext|> world", "one<|endoftext|>two, Three", "<|startoftext|>A b.\nc<|endoftext|>", "日本 x<|endoftext|> y", "é <|ENDOFTEXT|> <|EndOfText|>", "cut <|endoftext |> | <|endof text|>", "a<|startoftext|><|endoftext|>Ü!"):
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_plan_equals_one_bin_at_a_time():
     """Equal bins in one step give what single steps give."""
     r = random.Random(3)
