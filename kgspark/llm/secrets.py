@@ -95,7 +95,7 @@ def with_secrets(docs: DataFrame, ratios: list[float] | None) -> DataFrame:
     apart = F.filter("_token", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     mean = lambda w: F.aggregate(bigrams(w["text"]), F.lit(0.0), lambda x, y: x + F.get(F.col("_ratios"), y)) / (F.length(w["text"]) - 1)
     df = df.withColumn("_apart", apart).withColumn("_ratios", F.when(F.size("_apart") > 0, table))
-    df = df.withColumn("_apart", F.filter("_apart", lambda w: (mean(w) >= THRESHOLD) & w["text"].rlike("[0-9]")))
+    df = df.withColumn("_apart", F.filter("_apart", lambda w: mean(w) >= THRESHOLD))
     more = F.transform("_apart", lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return df.withColumn("spans", F.array_sort(F.concat("base", more)))
 

@@ -138,6 +138,17 @@ def test_markov_finds_what_has_no_form_and_leaves_words(spark, table_dir):
     assert out[100] == f"markov:5:{5 + len(loose)}" and out[101] == ""
 
 
+def test_markov_reports_letters_only(spark):
+    r = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(r.choice(["con", "fig", "ura", "tion", "hand", "ler", "ser", "vice"]) for _ in range(6))
+    rows = [(i, f"some {word()} text token = \"{''.join(r.choice(alphabet) for _ in range(32))}\" and {word()}_{word()}") for i in range(80)]
+    learned = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = spark.createDataFrame([(100, "bare kQzXbTmWvRpLnCsDfGhJyEwK end"), (101, f"bare {word()}{word()} end")], learned.schema)
+    out = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in secrets.with_secrets(asked, secrets.train(learned)).select("doc_id", "spans").collect()}
+    assert out == {100: [(5, 3, 29)], 101: []}
+
+
 def test_redaction_keeps_columns(spark, edge, clashing):
     out = {(r["doc_id"]): r for r in secrets.redact(clashing, None).collect()}
     assert out[17]["text"].startswith('[SECRET]" mail me') and out[17]["n_chars"] == len(out[17]["text"]) and out[17]["base"] == "own base" and out[6]["text"] is None
