@@ -3,16 +3,18 @@
 Vectors link when their labels are equal and their cosine, in double precision, is at least 0.98.
 
 1. Equal vectors of one label become one node with a weight; copies are never compared with each other.
-2. Centroids are fitted on a bounded sample (SAMPLE nodes of smallest hash; at most CENTROIDS of them). Each node goes
-   to the shards (label, centroid) of its OVERLAP nearest centroids. A shard of over CHUNK nodes is dealt into chunks;
-   each chunk is a graph of its own, and the shard's nodes are queries to all its chunks.
+2. Shards: a cell starts as a label and a vector length. A cell of over CELL nodes is split among centroids that are
+   fitted on about SAMPLE of its own nodes, again and again, so shards stay small whatever the table's size. A node goes
+   to its nearest centroid and to further ones (up to the overlap) that are not beyond twice the range's angle from it:
+   no link leads farther. A cell that does not shrink, a crowd within the range, is dealt into chunks of CHUNK.
 3. Each chunk's graph: every node's nearest LIST nodes, robustly pruned to DEGREE, with reverse edges. A node's
    adjacency lists of all its shards are united.
-4. Every node is a query in its shards: greedy search from the chunk's medoid with a beam, which goes on expanding any
-   node in range. Found pairs are verified in double precision, either direction counts; a pair that meets in several
-   shards is counted in the first one. Only counts and spanning edges leave a task, never the pairs of a group.
-5. Recall is audited: rows with vec_id divisible by 100 against all rows by brute force in blocks. Below AUDIT, the
-   search is repeated with one more shard for each node and a wider beam.
+4. Every node is a query: greedy search from the chunk's medoids with a beam, which goes on expanding any node in range.
+   The chunks of a crowd meet in tiles, each pair of chunks once: the later one's nodes are queries to the earlier one's
+   graph. Found pairs are verified in double precision; a pair that meets in several shards is counted in the first one.
+   Only counts and spanning edges leave a tile, never its pairs.
+5. Recall is audited: every row with vec_id divisible by 100 against all rows by brute force in blocks. Below AUDIT, the
+   search is repeated with a wider overlap and beam, at last by exact products of all tiles of each label.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without label, link
 with nothing; vectors of different length don't link; a null vec_id links with nothing and has neither component nor kept;
@@ -22,16 +24,19 @@ an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, read_table
 
 RANGE = 0.98
-SAMPLE, CENTROIDS, SHARD, CHUNK = 8192, 1024, 250, 3000
-LIST, SPREAD, LONG, ENTRIES, DEGREE, ALPHA, BEAM, OVERLAP, AUDIT, QUERIES = 48, 16, 8, 24, 24, 1.2, 32, 2, 0.99, 2000
+SAMPLE, FAN, SHARD, CELL, CHUNK = 4096, 64, 250, 1000, 2000
+LIST, SPREAD, LONG, ENTRIES, DEGREE, ALPHA, BEAM, OVERLAP, WIDEST, AUDIT, QUERIES = 48, 16, 8, 24, 24, 1.2, 32, 2, 8, 0.99, 2000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -168,7 +173,7 @@ def search(x: np.ndarray, adjacency: list[np.ndarray], queries: np.ndarray, beam
                 meets = (front[:, cols].astype(np.float32) @ edges > 0) & (score[wide] <= -2.0)
                 i, j = np.nonzero(meets)
                 visit(wide[i], j)
-        found[lo : lo + 512] = score >= reach - 1e-9
+        found[lo : lo + 512] = score >= reach
     return found
 
 
@@ -189,44 +194,63 @@ def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = low
 
 
-def spanning(found: np.ndarray) -> np.ndarray:
-    """Smallest row of each row's component in a symmetric boolean matrix."""
-    return _least(len(found), *np.nonzero(found))
-
-
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """(label, embedding, vec, weight): distinct usable vectors of each label."""
+    """(label, embedding, vec, weight, asked): distinct usable vectors of each label; asked: the audit's queries."""
     good = "label is not null and vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) <= 3.4028235e38) and exists(embedding, x -> x <> 0)"
-    return rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("weight"))
-
-
-def _assign(nodes: DataFrame, centroids: dict[int, np.ndarray], overlap: int, chunks: dict) -> DataFrame:
-    """(shard, chunk, node, weight, embedding, shards): a row for each shard of a node, and each chunk it is a query to."""
-    shared = nodes.sparkSession.sparkContext.broadcast((centroids, chunks))  # CENTROIDS vectors at most
-    kind = "shard string, chunk int, own boolean, node bigint, weight bigint, embedding array<float>, shards array<string>"
-
-    def go(batches):
-        cents, split = shared.value
-        for batch in batches:
-            size = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
-            labels, ids, weights = (batch.column(c).to_pylist() for c in ("label", "node", "weight"))
-            for d in np.unique(size):
-                at = np.flatnonzero(size == d)
-                emb = batch.column("embedding").take(pa.array(at))
-                c = cents[int(d)]
-                near = np.argsort(-(_matrix(emb) @ c.T), axis=1, kind="stable")[:, :overlap]
-                rows = []
-                for i, a in enumerate(at):
-                    names = [f"{labels[a]}/{d}/{j}" for j in near[i]]
-                    for s in names:
-                        m = split.get(s, 1)
-                        mine = int(np.uint64(ids[a] * 0x9E3779B97F4A7C15 % (1 << 64)) >> np.uint64(33)) % m
-                        rows += [(s, k, k == mine, i, ids[a], weights[a], names) for k in range(m)]
-                if rows:
-                    s, k, own, i, node, w, names = zip(*rows, strict=True)
-                    yield pa.record_batch([pa.array(s), pa.array(k, pa.int32()), pa.array(own), pa.array(node, pa.int64()), pa.array(w, pa.int64()), emb.take(pa.array(i)).cast(pa.list_(pa.float32())), pa.array(names, pa.list_(pa.string()))], names=["shard", "chunk", "own", "node", "weight", "embedding", "shards"])
-
-    return nodes.mapInArrow(go, kind)
+    return rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("weight"), F.max(F.col("vec_id") % 100 == 0).alias("asked"))
+
+
+PLACED = "shard string, node bigint, embedding array<float>"
+
+
+def _centroids(t: pa.Table) -> pa.Table:
+    """(shard, c, embedding): centroids of one cell, fitted on its sampled rows (shard, n, embedding)."""
+    x, n = _matrix(t.column("embedding")), t.column("n")[0].as_py()
+    c = kmeans(x, min(FAN, -(-n // SHARD), len(x)))
+    return pa.table({"shard": pa.array([t.column("shard")[0].as_py()] * len(c)), "c": pa.array(np.arange(len(c), dtype=np.int32)), "embedding": pa.array(list(c), pa.list_(pa.float32()))})
+
+
+def _assign(t: pa.Table, overlap: int) -> pa.Table:
+    """PLACED rows of one block of a cell: its nodes, each once for every centroid that it goes to."""
+    nodes, cents = t.filter(pc.is_null(t.column("c"))), t.filter(pc.is_valid(t.column("c")))
+    if not nodes.num_rows:
+        return pa.table({"shard": pa.array([], pa.string()), "node": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))})
+    sims = _matrix(nodes.column("embedding")) @ _matrix(cents.column("embedding")).T
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
+    angle = np.arccos(np.clip(np.take_along_axis(sims, near, axis=1), -1, 1))
+    i, j = np.nonzero(angle <= angle[:, :1] + 2 * np.arccos(RANGE) + 1e-6)
+    number, name = cents.column("c").to_numpy(), t.column("shard")[0].as_py()
+    return pa.table({"shard": pa.array([f"{name}.{number[near[a, b]]}" for a, b in zip(i, j, strict=True)], pa.string()), "node": nodes.column("node").take(pa.array(i)), "embedding": nodes.column("embedding").take(pa.array(i)).cast(pa.list_(pa.float32()))})
+
+
+def shards(nodes: DataFrame, overlap: int, scratch: Scratch) -> DataFrame:
+    """PLACED rows: every node in its shards, split until a cell has CELL nodes or no longer shrinks."""
+    cells = nodes.select(F.concat_ws("/", "label", F.size("embedding")).alias("shard"), "node", "embedding")
+    done, level, parents = [], 0, None
+    while True:
+        sizes = cells.groupBy("shard").agg(F.count("*").alias("n"))
+        if parents is not None:
+            sizes = sizes.join(parents, F.substring_index("shard", ".", level) == F.col("parent"), "left")
+            sizes = sizes.where((F.col("n") > CELL) & (F.col("n") <= 0.8 * F.col("was"))).select("shard", "n")
+        big = scratch.write(sizes.where(F.col("n") > CELL), f"big{overlap}-{level}")
+        done.append(cells.join(big, "shard", "left_anti"))
+        if not big.limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        going = cells.join(big, "shard")
+        cents = going.where(F.pmod(F.xxhash64("node", F.lit(level)), "n") < SAMPLE).groupBy("shard").applyInArrow(_centroids, "shard string, c int, embedding array<float>")
+        cents = scratch.write(cents, f"centroids{overlap}-{level}")
+        blocks = F.ceil(F.col("n") / CHUNK).cast("int")  # a cell's nodes are dealt into blocks; each gets the cell's few centroids
+        left = going.select("shard", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", F.lit(None).cast("int").alias("c"), "embedding")
+        right = cents.join(big, "shard").select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("bigint").alias("node"), "c", "embedding")
+        parents = big.select(F.col("shard").alias("parent"), F.col("n").alias("was"))
+        level += 1
+        cells = scratch.write(left.unionByName(right).groupBy("shard", "block").applyInArrow(lambda t: _assign(t, overlap), PLACED), f"cells{overlap}-{level}")
+
+
+def _chunked(placed: DataFrame) -> DataFrame:
+    """placed with its chunk and the number of chunks of its shard."""
+    many = placed.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    return placed.join(many, "shard").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), "chunks").cast("int"))
 
 
 def _graph(placed: DataFrame) -> DataFrame:
@@ -238,54 +262,60 @@ def _graph(placed: DataFrame) -> DataFrame:
         x, ids = x[order], ids[order]
         return pa.table({"node": pa.array(ids), "near": pa.array([ids[a] for a in build(x)], pa.list_(pa.int64()))})
 
-    lists = placed.where("own").groupBy("shard", "chunk").applyInArrow(go, "node bigint, near array<bigint>")
-    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # OVERLAP lists of 2 DEGREE
+    lists = placed.groupBy("shard", "chunk").applyInArrow(go, "node bigint, near array<bigint>")
+    return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a list for each of its shards
 
 
-def found_in_chunk(t: pa.Table, beam: int) -> pa.Table:
-    """The rows of one (shard, chunk): its own nodes, and the shard's others as queries."""
-    x, ids, own = _matrix(t.column("embedding")), t.column("node").to_numpy(), t.column("own").to_numpy()
+def found_in_tile(t: pa.Table, beam: int | None) -> pa.Table:
+    """(node, links, to) of one tile: the nodes of chunk i (searched) and of chunk j (queries); all pairs if beam is None.
+
+    links is the weight of the nodes in range that this shard counts, `to` a spanning edge of the tile's links.
+    """
+    x, ids = _matrix(t.column("embedding")), t.column("node").to_numpy()
     order = np.argsort(ids, kind="stable")
-    x, ids, own = x[order], ids[order], own[order]
-    weight, shard = t.column("weight").to_numpy()[order], t.column("shard")[0].as_py()
-    shards, near = t.column("shards").take(pa.array(order)).to_pylist(), t.column("near").take(pa.array(order)).to_pylist()
-    mine = np.flatnonzero(own)
-    at = {int(v): i for i, v in enumerate(ids[mine])}
-    adjacency = [np.array(sorted({at[v] for v in near[i] if v in at}), np.int64) for i in mine]
-    hits = search(x[mine], adjacency, x, beam)
-    hits[mine, np.arange(len(mine))] = False
-    if len(mine) == len(ids):
+    x, ids, chunk = x[order], ids[order], t.column("chunk").to_numpy()[order]
+    weight, shard, i = t.column("weight").to_numpy()[order], t.column("shard")[0].as_py(), t.column("i")[0].as_py()
+    names = t.column("shards").take(pa.array(order)).to_pylist()
+    mine = np.flatnonzero(chunk == i)
+    asks = np.flatnonzero(chunk == t.column("j")[0].as_py())
+    if beam is None:
+        hits = x[asks] @ x[mine].T >= RANGE
+    else:
+        near = t.column("near").take(pa.array(order)).to_pylist()
+        at = {int(v): k for k, v in enumerate(ids[mine])}
+        adjacency = [np.array(sorted({at[v] for v in near[k] or () if v in at}), np.int64) for k in mine]
+        hits = search(x[mine], adjacency, x[asks], beam)
+    one = i == t.column("j")[0].as_py()
+    if one:
+        np.fill_diagonal(hits, False)
         hits |= hits.T
-    # the shard that counts a pair is the first that both are in
-    names = {s: k for k, s in enumerate(sorted({s for x_ in shards for s in x_}))}
-    member = np.zeros((len(ids), len(names)), bool)
-    for i, x_ in enumerate(shards):
-        member[i, [names[s] for s in x_]] = True
     q, v = np.nonzero(hits)
-    both = member[q] & member[mine[v]]
-    counted = np.argmax(both, axis=1) == names[shard] if len(q) else np.zeros(0, bool)
-    links = np.bincount(q[counted], weights=weight[mine[v[counted]]].astype(np.float64), minlength=len(ids)).astype(np.int64)
-    if len(mine) == len(ids):
-        to = ids[spanning(hits)]
-    else:  # queries from other chunks meet this chunk's own components: an edge for each distinct one they hit
-        inner = hits[mine]
-        part = spanning(inner | inner.T)
-        meets = np.zeros((len(ids), len(mine)), bool)
-        meets[q, part[v]] = True
-        meets[mine, part] = True
-        row, root = np.nonzero(meets)
-        to = ids[_least(len(ids), np.concatenate([row, mine[root]]), np.concatenate([mine[root], row]))]
-    return pa.table({"node": pa.array(ids), "links": pa.array(links), "to": pa.array(to)})
-
-
-def _found(placed: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
-    """(node, links, to): weight of the nodes in range that this shard counts, and a spanning edge."""
-    return placed.join(graph, "node").groupBy("shard", "chunk").applyInArrow(lambda t: found_in_chunk(t, beam), "node bigint, links bigint, to bigint")
+    q, v = asks[q], mine[v]
+    # the shard that counts a pair is the first that both are in
+    numbers = {s: k for k, s in enumerate(sorted({s for some in names for s in some}))}
+    member = np.zeros((len(ids), len(numbers)), bool)
+    for k, some in enumerate(names):
+        member[k, [numbers[s] for s in some]] = True
+    counted = np.argmax(member[q] & member[v], axis=1) == numbers[shard] if len(q) else np.zeros(0, bool)
+    links = np.bincount(q[counted], weights=weight[v[counted]].astype(np.float64), minlength=len(ids))
+    if not one:
+        links += np.bincount(v[counted], weights=weight[q[counted]].astype(np.float64), minlength=len(ids))
+    to = ids[_least(len(ids), np.concatenate([q, v]), np.concatenate([v, q]))]
+    return pa.table({"node": pa.array(ids), "links": pa.array(links.astype(np.int64)), "to": pa.array(to)})
+
+
+def _found(placed: DataFrame, nodes: DataFrame, graph: DataFrame | None, beam: int | None) -> DataFrame:
+    """(node, links, to) of all tiles of placed(shard, node, embedding, chunk, chunks)."""
+    lists = placed.groupBy("node").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # a node's few shards
+    rows = placed.join(nodes.select("node", "weight"), "node").join(lists, "node")
+    rows = rows.join(graph, "node") if graph is not None else rows.withColumn("near", F.lit(None).cast("array<bigint>"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    return rows.drop("other", "chunks").groupBy("shard", "i", "j").applyInArrow(lambda t: found_in_tile(t, beam), "node bigint, links bigint, to bigint")
 
 
 def _audit(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> float:
-    """Share of the brute-force links of nodes whose vec is divisible by 100 that were counted."""
-    asked = nodes.where("vec % 100 = 0").select("node", "vec", "label", "embedding")
+    """Share of the brute-force links of the nodes of rows with vec_id divisible by 100 that were counted."""
+    asked = nodes.where("asked").select("node", "label", "embedding")
     n = asked.count()
     blocks = max(1, -(-n // QUERIES))
     truth = got = 0
@@ -321,30 +351,22 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, overlap: int = OVERLAP
     """(vec_id, n_links, component_id, kept) of every row of rows(vec_id, embedding, label), and the audited recall."""
     scratch = Scratch(spark, "vectors")
     rows = rows.select("vec_id", "embedding", "label")
-    nodes = scratch.write(nodes_of(rows), "distinct")
-    nodes = scratch.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    scratch.drop("distinct")
-    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    sample = nodes.select("embedding", "node").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toArrow().column("embedding")
-    centroids: dict[int, np.ndarray] = {}
-    sizes = nodes.select(F.size("embedding").alias("d")).distinct().orderBy("d").limit(1000).toArrow().column("d").to_numpy()
-    lengths = sample.combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(sample) else np.zeros(0, int)
-    for d in sizes:
-        at = np.flatnonzero(lengths == d)
-        x = _matrix(sample.take(pa.array(at))) if len(at) else np.eye(1, int(d))
-        k = int(min(CENTROIDS, max(1, most // SHARD), len(x)))
-        centroids[int(d)] = kmeans(x, k)
+    nodes = scratch.write(nodes_of(rows).withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered as written
+    search_beam: int | None = beam
     while True:
-        held = _assign(nodes, centroids, overlap, {}).groupBy("shard").count().where(F.col("count") > CHUNK)
-        chunks = {r[0]: -(-r[1] // CHUNK) for r in held.orderBy(F.desc("count")).limit(100_000).collect()}
-        placed = scratch.write(_assign(nodes, centroids, overlap, chunks), f"placed{overlap}")
-        graph = scratch.write(_graph(placed), f"graph{overlap}")
-        found = scratch.write(_found(placed, graph, beam), f"found{overlap}")
-        links = scratch.write(found.groupBy("node").agg(F.sum("links").alias("links")), f"links{overlap}")
-        recall = _audit(spark, nodes, links)
-        if recall >= AUDIT or overlap >= 8:
+        exact = search_beam is None
+        placed = nodes.select(F.concat_ws("/", "label", F.size("embedding")).alias("shard"), "node", "embedding") if exact else shards(nodes, overlap, scratch)
+        placed = scratch.write(_chunked(placed), f"placed{overlap}-{exact}")
+        graph = None if exact else scratch.write(_graph(placed), f"graph{overlap}")
+        found = scratch.write(_found(placed, nodes, graph, search_beam), f"found{overlap}-{exact}")
+        links = scratch.write(found.groupBy("node").agg(F.sum("links").alias("links")), f"links{overlap}-{exact}")
+        recall = 1.0 if exact else _audit(spark, nodes, links)
+        if recall >= AUDIT:
             break
-        overlap, beam = overlap + 2, beam * 2
+        if overlap < WIDEST:
+            overlap, search_beam = 2 * overlap, 2 * search_beam
+        else:
+            search_beam = None  # the exact way for the rest: every tile of a label, whole
     parts = connected_components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")), scratch)
     named = nodes.select("node", "vec", "weight").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("vec").alias("component_id"))
