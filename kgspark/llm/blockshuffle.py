@@ -1,4 +1,4 @@
-"""Sorted fixed-width records sent to hash buckets as packed blocks: a few large rows instead of one row a record."""
+"""Fixed-width records sent to hash buckets as packed, compressed blocks: a few large rows instead of one row a record."""
 
 from __future__ import annotations
 
@@ -12,6 +12,11 @@ SCHEMA = "bucket int, block binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
 
+def _pressed(records: np.ndarray) -> bytes:
+    data = records.tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
 def pack(key: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, block) for records, dealt by the high bits of key (64 bits, evenly spread)."""
     if not len(records):
@@ -21,7 +26,7 @@ def pack(key: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.Reco
     records, to = records[order], to[order]
     cut = np.flatnonzero(to[1:] != to[:-1]) + 1
     cut = np.concatenate([[0], cut, [len(to)]])
-    rows = [(int(to[a]), records[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    rows = [(int(to[a]), _pressed(records[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     for i in range(0, len(rows), 256):
         some = rows[i : i + 256]
         yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary())], schema=ARROW)
@@ -30,11 +35,16 @@ def pack(key: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.Reco
 def spread(records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row with all records, to a negative bucket that depends on the records of the block and on no key."""
     if len(records):
-        data = records.tobytes()
+        data = _pressed(records)
         to = -1 - zlib.crc32(data) % buckets
         yield pa.record_batch([pa.array([to], pa.int32()), pa.array([data], pa.binary())], schema=ARROW)
 
 
 def unpack(table: pa.Table, dtype: np.dtype) -> np.ndarray:
-    found = [np.frombuffer(x, dtype=dtype) for chunk in table.column("block").chunks for x in (v.as_buffer() for v in chunk)]
+    """The records of all blocks."""
+    codec, found = pa.Codec("zstd"), []
+    for chunk in table.column("block").chunks:
+        for v in chunk:
+            block = v.as_buffer()
+            found.append(np.frombuffer(codec.decompress(block[8:], int.from_bytes(block[:8].to_pybytes(), "little")), dtype))
     return np.concatenate(found) if found else np.zeros(0, dtype)

@@ -1,29 +1,30 @@
-"""Suffix-array dedup: a depth-limited radix sort of suffixes, by most-significant-digit passes.
+"""Suffix-array dedup: a depth-limited radix sort of suffixes, by most-significant-digit passes over their bytes.
 
 Two suffixes that agree in their first WINDOW bytes are a repeated window; a full suffix array would go on ordering them
-beyond that, which isn't needed. Digits are byte strings rather than single bytes, and suffixes leave the sort as soon
-as they are alone:
-
-pass 1  The suffixes that are sorted are those at anchors: positions whose GRAM-byte string has the smallest hash among
-        all in some window (minimizers). Every window holds one, at the same place in every occurrence, so nothing is
-        lost, and one suffix stands for about 16 windows. First digit: the GRAM bytes at the anchor. Groups with one
-        document end here. Second digit: all bytes of the anchor's windows. Of those that agree in it, all
-        but the smallest document are repeats, with all windows of the anchor; what is unlike the rest of its group
-        goes on.
-pass 2  For the anchors that go on and only for their windows not yet known as repeats, each window is a digit of its
-        own, compared byte by byte. The smallest document of equal ones stays.
-
-Pass 1 takes the anchors in ROUNDS parts by hash, one after the other, so that only a part of their records is on disk
-or in a task at a time. A string in over CROWD documents of one block, in various contexts, sends one record for all, and in pass 2 its
-anchors are dealt by window, each distinct window once for a block. Each pass deals its groups by hash, as packed
-blocks; before pass 1 a block's repeats within itself are settled where
-they are read, so a text that a third of the documents hold sends one record for each block and anchor. All of it is
-exact: pass 1 compares 128 bits of hash, pass 2 the bytes.
-
-Edge cases: null or empty text has no bytes and keeps that value; texts under 50 bytes have no window; a null doc_id is
-neither less nor more than others, so such rows stay whole and remove nothing; rows that share a doc_id don't affect
-each other, equal rows get equal results; extra columns are kept by dedup_text() and ignored by the query; an empty
-table gives an empty result.
+beyond that, which isn't needed. Of all suffixes only those at anchors are moved: in each window, the GRAM bytes of
+smallest hash (the leftmost of equals) are its anchor. The choice depends on the window's bytes alone, so equal windows
+have equal anchors at the same place, and one record with the bytes around an anchor stands for all windows it anchors,
+about 16.
+
+first digits   Records are dealt by their GRAM bytes and ordered by them, eight bytes a pass. After each pass the groups
+               that hold one document leave the sort.
+whole records  What is left is ordered by the further bytes, eight a pass. Of records equal in all bytes, those not of
+               the smallest document are repeats with all their windows; one stands for the rest.
+windows        Records of one group that differ somewhere are ordered a byte a pass, away from the GRAM to either side. A
+               window's class is that of its bytes to the left and to the right: equal groups are exactly the repeated
+               windows, and all but the smallest document's are repeats.
+
+Bytes decide each step; hashes only choose anchors and deal groups to tasks. Repeats within a block of 8 MB are settled where
+they are read, so a text that a third of the documents hold sends one record for each block and anchor. A group is split by its
+next digit where it could grow over GROUP bytes: a block that holds more than GROUP's share of one GRAM (GROUP over the
+number of blocks) sends one mark for it, and the GRAM's anchors, everywhere, are then dealt by whole windows, each distinct
+window once for a block. Buckets are as many as the bytes need, so a task's share doesn't grow with the data. The anchors
+are taken in ROUNDS parts by hash, one after the other, so that only a part of the records is on disk at a time.
+
+Edge cases: null or empty text has no bytes and keeps that value; texts under 50 bytes have no window; very long texts are
+read in segments; a null doc_id is neither less nor more than others, so such rows stay whole and remove nothing; rows that
+share a doc_id don't affect each other, equal rows get equal results; extra columns are kept by dedup_text() and ignored
+by the query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,236 +35,319 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import blockshuffle, kernels
 from .common import Scratch, packed, read_table, shuffle_partitions, unpacked
 from .kernels import MULS, U, mix
 
-WINDOW, GRAM = 50, 20
-ROUNDS = 2
-SPAN = WINDOW - GRAM + 1  # grams in a window, and windows that hold a gram
+WINDOW, GRAM, ROUNDS = 50, 20, 2
+LEFT = WINDOW - GRAM  # bytes of a window's anchor record on either side of its GRAM
+SPAN = LEFT + 1  # windows that can hold one anchor
+CTX = GRAM + 2 * LEFT
+BLOCK, SEGMENT = 8 << 20, 1 << 20  # bytes of text that a task holds, and that it hashes, at a time
+BUCKET, GROUP = 48 << 20, 64 << 20  # bytes of records that a bucket is meant to hold, and that one GRAM may hold at most
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MULS[0])
-PASS1 = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4")])
-PASS2 = np.dtype([("key", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("need", "<u4"), ("ctx", "u1", (SPAN + WINDOW - 1,))])
-SETTLED = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("bits", "<u4")])
-PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("kind", "u1")])
-CROWD, MARK = 256, 0xFFFFFFFF  # documents of a block with one string that make it a crowd; the place of a crowd's record
-ANSWERS1 = "doc_id bigint, tag bigint, whole binary, open binary, crowd binary"
-ANSWERS2 = "doc_id bigint, tag bigint, windows binary"
+RECORD = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("need", "<u4"), ("ctx", "u1", (CTX,))])
+WHOLE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("bit", "<u4"), ("body", "u1", (WINDOW,))])
+PLACE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("bits", "<u4"), ("crowd", "u1")])
+PAIR = np.dtype([("pos", "<u4"), ("bits", "<u4")])
+ANSWERS = "doc_id bigint, tag bigint, windows binary, crowd binary"
+BITS = np.uint32(1) << np.arange(SPAN, dtype=np.uint32)
 
 
 def _hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the GRAM bytes and of the WINDOW bytes that start at each place, along the last axis."""
+    """Hashes of the GRAM bytes and of the WINDOW bytes that start at each place."""
     h1 = BYTE[b]
-    h2 = h1[..., :-1] * MULS[1] + h1[..., 1:]
-    h4 = h2[..., :-2] * MULS[2] + h2[..., 2:]
-    h8 = h4[..., :-4] * MULS[3] + h4[..., 4:]
-    h16 = h8[..., :-8] * MULS[4] + h8[..., 8:]
-    n = b.shape[-1]
-    gram = h16[..., : n - GRAM + 1] * M20 + h4[..., 16 : n - GRAM + 17]
-    if n < WINDOW:
-        return mix(gram), gram[..., :0]
-    h32 = h16[..., :-16] * M32 + h16[..., 16:]
-    window = (h32[..., : n - WINDOW + 1] * M48 + h16[..., 32 : n - WINDOW + 33]) * M50 + h2[..., 48 : n - WINDOW + 49]
+    h2 = h1[:-1] * MULS[1] + h1[1:]
+    h4 = h2[:-2] * MULS[2] + h2[2:]
+    h8 = h4[:-4] * MULS[3] + h4[4:]
+    h16 = h8[:-8] * MULS[4] + h8[8:]
+    n = len(b)
+    gram = h16[: n - GRAM + 1] * M20 + h4[16 : n - GRAM + 17]
+    h32 = h16[:-16] * M32 + h16[16:]
+    window = (h32[: n - WINDOW + 1] * M48 + h16[32 : n - WINDOW + 33]) * M50 + h2[48 : n - WINDOW + 49]
     return mix(gram), mix(window)
 
 
 M20, M32, M48, M50 = (U(int(x) | 1) for x in mix(np.arange(11, 15, dtype=np.uint64)))
 
 
-def _slide(a: np.ndarray, f) -> np.ndarray:
-    """f over SPAN (31) neighbouring values, from each place on."""
+def _slide(a: np.ndarray) -> np.ndarray:
+    """The least of SPAN (31) neighbouring values, from each place on."""
     for step in (1, 2, 4, 8):
-        a = f(a[:-step], a[step:])
-    return f(a[:-15], a[15:])
+        a = np.minimum(a[:-step], a[step:])
+    return np.minimum(a[:-15], a[15:])
 
 
-def anchors(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, document, key, ctx) of the anchors of documents laid end to end in b."""
+def anchors(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, first, last, key, whole) of the anchors of documents laid end to end in b.
+
+    first and last are the windows that the place anchors, key the hash of its GRAM, whole the hash of all its windows.
+    """
     n = len(b)
-    empty = np.zeros(0, np.int64)
     if n < WINDOW:
-        return empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(U), none.astype(U)
     gram, window = _hashes(b)
-    low = (gram >> U(32)).astype(np.uint32) | np.uint32(1)
-    least = _slide(low, np.minimum)  # of each window; n - WINDOW + 1 values
-    ends = np.zeros(len(least) + WINDOW, bool)
-    for cut in offs[1:-1]:  # windows over a cut aren't any document's
-        ends[max(0, cut - WINDOW + 1) : cut] = True
-    least[ends[: len(least)]] = 0
-    padded = np.zeros(len(least) + 2 * (SPAN - 1), np.uint32)
-    padded[SPAN - 1 : SPAN - 1 + len(least)] = least
-    most = _slide(padded, np.maximum)  # over the windows that hold each gram
-    place = np.flatnonzero(most[: len(low)] == low)
-    doc = np.searchsorted(offs, place, side="right") - 1
-    first = np.maximum(offs[doc], place - SPAN + 1)
-    last = np.minimum(place, offs[doc + 1] - WINDOW)
-    ctx = mix(window[first] * MULS[1] + window[last] * MULS[2] + ((place - first) * 64 + (last - first)).astype(np.uint64) * MULS[3])
-    return place, doc, gram[place], ctx
-
-
-def _pass1_blocks(docs: DataFrame, buckets: int, part: int) -> DataFrame:
-    """Packed anchors of one round; negative buckets carry places already known as repeats."""
+    least = _slide((gram & ~U(0xFFFFFFFF)) | np.arange(len(gram), dtype=np.uint64))
+    at = (least & U(0xFFFFFFFF)).astype(np.int64)
+    cuts = offs[1:-1]  # windows over a cut aren't any document's
+    over = np.zeros(n + 2, np.int32)
+    np.add.at(over, np.maximum(cuts - WINDOW + 1, 0), 1)
+    np.add.at(over, cuts, -1)
+    good = np.cumsum(over)[: len(at)] == 0
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (good[1:] != good[:-1])]))
+    last = np.append(first[1:], len(at)) - 1
+    first, last = first[good[first]], last[good[first]]
+    place = at[first]
+    whole = mix(window[first] * MULS[1] + window[last] * MULS[2] + ((place - first) * 64 + (last - first)).astype(np.uint64) * MULS[3])
+    return place, first, last, gram[place], whole
+
+
+def _segments(offs: np.ndarray):
+    """(document range, start, stop) of what is hashed at a time: some documents, or a part of a long one with overlap."""
+    for lo, hi in kernels.parts(offs, SEGMENT // 4):
+        if offs[hi] - offs[lo] <= SEGMENT:
+            yield lo, hi, int(offs[lo]), int(offs[hi])
+            continue
+        for at in range(int(offs[lo]), int(offs[hi]) - WINDOW + 1, SEGMENT):
+            yield lo, hi, at, min(at + SEGMENT + WINDOW - 1, int(offs[hi]))
+
+
+def _records(b, offs, ids, tags, part):
+    """(RECORD, key, whole) arrays of one round's anchors, for about BLOCK bytes of text at a time."""
+    held, size = [], 0
+    near = np.arange(CTX)
+    for lo, hi, start, stop in _segments(offs):
+        text = b[start:stop]
+        cuts = np.clip(offs[lo : hi + 1], start, stop) - start
+        place, first, last, key, whole = anchors(text, cuts)
+        turn = key % U(ROUNDS) == U(part)
+        place, first, last = place[turn], first[turn], last[turn]
+        doc = np.searchsorted(offs, place + start, side="right") - 1
+        r = np.zeros(len(place), RECORD)
+        r["doc"], r["tag"], r["pos"] = ids[doc], tags[doc], place + start - offs[doc]
+        lead = place - first  # windows start lead to place - last bytes before the GRAM
+        r["need"] = ((np.uint64(1) << (LEFT + 1 - place + last).astype(np.uint64)) - (np.uint64(1) << (LEFT - lead).astype(np.uint64))).astype(np.uint32)
+        wide = np.concatenate([np.zeros(LEFT, np.uint8), text, np.zeros(CTX, np.uint8)])
+        ctx = np.lib.stride_tricks.sliding_window_view(wide, CTX)[place]
+        inside = (near >= (LEFT - lead)[:, None]) & (near < (LEFT - place + last + WINDOW)[:, None])
+        r["ctx"] = np.where(inside, ctx, 0)
+        held.append((r, key[turn], whole[turn]))
+        size += stop - start
+        if size >= BLOCK:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _starts(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, size) of the runs that begin where new is true."""
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(new)))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before; the first one does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _places(r: np.ndarray, bits: np.ndarray, crowd: int) -> np.ndarray:
+    k = np.zeros(len(r), PLACE)
+    for c in ("doc", "tag", "pos"):
+        k[c] = r[c]
+    k["bits"], k["crowd"] = bits, crowd
+    return k
+
+
+def _deal(docs: DataFrame, buckets: int, part: int, share: int) -> DataFrame:
+    """Packed records of one round; negative buckets carry places that need no other block to be told."""
 
     def go(batches):
         kernels.enter("suffix")
-        for t in kernels.blocks(batches, "text", 8 << 20):
+        for t in kernels.blocks(batches, "text", BLOCK):
             b, offs = kernels.texts(t.column("text"))
             ids, tags = t.column("doc_id").to_numpy(), t.column("tag").to_numpy().astype(np.uint32)
-            found = []
-            for lo, hi in kernels.parts(offs, 1 << 18):
-                at = offs[lo : hi + 1] - offs[lo]
-                place, doc, key, ctx = anchors(b[offs[lo] : offs[hi]], at)
-                turn = key % U(ROUNDS) == U(part)
-                place, doc, key, ctx = place[turn], doc[turn], key[turn], ctx[turn]
-                r = np.zeros(len(place), PASS1)
-                r["key"], r["ctx"], r["doc"], r["tag"], r["pos"] = key, ctx, ids[lo + doc], tags[lo + doc], place - at[doc]
-                found.append(r)
-            r = np.concatenate(found) if found else np.zeros(0, PASS1)
-            del found, b
-            if not len(r):
-                continue
-            both = mix(r["key"] ^ (r["ctx"] * MULS[2]))
-            order = np.argsort(both, kind="stable")
-            r, both = r[order], both[order]
-            start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
-            least = np.repeat(np.minimum.reduceat(r["doc"], start), np.diff(np.append(start, len(r))))
-            known = r["doc"] > least
-            told, kinds = [r[known]], [np.zeros(int(known.sum()), np.uint8)]
-            r = r[~known]
-            r = r[np.lexsort((r["doc"], r["key"]))]
-            new = np.concatenate([[True], r["key"][1:] != r["key"][:-1]])
-            start = np.flatnonzero(new)
-            each = np.diff(np.append(start, len(r)))
-            many = np.add.reduceat((new | np.concatenate([[True], r["doc"][1:] != r["doc"][:-1]])).astype(np.int64), start) > CROWD
-            if many.any():  # one record stands for a crowd of contexts; its places go on as they are
-                crowd = np.repeat(many, each)
-                marks = r[start[many]]
-                marks["doc"], marks["pos"] = np.minimum.reduceat(r["doc"], start)[many], MARK
-                told.append(r[crowd])
-                kinds.append(np.full(int(crowd.sum()), 2, np.uint8))
-                r = np.concatenate([r[~crowd], marks])
-            told, kinds = np.concatenate(told), np.concatenate(kinds)
-            if len(told):
-                k = np.zeros(len(told), PLACE)
-                for c in ("doc", "tag", "pos"):
-                    k[c] = told[c]
-                k["kind"] = kinds
-                yield from blockshuffle.spread(k, buckets)
-            yield from blockshuffle.pack(r["key"], r, buckets)
-            del r, both, order, known, least, start, told, kinds, new, each, many
-            kernels.trim()
+            for r, key, whole in _records(b, offs, ids, tags, part):
+                if not len(r):
+                    continue
+                both = mix(key ^ (whole * MULS[2]))
+                order = np.argsort(both, kind="stable")
+                r, key, both = r[order], key[order], both[order]
+                new = _changes(both)
+                like = np.flatnonzero(~new)
+                new[like] = (r["need"][like] != r["need"][like - 1]) | (r["ctx"][like] != r["ctx"][like - 1]).any(axis=1)
+                first, size = _starts(new)
+                later = r["doc"] > np.repeat(np.minimum.reduceat(r["doc"], first), size)
+                told = [_places(r[later], r["need"][later], 0)]
+                r, key = r[~later], key[~later]
+                order = np.argsort(key, kind="stable")
+                first, size = _starts(_changes(key[order]))
+                many = size > share
+                if many.any():  # the group is split: a mark goes to it, its anchors come back as a crowd's
+                    crowd = np.zeros(len(r), bool)
+                    crowd[order[np.repeat(many, size)]] = True
+                    marks, mark_keys = r[order[first[many]]], key[order[first[many]]]
+                    marks["need"] = 0
+                    told.append(_places(r[crowd], r["need"][crowd], 1))
+                    r, key = np.concatenate([r[~crowd], marks]), np.concatenate([key[~crowd], mark_keys])
+                yield from blockshuffle.spread(np.concatenate(told), buckets)
+                yield from blockshuffle.pack(key, r, buckets)
+                del r, key, both, order, new, like, first, size, later, told, many
+                kernels.trim()
 
     return docs.mapInArrow(go, blockshuffle.SCHEMA)
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Binary values, one for each count of consecutive records."""
-    ends = np.concatenate([[0], np.cumsum(counts)]) * values.dtype.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
-
-
-def _by_document(doc, tag, *more):
-    """Sorted by document; (order, start of each document)."""
-    order = np.lexsort((*more, tag, doc))
-    d, g = doc[order], tag[order]
-    start = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (g[1:] != g[:-1])])) if len(d) else np.zeros(0, np.int64)
-    return order, start
-
-
-def _pass1(blocks: DataFrame) -> DataFrame:
-    """ANSWERS1: places whose windows all are repeats, and places that go on."""
-    names = ["doc_id", "tag", "whole", "open", "crowd"]
-
-    def rows(doc, tag, pos, kind):
-        order, start = _by_document(doc, tag, kind)
-        doc, tag, pos, kind = doc[order], tag[order], pos[order].astype("<u4"), kind[order]
-        n = [np.add.reduceat((kind == k).astype(np.int64), start) if len(start) else np.zeros(0, np.int64) for k in range(3)]
-        return pa.table([pa.array(doc[start]), pa.array(tag[start].astype(np.int64)), *(_lists(pos[kind == k], n[k]) for k in range(3))], names=names)
+def _digit(ctx: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Up to eight bytes as one number that orders like them."""
+    d = np.zeros((len(ctx), 8), np.uint8)
+    d[:, : hi - lo] = ctx[:, lo:hi]
+    return d.view(">u8")[:, 0].astype(np.uint64)
+
+
+def _eights(lo: int, hi: int) -> list[tuple[int, int]]:
+    return [(a, min(a + 8, hi)) for a in range(lo, hi, 8)]
+
+
+def _shared(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, group): rows by their GRAM bytes, of the groups that hold two documents or a mark."""
+    alive, group = np.arange(len(r)), np.zeros(len(r), np.int64)
+    for lo, hi in _eights(LEFT, LEFT + GRAM):
+        d = _digit(r["ctx"][alive], lo, hi)
+        order = np.lexsort((d, group)) if group.any() else np.argsort(d, kind="stable")
+        alive, group, d = alive[order], group[order], d[order]
+        new = _changes(group, d)
+        first, size = _starts(new)
+        if not len(first):
+            break
+        doc, need = r["doc"][alive], r["need"][alive]
+        stay = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.minimum.reduceat(need, first) == 0)
+        stay = np.repeat(stay, size)
+        alive, group = alive[stay], np.cumsum(new)[stay]
+    return alive, group
+
+
+def _refined(ids: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """Classes of classes by one more byte."""
+    return np.unique(ids.astype(np.int64) * 256 + byte, return_inverse=True)[1].astype(np.int32)
+
+
+def _windows(ctx: np.ndarray, need: np.ndarray, doc: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Bits of the windows of each record that a smaller document of its group holds as well."""
+    bits = np.zeros(len(ctx), np.uint32)
+    right = np.empty((SPAN, len(ctx)), np.int32)
+    right[0] = np.unique(group, return_inverse=True)[1]
+    for j in range(LEFT):
+        right[j + 1] = _refined(right[j], ctx[:, LEFT + GRAM + j])
+    left = right[0]
+    for j in range(LEFT, -1, -1):
+        at = np.flatnonzero(need & BITS[j])
+        if len(at) > 1:
+            both = (left[at].astype(np.int64) << 32) | right[j][at]
+            order = np.argsort(both, kind="stable")
+            at, both = at[order], both[order]
+            first, size = _starts(_changes(both))
+            bits[at[doc[at] > np.repeat(np.minimum.reduceat(doc[at], first), size)]] |= BITS[j]
+        if j:
+            left = _refined(left, ctx[:, j - 1])
+    return bits
+
+
+def settle(r: np.ndarray) -> np.ndarray:
+    """PLACEs of a bucket's RECORDs: windows that are repeats, and (crowd) places whose GRAM's group is split."""
+    alive, group = _shared(r)
+    if not len(alive):
+        return np.zeros(0, PLACE)
+    r = r[alive]
+    same = np.zeros(len(r), np.int64)
+    order = np.lexsort((r["need"], group))
+    r, group = r[order], group[order]
+    same = np.cumsum(_changes(group, r["need"]))
+    for lo, hi in _eights(0, LEFT) + _eights(LEFT + GRAM, CTX):
+        d = _digit(r["ctx"], lo, hi)
+        order = np.lexsort((d, same))
+        r, group, same, d = r[order], group[order], same[order], d[order]
+        same = np.cumsum(_changes(same, d))
+    first, size = _starts(_changes(same))
+    later = r["doc"] > np.repeat(np.minimum.reduceat(r["doc"], first), size)
+    later &= r["need"] > 0
+    out = [_places(r[later], r["need"][later], 0)]
+    r, group, same = r[~later], group[~later], same[~later]
+    start, size = _starts(_changes(group))
+    split = np.repeat(np.minimum.reduceat(r["need"], start) == 0, size)
+    ask = split & (r["need"] > 0)
+    out.append(_places(r[ask], r["need"][ask], 1))
+    r, group, same = r[~split], group[~split], same[~split]
+    if len(r):
+        start, size = _starts(_changes(group))
+        unlike = np.repeat(same[start] != same[start + size - 1], size)  # groups with more than one kind of record
+        r, group, same = r[unlike], group[unlike], same[unlike]
+    if len(r):
+        first, size = _starts(_changes(same))
+        bits = np.repeat(_windows(r["ctx"][first], r["need"][first], r["doc"][first], group[first]), size)
+        out.append(_places(r[bits > 0], bits[bits > 0], 0))
+    return np.concatenate(out)
+
+
+def _answers(k: np.ndarray) -> pa.Table:
+    """ANSWERS: each document's places, as packed pairs."""
+    k = k[np.lexsort((k["crowd"], k["tag"], k["doc"]))]
+    first, _ = _starts(_changes(k["doc"], k["tag"]))
+    pairs = np.zeros(len(k), PAIR)
+    pairs["pos"], pairs["bits"] = k["pos"], k["bits"]
+    lists = []
+    for kind in (0, 1):
+        mine = k["crowd"] == kind
+        n = np.add.reduceat(mine.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)]) * PAIR.itemsize
+        lists.append(pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(pairs[mine].tobytes())]).cast(pa.binary()))
+    return pa.table([pa.array(k["doc"][first].copy()), pa.array(k["tag"][first].astype(np.int64)), *lists], names=["doc_id", "tag", "windows", "crowd"])
+
+
+def _by_bucket(blocks: DataFrame, buckets: int, dtype: np.dtype, judge) -> DataFrame:
+    """ANSWERS of all buckets: judge gives the PLACEs of a bucket's records."""
 
     def go(t: pa.Table) -> pa.Table:
         if t.num_rows and t.column("bucket")[0].as_py() < 0:
-            r = blockshuffle.unpack(t, PLACE)
-            return rows(r["doc"].copy(), r["tag"].copy(), r["pos"].copy(), r["kind"].copy())
-        r = blockshuffle.unpack(t, PASS1)
-        del t
-        r = r[np.argsort(r["key"])]
-        start = np.flatnonzero(np.concatenate([[True], r["key"][1:] != r["key"][:-1]])) if len(r) else np.zeros(0, np.int64)
-        each = np.diff(np.append(start, len(r)))
-        if len(r):
-            several = (np.minimum.reduceat(r["doc"], start) != np.maximum.reduceat(r["doc"], start)) | (np.maximum.reduceat(r["pos"], start) == MARK)
-            r = r[np.repeat(several, each)]
-        if not len(r):
-            none = np.zeros(0, PLACE)
-            return rows(none["doc"], none["tag"], none["pos"], none["kind"])
-        r = r[np.lexsort((r["ctx"], r["key"]))]
-        new_key = np.concatenate([[True], r["key"][1:] != r["key"][:-1]])
-        new = new_key | np.concatenate([[True], r["ctx"][1:] != r["ctx"][:-1]])
-        start = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(r["doc"], start), np.diff(np.append(start, len(r))))
-        whole = r["doc"] > least
-        k = np.flatnonzero(new_key)
-        kinds = np.repeat(np.add.reduceat(new.astype(np.int64), k), np.diff(np.append(k, len(r))))
-        mark = r["pos"] == MARK
-        crowd = np.repeat(np.maximum.reduceat(mark.astype(np.uint8), k), np.diff(np.append(k, len(r)))) > 0
-        kind = np.where(whole & ~crowd, 0, np.where(crowd, 2, 1)).astype(np.uint8)
-        told = (whole | (kinds > 1) | crowd) & ~mark
+            out = _answers(blockshuffle.unpack(t, PLACE))
+        else:
+            out = _answers(judge(blockshuffle.unpack(t, dtype)))
         kernels.trim()
-        return rows(r["doc"][told], r["tag"][told], r["pos"][told], kind[told])
+        return out
 
-    return blocks.groupBy("bucket").applyInArrow(go, ANSWERS1)
+    if buckets > 2 * shuffle_partitions(blocks.sparkSession):
+        blocks = blocks.repartition(buckets, "bucket")
+    return blocks.groupBy("bucket").applyInArrow(go, ANSWERS)
 
 
-def _values(cell, dtype) -> np.ndarray:
+def _values(cell, dtype=PAIR) -> np.ndarray:
     """All records of a list of binary values, null as none."""
-    found = [np.frombuffer(x.as_buffer(), dtype) for x in cell.values] if cell.is_valid else []
+    found = [np.frombuffer(x.as_buffer(), dtype) for x in cell.values if x.is_valid] if cell.is_valid else []
     return np.concatenate(found) if found else np.zeros(0, dtype)
 
 
-def _runs(pos: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of anchors in a document of that many bytes."""
-    pos = pos.astype(np.int64)
-    return np.maximum(0, pos - SPAN + 1), np.minimum(pos, size - WINDOW)
-
-
-def _covered(first: np.ndarray, past: np.ndarray, size: int) -> np.ndarray:
-    """Which of size places lie in any [first, past)."""
-    d = np.bincount(first, minlength=size + 1).astype(np.int64) - np.bincount(past, minlength=size + 1)
-    return np.cumsum(d[:size]) > 0
-
-
-def _pass2_blocks(joined: DataFrame, buckets: int) -> DataFrame:
-    reach = np.arange(SPAN)
-    wide = np.arange(SPAN + WINDOW - 1)
-    bit = (U(1) << reach.astype(np.uint64)).astype(np.uint64)
+def _deal_windows(rows: DataFrame, buckets: int) -> DataFrame:
+    """Packed WHOLE records of the crowds' windows, each distinct one once for some ten thousand; rows(doc_id, tag, text, crowd)."""
 
     def flush(held):
-        """Records dealt by their string; those of crowds a window each, once for a block, with what that settles."""
         r = np.concatenate(held)
-        crowd = r["key"] == 2
-        one = r[~crowd]
-        if len(one):
-            one["key"] = _hashes(one["ctx"][:, SPAN - 1 : SPAN - 1 + GRAM])[0][:, 0]
-            yield from blockshuffle.pack(one["key"], one, buckets)
-        r = r[crowd]
-        for i in range(0, len(r), 4096):
-            c = r[i : i + 4096]
-            h = _hashes(c["ctx"])[1]
-            at, j = np.nonzero(c["need"][:, None] & (np.uint32(1) << reach.astype(np.uint32)))
-            w = c[at]
-            w["key"], w["need"] = mix(h[at, j] ^ (j.astype(np.uint64) * MULS[2])), np.uint32(1) << j.astype(np.uint32)
-            order = np.lexsort((w["doc"], w["key"]))
-            w, j = w[order], j[order]
-            body = w["ctx"][np.arange(len(w))[:, None], j[:, None] + np.arange(WINDOW)]
-            same = np.concatenate([[False], (w["key"][1:] == w["key"][:-1]) & (body[1:] == body[:-1]).all(axis=1)])
-            start = np.flatnonzero(~same)
-            first = np.repeat(w["doc"][start], np.diff(np.append(start, len(w))))
-            later = w["doc"] > first
-            if later.any():
-                k = np.zeros(int(later.sum()), SETTLED)
-                k["doc"], k["tag"], k["pos"], k["bits"] = (w[x][later] for x in ("doc", "tag", "pos", "need"))
-                yield from blockshuffle.spread(k, buckets)
-            yield from blockshuffle.pack(w["key"][~later], w[~later], buckets)
+        key = _hashes(r["body"].reshape(-1))[1][::WINDOW] if len(r) else np.zeros(0, U)
+        order = np.lexsort((r["doc"], key))
+        r, key = r[order], key[order]
+        new = _changes(key)
+        like = np.flatnonzero(~new)
+        new[like] = (r["body"][like] != r["body"][like - 1]).any(axis=1)
+        first, size = _starts(new)
+        later = r["doc"] > np.repeat(r["doc"][first], size)
+        yield from blockshuffle.spread(_places(r[later], r["bit"][later], 0), buckets)
+        yield from blockshuffle.pack(key[~later], r[~later], buckets)
 
     def go(batches):
         kernels.enter("suffix")
@@ -272,71 +356,42 @@ def _pass2_blocks(joined: DataFrame, buckets: int) -> DataFrame:
             ids, tags = batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist()
             for i in range(batch.num_rows):
                 text = np.frombuffer(batch.column("text")[i].as_buffer(), np.uint8)
-                whole, alone, crowd = (_values(batch.column(c)[i], "<u4") for c in ("whole", "open", "crowd"))
-                on = np.concatenate([alone, crowd])
-                kind = np.repeat(np.array([1, 2], np.uint64), [len(alone), len(crowd)])
-                size = len(text)
-                if not len(on):
-                    continue
-                lo, hi = _runs(whole, size)
-                known = _covered(lo, hi + 1, size - WINDOW + 1)
-                lo, hi = _runs(on, size)
-                s = on.astype(np.int64)[:, None] - (SPAN - 1) + reach
-                need = (s >= lo[:, None]) & (s <= hi[:, None])
-                need &= ~known[np.clip(s, 0, len(known) - 1)]
-                mask = (need * bit).sum(axis=1).astype(np.uint32)
-                on, kind, mask = on[mask > 0], kind[mask > 0], mask[mask > 0]
-                at = on.astype(np.int64)[:, None] - (SPAN - 1) + wide
-                r = np.zeros(len(on), PASS2)
-                r["key"], r["doc"], r["tag"], r["pos"], r["need"] = kind, ids[i], tags[i], on, mask
-                r["ctx"] = np.where((at >= 0) & (at < size), text[np.clip(at, 0, size - 1)], 0)
-                held.append(r)
-                n += len(r)
-                if n > 50_000:
-                    yield from flush(held)
-                    held, n = [], 0
+                crowd = _values(batch.column("crowd")[i])
+                for lo in range(0, len(crowd), 4096):
+                    some = crowd[lo : lo + 4096]
+                    at, j = np.nonzero(some["bits"][:, None] & BITS)
+                    r = np.zeros(len(at), WHOLE)
+                    r["doc"], r["tag"], r["pos"], r["bit"] = ids[i], tags[i], some["pos"][at], BITS[j]
+                    r["body"] = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[some["pos"][at].astype(np.int64) - LEFT + j]
+                    held.append(r)
+                    n += len(r)
+                    if n > 200_000:
+                        yield from flush(held)
+                        held, n = [], 0
         if held:
             yield from flush(held)
 
-    return joined.mapInArrow(go, blockshuffle.SCHEMA)
-
-
-def _pass2(blocks: DataFrame) -> DataFrame:
-    """ANSWERS2: (place, bits of its repeated windows) of each document."""
-    pair = np.dtype([("pos", "<u4"), ("bits", "<u4")])
-
-    def answers(r, bits):
-        order, start = _by_document(r["doc"], r["tag"])
-        r, bits = r[order], bits[order]
-        out = np.zeros(len(r), pair)
-        out["pos"], out["bits"] = r["pos"], bits
-        return pa.table([pa.array(r["doc"][start].copy()), pa.array(r["tag"][start].astype(np.int64)), _lists(out, np.diff(np.append(start, len(r))))], names=["doc_id", "tag", "windows"])
-
-    def go(t: pa.Table) -> pa.Table:
-        if t.num_rows and t.column("bucket")[0].as_py() < 0:
-            r = blockshuffle.unpack(t, SETTLED)
-            return answers(r, r["bits"])
-        r = blockshuffle.unpack(t, PASS2)
-        bits = np.zeros(len(r), np.uint32)
-        h = np.concatenate([_hashes(r["ctx"][i : i + 10_000])[1] for i in range(0, len(r), 10_000)]) if len(r) else np.zeros((0, SPAN), np.uint64)
-        for j in range(SPAN):
-            at = np.flatnonzero(r["need"] & np.uint32(1 << j))
-            if len(at) < 2:
-                continue
-            at = at[np.argsort(h[at, j], kind="stable")]
-            v = h[at, j]
-            same = v[1:] == v[:-1]
-            k = np.flatnonzero(same)
-            x = r["ctx"]
-            same[k] = (x[at[k], j : j + WINDOW] == x[at[k + 1], j : j + WINDOW]).all(axis=1)
-            start = np.flatnonzero(np.concatenate([[True], ~same]))
-            least = np.repeat(np.minimum.reduceat(r["doc"][at], start), np.diff(np.append(start, len(at))))
-            bits[at[r["doc"][at] > least]] |= np.uint32(1 << j)
-        del h
-        kernels.trim()
-        return answers(r[bits > 0], bits[bits > 0])
-
-    return blocks.groupBy("bucket").applyInArrow(go, ANSWERS2)
+    return rows.mapInArrow(go, blockshuffle.SCHEMA)
+
+
+def settle_windows(r: np.ndarray) -> np.ndarray:
+    """PLACEs of the WHOLE records that a smaller document holds as well; ordered by their bytes, eight a pass."""
+    alive, group = np.arange(len(r)), np.zeros(len(r), np.int64)
+    for lo, hi in _eights(0, WINDOW):
+        d = _digit(r["body"][alive], lo, hi)
+        order = np.lexsort((d, group))
+        alive, group, d = alive[order], group[order], d[order]
+        new = _changes(group, d)
+        first, size = _starts(new)
+        if not len(first):
+            break
+        doc = r["doc"][alive]
+        stay = np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), size)
+        alive, group = alive[stay], np.cumsum(new)[stay]
+    r = r[alive]
+    first, size = _starts(_changes(group))
+    later = r["doc"] > np.repeat(np.minimum.reduceat(r["doc"], first), size) if len(r) else np.zeros(0, bool)
+    return _places(r[later], r["bit"][later], 0)
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -344,41 +399,40 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, tag, whole, windows): what is repeated in each document that repeats anything."""
-    buckets = 2 * shuffle_partitions(spark)  # what one task holds of a pass: half a partition
+    """(doc_id, tag, windows): lists of packed pairs (place, bits of its repeated windows), of documents that repeat anything."""
     rows = _tagged(docs.where("doc_id is not null and octet_length(text) >= 50").select("doc_id", "text")).withColumnRenamed("_tag", "tag")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = 2 * shuffle_partitions(spark)
+    buckets = max(least, -(-size * RECORD.itemsize // (16 * ROUNDS * BUCKET)))
+    share = max(2, GROUP // (RECORD.itemsize * (least + size // BLOCK)))
     found = []
     for part in range(ROUNDS):
-        found.append(scratch.write(_pass1(_pass1_blocks(rows, buckets, part)), f"pass1-{part}"))
-    first = reduce(DataFrame.unionAll, found).groupBy("doc_id", "tag").agg(F.collect_list("whole").alias("whole"), F.collect_list("open").alias("open"), F.collect_list("crowd").alias("crowd"), F.sum(F.octet_length("open") + F.octet_length("crowd")).alias("n_open"))  # as long as one document
-    first = scratch.write(first, "first")
-    scratch.drop(*(f"pass1-{part}" for part in range(ROUNDS)))
-    going = rows.join(first.where("n_open > 0").drop("n_open").hint("shuffle_hash"), ["doc_id", "tag"])
-    second = scratch.write(_pass2(_pass2_blocks(going.select("doc_id", "tag", "text", "whole", "open", "crowd"), buckets)), "pass2")
-    second = second.groupBy("doc_id", "tag").agg(F.collect_list("windows").alias("windows"))
-    return first.select("doc_id", "tag", "whole").join(second, ["doc_id", "tag"], "left")
-
-
-def _removal(text: np.ndarray, whole: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which bytes go."""
-    size = len(text)
-    lo, hi = _runs(whole, size)
-    starts = [lo]
-    pasts = [hi + WINDOW]
-    if len(windows):
-        i, j = np.nonzero(windows["bits"][:, None] & (np.uint32(1) << np.arange(SPAN, dtype=np.uint32)))
-        s = windows["pos"].astype(np.int64)[i] - (SPAN - 1) + j
-        starts.append(s)
-        pasts.append(s + WINDOW)
-    return _covered(np.concatenate(starts), np.concatenate(pasts), size)
-
-
-def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept`, the remaining bytes (binary; null for null text)."""
+        found.append(scratch.write(_by_bucket(_deal(rows, buckets, part, share), buckets, RECORD, settle), f"pass{part}"))
+    lists = lambda *tables: reduce(DataFrame.unionAll, tables).groupBy("doc_id", "tag").agg(F.collect_list("windows").alias("windows"), F.collect_list("crowd").alias("crowd"), F.sum(F.octet_length("crowd")).alias("n"))
+    split = lists(*found).where("n > 0").select("doc_id", "tag", "crowd")
+    if split.limit(1).count():
+        crowds = rows.join(split.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "crowd")
+        found.append(scratch.write(_by_bucket(_deal_windows(crowds, buckets), buckets, WHOLE, settle_windows), "windows"))
+    return lists(*found).select("doc_id", "tag", "windows")
+
+
+def _removal(size: int, pairs: np.ndarray) -> np.ndarray:
+    """Which of size bytes go."""
+    d = np.zeros(size + 1, np.int32)
+    for lo in range(0, len(pairs), 1 << 16):
+        some = pairs[lo : lo + (1 << 16)]
+        i, j = np.nonzero(some["bits"][:, None] & BITS)
+        s = some["pos"].astype(np.int64)[i] - LEFT + j
+        d += np.bincount(s, minlength=size + 1).astype(np.int32) - np.bincount(s + WINDOW, minlength=size + 1).astype(np.int32)
+    return np.cumsum(d[:size]) > 0
+
+
+def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None, as_text: bool = False) -> DataFrame:
+    """docs with `_n_bytes`, `_n_removed`, `_n_spans` and `_kept`, the remaining bytes: binary, or the string of its whole
+    characters if as_text; null for null text."""
     scratch = scratch or Scratch(spark, "suffix")
-    found = repeats(spark, docs, scratch).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag2"), "whole", "windows")
-    joined = _tagged(docs).join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.col("_tag") == F.col("_tag2")), "left").drop("_doc", "_tag", "_tag2").withColumnsRenamed({"whole": "_whole", "windows": "_windows"})
-    pair = np.dtype([("pos", "<u4"), ("bits", "<u4")])
+    found = repeats(spark, docs, scratch).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag2"), F.col("windows").alias("_windows"))
+    joined = _tagged(docs).join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.col("_tag") == F.col("_tag2")), "left").drop("_doc", "_tag", "_tag2")
     names = docs.columns
 
     def go(batches):
@@ -388,42 +442,35 @@ def dedup(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
                 n, removed, spans, kept = [], [], [], []
                 for i, text in enumerate(batch.column("text")):
                     buf = text.as_buffer()
-                    whole, windows = batch.column("_whole")[i], batch.column("_windows")[i]
+                    windows = batch.column("_windows")[i]
                     size = buf.size if buf is not None else 0
                     n.append(size)
-                    if not whole.is_valid or not size:
+                    if not windows.is_valid or not size:
                         removed.append(0)
                         spans.append(0)
                         kept.append(buf.to_pybytes() if buf is not None else None)
                         continue
-                    b = np.frombuffer(buf, np.uint8)
-                    gone = _removal(b, _values(whole, "<u4"), _values(windows, pair))
+                    gone = _removal(size, _values(windows))
                     removed.append(int(gone.sum()))
                     spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-                    kept.append(b[~gone].tobytes())
-                cols = [batch.column(c) for c in names] + [pa.array(x, pa.int64()) for x in (n, removed, spans)] + [pa.array(kept, pa.binary())]
+                    rest = np.frombuffer(buf, np.uint8)[~gone].tobytes()
+                    kept.append(rest.decode("utf-8", "ignore").encode() if as_text else rest)
+                last = pa.array(kept, pa.binary())
+                cols = [batch.column(c) for c in names] + [pa.array(x, pa.int64()) for x in (n, removed, spans)] + [last.cast(pa.string()) if as_text else last]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "_n_bytes", "_n_removed", "_n_spans", "_kept"])
         kernels.trim()
 
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
-
-    kind = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")), StructField("_kept", BinaryType())])
+    kind = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")), StructField("_kept", StringType() if as_text else BinaryType())])
     return joined.mapInArrow(go, kind)
 
 
 def dedup_text(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes cut out of `text`, n_chars brought up to date. Bytes of a character that is cut in
     two are dropped as well."""
-    whole = dedup(spark, packed(docs, "doc_id", "text"))
-
-    @F.pandas_udf("string")
-    def read(kept):
-        return kept.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
-
-    whole = whole.withColumn("_new", F.when(F.col("_n_removed") == 0, F.col("text")).otherwise(read("_kept")))
-    new = {"text": F.col("_new")}
+    whole = dedup(spark, packed(docs, "doc_id", "text"), as_text=True)
+    new = {"text": F.col("_kept")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("_new").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.length("_kept").cast(docs.schema["n_chars"].dataType)
     return unpacked(whole, docs.columns, **new)
 
 

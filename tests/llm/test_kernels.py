@@ -48,15 +48,13 @@ def test_features_do_not_depend_on_neighbours():
     assert [c[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == alone and alone[0] == alone[4] and alone[1] == []
 
 
-def test_every_window_holds_an_anchor_at_the_same_place():
+def test_every_window_has_one_anchor_that_its_bytes_decide():
     r = np.random.default_rng(3)
     for text in (bytes(r.integers(97, 100, 400, dtype=np.uint8)), b"ab" * 150, bytes(200), bytes(r.integers(0, 256, 300, dtype=np.uint8))):
         b = np.frombuffer(b"q" * 60 + text + b"zz" * 40, np.uint8)
-        place, doc, key, _ = suffix_dedup.anchors(b, np.array([0, 60, 60 + len(text), len(b)]))
-        at = set((place[doc == 1] - 60).tolist())
-        own = suffix_dedup.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-        assert at == set(own.tolist())
-        for s in range(len(text) - 49):
-            assert any(s <= p <= s + 30 for p in at)
+        place, first, last, *_ = suffix_dedup.anchors(b, np.array([0, 60, 60 + len(text), len(b)]))
+        mine = {s - 60: p - 60 for p, f, g in zip(place.tolist(), first.tolist(), last.tolist(), strict=True) for s in range(f, g + 1) if 60 <= s < 60 + len(text)}
+        assert sorted(mine) == list(range(len(text) - 49))
+        for s, p in mine.items():
             alone = suffix_dedup.anchors(np.frombuffer(text[s : s + 50], np.uint8), np.array([0, 50]))[0]
-            assert {int(p) + s for p in alone} <= at
+            assert s <= p <= s + 30 and alone.tolist() == [p - s]

@@ -250,6 +250,31 @@ def test_suffix_dedup_random_overlaps(spark, table_dir):
     assert bag(suffix_dedup.op4(spark, table_dir(documents=df)).collect()) == bag(removed(rows))
 
 
+def mosaic(seed: int, n: int):
+    """Texts glued from a few passages, so that many share strings in varied contexts."""
+    r = random.Random(seed)
+    pool = ["".join(r.choice("abcdef gh") for _ in range(300)) for _ in range(3)]
+    return [(i, "".join((lambda p, a: p[a : a + r.randint(45, 120)])(r.choice(pool), r.randint(0, 200)) + "".join(r.choice("abé ") for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 5)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("group", [0, 3000, 64 << 20])
+def test_suffix_dedup_split_groups(spark, table_dir, monkeypatch, group):
+    """Groups over the bound are dealt by windows: the result is the same whatever the bound."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rows = mosaic(12, 200)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert bag(suffix_dedup.op4(spark, table_dir(documents=df)).collect()) == bag(removed(rows))
+
+
+def test_suffix_dedup_many_buckets_and_segments(spark, table_dir, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 4000)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 400)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    rows = mosaic(13, 120) + [(500, "".join(t for _, t in mosaic(14, 10))), (501, "".join(t for _, t in mosaic(14, 11)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert bag(suffix_dedup.op4(spark, table_dir(documents=df)).collect()) == bag(removed(rows))
+
+
 def test_cut_texts_keep_columns(spark, clashing):
     out = suffix_dedup.dedup_text(spark, clashing).collect()
     r = next(x for x in out if x["doc_id"] == 13)
