@@ -13,8 +13,9 @@ ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.binary())])
 
 
 def _pressed(records: np.ndarray) -> bytes:
-    data = records.tobytes()
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+    """The number of records, then their columns one after the other, compressed."""
+    data = b"".join(np.ascontiguousarray(records[c]).tobytes() for c in records.dtype.names)
+    return len(records).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
 
 
 def pack(key: np.ndarray, records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -42,9 +43,14 @@ def spread(records: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
 
 def unpack(table: pa.Table, dtype: np.dtype) -> np.ndarray:
     """The records of all blocks."""
-    codec, found = pa.Codec("zstd"), []
-    for chunk in table.column("block").chunks:
-        for v in chunk:
-            block = v.as_buffer()
-            found.append(np.frombuffer(codec.decompress(block[8:], int.from_bytes(block[:8].to_pybytes(), "little")), dtype))
-    return np.concatenate(found) if found else np.zeros(0, dtype)
+    codec, blocks = pa.Codec("zstd"), [v.as_buffer() for chunk in table.column("block").chunks for v in chunk]
+    sizes = [int.from_bytes(b[:8].to_pybytes(), "little") for b in blocks]
+    out, at = np.zeros(sum(sizes), dtype), 0
+    for block, n in zip(blocks, sizes, strict=True):
+        data, start = codec.decompress(block[8:], n * dtype.itemsize), 0
+        for c in dtype.names:
+            kind = dtype[c]
+            out[c][at : at + n] = np.frombuffer(data, kind.base, n * (kind.itemsize // kind.base.itemsize), start).reshape((n, *kind.shape))
+            start += n * kind.itemsize
+        at += n
+    return out

@@ -41,12 +41,12 @@ from . import blockshuffle, kernels
 from .common import Scratch, packed, read_table, shuffle_partitions, unpacked
 from .kernels import MULS, U, mix
 
-WINDOW, GRAM, ROUNDS = 50, 20, 2
+WINDOW, GRAM, ROUNDS = 50, 20, 3
 LEFT = WINDOW - GRAM  # bytes of a window's anchor record on either side of its GRAM
 SPAN = LEFT + 1  # windows that can hold one anchor
 CTX = GRAM + 2 * LEFT
 BLOCK, SEGMENT = 8 << 20, 1 << 20  # bytes of text that a task holds, and that it hashes, at a time
-BUCKET, GROUP = 48 << 20, 64 << 20  # bytes of records that a bucket is meant to hold, and that one GRAM may hold at most
+BUCKET, GROUP = 24 << 20, 64 << 20  # bytes of records that a bucket is meant to hold, and that one GRAM may hold at most
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * MULS[0])
 RECORD = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("need", "<u4"), ("ctx", "u1", (CTX,))])
 WHOLE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("bit", "<u4"), ("body", "u1", (WINDOW,))])
@@ -198,7 +198,7 @@ def _deal(docs: DataFrame, buckets: int, part: int, share: int) -> DataFrame:
                     told.append(_places(r[crowd], r["need"][crowd], 1))
                     r, key = np.concatenate([r[~crowd], marks]), np.concatenate([key[~crowd], mark_keys])
                 yield from blockshuffle.spread(np.concatenate(told), buckets)
-                yield from blockshuffle.pack(key, r, buckets)
+                yield from blockshuffle.pack(mix(key), r, buckets)  # hashes of anchors are small ones: mixed, they spread
                 del r, key, both, order, new, like, first, size, later, told, many
                 kernels.trim()
 
