@@ -17,27 +17,32 @@ FROM documents d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
 
-_SECTIONS = """list_transform(list_filter(string_split(array_to_string(list_transform(list_transform(string_split({t}, chr(10)), lambda x: sha256(x)),
-  lambda x: CASE WHEN left(x, 1) < '4' THEN x || '|' ELSE x END), ''), '|'), lambda x: length(x) > 0), lambda x: sha256(x))"""
-_LEAF = r"CASE WHEN length(t) < 300 THEN regexp_extract_all({t}, '\S{{1,120}}\s{{0,8}}|\s{{1,8}}') ELSE regexp_extract_all({t}, '[^.!?\n]{{1,120}}[.!?]{{0,16}}\s{{0,8}}|[.!?\n]{{1,16}}\s{{0,8}}') END"
-_WEIGHT = "coalesce(list_sum(list_transform({a}, lambda x: length(x))), 0)"
+_LEAF = r"(?s).+?(?:[.!?。！？]+[ \t\r]*|[sySY][ \t\r]+|\z)"
 
 
-def _printed(t: str) -> str:
-    return f"sha256(array_to_string({_SECTIONS.format(t=t)}, '')) || ':' || array_to_string(list_transform({_SECTIONS.format(t=t)}, lambda x: left(x, 12)), '.')"
+def _lines(t: str) -> str:
+    return f"""list_transform(list_transform(string_split({t}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{_LEAF}'), lambda x: sha256(x))),
+  lambda d: {{'digest': sha256(array_to_string(d, '')), 'codes': array_to_string(list_transform(d, lambda x: left(x, 16)), '.')}})"""
+
+
+def _printed(p: str) -> str:
+    root = f"sha256(array_to_string(list_transform(list_filter(string_split(array_to_string(list_transform({p}, lambda x: CASE WHEN x.digest < '4' THEN x.digest || '|' ELSE x.digest END), ''), '|'), lambda x: x <> ''), lambda x: sha256(x)), ''))"
+    return f"{root} || ':' || array_to_string(list_transform({p}, lambda x, i: x.codes || CASE WHEN i = len({p}) THEN '' WHEN x.digest < '4' THEN '|' ELSE '/' END), '')"
 
 
 def _near(a: str, b: str) -> str:
-    both, x, y = (_WEIGHT.format(a=c) for c in (f"list_intersect({a}, {b})", a, b))
-    return f"CASE WHEN {x} + {y} = 0 THEN 1.0 ELSE {both} / ({x} + {y} - {both}) END::DOUBLE"
+    x, y = (f"list_distinct(list_filter(regexp_split_to_array(substr({c}, 66), '[./|]'), lambda x: x <> ''))" for c in (a, b))
+    both = f"len(list_intersect({x}, {y}))"
+    return f"CASE WHEN len({x}) + len({y}) = 0 THEN 1.0 ELSE {both} / (len({x}) + len({y}) - {both}) END::DOUBLE"
 
 
 OP1 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS nt FROM d),
 e AS (SELECT *, left(t, length(t) - length(t) // 3) || left(nt, length(t) // 3) AS ed FROM n),
-l AS MATERIALIZED (SELECT *, list_distinct({_LEAF.format(t='t')}) AS a, list_distinct({_LEAF.format(t='ed')}) AS b, list_distinct({_LEAF.format(t='nt')}) AS c FROM e)
-SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, {_printed('t')} AS fingerprint, {_printed('ed')} AS edited_fingerprint, {_near('a', 'b')} AS near_edited, {_near('a', 'c')} AS near_next FROM l
+l AS MATERIALIZED (SELECT *, {_lines('t')} AS a, {_lines('ed')} AS b, {_lines('nt')} AS c FROM e),
+f AS MATERIALIZED (SELECT *, {_printed('a')} AS fa, {_printed('b')} AS fb, {_printed('c')} AS fc FROM l)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(ed) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_near('fa', 'fb')} AS near_edited, {_near('fa', 'fc')} AS near_next FROM f
 """
 
 OP4 = """

@@ -47,12 +47,57 @@ def test_fingerprints(spark, edge, table_dir):
     assert 0.3 < long["near_edited"] < 0.7 and long["near_next"] < 0.1
 
 
+def printed(text):
+    """(fingerprint, leaf codes) written out in Python."""
+    lines = [[sha(x) for x in re.findall(r"(?s).+?(?:[.!?。！？]+[ \t\r]*|[sySY][ \t\r]+|\Z)", p)] for p in text.split("\n")]
+    digests = [sha("".join(d)) for d in lines]
+    out, section, sections = "", "", []
+    for k, (d, h) in enumerate(zip(lines, digests, strict=True)):
+        section += h
+        out += ".".join(x[:16] for x in d) + ("" if k == len(lines) - 1 else "|" if h < "4" else "/")
+        if h < "4" or k == len(lines) - 1:
+            sections.append(sha(section))
+            section = ""
+    return sha("".join(sections)) + ":" + out
+
+
+def test_fingerprints_are_trees_and_likeness_comes_from_them(spark, edge, table_dir):
+    out = merkle.op1(spark, table_dir(documents=edge)).collect()
+    texts = defaultdict(set)
+    for i, t in [tuple(r)[:2] for r in edge.collect()]:
+        texts[i].add(printed(t or ""))
+    for r in out:
+        assert r["fingerprint"] in texts[r["doc_id"]]
+        a, b = ({c for c in re.split("[./|]", r[x][65:]) if c} for x in ("fingerprint", "edited_fingerprint"))
+        assert r["near_edited"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+
+
+def prose(seed: int, n: int) -> str:
+    r = random.Random(seed)
+    part = ["ther", "on", "and", "res", "in", "edy", "nd", "his", "ñö", "st"]
+    return " ".join("".join(r.choice(part) for _ in range(r.randint(1, 3))) + r.choice(["", "", "", "", ",", ".", ".\n"]) for _ in range(n))
+
+
+def test_likeness_grades_edits_at_every_length(spark):
+    df = spark.createDataFrame([(n, prose(n, n), prose(n, n).replace("th", "ht", 1), prose(n + 1, n)) for n in (40, 60, 200, 2000)], "n int, x string, y string, z string")
+    for c in "xyz":
+        df = merkle.with_fingerprint(df, c, f"f{c}")
+    for r in df.select("n", merkle.likeness(F.col("fx"), F.col("fy")).alias("near"), merkle.likeness(F.col("fx"), F.col("fz")).alias("far")).collect():
+        assert r["near"] > 0.5 and r["far"] < 0.3
+
+
+def test_a_doc_id_with_most_rows_is_dealt_in_order(spark, table_dir):
+    rows = [(7, f"text {k}") for k in range(300)] + [(None, f"none {k}") for k in range(100)] + [(k, f"other {k}") for k in range(20, 60)]
+    out = merkle.followed(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert bag((r["doc_id"], r["t"]) for r in out) == bag(rows) and bag(r["next_t"] for r in out) == bag(t for _, t in rows)
+
+
 def test_fingerprint_edits_are_located(spark):
     lines = [f"line number {i} with words" for i in range(40)]
     other = lines.copy()
     other[17] = "changed"
     df = spark.createDataFrame([("\n".join(lines), "\n".join(other)), ("a", "a")], "x string, y string")
-    rows = merkle.edits(df, "x", "y").collect()
+    rows = merkle.edits(merkle.with_fingerprint(merkle.with_fingerprint(df, "x", "fx"), "y", "fy"), "fx", "fy").collect()
     assert rows[0]["edited_paragraphs"] == [17] and len(rows[0]["edited_sections"]) >= 1
     assert rows[1]["edited_paragraphs"] == [] and rows[1]["edited_sections"] == []
 
