@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK, NEAR = 64, 48
+BLOCK = 64
 SPAN = "array<struct<start:int,end:int,text:string,left:string,right:string>>"
 
 
-def with_spans(df: DataFrame, into: str, text: str, regex: str, guard: Column | None = None) -> DataFrame:
+def last_words(text: Column) -> Column:
+    """The last two words of a text (or the one it has), with what stands between and after them."""
+    return F.reverse(F.regexp_extract(F.reverse(text), r"^\s*\S+(?:\s+\S+)?", 0))
+
+
+def with_spans(df: DataFrame, into: str, text: str, regex: str, guard: Column | None = None, sides: bool = False) -> DataFrame:
     """df with `into`: (start, end, text, left, right) of the leftmost non-overlapping matches of regex.
 
     split() gives what lies between the matches, so offsets are running sums of lengths; they are summed in blocks of
-    64, which keeps a text with very many matches from costing their square. left and right hold what stands next to
-    the match, as far as the neighbouring match and 48 characters at most. regex must not match the empty string.
+    64, which keeps a text with very many matches from costing their square. With sides, left and right hold the last two
+    words before the match and what follows it up to the end of the next word, as far as the neighbouring match; else they are empty. regex must not
+    match the empty string.
     """
     m, g, a, b = f"_{into}_m", f"_{into}_g", f"_{into}_a", f"_{into}_b"
     found = F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0))
     df = df.withColumn(m, F.when(F.coalesce(guard, F.lit(False)), found) if guard is not None else found)
     some = F.size(m) > 0
-    gap = F.transform(F.split(F.col(text), regex, -1), lambda x: F.struct(F.length(x).alias("n"), F.right(x, F.lit(NEAR)).alias("tail"), F.left(x, F.lit(NEAR)).alias("head")))
+    gap = F.transform(F.split(F.col(text), regex, -1), lambda x: F.struct(F.length(x).alias("n"), (last_words(x) if sides else F.lit("")).alias("tail"), (F.regexp_extract(x, r"^\S*\s+\S+|^\S+", 0) if sides else F.lit("")).alias("head")))
     df = df.withColumn(g, F.when(some, gap))
     df = df.withColumn(a, F.when(some, F.zip_with(F.transform(F.col(g), lambda x: x["n"]), F.transform(F.col(m), F.length), lambda x, y: x + F.coalesce(y, F.lit(0)))))
 

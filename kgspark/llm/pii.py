@@ -1,23 +1,27 @@
 """Personal data: fixed forms, and contextual extraction that is bootstrapped from what the forms find.
 
-The forms' matches are seed instances. Each occurrence stands in lexical contexts (the word before, the two words
-before, the words on both sides), which are patterns. In a graph of patterns and instances, a pattern's confidence for a kind is the
-share of known confidence among its distinct instances, and an unknown instance's is one minus the chance that all its
-accepted patterns are wrong. ROUNDS of these two sums let patterns found from seeds discover identifiers, and those
-further patterns. What accepted patterns extract at last is reported beside the forms' spans as kind `context`.
+The forms' matches are seed instances. Each stands in lexical contexts (the word before, the two words before, the words on
+both sides), which are patterns. In a graph of patterns and instances, a pattern's confidence for a kind is the share of
+known confidence among its distinct instances, and an unknown instance's is one minus the chance that all its accepted
+patterns are wrong. ROUNDS of these two sums let patterns found from seeds discover identifiers, and those further patterns.
+What accepted patterns extract at last is reported beside the forms' spans as kind `context`: any word, whatever its
+characters, without the punctuation at its ends.
 
-DataFrame functions only. Texts are read once; only spans and contexts are written and shuffled. Pattern and instance
-scores are partially aggregated sums, so a context or an identifier with a third of all occurrences is summed where it
-is read. Offsets are code points, ends exclusive.
+Patterns are contexts of SUPPORT distinct seeds at least, of which seeds are a FLOOR of the distinct words in that context,
+by a sketch of their number: contexts like `of the` never enter the graph. All words of all texts are read for that, and again
+for the occurrences of the patterns that are left, so what is shuffled are sketches and those occurrences.
+
+DataFrame functions only. Pattern and instance scores are partially aggregated sums, so a context or an identifier with a
+third of all occurrences is summed where it is read. Offsets are code points, ends exclusive.
 
 Edge cases: null or empty text has no spans; a null doc_id is scanned like others; each of repeated rows is reported
 (rows are told apart by a row number of the written table, not by doc_id); extra columns are ignored; without seeds
-nothing is added; an empty table gives an empty result.
+nothing is added; very long texts cost their length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table
@@ -30,9 +34,8 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ["email", "ip", "card", "phone", "context"]
-#: tokens that look like an identifier: 5 characters or more, a digit among them
-TOKEN = r"(?:\G|(?<![A-Za-z0-9@._%+-]))(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@+][A-Za-z0-9@._%+-]{3,}(?<=[A-Za-z0-9])"
-ROUNDS, SUPPORT, PATTERN_MIN, INSTANCE_MIN = 3, 3, 0.6, 0.8
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+ROUNDS, SUPPORT, FLOOR, PATTERN_MIN, INSTANCE_MIN = 3, 3, 0.1, 0.6, 0.8
 
 
 def luhn(digits: Column) -> Column:
@@ -48,14 +51,13 @@ def small_parts(ip: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """docs(row..., text) with `found`, structs (start, kind, end, text, left, right) of the forms, and `tokens`."""
+    """docs(row..., text) with `found`, structs (start, kind, end, text, left, right) of the forms."""
     df = docs.withColumn("_t", F.coalesce("text", F.lit("")))
     has = lambda x: F.contains(F.col("_t"), F.lit(x))
-    df = with_spans(df, "_email", "_t", EMAIL, has("@"))
-    df = with_spans(df, "_ip", "_t", IP, F.col("_t").rlike(r"[0-9]\.[0-9]"))
-    df = with_spans(df, "_card", "_t", CARD, F.col("_t").rlike(r"[0-9](?:[\x20-]?[0-9]){11}"))
-    df = with_spans(df, "_phone", "_t", PHONE, has("+"))
-    df = with_spans(df, "tokens", "_t", TOKEN, F.col("_t").rlike("[0-9]"))
+    df = with_spans(df, "_email", "_t", EMAIL, has("@"), sides=True)
+    df = with_spans(df, "_ip", "_t", IP, F.col("_t").rlike(r"[0-9]\.[0-9]"), sides=True)
+    df = with_spans(df, "_card", "_t", CARD, F.col("_t").rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), sides=True)
+    df = with_spans(df, "_phone", "_t", PHONE, has("+"), sides=True)
     digits = lambda x: F.regexp_replace(x["text"], "[^0-9]", "")
     keep = {
         "_email": None,
@@ -72,50 +74,73 @@ def scanned(docs: DataFrame) -> DataFrame:
     return df.withColumn("found", F.array_sort(F.concat(*parts)))
 
 
-def patterns(left: Column, right: Column) -> Column:
-    """The lexical patterns of an occurrence: null-free array of strings."""
-    l1 = F.lower(F.regexp_extract(left, r"(\S+)\s*$", 1))
-    l2 = F.lower(F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1))
-    r1 = F.lower(F.regexp_extract(right, r"^\s*(\S+)", 1))
-    two = F.regexp_replace(l2, r"\s+", " ")
-    return F.filter(F.array(F.when(l1 != "", F.concat(F.lit("before "), l1)), F.when(l2 != "", F.concat(F.lit("before2 "), two)), F.when((l1 != "") & (r1 != ""), F.concat(F.lit("around "), l1, F.lit(" | "), r1))), lambda x: x.isNotNull())
+def trimmed(word: Column) -> Column:
+    return F.btrim(word, F.lit(PUNCTUATION))
+
+
+def patterns(before: Column, last: Column, after: Column) -> Column:
+    """The lexical patterns of an occurrence with these words around it, null-free."""
+    several = F.array(F.concat(F.lit("before "), last), F.concat(F.lit("before2 "), before, F.lit(" "), last), F.concat(F.lit("around "), last, F.lit(" | "), after))
+    return F.filter(several, lambda x: x.isNotNull())
+
+
+def seeds(rows: DataFrame) -> DataFrame:
+    """(kind, instance, word, last, patterns) of the forms' matches; word is a match's first word, as words are read below."""
+    df = rows.select(F.explode("found").alias("x")).select("x.kind", F.lower("x.text").alias("text"), F.lower("x.left").alias("left"), F.lower("x.right").alias("right"))
+    some = lambda c, regex: F.nullif(F.regexp_extract(c, regex, 1), F.lit(""))
+    opened = r"\s+[\"'(<\[{]*$"  # the match starts a word
+    df = df.withColumn("last", some("left", r"(\S+)" + opened)).withColumn("before", some("left", r"(\S+)\s+\S+" + opened)).withColumn("after", some("right", r"^\p{Punct}*\s+(\S+)"))
+    return df.select("kind", trimmed(F.col("text")).alias("instance"), trimmed(F.substring_index("text", " ", 1)).alias("word"), "last", patterns(F.col("before"), F.col("last"), F.col("after")).alias("patterns"))
+
+
+def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, i, instance, pattern): words of rows(row, _t), by number, that stand in one of the wanted(pattern, last)."""
+    df = rows.select("row", F.regexp_extract_all(F.lower("_t"), F.lit(r"\S+"), F.lit(0)).alias("_w"))
+    around = F.transform("_w", lambda x, i: F.struct(i.alias("i"), F.get("_w", i - 2).alias("before"), F.get("_w", i - 1).alias("last"), x.alias("word"), F.get("_w", i + 1).alias("after")))
+    df = df.select("row", F.explode(around).alias("x")).select("row", "x.*").where("last is not null")
+    df = df.join(wanted.select("last").distinct(), "last", "left_semi")
+    df = df.select("row", "i", trimmed(F.col("word")).alias("instance"), F.explode(patterns(F.col("before"), F.col("last"), F.col("after"))).alias("pattern"))
+    return df.where("instance <> ''").join(wanted.select("pattern"), "pattern", "left_semi")
 
 
 def discover(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, start, end) of the tokens that accepted patterns extract, from rows(row, found, tokens)."""
-    seeds = rows.select("row", F.explode("found").alias("x")).select("row", "x.start", "x.end", "x.kind", F.lower("x.text").alias("instance"), patterns(F.col("x.left"), F.col("x.right")).alias("patterns"))
-    others = rows.select("row", F.explode("tokens").alias("x")).select("row", "x.start", "x.end", F.lit(None).cast("int").alias("kind"), F.lower("x.text").alias("instance"), patterns(F.col("x.left"), F.col("x.right")).alias("patterns"))
-    # tokens that touch a form's span are no candidates: look at the largest end before and the smallest start after
-    w = Window.partitionBy("row").orderBy("start", F.coalesce("kind", F.lit(9)))
-    both = seeds.union(others).withColumn("until", F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("next", F.min(F.when(F.col("kind").isNotNull(), F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    apart = (F.coalesce("until", F.lit(0)) <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
-    occurrences = scratch.write(both.where(F.col("kind").isNotNull() | apart).drop("until", "next"), "occurrences")
-    graph = scratch.write(occurrences.select("instance", "kind", F.explode("patterns").alias("pattern")).distinct(), "graph")
-    sizes = graph.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
-    known = graph.where("kind is not null").select("instance", F.col("kind").alias("as"), F.lit(1.0).alias("sure")).distinct()
-    accepted = None
+    """(row, i): the words that accepted patterns extract, from rows(row, _t, found)."""
+    seen = scratch.write(seeds(rows), "seeds")
+    first = seen.select("kind", "instance").union(seen.select("kind", "word")).where("instance <> ''").distinct().select("instance", F.col("kind").alias("as"), F.lit(1.0).alias("sure"))
+    sources = scratch.write(first, "sources")
+    support = seen.select("instance", "last", F.explode("patterns").alias("pattern")).groupBy("pattern", "last").agg(F.count_distinct("instance").alias("support"))
+    support = scratch.write(support.where(F.col("support") >= SUPPORT), "support")
+    sketch = occurrences(rows, support).groupBy("pattern").agg(F.approx_count_distinct("instance", 0.05).alias("n"))
+    wanted = scratch.write(support.join(sketch, "pattern").where(F.col("support") >= FLOOR * F.col("n")).select("pattern", "last"), "wanted")
+    found = scratch.write(occurrences(rows, wanted), "occurrences")
+    graph = scratch.write(found.select("pattern", "instance").distinct(), "graph")
+    sizes = graph.groupBy("pattern").agg(F.count("*").alias("n"))
+    known, accepted = sources, None
     for i in range(ROUNDS):
-        hits = graph.select("pattern", "instance").distinct().join(known, "instance").groupBy("pattern", "as").agg(F.sum("sure").alias("hits"), F.count("*").alias("support"))
+        hits = graph.join(known, "instance").groupBy("pattern", "as").agg(F.sum("sure").alias("hits"), F.count("*").alias("support"))
         scored = hits.where(F.col("support") >= SUPPORT).join(sizes, "pattern").withColumn("score", F.least(F.col("hits") / F.col("n"), F.lit(0.999)))
         accepted = scored.where(F.col("score") >= PATTERN_MIN).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("as")).alias("k"))).alias("x")).select("pattern", (-F.col("x.k")).alias("as"), "x.score")
         accepted = scratch.write(accepted, f"patterns{i}")
-        new = graph.where("kind is null").join(accepted, "pattern").groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("sure")).where(F.col("sure") >= INSTANCE_MIN)
-        seeds_known = graph.where("kind is not null").select("instance", F.col("kind").alias("as"), F.lit(1.0).alias("sure")).distinct()
-        known = scratch.write(seeds_known.unionByName(new.join(seeds_known.select("instance", "as"), ["instance", "as"], "left_anti")), f"known{i}")
-    told = known.select("instance").distinct()
-    good = occurrences.where("kind is null").join(told, "instance").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(accepted.select("pattern"), "pattern")
-    return good.select("row", "start", "end").distinct()
+        new = graph.join(accepted, "pattern").groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("sure")).where(F.col("sure") >= INSTANCE_MIN)
+        known = scratch.write(sources.unionByName(new.join(sources.select("instance"), "instance", "left_anti")), f"known{i}")
+    return found.join(accepted.select("pattern"), "pattern", "left_semi").join(known.select("instance"), "instance", "left_semi").select("row", "i").distinct()
 
 
 def with_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): arrays of (start, kind, end) for each row of docs(doc_id, text)."""
     scratch = Scratch(spark, "pii")
-    rows = scratch.write(scanned(docs.select("doc_id", "text")).select("doc_id", "found", "tokens"), "scan")
-    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "rows")  # numbered once, then fixed
-    scratch.drop("scan")
+    rows = scratch.write(scanned(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", "_t", "found"), "rows")  # numbered as written
+    words = discover(rows, scratch).groupBy("row").agg(F.collect_set("i").alias("words"))  # those of one document
+    told = with_spans(rows.join(words, "row").select("row", "_t", "found", "words"), "_word", "_t", r"\S+")
+
+    def span(i: Column) -> Column:
+        w = F.get("_word", i)
+        start = w["start"] + F.length(w["text"]) - F.length(F.ltrim(w["text"], F.lit(PUNCTUATION)))
+        return F.struct(start.alias("start"), F.lit(4).alias("kind"), (start + F.length(trimmed(w["text"]))).alias("end"))
+
+    apart = F.filter(F.transform("words", span), lambda w: ~F.exists("found", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    more = told.select("row", apart.alias("more"))
     plain = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
-    more = discover(rows, scratch).groupBy("row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end")).alias("more"))
     out = rows.select("row", "doc_id", plain.alias("base")).join(more, "row", "left")
     return out.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,6 +156,88 @@ def test_pii_contexts_discover(spark, table_dir):
     assert all(out[i] == "" for i in range(50, 70)) and all("email" in out[i] for i in range(40))
 
 
+def words_in(text):
+    return [(m.start() + len(m[0]) - len(m[0].lstrip(pii.PUNCTUATION)), m[0].lower()) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text)]
+
+
+def test_pii_planted_identifiers_of_every_kind(spark, table_dir):
+    """Identifiers without a form in contexts of seeds, beside ordinary words in contexts of their own: both counted."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("aeioulmnrst") for _ in range(r.randint(3, 8)))
+    texts, planted = {}, {}
+    for i in range(600):
+        t = [word() for _ in range(20)]
+        if i < 300:
+            at = r.randint(3, 15)
+            t[at : at + 3] = ["mailto", f"{word()}{i}@{word()}.org" if r.random() < 0.8 else (w := r.choice([word() + "@localhost", "handle" + word(), f"id-{i}", word().upper()]) + r.choice(["", ",", "."])), "now"]
+            if "@" not in t[at + 1] or "localhost" in t[at + 1]:
+                planted[i] = t[at + 1].strip(pii.PUNCTUATION)
+        texts[i] = " ".join(t)
+    out = {x["doc_id"]: x["spans"] for x in pii.op2(spark, table_dir(documents=spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))).collect()}
+    got = {i: [texts[i][int(a) : int(b)] for k, a, b in (x.split(":") for x in s.split(",") if x) if k == "context"] for i, s in out.items()}
+    right = sum(got[i] == [w] for i, w in planted.items())
+    added = sum(map(len, got.values()))
+    assert len(planted) > 40 and right >= 0.95 * len(planted) and right >= 0.95 * added
+
+
+def test_pii_graph_equals_brute_force(spark, table_dir):
+    """The whole method written out in Python over the same texts, span by span."""
+    r = random.Random(9)
+    texts = {}
+    for i in range(150):
+        verb, noun, form = r.choice([("from", "host", f"10.0.0.{i % 200}"), ("by", "customer", f"a{i}@b{i}.org"), ("to", "the", f"sea{i % 9}"), ("of", "host", f"10.0.1.{i % 90}")])
+        who = form if r.random() < 0.8 else r.choice([f"user{i}", f"(n-{r.randint(0, 20)})", "someone"])
+        texts[i] = f"{r.choice(['x', 'y'])} {verb} {noun} {who}{r.choice(['', ',', '.'])} {r.choice(['at', 'on'])} {r.choice(['noon', 'sea'])}"
+    out = {x["doc_id"]: x["spans"] for x in pii.op2(spark, table_dir(documents=spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))).collect()}
+
+    def around(words, k):
+        last = words[k - 1] if k else None
+        return [] if last is None else [("b", last)] + ([("c", words[k - 2], last)] if k > 1 else []) + ([("a", last, words[k + 1])] if k + 1 < len(words) else [])
+
+    seeds, edges, known = defaultdict(set), defaultdict(set), defaultdict(dict)
+    for i, t in texts.items():
+        words, base = words_in(t), base_pii(t)
+        plain = [w for _, w in words]
+        for k, (at, w) in enumerate(words):
+            w = w.strip(pii.PUNCTUATION)
+            for p in around(plain, k):
+                edges[p].add(w)
+            for s, kind, e in base:
+                if s == at:
+                    known[w][kind] = 1.0
+                    for p in around(plain, k):
+                        seeds[p].add(w)
+    edges = {p: v for p, v in edges.items() if len(seeds[p]) >= pii.SUPPORT and len(seeds[p]) >= pii.FLOOR * len(v)}
+    sources = set(known)
+    for _ in range(pii.ROUNDS):
+        accepted = {}
+        for p, v in edges.items():
+            for kind in range(4):
+                hits = [known[w][kind] for w in v if kind in known.get(w, {})]
+                score = min(sum(hits) / len(v), 0.999)
+                if len(hits) >= pii.SUPPORT and score >= pii.PATTERN_MIN and score > accepted.get(p, (0, 0))[0]:
+                    accepted[p] = (score, kind)
+        wrong = defaultdict(lambda: 1.0)
+        for p, (score, kind) in accepted.items():
+            for w in edges[p]:
+                wrong[(w, kind)] *= 1 - score
+        known = {w: known[w] for w in sources}
+        for (w, kind), x in wrong.items():
+            if w not in sources and 1 - x >= pii.INSTANCE_MIN:
+                known.setdefault(w, {})[kind] = 1 - x
+    total = 0
+    for i, t in texts.items():
+        words, base = words_in(t), base_pii(t)
+        plain, want = [w for _, w in words], [(s, pii.KINDS[k], e) for s, k, e in base]
+        for k, (at, w) in enumerate(words):
+            w = w.strip(pii.PUNCTUATION)
+            if w in known and any(p in accepted for p in around(plain, k)) and not any(s < at + len(w) and at < e for s, _, e in base):
+                want.append((at, "context", at + len(w)))
+                total += 1
+        assert out[i] == ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(want)), texts[i]
+    assert total > 5
+
+
 # op9 -----------------------------------------------------------------------------------------------------------------
 def base_secrets(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[2]) >= 12]
@@ -194,6 +277,41 @@ def test_markov_reports_letters_only(spark):
     assert out == {100: [(5, 3, 29)], 101: []}
 
 
+def test_markov_equals_brute_force_and_grades_lengths(spark):
+    """Spans equal those of the same models in Python; recall and false reports on planted strings."""
+    r = random.Random(10)
+    every = string.ascii_letters + string.digits
+    word = lambda: "".join(r.choice(["con", "fig", "ura", "tion", "hand", "ler", "ser", "vice", "the", "and"]) for _ in range(r.randint(1, 4)))
+    rows = [(i, f"some {word()} text token = \"{''.join(r.choice(every) for _ in range(32))}\" and {word()}_{word()} {word()} {r.randint(0, 10**9)}") for i in range(300)]
+    learned = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = secrets.train(learned)
+    planted = [(1000 * n + k, "x " + "".join(r.choice(every) for _ in range(n)) + " y") for n in (10, 12, 16, 24) for k in range(50)]
+    plain = [(50_000 + k, f"{word()} {word()}-{word()} {word()}{r.randint(0, 99)}") for k in range(300)]
+    asked = planted + plain + [(99_999, "é" * 5 + "kQ9z7XbT2mW8vR4p日本")]
+    out = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in secrets.with_secrets(spark.createDataFrame(asked, learned.schema), table).select("doc_id", "spans").collect()}
+    number = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    for i, t in asked:
+        want = base_secrets(t)
+        for m in re.finditer(secrets.TOKEN.replace("}+", "}"), t):
+            c = [number.get(x, secrets.N - 1) for x in m[0]]
+            if sum(table[a * secrets.N + b] for a, b in zip(c, c[1:], strict=False)) >= secrets.LIMIT and not any(s < m.end() and m.start() < e for s, _, e in base_secrets(t)):
+                want.append((m.start(), 3, m.end()))
+        assert out[i] == sorted(want), t
+    found = {n: sum(bool(out[i]) for i, _ in planted if i // 1000 == n) / 50 for n in (10, 12, 16, 24)}
+    assert found[12] >= 0.8 and found[16] >= 0.9 and found[24] >= 0.98
+    assert sum(bool(out[i]) for i, _ in plain) <= 3
+
+
+def test_markov_costs_the_length_of_a_token(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "ab1Q" * 250_000), (2, "=".join(["kQ9z7XbT2mW8vR4p"] * 60_000))], "doc_id bigint, text string")
+    table = [0.1] * (secrets.N * secrets.N)
+    secrets.with_secrets(df, table).select("spans").collect()
+    at = time.time()
+    assert all(len(x["spans"]) == 1 for x in secrets.with_secrets(df, table).select("spans").collect()) and time.time() - at < 10
+
+
 def test_redaction_keeps_columns(spark, edge, clashing):
     out = {(r["doc_id"]): r for r in secrets.redact(clashing, None).collect()}
     assert out[17]["text"].startswith('[SECRET]" mail me') and out[17]["n_chars"] == len(out[17]["text"]) and out[17]["base"] == "own base" and out[6]["text"] is None
