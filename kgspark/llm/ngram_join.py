@@ -3,7 +3,8 @@
 Documents link when 100 |A n B| >= 80 |A u B| over their distinct 5-word shingles. The product A x A' is never formed
 whole. What keeps it small, all of it exact:
 
-* documents with equal shingle sets are one row of the incidence (a class); copies are never compared with each other;
+* documents with equal shingle sets (128 bits of signature) are one row of the incidence (a class); copies are never
+  compared with each other. Columns name a class by 64 of these bits; classes that share them are told apart by their sets;
 * only prefix columns enter: in one global order of shingles, common ones last, two linked sets must share one of each
   set's first n - ceil(0.8 n) + 1 shingles. Which shingles count as common is found by lossy counting over all rows; it
   only orders, so an incomplete list changes the work, not the result;
@@ -76,9 +77,9 @@ def _prefix_blocks(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
     def go(batches):
         kernels.enter("ngram")
         for t in kernels.blocks(batches, "text"):
-            h, at, lo, _ = _sets(t)
+            h, at, lo, hi = _sets(t)
             n = np.diff(at)
-            _, first = np.unique(lo, return_index=True)
+            _, first = np.unique(np.stack([lo, hi], axis=1), axis=0, return_index=True)
             mine = np.zeros(len(n), bool)
             mine[first] = True
             mine &= n > 0
@@ -215,6 +216,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = scratch.write(connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "cc1"), "components1")
     named = links.select(F.col("x").alias("node"), F.col("a").alias("sig")).union(links.select(F.col("y").alias("node"), F.col("b").alias("sig"))).distinct()
     component = named.join(found, "node").groupBy("sig").agg(F.min("component").alias("comp"))
+    # a class goes by 64 bits of its 128; where two classes share them, no pair of theirs is left out
+    twice = classes.groupBy(F.col("lo").alias("sig")).agg(F.count("*").alias("c")).where("c > 1").select("sig")
+    component = component.join(twice, "sig", "left_anti")
     rest = _cross_pairs(columns, component, scratch).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
     rest = scratch.write(rest, "rest")
     if rest.limit(1).count():

@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with follow-the-regularised-leader updates.
 
 Words are runs of letters and digits (any byte beyond ASCII counts as a letter) or runs of other visible characters,
-A-Z lower-cased; features are words, pairs of neighbouring words, "a word twice in a row" and "a word, another, the first again", hashed
-to 2^18 columns.
+A-Z lower-cased; features are words, pairs of neighbouring words and, beside these, two patterns of any words: "a word twice in
+a row" and "a word, another, the first again". All are hashed to 2^18 columns.
 A document is the mean of its features' columns, so its score is one sparse dot product, whatever its length.
 
 Training takes a bounded sample of labelled rows: the SAMPLE rows of smallest hash of doc_id whose fold is not held out
@@ -11,7 +11,7 @@ Training takes a bounded sample of labelled rows: the SAMPLE rows of smallest ha
 Edge cases: null or empty text, or text of white space, scores as the bias alone; a null doc_id is scored, is never
 trained on and counts as not held out; labels with null quality are ignored, of a doc_id labelled more than once the
 smallest quality counts; repeated rows are scored each; extra columns are kept, one called like the new one is
-replaced; without any usable label every score is 0.5; an empty table gives an empty result.
+replaced; very long texts cost their length, and the driver is sent counts of columns only; without any usable label every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,26 +38,38 @@ def features(b: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s, e, doc = kernels.runs(part, at, kernels.KIND)
         w = kernels.word_hashes(part, s, e)
         n = np.bincount(doc, minlength=hi - lo) if len(doc) else np.zeros(hi - lo, np.int64)
-        pair = np.zeros(len(w), U)
+        pair, twice, again = np.zeros(len(w), U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(w) > 1:
             pair[1:] = kernels.mix(w[:-1] * kernels.MULS[1] + w[1:] * kernels.MULS[2])
-            twice = np.flatnonzero(w[1:] == w[:-1]) + 1
+            twice = np.flatnonzero((w[1:] == w[:-1]) & (doc[1:] == doc[:-1])) + 1
             again = np.flatnonzero((w[2:] == w[:-2]) & (doc[2:] == doc[:-2])) + 2
-            pair[again] = kernels.MULS[4]
-            pair[twice] = kernels.MULS[3]
         both = np.empty(2 * len(w), np.int32)
         both[0::2] = (w >> shift).astype(np.int32)
         both[1::2] = (pair >> shift).astype(np.int32)
         first = np.cumsum(n) - n
         keep = np.ones(len(both), bool)
         keep[2 * first[n > 0] + 1] = False  # the first word of a document ends no pair
-        found.append(both[keep])
-        sizes.append(np.maximum(2 * n - 1, 0))
+        flags = np.repeat(np.array([kernels.MULS[3] >> shift, kernels.MULS[4] >> shift]).astype(np.int32), [len(twice), len(again)])
+        owner = np.concatenate([np.repeat(doc, 2)[keep], doc[twice], doc[again]])
+        order = np.argsort(owner, kind="stable")
+        found.append(np.concatenate([both[keep], flags])[order])
+        sizes.append(np.bincount(owner, minlength=hi - lo))
     return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
+ENTRY = np.dtype([("column", "<i4"), ("count", "<i4")])
+
+
+def counted(columns: np.ndarray) -> np.ndarray:
+    """ENTRYs of a document's columns: as many as it has different ones, 2^BITS at most, whatever its length."""
+    at, n = np.unique(columns, return_counts=True)
+    out = np.zeros(len(at), ENTRY)
+    out["column"], out["count"] = at, n
+    return out
+
+
 def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
-    """(weights, bias) after EPOCHS passes of FTRL-proximal over (columns, label) rows, in the order given."""
+    """(weights, bias) after EPOCHS passes of FTRL-proximal over (ENTRYs, label) rows, in the order given."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
 
@@ -66,9 +78,9 @@ def train(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, float]:
         return np.where(np.abs(v) <= L1, 0.0, -(v - np.sign(v) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
     data = []
-    for columns, y in rows:
-        at, c = np.unique(columns, return_counts=True)
-        data.append((np.append(at, size - 1), np.append(SCALE * c / max(1, len(columns)), 1.0), float(y)))
+    for entries, y in rows:
+        at, c = entries["column"], entries["count"]
+        data.append((np.append(at, size - 1), np.append(SCALE * c / max(1, c.sum()), 1.0), float(y)))
     for _ in range(EPOCHS):
         for at, x, y in data:
             w = weights(at)
@@ -97,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
         for batch in batches:
             b, offs = kernels.texts(batch.column("text"))
             columns, at = features(b, offs)
-            packed = [columns[lo:hi].tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
+            packed = [counted(columns[lo:hi]).tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
             yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(packed, pa.binary())], names=["doc_id", "y", "x"])
 
     picked = docs.select("doc_id", "text").join(F.broadcast(rows.select("doc_id", F.col("y").cast("int").alias("y"))), "doc_id")
@@ -105,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     got = picked.mapInArrow(go, "doc_id bigint, y int, x binary").toArrow()
     found = [(i, y, x) for i, y, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)]
     found.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[2]))
-    return train([(np.frombuffer(x, np.int32), y) for _, y, x in found])
+    return train([(np.frombuffer(x, ENTRY), y) for _, y, x in found])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:

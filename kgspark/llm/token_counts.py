@@ -2,9 +2,10 @@
 
 A batch of changes adds to the totals and never recounts: an insert counts +1, a delete -1, a revision -1 with the old
 figures and +1 with the new. Totals are sums of signed deltas, so batches may come in any order and partial sums
-combine before the shuffle, whatever share of the rows one source has. A batch's deltas are written as one folder
-`batch=<id>` by rename after all its tasks ended; a batch id that is already there is not applied again, so a retried
-commit changes nothing.
+combine before the shuffle, whatever share of the rows one source has. A batch's deltas are one folder `batch=<id>`, which
+counts from the moment Spark has put its _SUCCESS file there, after all tasks ended; nothing is renamed. A half-written folder
+counts for nothing and is written over by the next try; a batch that counts is not applied again, so a retried commit
+changes nothing. One batch id is committed by one writer at a time. compact() keeps the ids of the batches it adds up.
 
 Edge cases: null or empty text counts as a document of 0 tokens; null source or lang is a group of its own; doc_id is
 not read, so null or repeated ones count row by row, as do repeated rows; a null op counts as an insert; extra columns
@@ -13,19 +14,18 @@ are ignored; an empty batch commits without rows; groups whose documents are all
 
 from __future__ import annotations
 
-import contextlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels
 from .bytebpe import _pattern, coder
-from .common import Scratch, drop_path, prepare, read_table
+from .common import Scratch, prepare, read_table
 
 DELTAS = "source string, lang string, tokenizer string, n_documents bigint, n_tokens bigint"
 VERSION = "byte_bpe_50k@1"
 KEYS = ["source", "lang", "tokenizer"]
+BASE = "compacted"
 
 
 def count_tokens(rows: DataFrame, column: str, into: str, path: str) -> DataFrame:
@@ -78,46 +78,71 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[str]:
+    def _is(self, path: str) -> bool:
+        return self._fs.exists(self._path(f"{path}/_SUCCESS"))
+
+    def _folders(self) -> list[str]:
+        """Batches with a folder of their own."""
         if not self._fs.exists(self._path(self.root)):
             return []
-        return sorted(s.getPath().getName().removeprefix("batch=") for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("batch="))
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self._is(f"{self.root}/{n}"))
+
+    def committed(self) -> list[str]:
+        """Ids of all batches that count, those that were added up among them."""
+        held = f"{self.root}/held"
+        older = [r[0] for r in self.spark.read.schema("batch string").parquet(held).collect()] if self._is(held) else []  # names of batches
+        return sorted({*older, *(b for b in self._folders() if b != BASE)})
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Add a batch's deltas; False if that batch was committed before."""
-        final, staged = f"{self.root}/batch={batch}", f"{self.root}/_staged-{batch}"
-        if self._fs.exists(self._path(final)):
-            return False
-        rows.write.mode("overwrite").parquet(staged)
-        if self._fs.exists(self._path(final)) or not self._fs.rename(self._path(staged), self._path(final)):
-            with contextlib.suppress(Exception):
-                drop_path(self.spark, staged)
+        if batch == BASE or not batch:
+            raise ValueError(f"a batch can't be called {batch!r}")
+        if batch in self.committed():
             return False
+        self._write(rows, f"batch={batch}")
         return True
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/{name}")
+        if not self._is(f"{self.root}/{name}"):
+            raise RuntimeError(f"{self.root}/{name} has no _SUCCESS file: the batch doesn't count")
+
     def totals(self) -> DataFrame:
-        paths = [f"{self.root}/batch={b}" for b in self.committed()]
+        paths = [f"{self.root}/batch={b}" for b in self._folders()]
         rows = self.spark.read.schema(DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], DELTAS)
         return rows.groupBy(*KEYS).agg(F.sum("n_documents").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
 
-    def compact(self, into: str) -> DataFrame:
-        """The totals as one table elsewhere, for a new rollup to start from."""
-        self.totals().write.mode("overwrite").parquet(into)
-        return self.spark.read.schema(DELTAS).parquet(into)
+    def compact(self, into: str) -> Rollup:
+        """A new rollup elsewhere that starts with these totals and knows these batches; use it once this returns."""
+        new = Rollup(self.spark, into)
+        new._write(self.spark.createDataFrame([(b,) for b in self.committed()], "batch string"), "held")
+        new._write(self.totals(), f"batch={BASE}")
+        return new
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents inserted in one batch, that batch retried: totals by source, language and tokenizer version."""
+    """Totals by source, language and tokenizer version of all documents, kept by batches of every kind.
+
+    All documents are inserted; then those with doc_id divisible by 100 are revised, deleted as revised, and inserted as
+    they are. Each batch is committed twice, as after a lost reply. The totals are those of the table.
+    """
     import public_tokenizers
 
-    docs = read_table(spark, sf_dir, "documents").select(F.lit("insert").alias("op"), "source", "lang", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     roll = Rollup(spark, Scratch(spark, "tokens").root)
-    batch = deltas(docs, path, VERSION)
-    roll.commit("0001-load", batch)
-    roll.commit("0001-load", batch)  # a retry: nothing is added, nothing recounted
+    some, revised = docs.where("doc_id % 100 = 0"), F.concat(F.coalesce("text", F.lit("")), F.lit(" revised"))
+    batches = {
+        "0001-load": docs.withColumn("op", F.lit("insert")),
+        "0002-revise": some.select(F.lit("revise").alias("op"), "source", "lang", revised.alias("text"), F.col("text").alias("old_text")),
+        "0003-delete": some.select(F.lit("delete").alias("op"), "source", "lang", revised.alias("text")),
+        "0004-insert": some.withColumn("op", F.lit("insert")),
+    }
+    for _ in range(2):
+        for name, changes in batches.items():
+            roll.commit(name, deltas(changes, path, VERSION))
     return roll.totals()

@@ -1,6 +1,7 @@
 """The text operators against brute force: every operator over the same rows with nulls, ties, repeats and long texts."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -8,10 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import bytebpe, merkle, ngram_join, packing, pii, quality, queries, secrets, suffix_dedup, token_counts
+from kgspark.llm import bytebpe, kernels, merkle, ngram_join, packing, pii, quality, queries, secrets, suffix_dedup, token_counts
 
 
 def sha(x) -> str:
@@ -349,21 +351,62 @@ def test_added_tokens_are_whole():
         assert np.frombuffer(enc.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def one_bin_at_a_time(counts, capacity):
+    """Best-two-fit over single pieces: lists of lengths, one for each bin."""
+    left, bins = sorted((n for n, m in counts.items() for _ in range(m)), reverse=True), []
+    while left:
+        held, rest, gap = [], [], capacity
+        for n in left:
+            if n <= gap:
+                held.append(n)
+                gap -= n
+            else:
+                rest.append(n)
+        if gap and len(held) > 1:
+            room, best = gap + held[-1], (held[-1], None)
+            for i, x in enumerate(rest):
+                for y in rest[i + 1 :]:
+                    if x + y <= room and x + y > best[0]:
+                        best = (x + y, (x, y))
+            if best[1]:
+                rest.append(held.pop())
+                for n in best[1]:
+                    rest.remove(n)
+                    held.append(n)
+        bins.append(sorted(held))
+        left = sorted(rest, reverse=True)
+    return bins
+
+
 def test_plan_equals_one_bin_at_a_time():
     """Equal bins in one step give what single steps give."""
     r = random.Random(3)
-    for _ in range(30):
-        counts = {r.randint(1, 40): r.randint(1, 30) for _ in range(r.randint(1, 12))}
+    for _ in range(60):
+        counts = {r.randint(1, 40): r.randint(1, 12) for _ in range(r.randint(1, 9))}
         table = packing.plan(counts, 40)
-        placed, used = defaultdict(int), defaultdict(list)
+        used, bins = defaultdict(list), defaultdict(list)
         for n, first, times, seq, off in table.tolist():
-            placed[n] += times
             used[n] += list(range(first, first + times))
-            assert off + n <= 40
-        assert dict(placed) == counts and all(sorted(v) == list(range(counts[k])) for k, v in used.items())
+            for k in range(times):
+                assert off == sum(bins[seq + k])
+                bins[seq + k].append(n)
+        assert {n: sorted(v) for n, v in used.items()} == {n: list(range(m)) for n, m in counts.items()}
+        want = one_bin_at_a_time(counts, 40)
+        assert sorted(map(sum, bins.values())) == sorted(map(sum, want)) or len(bins) == len(want)
+        assert all(sum(b) <= 40 for b in bins.values()) and len(bins) == len(want)
     assert len(packing.plan({}, 40)) == 0
 
 
+def test_encoder_equals_the_tokenizer_on_whole_tables(sf):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()
+    tok, enc = Tokenizer.from_file(packing.default_vocabulary()), packing.Encoder(packing.default_vocabulary())
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == e.ids
+
+
 def test_two_pieces_replace_a_smallest_one():
     # greedy takes 6 and 3 of 10; instead of 3, 2 + 2 fill the gap of 4
     assert packing.plan({6: 1, 3: 1, 2: 2}, 10)[:3, 0].tolist() == [6, 2, 2]
@@ -471,7 +514,23 @@ def test_token_deltas_and_retries(spark, tmp_path):
     second = make([("delete", "a", "en", "three", None, None, None), ("revise", "b", "en", "one two three", "a", "en", "one two")], "op string, source string, lang string, text string, old_source string, old_lang string, old_text string")
     assert roll.commit("2", second) and roll.committed() == ["1", "2"]
     assert {(r["source"], r["n_documents"], r["n_tokens"]) for r in roll.totals().collect()} == {("a", 0, 0), ("b", 1, 3), (None, 1, 0)}
-    assert roll.compact(f"file://{tmp_path}/base").count() == 3
+    base = roll.compact(f"file://{tmp_path}/base")
+    assert base.totals().count() == 3 and base.committed() == ["1", "2"]
+    assert not base.commit("2", second) and base.commit("3", first) and base.committed() == ["1", "2", "3"]
+    assert {(r["source"], r["n_documents"], r["n_tokens"]) for r in base.totals().collect()} == {("a", 2, 3), ("b", 1, 3), (None, 2, 0)}
+
+
+def test_a_half_written_batch_counts_for_nothing(spark, tmp_path):
+    import os
+
+    import public_tokenizers as P
+
+    roll = token_counts.Rollup(spark, f"file://{tmp_path}/roll")
+    rows = token_counts.deltas(spark.createDataFrame([("insert", "a", "en", "one two")], "op string, source string, lang string, text string"), P.path("byte_bpe_50k.tiktoken"), "v1")
+    assert roll.commit("1", rows)
+    os.remove(f"{tmp_path}/roll/batch=1/_SUCCESS")  # as if the job had died
+    assert roll.committed() == [] and roll.totals().count() == 0
+    assert roll.commit("1", rows) and [(r["n_documents"], r["n_tokens"]) for r in roll.totals().collect()] == [(1, 2)]
 
 
 # op7 -----------------------------------------------------------------------------------------------------------------
@@ -573,6 +632,48 @@ def test_quality_never_learns_from_held_out_rows(spark, sf, table_dir):
     assert (a[0] == b[0]).all() and a[1] == b[1]
 
 
+def test_quality_features_equal_brute_force():
+    """Every feature of every document, written out in Python, stands for one column, as often as it occurs."""
+    r = random.Random(12)
+    texts = [None, "", " .", "A a", *(" ".join(r.choice("the cat Sat on, the!! é mat --".split()) for _ in range(r.randint(1, 60))) for _ in range(60))]
+    columns, at = quality.features(*kernels.texts(pa.array(texts, pa.string())))
+    names = {}
+    for k, t in enumerate(texts):
+        words = [m[0] for m in re.finditer(rb"[0-9a-z\x80-\xff]+|[^\x20\x09-\x0d0-9a-z\x80-\xff]+", (t or "").translate(LOWER).encode())]
+        want = words + list(zip(words, words[1:], strict=False))
+        want += [1] * sum(a == b for a, b in zip(words, words[1:], strict=False)) + [2] * sum(a == b for a, b in zip(words, words[2:], strict=False))
+        got = Counter(columns[at[k] : at[k + 1]].tolist())
+        assert got.total() == len(want)
+        for n, c in zip(words, columns[at[k] : at[k + 1]][:1].tolist(), strict=False):
+            assert names.setdefault(n, c) == c
+        if len(words) == 1:
+            assert quality.counted(columns[at[k] : at[k + 1]]).tolist() == [(columns[at[k]], 1)]
+
+
+def test_quality_training_and_scores_equal_brute_force(spark):
+    """The same updates and dot products with Python numbers."""
+    r = random.Random(13)
+    rows = [(i, " ".join(r.choice(("good", "fine", "text")) if i % 2 else r.choice(("junk", "buy", "text")) for _ in range(r.randint(1, 12)))) for i in range(40)]
+    b, offs = kernels.texts(pa.array([t for _, t in rows]))
+    columns, at = quality.features(b, offs)
+    docs = [Counter(columns[at[k] : at[k + 1]].tolist()) for k in range(len(rows))]
+    z, n = defaultdict(float), defaultdict(float)
+    w = lambda c: 0.0 if abs(z[c]) <= quality.L1 else -(z[c] - math.copysign(quality.L1, z[c])) / ((quality.BETA + math.sqrt(n[c])) / quality.ALPHA + quality.L2)
+    for _ in range(quality.EPOCHS):
+        for k, d in enumerate(docs):
+            x = {c: quality.SCALE * m / d.total() for c, m in d.items()} | {-1: 1.0}
+            p = 1 / (1 + math.exp(-sum(w(c) * v for c, v in x.items())))
+            for c, v in x.items():
+                g, old = (p - k % 2) * v, w(c)
+                z[c] += g - (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / quality.ALPHA * old
+                n[c] += g * g
+    model = quality.train([(quality.counted(columns[at[k] : at[k + 1]]), k % 2) for k in range(len(rows))])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for x in quality.score(df, model).collect():
+        d = docs[x["doc_id"]]
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(-w(-1) - sum(w(c) * quality.SCALE * m / d.total() for c, m in d.items()))), abs=1e-5)
+
+
 def test_quality_edges(spark, edge, clashing, table_dir):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (None, 1, 0), (4, 1, 1), (99, 0, 0)], "doc_id bigint, quality int, toxic int")
     out = quality.op10(spark, table_dir(documents=edge, labels=labels)).collect()
