@@ -32,10 +32,15 @@ class PropertyGraph:
             df = df.filter(where[name]) if name in where else df
             return df.select([F.col(c).alias(f"{name}_{c}") for c in df.columns])
 
-        out, bound = None, {}
+        out, bound, used = None, {}, set()
         for k, m in enumerate(steps):
             a, e, b = m.group(1), m.group(2) or f"_e{k}", m.group(3)
+            if e in used:
+                raise ValueError(f"edge {e!r} stands twice in {motif!r}")
+            used.add(e)
             edge = element(self.edges, e)
+            if a and a == b:  # a loop: both ends are one vertex
+                edge = edge.where(F.col(f"{e}_src") == F.col(f"{e}_dst"))
             on = [F.col(bound[v]) == F.col(f"{e}_{side}") for v, side in ((a, "src"), (b, "dst")) if v in bound]
             if out is None:
                 out = edge
@@ -127,13 +132,15 @@ def degrees(edges: DataFrame, side: str = "dst") -> DataFrame:
     return edges.groupBy(F.col(side).alias("id")).agg(F.count("*").alias("degree"))
 
 
-def closure(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(ancestor, descendant, depth) of child->parent edges(src, dst); shortest depth; each vertex is its own at 0."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(ancestor, descendant, depth) of child->parent edges(src, dst); shortest depth; each vertex is its own at 0. Runs to
+    the fixpoint, cycles included: a pair counts once."""
     ids = edges.select(F.col("src").alias("x")).union(edges.select(F.col("dst").alias("x"))).distinct()
     step = edges.select(F.col("src").alias("child"), F.col("dst").alias("parent")).distinct()
     all_ = ids.select(F.col("x").alias("ancestor"), F.col("x").alias("descendant"), F.lit(0).alias("depth"))
-    front = all_
-    for d in range(1, most + 1):
+    front, d = all_, 0
+    while True:
+        d += 1
         front = front.join(step, F.col("ancestor") == F.col("child")).select(F.col("parent").alias("ancestor"), "descendant").distinct()
         front = cut(front.join(all_, ["ancestor", "descendant"], "left_anti").withColumn("depth", F.lit(d)))
         if not front.limit(1).count():
@@ -142,29 +149,86 @@ def closure(edges: DataFrame, most: int = 20) -> DataFrame:
     return all_
 
 
-def on_cycles(edges: DataFrame, most: int = 4) -> DataFrame:
-    """(id) of the vertices on a cycle of at most `most` edges."""
-    e = edges.select("src", "dst").distinct()
-    walk = e.select(F.col("src").alias("root"), F.col("dst").alias("at"))
-    found = walk.where("root = at").select("root")
-    for _ in range(most - 1):
-        walk = walk.where("root <> at").join(e, F.col("at") == F.col("src")).select("root", F.col("dst").alias("at")).distinct()
-        found = found.union(walk.where("root = at").select("root"))
-    return found.select(F.col("root").alias("id")).distinct()
+def cyclic_core(edges: DataFrame) -> DataFrame:
+    """Edges left when vertices without a way in or without a way out are peeled off, again and again: those on cycles and
+    between them. Empty exactly if the graph has no cycle, whatever a cycle's length."""
+    e = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    n = e.count()
+    while n:
+        inner = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        e = cut(inner.select("src", "dst"))
+        left = e.count()
+        if left == n:
+            break
+        n = left
+    return e
+
 
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """(root, path): cycles in full, from their smallest vertex back to it; one at least for each part of the cyclic core.
 
-def layers(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(id, depth): the longest path that ends at each vertex of an acyclic graph, 0 at its sources."""
+    In the core every vertex has a way on; taking the smallest, and dropping what none comes to, leaves cycles alone.
+    """
+    step = cut(cyclic_core(edges).groupBy("src").agg(F.min("dst").alias("dst")))
+    n = step.count()
+    while n:
+        step = cut(step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        left = step.count()
+        if left == n:
+            break
+        n = left
+    roots = components(step).select(F.col("component").alias("root")).distinct()
+    walk = cut(roots.select("root", F.array("root").alias("path"), F.col("root").alias("at")))
+    done = walk.where("false").select("root", "path")
+    while walk.limit(1).count():
+        walk = cut(walk.join(step, F.col("at") == F.col("src")).select("root", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
+        done = done.union(walk.where("root = at").select("root", "path"))
+        walk = walk.where("root <> at")
+    return done
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(id, depth) of an acyclic graph: the longest path that ends at each vertex, 0 at its sources. A cycle is an error."""
     e = cut(edges.select("src", "dst").distinct())
     ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
     depth = cut(ids.withColumn("depth", F.lit(0)))
-    for _ in range(most):
+    most, d = None, 0
+    while True:
         above = e.join(depth.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("d"))
         nxt = cut(depth.join(above, "id", "left").select("id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("moved")))
-        depth = nxt.select("id", "depth")
+        depth, d = nxt.select("id", "depth"), d + 1
         if not nxt.where("moved").limit(1).count():
             return depth
-    raise ValueError("the graph has a cycle or more layers than allowed")
+        if d % 32 == 0 and most is None:  # a long path or a cycle: tell them apart once
+            if cyclic_core(e).limit(1).count():
+                raise ValueError("the graph has a cycle")
+            most = True
+
+
+def ranks(edges: DataFrame) -> DataFrame:
+    """(id, depth, height, alap): the longest paths to and from each vertex, and the latest layer it can stand in."""
+    down = layers(edges)
+    up = layers(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).select("id", F.col("depth").alias("height"))
+    top = down.agg(F.max("depth").alias("_top"))
+    return down.join(up, "id").crossJoin(F.broadcast(top)).select("id", "depth", "height", (F.col("_top") - F.col("height")).alias("alap"))  # top is one row
+
+
+def neighbourhood(graph: PropertyGraph, focus: str, kind: str, sets: str, moves: str) -> DataFrame:
+    """(ring, id, via): two steps around a vertex. Its kinds, what it sets, what else moves these, and the kinds of those.
+
+    kind, sets and moves are edge relations: narrower -kind-> broader, owner -sets-> parameter, mover -moves-> parameter.
+    """
+    e = lambda rel: graph.edges.where(F.col("rel") == rel).select("src", "dst").distinct()
+    own = e(sets).where(F.col("src") == focus).select(F.col("dst").alias("param"))
+    movers = e(moves).where(F.col("src") != focus).join(own, F.col("dst") == F.col("param")).select(F.col("src").alias("mover"), "param").distinct()
+    kinds = e(kind).select(F.col("src").alias("k"), F.col("dst").alias("of"))
+    rings = [
+        kinds.where(F.col("of") == focus).select(F.lit("kind").alias("ring"), F.col("k").alias("id"), F.col("of").alias("via")),
+        own.select(F.lit("parameter"), "param", F.lit(focus)),
+        movers.select(F.lit("mover"), "mover", "param"),
+        movers.select("mover").distinct().join(kinds, F.col("mover") == F.col("of")).select(F.lit("kind of mover"), "k", "of"),
+    ]
+    return rings[0].union(rings[1]).union(rings[2]).union(rings[3])
 
 
 def dangling(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -195,13 +259,24 @@ def rewrite_boundary(edges: DataFrame, members: DataFrame, box: str) -> tuple[Da
     return outer, inner
 
 
-def preorder(tree: DataFrame, most: int = 20) -> DataFrame:
-    """(id, depth, path) of a tree given as (id, parent), roots having a null parent; sorted by path it is a pre-order walk."""
+def preorder(tree: DataFrame) -> DataFrame:
+    """(id, depth, path) of a tree given as (id, parent), roots having a null parent; sorted by path it is a pre-order walk.
+    What hangs on a cycle has no root and isn't reached."""
     level = tree.where("parent is null").select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))
-    out = level
-    for d in range(1, most + 1):
+    out, d = level, 0
+    while True:
+        d += 1
         level = cut(level.select(F.col("id").alias("parent"), "path").join(tree, "parent").where(~F.array_contains("path", F.col("id"))).select("id", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")))
         if not level.limit(1).count():
-            break
+            return out
         out = out.union(level)
-    return out
+
+
+def taxonomy_walk(ids: DataFrame, broader: DataFrame) -> DataFrame:
+    """(id, depth, path, also) of a hierarchy in which ids(id) may have several parents, broader(id, ord, parent): under its
+    first parent a vertex is walked on from, under the others it stands as a leaf with also = true."""
+    first = broader.groupBy("id").agg(F.min(F.struct("ord", "parent")).alias("p")).select("id", F.col("p.parent").alias("parent"))
+    walk = preorder(ids.select("id").join(first, "id", "left"))
+    rest = broader.join(first, ["id", "parent"], "left_anti").select("id", "parent").distinct()
+    leaves = rest.join(walk.select(F.col("id").alias("parent"), "depth", "path"), "parent").select("id", F.col("depth") + 1, F.concat("path", F.array("id")), F.lit(True))
+    return walk.withColumn("also", F.lit(False)).union(leaves)

@@ -9,8 +9,6 @@ from ..operators import graph as g
 from .base import query
 from .project import CONNECTS_SQL, PLACES_SQL, places, wires
 
-HOPS = 8
-
 
 @query(f"""WITH {CONNECTS_SQL}
 SELECT src, medium, count(*) AS n, array_to_string(list_sort(list(dst)), ', ') AS feeds FROM wires WHERE setup = 'F' GROUP BY 1, 2""")
@@ -110,34 +108,35 @@ def public_subgraph(t):
 
 
 def _reach_sql(where: str, roots: str) -> str:
-    return f"""WITH RECURSIVE {CONNECTS_SQL}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM sparse WHERE {where}),
-r(id, d) AS (SELECT id, 0 FROM ({roots}) UNION SELECT e.dst, d + 1 FROM r JOIN e ON e.src = r.id WHERE d < {HOPS})
-SELECT hops, count(*) AS n FROM (SELECT id, min(d) AS hops FROM r GROUP BY 1) GROUP BY 1"""
+    return f"""WITH RECURSIVE {CONNECTS_SQL}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM wires WHERE {where}),
+r(id, d) USING KEY (id) AS (SELECT id, 0 FROM ({roots}) UNION
+  SELECT e.dst, min(d) + 1 FROM r JOIN e ON e.src = r.id WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS seen WHERE seen.id = e.dst) GROUP BY e.dst)
+SELECT d AS hops, count(*) AS n FROM r GROUP BY 1"""
 
 
-def _hops(t, edges, roots):
-    return g.reach(edges, roots, HOPS).groupBy("hops").agg(F.count("*").alias("n"))
+def _hops(edges, roots):
+    return g.reach(edges, roots).groupBy("hops").agg(F.count("*").alias("n"))
 
 
 @query(_reach_sql("true", "SELECT min(src) AS id FROM e"))
 def reach_hops(t):
     """How many parts are how many hops away from the lowest one."""
-    e = wires(t, sparse=True)
-    return _hops(t, e, e.agg(F.min("src").alias("id")))
+    e = wires(t)
+    return _hops(e, e.agg(F.min("src").alias("id")))
 
 
-@query(_reach_sql("setup = 'O'", "SELECT min(src) AS id FROM e"))
+@query(_reach_sql("setup = 'O' AND medium = 'N'", "SELECT min(src) AS id FROM e"))
 def reach_scoped(t):
-    """The same within setup O: a walk must not leak to another setup."""
-    e = g.scoped(wires(t, sparse=True), "O")
-    return _hops(t, e, e.agg(F.min("src").alias("id")))
+    """The same within setup O along one medium: a walk must not leak to another setup."""
+    e = g.scoped(wires(t), "O").where("medium = 'N'")
+    return _hops(e, e.agg(F.min("src").alias("id")))
 
 
 @query(_reach_sql("true", "SELECT DISTINCT src AS id FROM e ORDER BY 1 LIMIT 5"))
 def reach_multi_root(t):
     """Least hops from any of five roots."""
-    e = wires(t, sparse=True)
-    return _hops(t, e, e.select(F.col("src").alias("id")).distinct().orderBy("id").limit(5))
+    e = wires(t)
+    return _hops(e, e.select(F.col("src").alias("id")).distinct().orderBy("id").limit(5))
 
 
 @query(f"""WITH RECURSIVE {PLACES_SQL}, r(id, depth) AS (SELECT 'region:1', 0 UNION SELECT src, depth + 1 FROM places JOIN r ON dst = r.id)
@@ -168,12 +167,20 @@ def degrees(t):
     return side("dst", "in").union(side("src", "out"))
 
 
-@query(f"""WITH RECURSIVE {CONNECTS_SQL}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM sparse),
-r(root, now, d) AS (SELECT src, dst, 1 FROM e UNION SELECT root, e.dst, d + 1 FROM r JOIN e ON e.src = r.now WHERE d < 4 AND root <> now)
-SELECT DISTINCT root AS id FROM r WHERE root = now""")
+@query()
 def cycle_check(t):
-    """Parts on a cycle of at most four wires."""
-    return g.on_cycles(wires(t, sparse=True), 4)
+    """Parts on cycles of wires or between cycles, whatever their length; no SQL peels a graph."""
+    core = g.cyclic_core(wires(t))
+    return core.select(F.col("src").alias("id")).union(core.select("dst")).distinct()
+
+
+@query("""
+WITH e AS (SELECT DISTINCT o_custkey AS src, o_orderkey AS dst FROM orders WHERE o_orderkey < o_custkey)
+SELECT count(*) FILTER (src = dst) AS loops, count(*) AS edges FROM e""")
+def acyclic_gate(t):
+    """Edges from higher to lower numbers: their count, and how many are on a cycle."""
+    e = t.orders.where("o_orderkey < o_custkey").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")).distinct()
+    return e.agg(F.count("*").alias("edges")).crossJoin(g.cyclic_core(e).agg(F.count("*").alias("loops")))  # one row each
 
 
 @query("""
@@ -257,14 +264,14 @@ def subgraph_extract(t):
     return v.union(g.induced(e, ids).groupBy(kind("src")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("part"), "kind", "n"))
 
 
-@query(f"""WITH {CONNECTS_SQL}, e AS (SELECT DISTINCT src, dst FROM sparse), m AS (SELECT p_partkey AS id FROM part WHERE p_size <= 25),
+@query(f"""WITH {CONNECTS_SQL}, e AS (SELECT DISTINCT src, dst FROM wires), m AS (SELECT p_partkey AS id FROM part WHERE p_size <= 25),
 f AS (SELECT src, dst, src IN (SELECT id FROM m) AS si, dst IN (SELECT id FROM m) AS di FROM e),
 c AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN si THEN src ELSE dst END ORDER BY src, dst) AS n FROM f WHERE si <> di)
 SELECT 'outer' AS side, 'whole' AS kind, count(*) AS n FROM f WHERE NOT si AND NOT di UNION ALL SELECT 'inner', 'whole', count(*) FROM f WHERE si AND di
 UNION ALL SELECT s.side, CASE WHEN n = 1 THEN 'first port' ELSE 'numbered port' END, count(*) FROM c, (VALUES ('outer'), ('inner')) s(side) GROUP BY 1, 2""")
 def boundary_rewrite(t):
     """Wires after the small parts became one node: whole ones, and those cut at a proxy port."""
-    outer, inner = g.rewrite_boundary(wires(t, sparse=True).select("src", "dst").distinct(), t.part.where("p_size <= 25").select(F.col("p_partkey").alias("id")), "box")
+    outer, inner = g.rewrite_boundary(wires(t).select("src", "dst").distinct(), t.part.where("p_size <= 25").select(F.col("p_partkey").alias("id")), "box")
     both = outer.select(F.lit("outer").alias("side"), "port").union(inner.select(F.lit("inner"), "port"))
     kind = F.when(F.col("port").isNull(), "whole").when(F.col("port").contains(" "), "numbered port").otherwise("first port")
     return both.groupBy("side", kind.alias("kind")).agg(F.count("*").alias("n"))
@@ -282,11 +289,24 @@ def relation_rollup(t):
     return x.groupBy("customer_region", "supplier_region").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH s AS (SELECT DISTINCT 'supplier:' || l_suppkey AS s, 'part:' || l_partkey AS p FROM lineitem), own AS (SELECT p FROM s WHERE s = 'supplier:1'),
+m AS (SELECT DISTINCT s, p FROM s WHERE p IN (SELECT p FROM own) AND s <> 'supplier:1'), k AS (SELECT 'nation:' || s_nationkey AS k, 'supplier:' || s_suppkey AS s FROM supplier)
+SELECT 'kind' AS ring, k AS id, s AS via FROM k WHERE s = 'supplier:1' UNION ALL SELECT 'parameter', p, 'supplier:1' FROM own
+UNION ALL SELECT 'mover', s, p FROM m UNION ALL SELECT 'kind of mover', k, s FROM k WHERE s IN (SELECT s FROM m)""")
+def neighbourhood(t):
+    """Two steps around supplier 1: its nation, its parts, the other suppliers of these, and their nations."""
+    sells = t.lineitem.select(F.concat(F.lit("supplier:"), "l_suppkey").alias("src"), F.concat(F.lit("part:"), "l_partkey").alias("dst")).distinct()
+    lives = t.supplier.select(F.concat(F.lit("nation:"), "s_nationkey").alias("src"), F.concat(F.lit("supplier:"), "s_suppkey").alias("dst"), F.lit("kind").alias("rel"))
+    edges = lives.unionByName(sells.withColumn("rel", F.lit("sells")))
+    return g.neighbourhood(g.PropertyGraph(edges.select(F.col("src").alias("id")), edges), "supplier:1", "kind", "sells", "sells")
+
+
 @query("""
 WITH n AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
 SELECT a, b, count(*) AS n FROM n WHERE b IS NOT NULL GROUP BY 1, 2""")
-def neighbourhood(t):
-    """Which action follows which, one step around each."""
+def follow_ups(t):
+    """Which action follows which."""
     x = t.events.select(F.col("event_type").alias("a"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b"))
     return x.where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -304,11 +324,32 @@ def schema_counts(t):
 
 
 @query("""
-SELECT 'region:' || n_regionkey AS root, count(*) + 1 AS nodes, max(1)::INTEGER AS depth FROM nation GROUP BY 1""")
+WITH sells AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), first AS (SELECT p, min(s) AS s FROM sells GROUP BY 1),
+up AS (SELECT s_suppkey AS s, 'region:' || n_regionkey || '/nation:' || n_nationkey || '/supplier:' || s_suppkey AS path FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT 'region:' || r_regionkey AS id, 0 AS depth, 'region:' || r_regionkey AS path, false AS also FROM region
+UNION ALL SELECT 'nation:' || n_nationkey, 1, 'region:' || n_regionkey || '/nation:' || n_nationkey, false FROM nation
+UNION ALL SELECT 'supplier:' || s, 2, path, false FROM up
+UNION ALL SELECT 'part:' || p, 3, path || '/part:' || p, s <> (SELECT f.s FROM first f WHERE f.p = sells.p) FROM sells JOIN up USING (s)""")
 def tree_walk(t):
-    """Regions and nations walked from the top: size and depth of each tree."""
-    tree = t.nation.select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.concat(F.lit("region:"), "n_regionkey").alias("parent")).union(t.region.select(F.concat(F.lit("region:"), "r_regionkey"), F.lit(None).cast("string")))
-    return g.preorder(tree).groupBy(F.get("path", F.lit(0)).alias("root")).agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"))
+    """Regions, nations, suppliers and parts in pre-order; a part stands under its first supplier, and as a leaf under others."""
+    tag = lambda k, c: F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))
+    sells = t.lineitem.select(tag("part", "l_partkey").alias("id"), F.col("l_suppkey").alias("ord"), tag("supplier", "l_suppkey").alias("parent")).distinct()
+    zero = F.lit(0).cast("bigint").alias("ord")
+    broader = sells.union(t.supplier.select(tag("supplier", "s_suppkey"), zero, tag("nation", "s_nationkey"))).union(t.nation.select(tag("nation", "n_nationkey"), zero, tag("region", "n_regionkey")))
+    ids = broader.select("id").union(broader.select("parent")).distinct()
+    return g.taxonomy_walk(ids, broader).select("id", "depth", F.array_join("path", "/").alias("path"), "also")
+
+
+@query("""
+WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)
+SELECT id, d AS depth, h AS height, 2 - h AS alap FROM (
+  SELECT 'r' || r_regionkey AS id, 0 AS d, CASE WHEN EXISTS (SELECT 1 FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey) THEN 2 ELSE 1 END AS h FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+  UNION ALL SELECT 'n' || n_nationkey, 1, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 1 ELSE 0 END FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 2, 0 FROM supplier)""")
+def layer_ranks(t):
+    """Depth, height and latest layer of regions, nations and suppliers."""
+    e = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    return g.ranks(e.union(t.supplier.select(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("s"), "s_suppkey"))))
 
 
 @query("""

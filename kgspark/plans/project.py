@@ -10,19 +10,15 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 CONNECTS_SQL = """
 nx AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst,
-       l_returnflag AS medium, l_linestatus AS setup, l_quantity AS q FROM lineitem),
-wires AS (SELECT DISTINCT src, dst, medium, setup FROM nx WHERE dst IS NOT NULL AND src <> dst),
-sparse AS (SELECT DISTINCT src, dst, setup FROM nx WHERE dst IS NOT NULL AND src <> dst AND medium = 'R' AND q >= 40)
+       l_returnflag AS medium, l_linestatus AS setup FROM lineitem),
+wires AS (SELECT DISTINCT src, dst, medium, setup FROM nx WHERE dst IS NOT NULL AND src <> dst)
 """
 
 
-def wires(t, sparse: bool = False) -> DataFrame:
+def wires(t) -> DataFrame:
     """CONNECTS edges(src, dst, medium, setup): each line's part to the next line's part of the order."""
-    nx = t.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).alias("dst"), F.col("l_returnflag").alias("medium"), F.col("l_linestatus").alias("setup"), F.col("l_quantity").alias("q"))
-    e = nx.where("dst is not null and src <> dst")
-    if sparse:
-        e = e.where("medium = 'R' and q >= 40")
-    return e.select("src", "dst", "medium", "setup").distinct()
+    nx = t.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)).alias("dst"), F.col("l_returnflag").alias("medium"), F.col("l_linestatus").alias("setup"))
+    return nx.where("dst is not null and src <> dst").distinct()
 
 
 def places(t) -> DataFrame:

@@ -30,6 +30,10 @@ def test_motifs(spark, five):
         five.find("(a)-[e]->(b); (c)-[f]->(d)")
     with pytest.raises(ValueError):
         five.find("(a)--(b)")
+    with pytest.raises(ValueError):
+        five.find("(a)-[e]->(b); (b)-[e]->(c)")
+    loops = g.PropertyGraph(five.vertices, spark.createDataFrame([("a", "a"), ("a", "b")], "src string, dst string"))
+    assert ids(loops.find("(x)-[e]->(x)"), "x_id") == [("a",)] and loops.find("(x)-[e]->(y)").count() == 2
 
 
 def test_visibility_follows_the_ends(five):
@@ -47,9 +51,60 @@ def test_closure_layers_cycles(spark, five):
     e = spark.createDataFrame([("x", "y"), ("y", "z"), ("x", "z")], "src string, dst string")
     assert ("z", "x", 1) in ids(g.closure(e), "ancestor", "descendant", "depth")
     assert ids(g.layers(e), "id", "depth") == [("x", 0), ("y", 1), ("z", 2)]
-    assert ids(g.on_cycles(five.edges, 3), "id") == [("a",), ("b",), ("c",)]
+    assert ids(g.cycle_paths(five.edges), "root", "path") == [("a", ["a", "b", "c", "a"])]
+    assert ids(g.ranks(e), "id", "depth", "height", "alap") == [("x", 0, 2, 0), ("y", 1, 1, 1), ("z", 2, 0, 2)]
     with pytest.raises(ValueError):
-        g.layers(five.edges, most=6)
+        g.layers(five.edges)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
+    assert g.layers(chain).agg(F.max("depth")).first()[0] == 40 and g.closure(chain).agg(F.max("depth")).first()[0] == 40
+
+
+def test_cyclic_core_equals_brute_force(spark):
+    """Peeled graphs and cycles of any length against a search from every vertex."""
+    import random
+
+    for seed in range(4):
+        r = random.Random(seed)
+        pairs = {(r.randint(0, 25), r.randint(0, 25)) for _ in range(30)} | ({(100 + k, 100 + (k + 1) % 12) for k in range(12)} if seed else set())
+        to = {a: {y for x, y in pairs if x == a} for a, _ in pairs}
+
+        def reached(a, to=to):
+            seen, todo = set(), [a]
+            while todo:
+                for y in to.get(todo.pop(), ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            return seen
+
+        on = {a for a in to if a in reached(a)}
+        between = {x for x in {v for p in pairs for v in p} if (x in on or any(x in reached(a) for a in on)) and (x in on or reached(x) & on)}
+        df = spark.createDataFrame(sorted(pairs), "src int, dst int")
+        core = g.cyclic_core(df)
+        got = {v for e in core.collect() for v in e}
+        assert got == between
+        for row in g.cycle_paths(df).collect():
+            p = row["path"]
+            assert p[0] == p[-1] == min(p) and all(y in to[x] for x, y in zip(p, p[1:], strict=False))
+        assert (g.cycle_paths(df).count() > 0) == bool(on)
+
+
+def test_the_small_environment_graph(spark):
+    v = spark.createDataFrame([(x,) for x in "abcx"], "id string")
+    e = spark.createDataFrame([("b", "a"), ("a", "c"), ("b", "c")], "src string, dst string")
+    graph = g.PropertyGraph(v, e)
+    assert ids(g.degrees(e), "id", "degree") == [("a", 1), ("c", 2)]
+    assert ids(graph.find("(p)-[e]->(c); (q)-[f]->(c)", having="p_id < q_id"), "p_id", "q_id", "c_id") == [("a", "b", "c")]
+    assert ids(g.components(e, v), "id", "component") == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")]
+
+
+def test_two_steps_around_and_walk_with_several_parents(spark):
+    e = spark.createDataFrame([("k1", "f", "kind"), ("f", "p", "sets"), ("m", "p", "moves"), ("k2", "m", "kind"), ("m", "q", "moves")], "src string, dst string, rel string")
+    out = g.neighbourhood(g.PropertyGraph(e.select(F.col("src").alias("id")), e), "f", "kind", "sets", "moves")
+    assert ids(out, "ring", "id", "via") == [("kind", "k1", "f"), ("kind of mover", "k2", "m"), ("mover", "m", "p"), ("parameter", "p", "f")]
+    b = spark.createDataFrame([("b", 0, "a"), ("c", 0, "a"), ("d", 0, "b"), ("d", 1, "c"), ("e", 0, "d")], "id string, ord int, parent string")
+    walk = g.taxonomy_walk(spark.createDataFrame([(x,) for x in "abcde"], "id string"), b)
+    assert ids(walk, "path", "also") == [(["a"], False), (["a", "b"], False), (["a", "b", "d"], False), (["a", "b", "d", "e"], False), (["a", "c"], False), (["a", "c", "d"], True)]
 
 
 def test_integrity(spark, five):
