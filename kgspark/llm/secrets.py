@@ -122,7 +122,9 @@ def with_secrets(docs: DataFrame, table: list[float] | None) -> DataFrame:
     df = scanned(docs)
     if table is None:
         return df.withColumn("spans", F.col("base"))
-    df = with_spans(df, "_token", "_t", TOKEN)
+    # most texts hold no such token: places are looked for only where one does
+    df = df.withColumn("_some", F.exists(F.regexp_extract_all("_t", F.lit(TOKEN), F.lit(0)), lambda w: evidence(w, table) >= LIMIT))
+    df = with_spans(df, "_token", "_t", TOKEN, F.col("_some"))
     df = df.withColumn("_markov", F.filter(_apart("_token"), lambda w: evidence(w["text"], table) >= LIMIT))
     more = F.transform("_markov", lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")))
     return df.withColumn("spans", F.array_sort(F.concat("base", more)))
