@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The named entities that occur in page text.
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "-", "mdash": "-", "#39": "'", "amp": "&"}
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def unescape(text: Column) -> Column:
+    """Character references read: decimal, hexadecimal, and the names of HTML 4 (and apos); others stay as they are."""
+    names = {n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    plain = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    char = lambda n: F.when(plain(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    numeric = lambda x: F.when(x.startswith("&#x") | x.startswith("&#X"), F.conv(F.regexp_extract(x, "([0-9A-Fa-f]+);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "([0-9]+);$", 1)).try_cast("int")
+    read = lambda x: F.coalesce(F.when(x.startswith("&#"), char(numeric(x))).otherwise(F.try_element_at(table, F.regexp_extract(x, "^&(.*);$", 1))), x)
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), read)
+    whole = F.array_join(F.zip_with(F.split(text, ENTITY, -1), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
@@ -14,8 +28,7 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"<[^>]*>", "\n")
-    for name, char in ENTITIES.items():
-        x = F.regexp_replace(x, f"&{name};", char)
+    x = unescape(x)
     x = F.regexp_replace(x, "[‐-―−]", "-")
     x = F.regexp_replace(x, r"(?<=\d),(?=\d{3}(?!\d))", "")
     x = F.regexp_replace(x, r"[ \t\x0B\f\r ]+", " ")
@@ -124,13 +137,103 @@ def same_line(docs: DataFrame, id_col: str, word: Column, number: Column, text:
 
 
 def clean_page(text: Column) -> Column:
-    """Page text without zero-width characters, bare page numbers, blanks at line ends and runs of empty lines."""
-    x = F.regexp_replace(text, "[​-‍﻿­]", "")
-    x = F.regexp_replace(x, r"(?m)^\s*\d{1,4}\s*$\n?", "")
-    x = F.regexp_replace(x, r"(?m)[ \t]+$", "")
-    return F.regexp_replace(x, r"\n{3,}", "\n\n")
-
-
-def word_lines(text: Column, least: int = 2) -> Column:
-    """The lines with at least so many words of three letters or more."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: F.regexp_count(line, F.lit(r"\p{L}{3,}")) >= least), "\n")
+    """Page text without zero-width characters, figure captions in markers, style tags and bold marks around headings, bare
+    page numbers, blanks at line ends and runs of empty lines."""
+    steps = [
+        ("[\u200b-\u200d\ufeff\u2060\u00ad]", ""),
+        (r"(?is)<!--\s*figure\b.*?-->", ""),
+        (r"(?is)</?(?:span|font|u|sup|sub|br)\b[^>]*>", ""),
+        (r"(?m)^(#{1,6}[ \t]+)\*\*(.+?)\*\*[ \t]*$", "$1$2"),
+        (r"(?im)^[ \t]*(?:page[ \t]+)?\d{1,4}[ \t]*(?:\n|\z)", ""),
+        (r"(?m)[ \t]+$", ""),
+        (r"\n{3,}", "\n\n"),
+    ]
+    for pattern, by in steps:
+        text = F.regexp_replace(text, pattern, by)
+    return text
+
+
+def word_lines(text: Column, least: int = 2, foreign: list[str] | None = None) -> Column:
+    """The lines with at least so many words of three letters or more; with foreign words given, a block (what stands between
+    empty lines) goes if it holds more of these than lines."""
+    kept = text
+    if foreign:
+        words = r"(?i)(?<!\p{L})(?:" + "|".join(foreign) + r")(?!\p{L})"
+        own = lambda block: F.regexp_count(block, F.lit(words)) <= F.size(F.split(block, "\n"))
+        kept = F.array_join(F.filter(F.split(kept, r"\n[ \t]*\n"), own), "\n\n")
+    return F.array_join(F.filter(F.split(kept, "\n"), lambda line: F.regexp_count(line, F.lit(r"\p{L}{3,}")) >= least), "\n")
+
+
+LOCATED = "id string, ord int, title string, at int, found int, how string"
+
+
+def locate_headings(docs: DataFrame, headings: DataFrame) -> DataFrame:
+    """(id, ord, title, at, found, how): where each of headings(id, ord, title, lo, hi) stands in docs(id, text).
+
+    Within its window [lo, hi) of the text a heading is looked for as a Markdown heading, as a line of its own, as the start
+    of a line, at last anywhere; case and blanks don't count. A place that a heading before it took isn't taken again, so the
+    headings of one document go one after the other; what isn't found has nulls. `found` is the length of what was met.
+    """
+    import re
+
+    import pandas as pd
+
+    def go(texts: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        out, taken = [], set()
+        text = texts.text.iloc[0] if len(texts) and texts.text.iloc[0] is not None else ""
+        for h in wanted.sort_values("ord").itertuples():
+            words = r"[ \t]+".join(map(re.escape, (h.title or "").split()))
+            forms = [("heading", rf"(?im)^#{{1,6}}[ \t]+\W*{words}\W*$"), ("line", rf"(?im)^[ \t]*{words}[ \t]*$"), ("start", rf"(?im)^[ \t]*{words}\b"), ("anywhere", rf"(?i){words}")]
+            lo = 0 if pd.isna(h.lo) else int(h.lo)
+            hi = len(text) if pd.isna(h.hi) else min(int(h.hi), len(text))
+            hit = None
+            for how, pattern in forms if words else []:
+                hit = next(((m.start(), m.end() - m.start(), how) for m in re.compile(pattern).finditer(text, lo, hi) if m.start() not in taken), None)
+                if hit:
+                    taken.add(hit[0])
+                    break
+            out.append((h.id, h.ord, h.title, *(hit or (None, None, None))))
+        return pd.DataFrame(out, columns=["id", "ord", "title", "at", "found", "how"]).astype({"at": "Int32", "found": "Int32"})
+
+    return docs.select("id", "text").groupBy("id").cogroup(headings.groupBy("id")).applyInPandas(go, LOCATED)
+
+
+def pages_covered(marks: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, ord, first_page, last_page): the pages of marks(id, at, page) inside each section of starts(id, ord, at, until), the
+    one in effect at its start among them."""
+    both = marks.select("id", "at", "page", F.lit(None).cast("int").alias("ord"), F.lit(0).alias("k")).union(starts.select("id", "at", F.lit(None).cast("int"), F.col("ord").cast("int"), F.lit(1)))
+    w = Window.partitionBy("id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
+    now = both.withColumn("page", F.last("page", True).over(w)).withColumn("ord", F.last("ord", True).over(w))
+    return now.where("ord is not null").groupBy("id", "ord").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
+MARK = r"<!-- page (\d+) -->"
+
+
+def assemble(docs: DataFrame, located: DataFrame, least: int = 60, headers: int = 3) -> DataFrame:
+    """(id, ord, title, slug, first_page, last_page, body, file): sections of docs(id, text) cut at located headings.
+
+    Each runs to the next heading found. Its own heading, page marks and running headers (lines that stand `headers` times or
+    more in the document, titles or short ones without an end mark) are dropped; stubs shorter than `least` are left out and
+    the rest numbered; a title met again gets ' (continued)'. `file` is the section with a header of its fields.
+    """
+    spots = located.where("at is not null").join(docs.select("id", F.length("text").alias("_n"), "text"), "id")
+    spots = next_boundary(spots, ["id"], "at", F.col("_n"))
+    lines = docs.select("id", F.explode(F.split("text", "\n")).alias("line")).select("id", F.trim("line").alias("line")).where("line <> '' and length(line) <= 60")
+    often = lines.where(~F.col("line").rlike(r"[.!?:;]$|^[-*|#<]")).groupBy("id", "line").agg(F.count("*").alias("n")).where(F.col("n") >= headers)
+    running = often.groupBy("id").agg(F.collect_set("line").alias("_running"))  # a document's few headers
+    own = F.expr("substring(text, at + 1 + found, until - at - found)")
+    kept = F.filter(F.split(F.regexp_replace(own, MARK, ""), "\n"), lambda x: ~F.array_contains(F.coalesce("_running", F.array().cast("array<string>")), F.trim(x)))
+    cut = spots.join(running, "id", "left").withColumn("body", F.regexp_replace(clean_page(F.array_join(kept, "\n")), r"^\s+|\s+$", ""))
+    marks = docs.select("id", F.posexplode(F.split("text", f"(?={MARK})")).alias("p", "part"))
+    before = F.coalesce(F.sum(F.length("part")).over(Window.partitionBy("id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = marks.withColumn("at", before.cast("int")).withColumn("page", F.nullif(F.regexp_extract("part", "^" + MARK, 1), F.lit("")).cast("int")).where("page is not null")
+    pages = pages_covered(marks.select("id", "at", "page"), spots.select("id", "ord", "at", "until"))
+    good = cut.drop("text").where(F.length("body") >= least).join(pages, ["id", "ord"], "left")
+    w = Window.partitionBy("id").orderBy("at")
+    again = F.row_number().over(Window.partitionBy("id", F.lower("title")).orderBy("at")) > 1
+    named = good.withColumn("title", F.when(again, F.concat("title", F.lit(" (continued)"))).otherwise(F.col("title"))).withColumn("ord", F.row_number().over(w))
+    named = named.withColumn("slug", F.concat(F.lpad(F.col("ord").cast("string"), 3, "0"), F.lit("-"), slug(F.col("title"))))
+    page = F.when(F.col("first_page").isNotNull(), F.concat(F.lit("pages: "), F.concat_ws("-", F.col("first_page").cast("string"), F.col("last_page").cast("string")), F.lit("\n"))).otherwise("")
+    title = F.concat(F.lit('title: "'), F.regexp_replace("title", '"', "'"), F.lit('"\n'))
+    return named.select("id", "ord", "title", "slug", "first_page", "last_page", "body", F.concat(F.lit("---\n"), title, F.lit("document: "), F.col("id"), F.lit("\n"), page, F.lit("---\n"), F.col("body"), F.lit("\n")).alias("file"))
