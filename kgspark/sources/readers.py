@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import relational
+
 SECTIONS = "doc_id string, file string, header string, meta map<string,string>, body string"
 
 
@@ -80,6 +82,32 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.regexp_extract("p", r"([^/]+)/[^/]+$", 1).alias("doc_id"), F.regexp_extract("p", r"([^/]+)$", 1).alias("file"), header.alias("header"), F.map_from_entries(pairs).alias("meta"), body.alias("body"))
 
 
+def section_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, ord, file, header, meta, body) of the numbered Markdown files `[0-9]*.md` of each document folder, in the order of
+    their names; the header is no part of the body."""
+    df = markdown(spark, path).where(F.col("file").rlike(r"^[0-9].*\.md$"))
+    return df.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("file")).alias("ord"), "file", "header", "meta", "body")
+
+
+def rows(spark: SparkSession, records: list[dict], schema: StructType) -> DataFrame:
+    """Local records (of a configuration, say) with exactly the schema's columns: each value cast to its type as text is, null
+    where that fails or where it is missing. Lists and maps keep their structure."""
+    from pyspark.sql.types import ArrayType, MapType, StringType, StructField
+
+    plain = lambda f: not isinstance(f.dataType, ArrayType | MapType | StructType)
+    read = StructType([StructField(f.name, StringType() if plain(f) else f.dataType) for f in schema.fields])
+    told = lambda v: v if v is None or isinstance(v, str) else ("true" if v else "false") if isinstance(v, bool) else str(v)
+    data = [tuple(told(r.get(f.name)) if plain(f) else r.get(f.name) for f in schema.fields) for r in records]
+    df = spark.createDataFrame(data, read)
+    return df.select(*[(F.col(f.name).try_cast(f.dataType) if plain(f) else F.col(f.name)).alias(f.name) for f in schema.fields])
+
+
+def overlaid(seed: DataFrame, path: str, schema: StructType | str, keys: list[str], name: str, columns: list[str], at: str | None = None) -> DataFrame:
+    """seed rows with the edits of an overlay file on top; without the file the seed alone, in the same columns."""
+    spark = seed.sparkSession
+    return relational.overlay(seed, optional(spark, path, schema, lambda p: yaml_documents(spark, p, schema, at)), keys, name, columns)
+
+
 def functions(spark: SparkSession, path: str, language: str) -> DataFrame:
     """(file, name, line, calls, doc) of the functions defined in Python or JavaScript files."""
 

@@ -43,3 +43,42 @@ def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each row as a line of a Markdown table."""
     cells = [F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", "\\\\|"), F.lit("")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def nested_report(df: DataFrame, levels: list[str], into: str = "rows") -> DataFrame:
+    """One row of nested JSON a value of the first level: each level's values hold the next, the last the rows, all sorted."""
+    out, name = report(df, levels, into), into
+    for k in range(len(levels) - 1, 0, -1):
+        out = out.groupBy(*levels[:k]).agg(F.array_sort(F.collect_list(F.struct(levels[k], name))).alias(f"by_{levels[k]}"))
+        name = f"by_{levels[k]}"
+    return out.select(levels[0], F.to_json(F.struct(levels[0], name)).alias("value"))
+
+
+def pages(df: DataFrame, keys: list[str], columns: list[str], title: Column, order: list[str]) -> DataFrame:
+    """keys and `page`: a Markdown page for each group, its title over a table of its rows."""
+    lines = df.withColumn("_title", title).withColumn("_line", F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\|", "\\\\|"), F.lit("")) for c in columns]), F.lit(" |")))
+    head = "| " + " | ".join(columns) + " |\n|" + "-|" * len(columns) + "\n"
+    g = lines.groupBy(*keys).agg(F.min("_title").alias("_title"), F.array_sort(F.collect_list(F.struct(*order, "_line"))).alias("_rows"))
+    return g.select(*keys, F.concat(F.lit("# "), F.col("_title"), F.lit("\n\n" + head), F.array_join(F.transform("_rows", lambda r: r["_line"]), "\n"), F.lit("\n")).alias("page"))
+
+
+def index(pages_: DataFrame, link: Column, title: Column) -> DataFrame:
+    """One row `value`: the list of all pages as Markdown links; it is a list of pages, not of rows."""
+    return pages_.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(title.alias("t"), link.alias("l")))), lambda x: F.concat(F.lit("- ["), x["t"], F.lit("]("), x["l"], F.lit(")"))), "\n").alias("value"))
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file so that readers see the old or the new one, never half: to a name beside it, then renamed over it."""
+    import uuid
+
+    jvm = spark._jvm
+    p, staged = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{uuid.uuid4().hex[:8]}.part"))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration())
+    out = staged.getFileSystem(spark._jsc.hadoopConfiguration()).create(staged)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(staged, p, options)
