@@ -57,7 +57,7 @@ def support(specs: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
 def attest(specs: DataFrame, rules: DataFrame, id_cols: list[str]) -> DataFrame:
     """specs(field, status, role, ...) with the id of the first rule(rule_ord, id, fields, statuses, roles) that fits."""
     fits = F.array_contains("fields", F.col("field")) & F.array_contains("statuses", F.col("status")) & F.array_contains("roles", F.col("role"))
-    hit = specs.join(F.broadcast(rules), fits).groupBy(*id_cols).agg(F.min(F.struct("rule_ord", "id")).alias("_r")).select(*id_cols, F.col("_r.id").alias("attested"))
+    hit = specs.join(rules, fits).groupBy(*id_cols).agg(F.min(F.struct("rule_ord", "id")).alias("_r")).select(*id_cols, F.col("_r.id").alias("attested"))
     return specs.join(hit, id_cols, "left")
 
 

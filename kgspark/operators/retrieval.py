@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def bm25(doc_tokens: DataFrame, query_tokens: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, doc_id, score) for doc_tokens(doc_id, token, n) and query_tokens(qid, token), all documents that share a token.
+def bm25(doc_tokens: DataFrame, query_tokens: DataFrame, variants: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """(qid, doc_id, a score for each of variants {name: (k1, b)}) for doc_tokens(doc_id, token, n) and query_tokens(qid, token), all
+    documents that share a token. By default one variant, `score`.
 
-    Corpus statistics are three aggregates; only the query's tokens' postings are joined.
+    Corpus statistics are three aggregates; only the query's tokens' postings are joined, once for all variants.
     """
     length = doc_tokens.groupBy("doc_id").agg(F.sum("n").alias("dl"))
     corpus = length.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
@@ -20,8 +21,20 @@ def bm25(doc_tokens: DataFrame, query_tokens: DataFrame, k1: float = K1, b: floa
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
     x = postings.join(df, "token").join(length, "doc_id").join(q, "token").crossJoin(F.broadcast(corpus))  # corpus: one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return x.groupBy("qid", "doc_id").agg(F.sum(idf * tf).alias("score"))
+    tf = lambda k1, b: F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return x.groupBy("qid", "doc_id").agg(*[F.sum(idf * tf(k1, b)).alias(name) for name, (k1, b) in (variants or {"score": (K1, B)}).items()])
+
+
+def ranks_of(scores: DataFrame, wanted: DataFrame, variants: list[str]) -> DataFrame:
+    """(variant, qid, rank) of the first of each question's wanted(qid, doc_id) documents, null where none has a score.
+
+    A rank is one more than the number of documents before it, so nothing is sorted: each score is compared with one.
+    """
+    place = lambda v: F.struct(F.round(v, 6).alias("s"), (-F.col("doc_id")).alias("d"))
+    best = scores.join(wanted.select("qid", "doc_id").distinct(), ["qid", "doc_id"]).groupBy("qid").agg(*[F.max(place(v)).alias(f"_{v}") for v in variants])
+    ahead = scores.join(best, "qid").groupBy("qid").agg(*[(F.count_if(place(v) > F.col(f"_{v}")) + 1).cast("int").alias(v) for v in variants])
+    every = wanted.select("qid").distinct().join(ahead, "qid", "left")
+    return every.select("qid", F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.col(v).alias("rank")) for v in variants])).alias("x")).select("x.variant", "qid", "x.rank")
 
 
 def ranked(scores: DataFrame, top: int | None = None) -> DataFrame:

@@ -124,6 +124,25 @@ def leaks(docs: DataFrame, id_col: str, patterns: list[str], text: str = "text")
     return docs.where(F.col(text).rlike(every)).select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(every), F.lit(1)))).alias("found"))
 
 
+def containing(passages: DataFrame, docs: DataFrame, width: int = 3) -> DataFrame:
+    """(qid, doc_id) of the documents docs(doc_id, text) that hold the whole of a passage passages(qid, passage).
+
+    A passage's words but its first and last ones stand as they are in any text that holds it. Of their runs of `width` words the
+    rarest names the candidates, which are then looked into; passages with fewer words are looked for in every text.
+    """
+    runs = lambda words: F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+    p = passages.select("qid", "passage").distinct().withColumn("_w", F.split("passage", r"\s+", -1))
+    p = p.withColumn("_runs", runs(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0)))))
+    asked = p.where("_runs is not null").select("qid", "passage", F.explode("_runs").alias("h"))
+    held = docs.select("doc_id", F.split("text", r"\s+", -1).alias("_w")).select("doc_id", F.explode(F.array_distinct(runs(F.col("_w")))).alias("h"))
+    held = held.join(asked.select("h").distinct(), "h", "left_semi")
+    often = asked.join(held.groupBy("h").agg(F.count("*").alias("n")), "h", "left")
+    rarest = often.groupBy("qid", "passage").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h")).alias("x")).where("x.n > 0").select("qid", "passage", F.col("x.h").alias("h"))
+    likely = rarest.join(held, "h").select("qid", "passage", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    short = p.where("_runs is null").select("qid", "passage").join(docs.select("doc_id", "text"), F.contains(F.col("text"), F.col("passage")))
+    return likely.where(F.contains(F.col("text"), F.col("passage"))).select("qid", "doc_id").union(short.select("qid", "doc_id"))
+
+
 def links(pages: DataFrame, id_col: str, html: str, url: str) -> DataFrame:
     """(id, href, host): hosts of relative links are the page's own."""
     x = pages.select(F.col(id_col).alias("id"), F.col(url).alias("_u"), F.explode(F.regexp_extract_all(F.col(html), F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))

@@ -186,16 +186,16 @@ _RANK_SQL = "r AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER
 VARIANTS = {"base": (1.2, 0.75), "flat": (1.2, 0.0), "steep": (2.0, 1.0)}
 
 
-def _scores(t, k1: float, b: float):
+def _scores(t, variants=None):
     d = tx.tokens(t.documents, ["doc_id"], "text")
     q = tx.tokens(t.benchmark, ["item_id"], "text").select(F.col("item_id").alias("qid"), "token")
-    return retrieval.bm25(d, q, k1, b)
+    return retrieval.bm25(d, q, variants)
 
 
 @query(_BM25_SQL + f"s AS ({_bm25_sql(1.2, 0.75, 'base')}), {_RANK_SQL} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def bm25_top5(t):
     """The five documents that rank first for each benchmark text."""
-    return retrieval.ranked(_scores(t, 1.2, 0.75), 5).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return retrieval.ranked(_scores(t), 5).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _RANKS_SQL = (
@@ -209,17 +209,11 @@ _RANKS_SQL = (
 
 def _ranks(t):
     """(variant, qid, rank) of the first document that holds the whole text, for the texts that any document holds."""
-    want = _holds(t)
-    out = None
-    for v, (k1, b) in VARIANTS.items():
-        r = retrieval.ranked(_scores(t, k1, b)).join(want, ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("rank"))
-        x = want.select("qid").distinct().join(r, "qid", "left").select(F.lit(v).alias("variant"), "qid", "rank")
-        out = x if out is None else out.union(x)
-    return out
+    return retrieval.ranks_of(_scores(t, VARIANTS), _holds(t), list(VARIANTS))
 
 
 def _holds(t):
-    return t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage")).join(t.documents, F.contains(F.col("text"), F.col("passage"))).select("qid", "doc_id")
+    return tx.containing(t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("passage")), t.documents)
 
 
 @query(_RANKS_SQL + " SELECT variant, count(*) AS questions, avg((coalesce(rank, 9e9) <= 1)::INT) AS hit_1, avg((coalesce(rank, 9e9) <= 3)::INT) AS hit_3, avg((coalesce(rank, 9e9) <= 5)::INT) AS hit_5, round(avg(coalesce(1 / rank, 0)), 9) AS mrr FROM ranks GROUP BY 1")

@@ -212,7 +212,7 @@ def inherits(t):
     spark = t.part.sparkSession
     family = g.reach(spark.createDataFrame([("SIZED", "SMALL"), ("SIZED", "MEDIUM"), ("ANY", "SIZED"), ("ANY", "ECONOMY")], "src string, dst string"), spark.createDataFrame([("SIZED",)], "id string")).select(F.col("id").alias("p_type"))
     f = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_custkey").alias("customer"), "p_type")
-    kinds = f.join(F.broadcast(family), "p_type").groupBy("customer").agg(F.count("*").alias("kinds"))
+    kinds = f.join(family, "p_type").groupBy("customer").agg(F.count("*").alias("kinds"))
     return kinds.join(f.where("p_type = 'ECONOMY'").select("customer").distinct(), "customer", "left_semi")
 
 

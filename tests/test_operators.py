@@ -112,6 +112,36 @@ def test_describe_slug_links_tags_lines(spark):
 
 
 # retrieval -----------------------------------------------------------------------------------------------------------
+def test_containing_equals_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    word = lambda: r.choice(["aa", "b", "cc d", "é", "ef", "g\n", "h  i"])
+    docs = [(i, " ".join(word() for _ in range(r.randint(0, 40)))) for i in range(60)] + [(100, None)]
+    texts = [t for _, t in docs if t]
+    cut = lambda t, n: t[(a := r.randint(0, max(0, len(t) - n))) : a + n]
+    asked = [(k, cut(r.choice(texts), r.choice([1, 3, 8, 20, 40]))) for k in range(80)] + [(200, "nowhere to be found at all"), (201, "")]
+    got = tx.containing(spark.createDataFrame(asked, "qid int, passage string"), spark.createDataFrame(docs, "doc_id int, text string"))
+    assert rows(got) == sorted(((q, i) for q, p in asked for i, t in docs if t is not None and p in t), key=repr)
+
+
+def test_ranks_of_equals_ranking(spark):
+    import random
+
+    r = random.Random(5)
+    s = spark.createDataFrame([(q, d, float(r.randint(0, 4)), r.random()) for q in range(5) for d in range(12)], "qid int, doc_id int, a double, b double")
+    want = spark.createDataFrame([(q, r.randint(0, 11)) for q in range(5) for _ in range(2)] + [(9, 1)], "qid int, doc_id int")
+    for v in "ab":
+        ranked = retrieval.ranked(s.withColumnRenamed(v, "score")).join(want.distinct(), ["qid", "doc_id"]).groupBy("qid").agg(F.min("rank").alias("rank"))
+        assert rows(retrieval.ranks_of(s, want, ["a", "b"]).where(f"variant = '{v}' and qid < 9"), "qid", "rank") == rows(ranked)
+    assert rows(retrieval.ranks_of(s, want, ["a"]).where("qid = 9"), "rank") == [(None,)]
+
+
+def test_digest_tells_multisets_apart(spark):
+    of = lambda *values: rows(rel.digest(spark.createDataFrame([("g", v) for v in values], "g string, v int").repartition(3), ["g"]))[0][1]
+    assert of(1, 2) == of(2, 1) and len({of(1), of(1, 1), of(1, 2), of(2, 2), of(1, 2, 2)}) == 5
+
+
 def test_measures(spark):
     r = spark.createDataFrame([("v", 1, 1), ("v", 2, 4), ("v", 3, None)], "variant string, qid int, rank int")
     got = retrieval.measures(r, ["variant"]).first()
