@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import relational, retrieval, terms
+from ..operators import graph, relational, retrieval, terms
 from ..operators import text as tx
 from ..sources import sinks
 from .base import query
@@ -26,10 +26,33 @@ WORDS_SQL = "tok AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(lowe
 LIST = ["with", "from", "this", "that", "para", "dans", "sich", "queda", "pour", "avec"]
 
 
-@query(f"WITH {WORDS_SQL} SELECT token, count(DISTINCT doc_id) AS documents, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources FROM tf WHERE token IN {WORDS} GROUP BY 1")
+#: narrower than what: concepts over words
+NARROWER = [("pointer", "word"), ("joint", "word"), ("this", "pointer"), ("that", "pointer"), ("with", "joint"), ("from", "joint"), ("pour", "joint"), ("para", "joint")]
+
+
+@query(f"""WITH RECURSIVE {WORDS_SQL}, b(child, parent) AS (VALUES {', '.join(map(str, NARROWER))}),
+c(concept, word) AS (SELECT parent, parent FROM b UNION SELECT c.concept, b.child FROM c JOIN b ON b.parent = c.word)
+SELECT concept, count(DISTINCT doc_id) AS documents, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources FROM c JOIN tf ON token = word GROUP BY 1""")
 def where_used(t):
-    """A family of words: documents, languages and sources that use each."""
-    return words(t).where(F.col("token").isin(LIST)).groupBy("token").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"))
+    """Concepts with all that is narrower: documents, languages and sources that use any word of the family."""
+    edges = t.documents.sparkSession.createDataFrame(NARROWER, "src string, dst string")
+    family = graph.closure(edges).select(F.col("ancestor").alias("concept"), F.col("descendant").alias("token"))
+    roots = edges.select(F.col("dst").alias("concept")).distinct()
+    used = words(t).join(family.join(roots, "concept", "left_semi"), "token")
+    return used.groupBy("concept").agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"))
+
+
+EVERYDAY = ["with", "this", "para"]
+
+
+@query(f"""WITH {WORDS_SQL} SELECT 'kept' AS part, token, sum(n)::BIGINT AS n FROM tf WHERE token IN {WORDS} AND (lang = 'en' OR token NOT IN ('with', 'this', 'para')) GROUP BY 2
+UNION ALL SELECT 'skipped', token, sum(n)::BIGINT FROM tf WHERE lang <> 'en' AND token IN ('with', 'this', 'para') GROUP BY 2""")
+def everyday_words(t):
+    """Everyday words count in English texts only; what is left out elsewhere is told."""
+    c = words(t).where(F.col("token").isin(LIST)).select(F.col("doc_id").alias("id"), F.col("lang").alias("source_type"), F.col("token").alias("concept"), "n")
+    kept, skipped = terms.source_aware(c, EVERYDAY, "en")
+    kept = kept.groupBy("concept").agg(F.sum("n").alias("n"))
+    return kept.select(F.lit("kept").alias("part"), F.col("concept").alias("token"), "n").union(skipped.select(F.lit("skipped"), "concept", "n"))
 
 
 DOMINANT_SQL = f"""{WORDS_SQL}, u AS (SELECT source, lang, token, sum(n)::BIGINT AS n FROM tf WHERE token IN ('with', 'from', 'this') GROUP BY ALL),
@@ -68,11 +91,15 @@ def term_gaps(t):
     return terms.gaps(w.where("lang = 'en'"), w.where("lang = 'de'"), "token").groupBy("side").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT doc_id, w AS label, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({ASCII}, '\\b(?:the|this|that|with|from|ing|tion)\\b')) AS w FROM documents) GROUP BY 1, 2""")
+PLAIN = [("this", "pointer"), ("that", "pointer"), ("with", "joint"), ("from", "joint"), ("the", "article"), ("of the", "of-the")]
+
+
+@query(f"""WITH x AS (SELECT doc_id AS id, unnest(regexp_extract_all(replace({ASCII}, '_', ' '), '\\b(?:of[\\s-]+the|this|that|with|from|the)(?:e?s)?\\b')) AS w FROM documents),
+l AS (SELECT id, CASE WHEN w LIKE 'of%' THEN 'of the' ELSE regexp_extract(w, '^(this|that|with|from|the)', 1) END AS label FROM x)
+SELECT id, CASE WHEN label IN ('this', 'that') THEN 'pointer' WHEN label IN ('with', 'from') THEN 'joint' WHEN label = 'the' THEN 'article' ELSE 'of-the' END AS concept, label, count(*) AS n FROM l GROUP BY ALL""")
 def term_counts(t):
-    """How often each document uses each label of a short list, as whole words."""
-    x = t.documents.select("doc_id", F.explode(F.regexp_extract_all(ascii_text(), F.lit(r"\b(?:the|this|that|with|from|ing|tion)\b"), F.lit(0))).alias("label"))
-    return x.groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    """How often each document uses each label of a short list: whole words, plurals, the longer label first."""
+    return terms.match_labels(t.documents.select("doc_id", F.translate(ascii_text(), "_", " ").alias("text")), PLAIN, "doc_id")
 
 
 #: labels with their concepts; null ones consume their text (a homograph, a stop phrase)
@@ -96,13 +123,30 @@ def auto_tags(t):
     return tx.auto_tags(d, "doc_id", "h", "b", TAGS)
 
 
-@query()
+@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(regexp_replace(regexp_replace(x, '[#*_`>|]+', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: length(x) >= 40)[1] AS d FROM documents)
+SELECT doc_id, CASE WHEN length(d) > 200 THEN regexp_replace(left(d, 197), '\\s+\\S*$', '') || '...' ELSE d END AS description FROM p""")
 def describe_docs(t):
     """The first longer paragraph of each document."""
     return t.documents.select("doc_id", tx.describe(F.col("text")).alias("description"))
 
 
-@query()
+_GROUPED = "regexp_replace({}, '(\\d),(\\d\\d\\d)([^\\d]|$)', '\\1\\2\\3', 'g')"
+_READ = [("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("#39", "''"), ("eacute", "\u00e9"), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")]
+
+
+def _html_sql() -> str:
+    """The steps of text.html_to_text for the references that occur in the pages; grouped digits are joined in two passes."""
+    x = "regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>', ' ', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', chr(10), 'g')"
+    for name, char in _READ:
+        x = f"replace({x}, '&{name};', '{char}')"
+    x = f"regexp_replace({x}, '[\u2010-\u2015\u2212]', '-', 'g')"
+    x = _GROUPED.format(_GROUPED.format(x))
+    x = f"regexp_replace({x}, '[ \\t\\x0B\\f\\r\u00a0]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace({x}, '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, {_html_sql()} AS text FROM pages")
 def html_to_text(t):
     return t.pages.select("page_id", tx.html_to_text(F.col("html")).alias("text"))
 
@@ -111,7 +155,15 @@ def html_to_text(t):
 FIELDS = {"number": [r"/[a-z]{2}/(\d{1,6})", r"page=(\d+)"], "ad": [r"<!-- ad (\d+) -->"], "track": [r"track\((\d+)\)"]}
 
 
-@query()
+def _spec_sql(field: str, patterns: list[str]) -> str:
+    """A field's value and line: of its patterns the first that matches."""
+    q = [p.replace("'", "''") for p in patterns]
+    value = ", ".join(f"try_cast(nullif(regexp_extract(x, '{p}', 1), '') AS INTEGER)" for p in q)
+    line = ", ".join(f"nullif(regexp_extract(x, '(?m)^.*?{p}.*$', 0), '')" for p in q)
+    return f"coalesce({value}) AS {field}_value, left(trim(coalesce({line})), 160) AS {field}_line"
+
+
+@query(f"WITH p AS (SELECT page_id, url || chr(10) || html AS x FROM pages) SELECT page_id, {', '.join(_spec_sql(k, v) for k, v in FIELDS.items())} FROM p")
 def spec_extract(t):
     """Fields of pages with the line each value came from."""
     got = tx.extract(F.concat_ws("\n", "url", "html"), FIELDS)
@@ -138,7 +190,12 @@ def leak_scan(t):
     return tx.leaks(t.documents, "doc_id", LEAKS).select("id", F.array_join("found", ",").alias("found"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+h AS (SELECT *, regexp_matches(line, '^[^\\n]{1,24}\\.$') AS head FROM l),
+p AS (SELECT *, sum(head::INT) OVER (PARTITION BY id ORDER BY i) AS part, coalesce(sum(length(line) + 1) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM h),
+g AS (SELECT id, part, min(start) AS start, min(CASE WHEN head THEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') END) AS title, regexp_replace(coalesce(string_agg(CASE WHEN NOT head THEN line END, chr(10) ORDER BY i), ''), '^\\s+|\\s+$', '', 'g') AS body FROM p GROUP BY id, part),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, lower(title) ORDER BY part) > 1 AS again FROM g WHERE length(body) >= 20)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY part)::INT AS ord, CASE WHEN title IS NOT NULL AND again THEN title || ' (continued)' ELSE title END AS title, start::BIGINT AS start, body FROM k""")
 def sections(t):
     """Documents split at short lines that end with a full stop."""
     return tx.sections(t.documents, "doc_id", r"[^\n]{1,24}\.(?:\n|$)")
@@ -258,7 +315,8 @@ def coverage_groups(t):
     return x.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("other"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
 
 
-@query()
+@query("""SELECT s_suppkey, '{' || array_to_string(list_filter([CASE WHEN s_acctbal > 0 THEN '"s_acctbal":' || CASE WHEN s_acctbal = floor(s_acctbal) THEN s_acctbal::BIGINT::VARCHAR ELSE s_acctbal::VARCHAR END END,
+  '"s_name":"' || s_name || '"', '"s_nationkey":' || s_nationkey, '"s_suppkey":' || s_suppkey], lambda x: x IS NOT NULL), ',') || '}' AS value FROM supplier""")
 def sparse_json(t):
     """Supplier rows as sparse JSON: nulls left out, whole doubles as integers."""
     s = t.supplier.withColumn("s_acctbal", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")))
@@ -271,7 +329,12 @@ def digest(t):
     return t.nation.groupBy(F.col("n_regionkey").alias("region")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("n_nationkey").cast("string"), "n_name"))), ","), 256).alias("digest"))
 
 
-@query()
+_CUT = "('0x' || substr(h, {}, 13))::BIGINT"
+
+
+@query(f"""WITH r AS (SELECT source, sha256(to_json({{doc_id: doc_id, lang: lang, source: source, text: text}})) AS h FROM documents),
+g AS (SELECT source, count(*) AS n, {', '.join(f"sum({_CUT.format(13 * k + 1)}) AS h{k}" for k in range(5))} FROM r GROUP BY 1)
+SELECT source, sha256(concat_ws(',', n, h0, h1, h2, h3, h4)) AS digest FROM g""")
 def table_digests(t):
     """Digests of whole rows, by source."""
     return relational.digest(t.documents.drop("n_chars"), ["source"])

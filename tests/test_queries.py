@@ -6,7 +6,7 @@ import pytest
 from kgspark.plans import registry
 
 #: queries without SQL, because DuckDB's patterns have no look-around, the steps are sequential or no SQL peels a graph
-NO_SQL = {"term_match_full", "describe_docs", "html_to_text", "spec_extract", "sections", "sparse_json", "table_digests", "first_fit_rows", "cycle_check"}
+NO_SQL = {"term_match_full", "first_fit_rows", "cycle_check"}
 
 
 @pytest.fixture(scope="module")
