@@ -117,7 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     got = picked.mapInArrow(go, "doc_id bigint, y int, x binary").toArrow()
     found = [(i, y, x) for i, y, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True)]
     found.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15 % (1 << 64), r[2]))
-    return train([(np.frombuffer(x, ENTRY), y) for _, y, x in found])
+    model = train([(np.frombuffer(x, ENTRY), y) for _, y, x in found])
+    del got, found
+    kernels.trim()  # the driver goes on with 1 MB of weights
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
