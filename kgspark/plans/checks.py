@@ -106,3 +106,44 @@ def channel_clashes(t):
     ch = F.expr("cast(substr(device, 2) as bigint) % 40")
     heard = nodes.select("device", F.when(ch < 16, ch.cast("string")).otherwise("omni").alias("in"))
     return v.receive_clashes(nodes, c, heard).select("subject", "detail")
+
+
+_TERMS = """n AS (SELECT count(*) AS n FROM supplier), b AS (SELECT s_suppkey AS s, s_nationkey AS k FROM supplier UNION SELECT s_suppkey, (s_nationkey + 1) % 25 FROM supplier WHERE s_suppkey % 10 = 0),
+f AS (SELECT DISTINCT s, n_regionkey AS r FROM b JOIN nation ON n_nationkey = k), rel AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 13 = 0 THEN 'hums' ELSE 'sells' END AS p, (s_suppkey * 3) % n + 1 AS o FROM supplier, n)"""
+
+
+@query(_sql(_TERMS, {
+    "more than one facet": "(SELECT s FROM f GROUP BY s HAVING count(*) > 1)", "label of several concepts": "(SELECT s_suppkey % 60 AS k FROM supplier GROUP BY 1 HAVING count(*) > 1)",
+    "close match within the hierarchy": "supplier WHERE s_suppkey % 7 = 0", "predicate not declared": "rel WHERE p = 'hums'", "tag not in the vocabulary": "nation WHERE n_regionkey > 2",
+    "subject outside the domain": "rel WHERE p = 'sells' AND s NOT IN (SELECT s FROM f WHERE r < 2)", "object outside the range": "rel WHERE p = 'sells' AND o NOT IN (SELECT s FROM f WHERE r > 1)"}))
+def term_rules(t):
+    """Regions, nations and suppliers as concepts; a tenth of the suppliers are in two nations."""
+    spark, key = t.nation.sparkSession, lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    none, blank = F.array().cast("array<string>"), F.lit(None).cast("string")
+    row = lambda id_, pref, broader, close, tag: [id_.alias("id"), pref.alias("pref"), none.alias("alt"), broader.alias("broader"), close.alias("close"), tag.alias("tag")]
+    k, s = F.col("s_nationkey"), F.col("s_suppkey")
+    regions = t.region.select(*row(key("r", F.col("r_regionkey")), key("region ", F.col("r_regionkey")), none, none, blank))
+    nations = t.nation.select(*row(key("n", F.col("n_nationkey")), key("nation ", F.col("n_nationkey")), F.array(key("r", F.col("n_regionkey"))), none, key("t", F.col("n_regionkey"))))
+    up = F.when(s % 10 == 0, F.array(key("n", k), key("n", (k + 1) % 25))).otherwise(F.array(key("n", k)))
+    suppliers = t.supplier.select(*row(key("s", s), key("sup ", s % 60), up, F.when(s % 7 == 0, F.array(key("n", k))).otherwise(none), blank))
+    predicates = spark.createDataFrame([("sells", ["r0", "r1"], ["r2", "r3", "r4"])], "id string, domain array<string>, range array<string>")
+    relations = t.supplier.crossJoin(t.supplier.agg(F.count("*").alias("n"))).select(key("s", s).alias("s"), F.when(s % 13 == 0, "hums").otherwise("sells").alias("p"), key("s", (s * 3) % F.col("n") + 1).alias("o"))  # n: one row
+    tags = spark.createDataFrame([("t0",), ("t1",), ("t2",)], "id string")
+    return _tally(v.terminology(regions.union(nations).union(suppliers), predicates, relations, spark.createDataFrame([], "label string, senses array<string>"), tags))
+
+
+_SESSIONS = """nd AS (SELECT c_mktsegment AS session, 'u' || c_nationkey AS uid, c_acctbal > -900 AS named FROM customer WHERE c_nationkey < 20),
+cb AS (SELECT c_mktsegment AS session, 'u' || c_nationkey AS a, 'u' || (c_custkey % 30) AS b, CASE WHEN c_custkey % 9 = 0 THEN 'fog' ELSE 'cv' END AS medium FROM customer)"""
+
+
+@query(_sql(_SESSIONS, {
+    "session name": "(SELECT DISTINCT c_mktsegment AS m FROM customer) WHERE NOT regexp_matches(m, '^[a-z0-9][a-z0-9-]{0,63}$')", "node without uid or device": "nd WHERE NOT named", "node uid twice": "(SELECT session FROM nd GROUP BY session, uid HAVING count(*) > 1)",
+    "cable end is no node": "(SELECT session, a AS e FROM cb UNION ALL SELECT session, b FROM cb) x WHERE NOT EXISTS (SELECT 1 FROM nd WHERE nd.session = x.session AND nd.uid = x.e)", "cable to its own node": "cb WHERE a = b", "cable medium": "cb WHERE medium = 'fog'"}))
+def session_rules(t):
+    """Market segments as sessions, nations as nodes, customers as cables."""
+    uid = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    k, spark = F.col("c_custkey"), t.customer.sparkSession
+    nodes = t.customer.where("c_nationkey < 20").select(F.col("c_mktsegment").alias("session"), uid(F.col("c_nationkey")).alias("uid"), F.when(F.col("c_acctbal") > -900, "d").alias("device"))
+    cables = t.customer.select(F.col("c_mktsegment").alias("session"), k.cast("string").alias("uid"), uid(F.col("c_nationkey")).alias("from_uid"), uid(k % 30).alias("to_uid"), F.when(k % 9 == 0, "fog").otherwise("cv").alias("medium"))
+    ports = spark.createDataFrame([], "device string, name string, dir string, medium string")
+    return _tally(v.session(t.customer.select(F.col("c_mktsegment").alias("name")).distinct(), nodes, cables, ports))
