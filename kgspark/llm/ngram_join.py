@@ -30,6 +30,7 @@ from . import blockshuffle, kernels
 from .common import Scratch, connected_components, read_table, shuffle_partitions
 
 K, COMMON, MOST_COMMON = 5, 64, 1 << 17
+BUCKET = 32 << 20  # bytes of text whose prefix records a bucket is meant to hold: about two thirds of that in records
 RECORD = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<i4")])
 
 
@@ -108,7 +109,7 @@ def _prefix_blocks(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
     return docs.select("doc_id", "text").mapInArrow(go, blockshuffle.SCHEMA)
 
 
-def _columns(blocks: DataFrame) -> DataFrame:
+def _columns(blocks: DataFrame, buckets: int) -> DataFrame:
     """(key, sig, n) of the columns that two classes or more share, and of all common ones."""
     schema = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("n", pa.int32())])
 
@@ -123,6 +124,8 @@ def _columns(blocks: DataFrame) -> DataFrame:
             r = r[np.repeat(np.diff(cut) > 1, np.diff(cut))]
         return pa.table([pa.array(_signed(r["key"].copy())), pa.array(r["sig"].copy()), pa.array(r["n"].copy())], schema=schema)
 
+    if buckets > 2 * shuffle_partitions(blocks.sparkSession):
+        blocks = blocks.repartition(buckets, "bucket")
     return blocks.groupBy("bucket").applyInArrow(go, "key bigint, sig bigint, n int").distinct()
 
 
@@ -210,7 +213,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     common = np.array([r[0] for r in often.select("lo").collect()], dtype=np.int64)  # 1 MB at most: MOST_COMMON
     classes = scratch.write(rows.where("n > 0 and doc_id is not null").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     known = docs.where("doc_id is not null")
-    columns = scratch.write(_columns(_prefix_blocks(known, common, 2 * shuffle_partitions(spark))), "columns")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(spark), -(-size // BUCKET))  # as many as the bytes need: a task's share doesn't grow
+    columns = scratch.write(_columns(_prefix_blocks(known, common, buckets), buckets), "columns")
     pairs = _leader_pairs(columns, scratch)
     links = _linked(known, classes, pairs, scratch, "first")
     found = scratch.write(connected_components(links.select(F.col("x").alias("a"), F.col("y").alias("b")), scratch, "cc1"), "components1")

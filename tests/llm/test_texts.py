@@ -599,7 +599,9 @@ def test_jaccard(spark, edge, table_dir):
     assert bag(ngram_join.op8(spark, table_dir(documents=edge)).collect()) == bag(linked_components(rows))
 
 
-def test_jaccard_chains_crowds_and_near_misses(spark, table_dir):
+@pytest.mark.parametrize("bucket", [1000, 32 << 20])
+def test_jaccard_chains_crowds_and_near_misses(spark, table_dir, monkeypatch, bucket):
+    monkeypatch.setattr(ngram_join, "BUCKET", bucket)
     r = random.Random(2)
     base = [f"w{r.randint(0, 10**6)}" for _ in range(100)]
     shared = [f"s{k}" for k in range(30)]
