@@ -47,3 +47,8 @@ def whole_or_real(value: Column) -> Column:
 
 def clamp(value: Column, lo, hi) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), value))
+
+
+def day(text: Column) -> Column:
+    """The date that a text starts with, as 2025-01-02; null where it doesn't start with one."""
+    return F.date_format(F.left(F.trim(text), F.lit(10)).try_cast("date"), "yyyy-MM-dd")

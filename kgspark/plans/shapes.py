@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalar
 from ..operators import relational as rel
 from ..operators import text as tx
 from .base import query
@@ -126,3 +127,24 @@ def first_fit_rows(t):
     items = items.withColumn("ord", F.row_number().over(Window.partitionBy("box").orderBy("item")))
     rows = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("box"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("row_index")).select("box", "row_index", F.concat(F.lit("f"), F.col("row_index") % 2).alias("format"), F.lit(1500.0).alias("size"))
     return rel.first_fit(items, rows)
+
+
+@query("""SELECT s_suppkey, round_even(100.0 * s_acctbal / nullif(s_nationkey * 100, 0), 0) AS pct, greatest(3, least(12, s_nationkey)) AS clamped, ('0x' || left(md5(s_name), 8))::BIGINT % 16 AS bucket,
+CASE WHEN s_suppkey % 3 = 0 THEN 'none' ELSE s_name END AS name FROM supplier""")
+def scalar_shapes(t):
+    """Percentages rounded half to even, clamped numbers, stable buckets, the first value that isn't blank."""
+    blank = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name"))
+    return t.supplier.select("s_suppkey", scalar.percent(F.col("s_acctbal"), F.col("s_nationkey") * 100).alias("pct"), scalar.clamp(F.col("s_nationkey"), 3, 12).alias("clamped"), scalar.bucket(F.col("s_name"), 16).alias("bucket"), scalar.either(blank, F.lit("none")).alias("name"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/?#:]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages")
+def url_parts(t):
+    """Host and path of each page."""
+    return t.pages.select("page_id", scalar.host(F.col("url")).alias("host"), scalar.path(F.col("url")).alias("path"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM orders WHERE o_orderkey % 5 = 0")
+def days(t):
+    """Orders by the day that their text starts with; some texts start with none."""
+    text = F.when(F.col("o_orderkey") % 5 == 0, "no date 2025-01-02").otherwise(F.concat(F.lit(" "), F.col("o_orderdate").cast("string")))
+    return t.orders.groupBy(scalar.day(text).alias("day")).agg(F.count("*").alias("n"))

@@ -32,8 +32,8 @@ def world(spark):
 
 @pytest.fixture(scope="module")
 def graph(spark, world):
-    code = [("app:site", "app", "site"), ("doc:d1", "doc_section", "d1"), ("action:save", "ui_action", "save"), ("action:open", "ui_action", "open"), ("fn:save", "function", "save"), ("fn:put", "function", "put"), ("route:/api/gear", "api_route", "gear")]
-    edges = [("app:site", "doc:d1", "CONTAINS"), ("app:site", "action:open", "CONTAINS"), ("action:save", "fn:save", "HANDLED_BY"), ("fn:save", "fn:put", "CALLS"), ("fn:put", "route:/api/gear", "REQUESTS"), ("doc:d1", "action:save", "DOCUMENTS")]
+    code = [("app:site", "app", "site"), ("doc:d1", "doc_section", "d1"), ("action:save", "ui_action", "save"), ("action:open", "ui_action", "open"), ("fn:save", "function", "save"), ("fn:put", "function", "put"), ("route:/api/kit", "api_route", "kit")]
+    edges = [("app:site", "doc:d1", "CONTAINS"), ("app:site", "action:open", "CONTAINS"), ("action:save", "fn:save", "HANDLED_BY"), ("fn:save", "fn:put", "CALLS"), ("fn:put", "route:/api/kit", "REQUESTS"), ("doc:d1", "action:save", "DOCUMENTS")]
     more = PropertyGraph(build.wide(spark.createDataFrame(code, "id string, type string, name string"), VERTEX).withColumn("visibility", F.lit("public")), build.wide(spark.createDataFrame(edges, "src string, dst string, rel string"), EDGE))
     g = build.joined(build.build(world), more)
     return PropertyGraph(g.vertices.cache(), g.edges.cache())
@@ -75,7 +75,7 @@ EXPECTED = {
     "naming": ({"show": ["filter", "cutoff"]}, [("filter", "Acme: VCF"), ("filter", "Bolt: Filter"), ("cutoff", "Acme: Cutoff"), ("cutoff", "Bolt: Frequency")]),
     "inherits": ({"param": "cutoff", "subject": "sound"}, [("m-acme", "filter"), ("m-bolt", "filter")]),
     "undocumented": ({}, [("site", "open")]),
-    "doc_impact": ({"route_prefix": "/api"}, [("/api/gear", "d1")]),
+    "doc_impact": ({"route_prefix": "/api"}, [("/api/kit", "d1")]),
     "kb_reach": ({}, [("inventory", "defines: 2")]),
     "concept_where": ({"concept": "sound"}, [("manual", "2"), ("doc_section of site", "1")]),
     "vocabulary": ({"concept": "filter"}, [("VCF", "m-acme"), ("Filter", "m-bolt"), ("Filter", "d1")]),

@@ -65,7 +65,7 @@ def test_views(frame):
 
 
 SCRIPT = """// the start
-async function save() { await fetch(`/api/gear/${id}`, { method: 'PUT' }); }
+async function save() { await fetch(`/api/kit/${id}`, { method: 'PUT' }); }
 const open = () => { fetch("/api/list"); switch (x) { case 'copy': break; case "cut": } }
 /* two
  * lines */
@@ -77,7 +77,7 @@ def handle(path):
     """Handles."""
     if path == "/api/list":
         return listed()
-    return re.match(r"/api/gear/(.+)$", path)
+    return re.match(r"/api/kit/(.+)$", path)
 
 def listed():
     return 1  # one
@@ -93,15 +93,15 @@ def test_code_as_a_graph(spark, tmp_path):
     assert every.count() == 3
     df = code.files(spark, str(tmp_path), ["web/app.js", "web/serve.py"])
     assert rows(df, "file") == [("web/app.js",), ("web/serve.py",)]
-    assert rows(code.api_calls(df), "method", "route") == [("GET", "api/list"), ("PUT", "api/gear/:id")]
-    assert rows(code.served_routes(df), "route") == [("api/gear/:id",), ("api/list",)]
+    assert rows(code.api_calls(df), "method", "route") == [("GET", "api/list"), ("PUT", "api/kit/:id")]
+    assert rows(code.served_routes(df), "route") == [("api/kit/:id",), ("api/list",)]
     assert rows(code.switch_cases(df), "case") == [("copy",), ("cut",)] and rows(code.labels(df), "action", "label") == [("save", "Save now")]
     assert rows(code.docstrings(every), "name", "text") == [("", "Serves."), ("handle", "Handles.")]
     got = {r["file"]: r for r in df.select("file", code.comments(F.col("text"), "python").alias("p"), code.comments(F.col("text"), "javascript").alias("j")).collect()}
     assert got["web/serve.py"]["p"] == "first note\none" and got["web/app.js"]["j"] == "the start\ntwo\nlines"
     fns = readers.functions(spark, f"{tmp_path}/web/serve.py", "python")
     e = code.graph_edges(code.api_calls(df), code.served_routes(df), fns)
-    assert ("fn:handle", "fn:listed", "CALLS") in rows(e) and ("route:api/list", "file:web/serve.py", "SERVED_BY") in rows(e) and ("file:web/app.js", "route:api/gear/:id", "REQUESTS") in rows(e)
+    assert ("fn:handle", "fn:listed", "CALLS") in rows(e) and ("route:api/list", "file:web/serve.py", "SERVED_BY") in rows(e) and ("file:web/app.js", "route:api/kit/:id", "REQUESTS") in rows(e)
 
 
 def test_corpus_records_overlays(spark, tmp_path, frame):
