@@ -71,4 +71,49 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM embeddings JOIN c ON node = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY 1) ON a = vec_id
 """
 
-ORACLES = {"op1_document_fingerprints": OP1, "op4_suffix_array_dedup": OP4, "op5_embedding_near_dedup": OP5, "op8_ngram_jaccard_join": OP8}
+_CRC32 = """list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))"""
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree(tag: str, heights: int) -> tuple[str, str]:
+    """CTEs of a tree over {tag}0(grp, r, h) with {tag}1 and so on above it; joins and folds for what stands beside a node."""
+    ctes = joins = ""
+    for k in range(heights):
+        ctes += f""",
+{tag}_l{k} AS MATERIALIZED (SELECT grp, r // 16 AS r, list(h ORDER BY r) AS hs, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {tag}{k}) GROUP BY grp, r // 16),
+{tag}{k + 1} AS MATERIALIZED (SELECT grp, r, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {tag}_l{k})"""
+        joins += f"\nJOIN {tag}_l{k} ON {tag}_l{k}.grp = {tag}0.grp AND {tag}_l{k}.r = {tag}0.r // {16 ** (k + 1)}"
+    return ctes, joins
+
+
+_HEIGHTS, _TOP = 5, 3  # up to 16^5 rows of a source, 16^3 sources
+
+
+def _op12() -> str:
+    ctes, joins = _tree("t", _HEIGHTS)
+    tops, top_joins = _tree("u", _TOP)
+    sides = [(f"t_l{k}", f"t0.r // {16**k} % 16") for k in range(_HEIGHTS)] + [(f"u_l{k}", f"u0.r // {16**k} % 16") for k in range(_TOP)]
+    left = [f"array_to_string({t}.hs[1:{at}], '')" for t, at in sides]
+    right = [f"array_to_string({t}.hs[{at} + 2:], '')" for t, at in sides]
+    cols = ", ".join(f"{a} AS l{i}, {b} AS r{i}" for i, (a, b) in enumerate(zip(left, right, strict=True)))
+    folds = ""
+    for i in range(len(sides)):
+        folds += f",\nf{i + 1} AS (SELECT *, CASE WHEN l{i} = '' AND r{i} = '' AND m{i} = 1 THEN c{i} ELSE sha256(l{i} || c{i} || r{i}) END AS c{i + 1} FROM f{i})"
+    counts = ", ".join(f"{t}.n AS m{i}" for i, (t, _) in enumerate(sides))
+    return f"""
+WITH d AS MATERIALIZED (SELECT *, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS grp, {_leaf('text')} AS h FROM documents),
+x AS MATERIALIZED (SELECT *, CASE WHEN xor({_CRC32}, 4294967295) % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE h END AS c0 FROM d),
+t0 AS MATERIALIZED (SELECT doc_id, grp, h, c0, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS r FROM x){ctes},
+u0 AS MATERIALIZED (SELECT '' AS grp, grp AS name, h, row_number() OVER (ORDER BY grp) - 1 AS r FROM t{_HEIGHTS}){tops},
+f0 AS (SELECT t0.doc_id, t0.h AS leaf, t0.c0, u0.h AS subroot, u{_TOP}.h AS root, {cols}, {counts} FROM t0{joins}
+JOIN u0 ON u0.name = t0.grp{top_joins} CROSS JOIN u{_TOP}){folds}
+SELECT doc_id, leaf, subroot, root, sha256({' || '.join(f'l{i} || r{i}' for i in range(len(sides)))}) AS proof_sha256, c{len(sides)} AS folded_root, c{len(sides)} = root AS verified FROM f{len(sides)}
+"""
+
+
+ORACLES = {"op1_document_fingerprints": OP1, "op4_suffix_array_dedup": OP4, "op5_embedding_near_dedup": OP5, "op8_ngram_jaccard_join": OP8, "op12_merkle_manifest": _op12()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, embedding_dedup, merkle, ngram_join, packing, pii, quality, secrets, suffix_dedup, token_counts
+from . import bytebpe, embedding_dedup, manifest, merkle, ngram_join, online_packing, packing, periodic, pii, quality, secrets, suffix_dedup, token_counts
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": ngram_join.op8,
     "op9_secret_scan": secrets.op9,
     "op10_quality_classifier": quality.op10,
+    "op11_online_packing": online_packing.op11,
+    "op12_merkle_manifest": manifest.op12,
+    "op13_periodic_runs": periodic.op13,
 }
 
 
