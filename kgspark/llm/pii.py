@@ -3,13 +3,17 @@
 The forms' matches are seed instances. Each stands in lexical contexts (the word before, the two words before, the words on
 both sides), which are patterns. In a graph of patterns and instances, a pattern's confidence for a kind is the share of
 known confidence among its distinct instances, and an unknown instance's is one minus the chance that all its accepted
-patterns are wrong. ROUNDS of these two sums let patterns found from seeds discover identifiers, and those further patterns.
+patterns are wrong. Each round adds to the graph the contexts of instances accepted in the round before, which are
+seeds like the forms' own, with all words that stand in them, and scores the graph once; rounds end when one accepts
+neither a pattern nor an instance. So seeds lead to contexts, these to identifiers, these to contexts where no form stands.
 What accepted patterns extract at last is reported beside the forms' spans as kind `context`: any word, whatever its
 characters, without the punctuation at its ends.
 
-Patterns are contexts of SUPPORT distinct seeds at least, of which seeds are a FLOOR of the distinct words in that context,
-by a sketch of their number: contexts like `of the` never enter the graph. All words of all texts are read for that, and again
-for the occurrences of the patterns that are left, so what is shuffled are sketches and those occurrences.
+A context enters the graph once SUPPORT distinct known instances stand in it and they are a FLOOR of its distinct words, by a
+sketch of their number; it is looked at again whenever instances are added. FLOOR is half of PATTERN_MIN, below which no
+pattern is accepted: contexts like `of the` stay out, and the sketch's error of 5 % decides nothing. All words of all texts are
+read three times a round (contexts of new instances, sketches, occurrences; the first round needs no contexts), and what is
+shuffled are sketches and occurrences of patterns in the graph.
 
 DataFrame functions only. Pattern and instance scores are partially aggregated sums, so a context or an identifier with a
 third of all occurrences is summed where it is read. Offsets are code points, ends exclusive.
@@ -35,7 +39,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 KINDS = ["email", "ip", "card", "phone", "context"]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ROUNDS, SUPPORT, FLOOR, PATTERN_MIN, INSTANCE_MIN = 3, 3, 0.1, 0.6, 0.8
+SUPPORT, FLOOR, PATTERN_MIN, INSTANCE_MIN = 3, 0.3, 0.6, 0.8
 
 
 def luhn(digits: Column) -> Column:
@@ -93,14 +97,32 @@ def seeds(rows: DataFrame) -> DataFrame:
     return df.select("kind", trimmed(F.col("text")).alias("instance"), trimmed(F.substring_index("text", " ", 1)).alias("word"), "last", patterns(F.col("before"), F.col("last"), F.col("after")).alias("patterns"))
 
 
-def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(row, i, instance, pattern): words of rows(row, _t), by number, that stand in one of the wanted(pattern, last)."""
+def words_around(rows: DataFrame) -> DataFrame:
+    """(row, i, before, last, instance, after): the words of rows(row, _t), by number, that have one before them."""
     df = rows.select("row", F.regexp_extract_all(F.lower("_t"), F.lit(r"\S+"), F.lit(0)).alias("_w"))
     around = F.transform("_w", lambda x, i: F.struct(i.alias("i"), F.get("_w", i - 2).alias("before"), F.get("_w", i - 1).alias("last"), x.alias("word"), F.get("_w", i + 1).alias("after")))
-    df = df.select("row", F.explode(around).alias("x")).select("row", "x.*").where("last is not null")
-    df = df.join(wanted.select("last").distinct(), "last", "left_semi")
-    df = df.select("row", "i", trimmed(F.col("word")).alias("instance"), F.explode(patterns(F.col("before"), F.col("last"), F.col("after"))).alias("pattern"))
-    return df.where("instance <> ''").join(wanted.select("pattern"), "pattern", "left_semi")
+    return df.select("row", F.explode(around).alias("x")).select("row", "x.*").where("last is not null").withColumn("instance", trimmed(F.col("word"))).drop("word")
+
+
+def occurrences(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(row, i, instance, pattern): the words that stand in one of the wanted(pattern, last)."""
+    df = words_around(rows).join(wanted.select("last").distinct(), "last", "left_semi").where("instance <> ''")
+    df = df.select("row", "i", "instance", F.explode(patterns(F.col("before"), F.col("last"), F.col("after"))).alias("pattern"))
+    return df.join(wanted.select("pattern"), "pattern", "left_semi")
+
+
+def contexts(rows: DataFrame, instances: DataFrame) -> DataFrame:
+    """(instance, last, pattern) wherever one of instances(instance) stands, each once."""
+    df = words_around(rows).join(instances, "instance", "left_semi")
+    return df.select("instance", "last", F.explode(patterns(F.col("before"), F.col("last"), F.col("after"))).alias("pattern")).distinct()
+
+
+def scores(graph: DataFrame, known: DataFrame) -> DataFrame:
+    """(pattern, as, score) of accepted patterns of graph(pattern, instance), given known(instance, as, sure)."""
+    hits = graph.join(known, "instance").groupBy("pattern", "as").agg(F.sum("sure").alias("hits"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    scored = hits.join(graph.groupBy("pattern").agg(F.count("*").alias("n")), "pattern").withColumn("score", F.least(F.col("hits") / F.col("n"), F.lit(0.999)))
+    best = scored.where(F.col("score") >= PATTERN_MIN).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("as")).alias("k"))).alias("x"))
+    return best.select("pattern", (-F.col("x.k")).alias("as"), "x.score")
 
 
 def discover(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -108,21 +130,30 @@ def discover(rows: DataFrame, scratch: Scratch) -> DataFrame:
     seen = scratch.write(seeds(rows), "seeds")
     first = seen.select("kind", "instance").union(seen.select("kind", "word")).where("instance <> ''").distinct().select("instance", F.col("kind").alias("as"), F.lit(1.0).alias("sure"))
     sources = scratch.write(first, "sources")
-    support = seen.select("instance", "last", F.explode("patterns").alias("pattern")).groupBy("pattern", "last").agg(F.count_distinct("instance").alias("support"))
-    support = scratch.write(support.where(F.col("support") >= SUPPORT), "support")
-    sketch = occurrences(rows, support).groupBy("pattern").agg(F.approx_count_distinct("instance", 0.05).alias("n"))
-    wanted = scratch.write(support.join(sketch, "pattern").where(F.col("support") >= FLOOR * F.col("n")).select("pattern", "last"), "wanted")
-    found = scratch.write(occurrences(rows, wanted), "occurrences")
-    graph = scratch.write(found.select("pattern", "instance").distinct(), "graph")
-    sizes = graph.groupBy("pattern").agg(F.count("*").alias("n"))
-    known, accepted = sources, None
-    for i in range(ROUNDS):
-        hits = graph.join(known, "instance").groupBy("pattern", "as").agg(F.sum("sure").alias("hits"), F.count("*").alias("support"))
-        scored = hits.where(F.col("support") >= SUPPORT).join(sizes, "pattern").withColumn("score", F.least(F.col("hits") / F.col("n"), F.lit(0.999)))
-        accepted = scored.where(F.col("score") >= PATTERN_MIN).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("as")).alias("k"))).alias("x")).select("pattern", (-F.col("x.k")).alias("as"), "x.score")
-        accepted = scratch.write(accepted, f"patterns{i}")
-        new = graph.join(accepted, "pattern").groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("sure")).where(F.col("sure") >= INSTANCE_MIN)
-        known = scratch.write(sources.unionByName(new.join(sources.select("instance"), "instance", "left_anti")), f"known{i}")
+    pairs = scratch.write(seen.select("instance", "last", F.explode("patterns").alias("pattern")).distinct(), "pairs0")
+    known, wanted, found, graph, patterns_before, turn = sources, None, None, None, 0, 0
+    grown = lambda old, new: new if old is None else old.union(new)
+    fresh = True
+    while True:
+        if fresh:  # contexts that the instances known by now are enough for
+            support = pairs.groupBy("pattern", "last").agg(F.count_distinct("instance").alias("support")).where(F.col("support") >= SUPPORT)
+            support = scratch.write(support if wanted is None else support.join(wanted.select("pattern"), "pattern", "left_anti"), f"support{turn}")
+            sketch = occurrences(rows, support).groupBy("pattern").agg(F.approx_count_distinct("instance", 0.05).alias("n"))
+            more = scratch.write(support.join(sketch, "pattern").where(F.col("support") >= FLOOR * F.col("n")).select("pattern", "last"), f"wanted{turn}")
+            some = scratch.write(occurrences(rows, more), f"occurrences{turn}")
+            wanted, found = grown(wanted, more), grown(found, some)
+            graph = grown(graph, scratch.write(some.select("pattern", "instance").distinct(), f"graph{turn}"))
+        accepted = scratch.write(scores(graph, known), f"patterns{turn}")
+        sure = graph.join(accepted, "pattern").groupBy("instance", "as").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("sure")).where(F.col("sure") >= INSTANCE_MIN)
+        now = scratch.write(sources.unionByName(sure.join(sources.select("instance"), "instance", "left_anti")), f"known{turn}")
+        new = scratch.write(now.select("instance").distinct().join(known.select("instance"), "instance", "left_anti"), f"new{turn}")
+        number, fresh = accepted.count(), new.limit(1).count() > 0
+        known = now
+        if not fresh and number == patterns_before:
+            break
+        patterns_before, turn = number, turn + 1
+        if fresh:
+            pairs = pairs.union(scratch.write(contexts(rows, new), f"pairs{turn}"))
     return found.join(accepted.select("pattern"), "pattern", "left_semi").join(known.select("instance"), "instance", "left_semi").select("row", "i").distinct()
 
 
