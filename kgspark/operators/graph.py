@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .layout import layers
 from .lineage import cut
 
 EDGE_PATTERN = re.compile(r"\(\s*(\w*)\s*\)\s*-\[\s*(\w*)\s*\]->\s*\(\s*(\w*)\s*\)")
@@ -187,24 +188,6 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
     return done
 
 
-def layers(edges: DataFrame) -> DataFrame:
-    """(id, depth) of an acyclic graph: the longest path that ends at each vertex, 0 at its sources. A cycle is an error."""
-    e = cut(edges.select("src", "dst").distinct())
-    ids = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct()
-    depth = cut(ids.withColumn("depth", F.lit(0)))
-    most, d = None, 0
-    while True:
-        above = e.join(depth.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("depth") + 1).alias("d"))
-        nxt = cut(depth.join(above, "id", "left").select("id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("moved")))
-        depth, d = nxt.select("id", "depth"), d + 1
-        if not nxt.where("moved").limit(1).count():
-            return depth
-        if d % 32 == 0 and most is None:  # a long path or a cycle: tell them apart once
-            if cyclic_core(e).limit(1).count():
-                raise ValueError("the graph has a cycle")
-            most = True
-
-
 def ranks(edges: DataFrame) -> DataFrame:
     """(id, depth, height, alap): the longest paths to and from each vertex, and the latest layer it can stand in."""
     down = layers(edges)
@@ -266,7 +249,7 @@ def preorder(tree: DataFrame) -> DataFrame:
     out, d = level, 0
     while True:
         d += 1
-        level = cut(level.select(F.col("id").alias("parent"), "path").join(tree, "parent").where(~F.array_contains("path", F.col("id"))).select("id", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")))
+        level = cut(level.select(F.col("id").alias("parent"), "path").join(tree, "parent").select("id", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")))
         if not level.limit(1).count():
             return out
         out = out.union(level)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import hierarchy, layout
 from .base import query
 from .project import CONNECTS_SQL, PLACES_SQL, places, wires
 
@@ -187,9 +188,12 @@ def acyclic_gate(t):
 SELECT r_name AS region, count(*) AS customers, count(*) FILTER (regions <> 1) AS violations FROM (
   SELECT c_custkey, min(r_name) AS r_name, count(DISTINCT r_regionkey) AS regions FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1) GROUP BY 1""")
 def ancestors_one_facet(t):
-    """Each customer reaches exactly one region through the closure."""
-    c = g.closure(places(t)).where("ancestor like 'region:%' and descendant like 'customer:%'")
-    per = c.groupBy("descendant").agg(F.min("ancestor").alias("a"), F.count_distinct("ancestor").alias("regions"))
+    """Each customer stands below exactly one region, by interval labels."""
+    broader = places(t).select(F.col("src").alias("id"), F.lit(0).alias("ord"), F.col("dst").alias("parent"))
+    ids = broader.select("id").union(broader.select("parent")).distinct()
+    labels, extra = hierarchy.intervals(ids, broader)
+    c = hierarchy.below(labels, extra, ids.where("id like 'region:%'"), ids.where("id like 'customer:%'"))
+    per = c.groupBy("id").agg(F.min("top").alias("a"), F.count_distinct("top").alias("regions"))
     named = per.join(t.region.select(F.concat(F.lit("region:"), "r_regionkey").alias("a"), F.col("r_name").alias("region")), "a")
     return named.groupBy("region").agg(F.count("*").alias("customers"), F.count_if(F.col("regions") != 1).alias("violations"))
 
@@ -358,3 +362,62 @@ def routing_swappable(t):
     """Nodes all of whose feeds may be swapped."""
     x = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     return x.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.bool_and(F.col("p_size") > 3).alias("all_swappable"), F.count_distinct("l_partkey").alias("parts"))
+
+
+@query("""
+WITH sells AS (SELECT DISTINCT 'part:' || l_partkey AS p, 'nation:' || s_nationkey AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), up AS (SELECT 'nation:' || n_nationkey AS n, 'region:' || n_regionkey AS r FROM nation)
+SELECT r AS region, count(DISTINCT p) AS parts FROM sells JOIN up USING (n) GROUP BY 1""")
+def below_regions(t):
+    """Parts below each region: a part hangs under the nation of its first supplier, and has other nations as second parents."""
+    tag = lambda k, c: F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))
+    sells = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(tag("part", "l_partkey").alias("id"), F.col("s_nationkey").alias("ord"), tag("nation", "s_nationkey").alias("parent")).distinct()
+    broader = sells.union(t.nation.select(tag("nation", "n_nationkey"), F.lit(0), tag("region", "n_regionkey")))
+    ids = broader.select("id").union(broader.select("parent")).distinct()
+    labels, extra = hierarchy.intervals(ids, broader)
+    pairs = hierarchy.below(labels, extra, ids.where("id like 'region:%'"), ids.where("id like 'part:%'"))
+    return pairs.groupBy(F.col("top").alias("region")).agg(F.count("*").alias("parts"))
+
+
+_LAYOUT_SQL = """
+e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+d0 AS (SELECT id, CASE left(id, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS d FROM v),
+a AS (SELECT s_suppkey AS ord, 's' || s_suppkey AS src, 'r' || n_regionkey AS dst FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 2 = 1),
+d1 AS (SELECT id, greatest(d, coalesce(CASE WHEN id IN (SELECT dst FROM a) THEN 3 END, 0)) AS d FROM d0),
+b AS (SELECT 1000000 + n_nationkey AS ord, 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation WHERE n_nationkey % 2 = 0),
+d2 AS (SELECT d1.id, greatest(d1.d, coalesce(max(s.d) + 1, 0)) AS d FROM d1 LEFT JOIN b ON b.dst = d1.id LEFT JOIN d1 s ON s.id = b.src GROUP BY d1.id, d1.d)"""
+
+
+@query(f"WITH {_LAYOUT_SQL} SELECT id, d::INT AS col, row_number() OVER (PARTITION BY d ORDER BY id) - 1 AS row FROM d2")
+def layout_columns(t):
+    """Columns of regions, nations and suppliers by their links, and then by links both ways: odd suppliers to their region, then
+    regions to their even nations, which see the regions where the suppliers pushed them."""
+    cat = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    home = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    links = t.nation.select(F.lit(0).cast("bigint").alias("ord"), cat("r", "n_regionkey").alias("src"), cat("n", "n_nationkey").alias("dst"), F.lit(False).alias("bidirectional"))
+    links = links.union(t.supplier.select(F.lit(0).cast("bigint"), cat("n", "s_nationkey"), cat("s", "s_suppkey"), F.lit(False)))
+    links = links.union(home.where("s_suppkey % 2 = 1").select(F.col("s_suppkey").cast("bigint"), cat("s", "s_suppkey"), cat("r", "n_regionkey"), F.lit(True)))
+    links = links.union(t.nation.where("n_nationkey % 2 = 0").select((F.lit(1000000) + F.col("n_nationkey")).cast("bigint"), cat("r", "n_regionkey"), cat("n", "n_nationkey"), F.lit(True)))
+    ids = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    return layout.columns(ids, links)
+
+
+@query("""
+WITH e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'In ' || (n_nationkey * 7 % 23) AS port FROM nation
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, CASE WHEN s_suppkey % 4 > 0 THEN 'Jack ' || s_suppkey % 11 END FROM supplier),
+p AS (SELECT src AS id, min(coalesce(port, '~')) AS port FROM e GROUP BY 1),
+v AS (SELECT id, CASE left(id, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 ELSE 2 END AS depth, coalesce(p.port, '~') AS port FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) LEFT JOIN p USING (id)),
+k AS (SELECT id, depth, CASE WHEN port = '~' THEN port ELSE lower(split_part(port, ' ', 1)) || ' ' || lpad(split_part(port, ' ', 2), 12, '0') END AS port FROM v),
+l0 AS (SELECT id, depth, row_number() OVER (ORDER BY port, id) - 1 AS place FROM k WHERE depth = 0),
+m1 AS (SELECT dst AS id, sum(coalesce(place, 0)) / count(*) AS mean FROM e LEFT JOIN l0 ON l0.id = src GROUP BY 1),
+l1 AS (SELECT k.id, depth, row_number() OVER (ORDER BY port, mean, k.id) - 1 AS place FROM k JOIN m1 USING (id) WHERE depth = 1),
+m2 AS (SELECT dst AS id, sum(coalesce(place, 0)) / count(*) AS mean FROM e LEFT JOIN l1 ON l1.id = src GROUP BY 1),
+l2 AS (SELECT k.id, depth, row_number() OVER (ORDER BY port, mean, k.id) - 1 AS place FROM k JOIN m2 USING (id) WHERE depth = 2)
+SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2""")
+def layer_places(t):
+    """The order of regions, of nations and of suppliers: by numbered ports, then by where what comes before them stands."""
+    cat = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    e = t.nation.select(cat("r", "n_regionkey").alias("src"), cat("n", "n_nationkey").alias("dst"), F.concat(F.lit("In "), (F.col("n_nationkey") * 7 % 23).cast("string")).alias("to_port"))
+    jack = F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("Jack "), (F.col("s_suppkey") % 11).cast("string")))
+    e = e.union(t.supplier.select(cat("n", "s_nationkey"), cat("s", "s_suppkey"), jack))
+    return layout.layer_order(g.layers(e), e)
