@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Statuses from the strongest to the weakest.
-STATUS_RANK = ["confirmed", "override", "single", "inferred", "missing", "conflict"]
+STATUS_RANK = ["confirmed", "single", "override", "inferred", "missing", "conflict"]
 
 
 def resolve(evidence: DataFrame, keys: list[str], wanted: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """keys, value, status for evidence(keys..., value), one row a source.
 
-    An override (keys..., value) wins. No source: missing. One distinct value: confirmed with two sources or more, else
+    An override (keys..., value, and a status where it has one of its own) wins, a null value too. No source: missing. One distinct value: confirmed with two sources or more, else
     single. Otherwise conflict: the value of a strict majority of sources, else the largest, which errs to the safe side.
     """
     per = evidence.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("n"))
@@ -23,8 +23,10 @@ def resolve(evidence: DataFrame, keys: list[str], wanted: DataFrame | None = Non
     if wanted is not None:
         out = wanted.select(*keys).distinct().join(out, keys, "left").withColumn("status", F.coalesce("status", F.lit("missing")))
     if overrides is not None:
-        o = overrides.select(*keys, F.col("value").alias("_v")).dropDuplicates(keys)
-        out = out.join(o, keys, "left").select(*keys, F.coalesce("_v", "value").alias("value"), F.when(F.col("_v").isNotNull(), "override").otherwise(F.col("status")).alias("status"))
+        own = F.col("status") if "status" in overrides.columns else F.lit(None).cast("string")
+        o = overrides.groupBy(*keys).agg(F.min(F.struct(F.coalesce(own, F.lit("override")).alias("s"), F.col("value").alias("v"))).alias("_o"))
+        won = F.col("_o").isNotNull()
+        out = out.join(o, keys, "full").select(*keys, F.when(won, F.col("_o.v")).otherwise(F.col("value")).alias("value"), F.when(won, F.col("_o.s")).otherwise(F.col("status")).alias("status"))
     return out
 
 
@@ -41,10 +43,14 @@ def status_rank(status: Column) -> Column:
     return ladder
 
 
-def worst_status(resolved: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, worst, n_confirmed over a group's fields."""
+def worst_status(resolved: DataFrame, keys: list[str], absent: Column | None = None) -> DataFrame:
+    """keys, worst, n_confirmed over a group's fields. Where `absent` holds, a missing field doesn't count for the worst; null if
+    nothing else is left."""
     names = F.array(*map(F.lit, STATUS_RANK))
-    return resolved.groupBy(*keys).agg(F.get(names, F.max(status_rank(F.col("status")))).alias("worst"), F.count_if(F.col("status") == "confirmed").alias("n_confirmed"))
+    rank = status_rank(F.col("status"))
+    if absent is not None:
+        rank = F.when(~((F.col("status") == "missing") & F.coalesce(absent, F.lit(False))), rank)
+    return resolved.groupBy(*keys).agg(F.get(names, F.max(rank)).alias("worst"), F.count_if(F.col("status") == "confirmed").alias("n_confirmed"))
 
 
 def support(specs: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:

@@ -116,3 +116,22 @@ def digest(df: DataFrame, keys: list[str]) -> DataFrame:
     cut = [F.conv(F.substring(h, 13 * k + 1, 13), 16, 10).cast("decimal(38,0)").alias(f"_h{k}") for k in range(5)]
     sums = df.select(*keys, *cut).groupBy(*keys).agg(F.count("*").alias("_n"), *[F.sum(f"_h{k}").alias(f"_h{k}") for k in range(5)])
     return sums.select(*keys, F.sha2(F.concat_ws(",", F.col("_n").cast("string"), *[F.col(f"_h{k}").cast("string") for k in range(5)]), 256).alias("digest"))
+
+
+def prefix_pairs(left: DataFrame, text: str, right: DataFrame, name: str) -> DataFrame:
+    """left and right rows where one's string is a prefix of the other's, or both are equal; by equal keys, not by comparing all.
+
+    Each string is cut to the lengths that occur on the other side, which are few; the cut is the key.
+    """
+    lengths = lambda df, c, into: df.agg(F.collect_set(F.length(c)).alias(into))  # noqa: E731  # one row, as many numbers as lengths
+    cut = lambda df, c, other, oc, strict: df.crossJoin(F.broadcast(lengths(other, oc, "_ns"))).withColumn("_n", F.explode(F.filter("_ns", lambda n: (n < F.length(c)) if strict else (n <= F.length(c))))).withColumn("_key", F.left(F.col(c), F.col("_n"))).drop("_ns", "_n")
+    columns = [*left.columns, *right.columns]
+    longer = cut(left, text, right, name, False).join(right.withColumn("_key", F.col(name)), "_key").select(*columns)
+    shorter = left.withColumn("_key", F.col(text)).join(cut(right, name, left, text, True), "_key").select(*columns)
+    return longer.unionByName(shorter)
+
+
+def first_prefix(left: DataFrame, text: str, right: DataFrame, name: str, id_cols: list[str], order: str) -> DataFrame:
+    """left with the first name of right, in order, that is a prefix of its text or the other way round; null without one."""
+    hit = prefix_pairs(left, text, right, name).groupBy(*id_cols).agg(F.min(F.struct(order, name)).alias("_m")).select(*id_cols, F.col(f"_m.{name}").alias(name))
+    return left.join(hit, id_cols, "left")

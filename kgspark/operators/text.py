@@ -2,29 +2,47 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names that may stand without a semicolon are at most this long.
+SHORT = max(len(n) for n in html5 if not n.endswith(";"))
 
 
 def unescape(text: Column) -> Column:
-    """Character references read: decimal, hexadecimal, and the names of HTML 4 (and apos); others stay as they are."""
-    names = {n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    plain = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    char = lambda n: F.when(plain(n), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
-    numeric = lambda x: F.when(x.startswith("&#x") | x.startswith("&#X"), F.conv(F.regexp_extract(x, "([0-9A-Fa-f]+);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "([0-9]+);$", 1)).try_cast("int")
-    read = lambda x: F.coalesce(F.when(x.startswith("&#"), char(numeric(x))).otherwise(F.try_element_at(table, F.regexp_extract(x, "^&(.*);$", 1))), x)
-    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), read)
+    """Character references read as HTML 5 does: decimal, hexadecimal, names with a semicolon, and of old names the longest one that a
+    run of characters begins with. Numbers 128 to 159 are meant as Windows-1252; what is no character becomes U+FFFD or
+    nothing, unknown names stay as they are."""
+    table = F.str_to_map(F.lit("\x01".join(f"{n}\x02{c}" for n, c in html5.items())), F.lit("\x01"), F.lit("\x02"))
+    western = F.str_to_map(F.lit("\x01".join(f"{k}\x02{c}" for k in range(0x80, 0xA0) for c in [bytes([k]).decode("cp1252", "replace").replace("\ufffd", chr(k))])), F.lit("\x01"), F.lit("\x02"))
+    void = lambda n: n.between(1, 8) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n == 11) | ((n % 65536) >= 65534)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+    def numeric(x: Column) -> Column:
+        told = F.when(F.lower(F.substring(x, 3, 1)) == "x", F.conv(F.regexp_replace(F.regexp_extract(x, "([0-9A-Fa-f]+);?$", 1), "^0+(?=.)", ""), 16, 10)).otherwise(F.regexp_replace(F.regexp_extract(x, "([0-9]+);?$", 1), "^0+(?=.)", ""))
+        n = F.when(F.length(told) < 10, told.try_cast("bigint")).otherwise(F.lit(1 << 40))
+        return F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd")).when(n == 13, F.lit("\r")).when(n.between(128, 159), F.try_element_at(western, n.cast("string"))).when(void(n), F.lit("")).otherwise(char(n))
+
+    def named(x: Column) -> Column:
+        name = F.substring(x, 2, 33)
+        begun = [F.concat(F.try_element_at(table, F.left(name, F.lit(k))), F.substring(name, k + 1, 33)) for k in range(SHORT, 1, -1)]
+        return F.coalesce(F.try_element_at(table, name), *[F.when(F.length(name) > k, b) for k, b in zip(range(SHORT, 1, -1), begun, strict=True)], x)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda x: F.when(x.startswith("&#"), numeric(x)).otherwise(named(x)))
     whole = F.array_join(F.zip_with(F.split(text, ENTITY, -1), found, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")
     return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
+#: "+12V" over "130mA"
+RAIL = r"(?im)^([+-]? ?(?:12|5) ?v) ?:? ?\n(\d{1,4} ?ma)\b"
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text: scripts and styles dropped, a line for each tag, entities read, dashes and blanks made one kind."""
+    """Visible text: scripts and styles dropped, a line for each tag, entities read, dashes and blanks made one kind; a rail's label
+    and the figure on the line below it become one line."""
     x = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<!--.*?-->", " ")
     x = F.regexp_replace(x, r"<[^>]*>", "\n")
@@ -32,7 +50,8 @@ def html_to_text(html: Column) -> Column:
     x = F.regexp_replace(x, "[‐-―−]", "-")
     x = F.regexp_replace(x, r"(?<=\d),(?=\d{3}(?!\d))", "")
     x = F.regexp_replace(x, r"[ \t\x0B\f\r ]+", " ")
-    return F.regexp_replace(F.regexp_replace(x, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+    return F.regexp_replace(x, RAIL, "$1: $2")
 
 
 def extract(text: Column, fields: dict[str, list[str]]) -> dict[str, tuple[Column, Column]]:

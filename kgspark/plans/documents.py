@@ -131,7 +131,7 @@ def describe_docs(t):
 
 
 _GROUPED = "regexp_replace({}, '(\\d),(\\d\\d\\d)([^\\d]|$)', '\\1\\2\\3', 'g')"
-_READ = [("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("#39", "''"), ("eacute", "\u00e9"), ("copy", "\u00a9"), ("middot", "\u00b7"), ("amp", "&")]
+_READ = [("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("ndash", "\u2013"), ("mdash", "\u2014"), ("#39", "''"), ("eacute", "\u00e9"), ("copy", "\u00a9"), ("middot", "\u00b7")]
 
 
 def _html_sql() -> str:
@@ -140,10 +140,12 @@ def _html_sql() -> str:
     x = f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', chr(10), 'g')"
     for name, char in _READ:
         x = f"replace({x}, '&{name};', '{char}')"
+    x = f"regexp_replace({x}, '&amp;?', '&', 'g')"
     x = f"regexp_replace({x}, '[\u2010-\u2015\u2212]', '-', 'g')"
     x = _GROUPED.format(_GROUPED.format(x))
     x = f"regexp_replace({x}, '[ \\t\\x0B\\f\\r\u00a0]+', ' ', 'g')"
-    return f"regexp_replace(regexp_replace({x}, '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '\\s*\\n\\s*', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '(?im)^([+-]? ?(?:12|5) ?v) ?:? ?\\n(\\d{{1,4}} ?ma)\\b', '\\1: \\2', 'g')"
 
 
 @query(f"SELECT page_id, {_html_sql()} AS text FROM pages")
@@ -209,12 +211,10 @@ b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_
 SELECT b.item_id, doc_id, round(b.kinds / w.kinds, 6) AS unique_recall, round(hits / w.n, 6) AS occurrence_recall FROM b JOIN w USING (item_id) WHERE r = 1""")
 def coverage_recall(t):
     """How much of each benchmark text the document nearest to it covers: of its words, and of their occurrences."""
-    from pyspark.sql import Window
-
     a = tx.tokens(t.benchmark, ["item_id"], "text")
     d = tx.tokens(t.documents, ["doc_id"], "text").withColumnRenamed("n", "m")
-    o = a.join(d, "token").groupBy("item_id", "doc_id").agg(F.sum(F.least("n", "m")).alias("hits"))
-    best = o.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), "doc_id"))).where("r = 1").select("item_id", "doc_id")
+    asked = a.withColumnRenamed("item_id", "qid")
+    best = retrieval.covering(d.withColumnRenamed("m", "n"), asked).top(asked, 1).select(F.col("qid").alias("item_id"), "doc_id")
     target = best.join(d, "doc_id").select("item_id", "token", F.col("m").alias("n"))
     x = tx.recall(a, target, ["item_id"]).join(best, "item_id")
     return x.select("item_id", "doc_id", F.round("unique_recall", 6).alias("unique_recall"), F.round("occurrence_recall", 6).alias("occurrence_recall"))
@@ -243,16 +243,17 @@ _RANK_SQL = "r AS (SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER
 VARIANTS = {"base": (1.2, 0.75), "flat": (1.2, 0.0), "steep": (2.0, 1.0)}
 
 
-def _scores(t, variants=None):
+def _blocks(t, variants=None):
     d = tx.tokens(t.documents, ["doc_id"], "text")
     q = tx.tokens(t.benchmark, ["item_id"], "text").select(F.col("item_id").alias("qid"), "token")
-    return retrieval.bm25(d, q, variants)
+    return retrieval.bm25_blocks(d, q, variants), q
 
 
 @query(_BM25_SQL + f"s AS ({_bm25_sql(1.2, 0.75, 'base')}), {_RANK_SQL} SELECT qid, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def bm25_top5(t):
     """The five documents that rank first for each benchmark text."""
-    return retrieval.ranked(_scores(t), 5).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    blocks, q = _blocks(t)
+    return blocks.top(q, 5).select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 _RANKS_SQL = (
@@ -266,7 +267,8 @@ _RANKS_SQL = (
 
 def _ranks(t):
     """(variant, qid, rank) of the first document that holds the whole text, for the texts that any document holds."""
-    return retrieval.ranks_of(_scores(t, VARIANTS), _holds(t), list(VARIANTS))
+    blocks, q = _blocks(t, VARIANTS)
+    return blocks.ranks(q, _holds(t))
 
 
 def _holds(t):

@@ -97,6 +97,25 @@ def worst_status(t):
     return ev.worst_status(ev.resolve(sources(t), ["part", "supplier"]), ["part"])
 
 
+@query("""
+WITH ev AS (SELECT l_partkey AS part, 'f' || (l_suppkey % 4) AS field, round(l_tax * 100)::INT AS value FROM lineitem WHERE l_returnflag = 'R'),
+want AS (SELECT p_partkey AS part, 'f' || k AS field FROM part, range(4) r(k)),
+seen AS (SELECT part, field, count(*) AS n, count(DISTINCT value) AS kinds FROM ev GROUP BY ALL),
+st AS (SELECT part, field, CASE WHEN field = 'f0' AND part % 5 = 0 THEN CASE WHEN part % 2 = 0 THEN 'inferred' ELSE 'override' END
+  WHEN n IS NULL THEN 'missing' WHEN kinds > 1 THEN 'conflict' WHEN n > 1 THEN 'confirmed' ELSE 'single' END AS status FROM want LEFT JOIN seen USING (part, field)),
+r AS (SELECT part, max(CASE status WHEN 'confirmed' THEN 0 WHEN 'single' THEN 1 WHEN 'override' THEN 2 WHEN 'inferred' THEN 3 WHEN 'missing' THEN 4 ELSE 5 END) FILTER (NOT (status = 'missing' AND field IN ('f1', 'f2', 'f3'))) AS k,
+  count(*) FILTER (status = 'confirmed') AS n_confirmed FROM st GROUP BY 1)
+SELECT coalesce(['confirmed', 'single', 'override', 'inferred', 'missing', 'conflict'][k + 1], 'none') AS worst, count(*) AS parts, sum(n_confirmed)::BIGINT AS n_confirmed FROM r GROUP BY 1""")
+def worst_status_override(t):
+    """Weakest statuses of parts with four wanted fields: some overridden with null values, half of these with a status of their own;
+    three fields whose absence doesn't count."""
+    ev_ = t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("part"), F.concat(F.lit("f"), F.col("l_suppkey") % 4).alias("field"), F.round(F.col("l_tax") * 100).cast("int").alias("value"))
+    want = t.part.select(F.col("p_partkey").alias("part"), F.explode(F.array(*[F.lit(f"f{k}") for k in range(4)])).alias("field"))
+    over = t.part.where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("part"), F.lit("f0").alias("field"), F.lit(None).cast("int").alias("value"), F.when(F.col("p_partkey") % 2 == 0, "inferred").alias("status"))
+    worst = ev.worst_status(ev.resolve(ev_, ["part", "field"], want, over), ["part"], F.col("field").isin("f1", "f2", "f3"))
+    return worst.groupBy(F.coalesce("worst", F.lit("none")).alias("worst")).agg(F.count("*").alias("parts"), F.sum("n_confirmed").alias("n_confirmed"))
+
+
 RULES = [(1, "owner", ["tax"], ["single"], ["BUILDING", "AUTOMOBILE"]), (2, "shop", ["tax", "size"], ["single", "conflict"], ["BUILDING", "MACHINERY"]), (3, "paper", ["size"], ["confirmed"], ["FURNITURE"])]
 
 

@@ -51,8 +51,17 @@ SELECT p_partkey, (SELECT name FROM (VALUES (1, 'red wid'), (2, 'small'), (3, 'b
 def prefix_match(t):
     """The first listed name that is a prefix of the part's, or the other way round."""
     names = t.part.sparkSession.createDataFrame([(1, "red wid"), (2, "small"), (3, "blue bolt x"), (4, "red")], "ord int, name string")
-    on = (F.col("name") == F.col("p_name")) | F.startswith(F.col("p_name"), F.col("name")) | F.startswith(F.col("name"), F.col("p_name"))
-    return rel.first_match(t.part.select("p_partkey", "p_name"), names, on, ["p_partkey"], "ord", "name").select("p_partkey", "name")
+    return rel.first_prefix(t.part.select("p_partkey", "p_name"), "p_name", names, "name", ["p_partkey"], "ord").select("p_partkey", "name")
+
+
+@query("""
+WITH a AS (SELECT p_partkey, left(p_name, 3 + p_partkey % 9) AS a FROM part), b AS (SELECT DISTINCT left(p_name, 2 + p_partkey % 7) AS b FROM part)
+SELECT p_partkey, count(*) AS n, min(b) AS first FROM a JOIN b ON starts_with(a, b) OR starts_with(b, a) GROUP BY 1""")
+def prefix_pairs(t):
+    """How many names, cut at various lengths, are a prefix of a part's cut name or begin with it."""
+    cut = lambda least, period: F.left("p_name", (F.lit(least) + F.col("p_partkey") % period).cast("int"))
+    x = rel.prefix_pairs(t.part.select("p_partkey", cut(3, 9).alias("a")), "a", t.part.select(cut(2, 7).alias("b")).distinct(), "b")
+    return x.groupBy("p_partkey").agg(F.count("*").alias("n"), F.min("b").alias("first"))
 
 
 @query("""
