@@ -7,16 +7,20 @@ there once however often it is named.
 
 from __future__ import annotations
 
+import datetime
+import hashlib
+import json
+import uuid
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..schema import EDGE, VERTEX
 from ..sources import sinks
-from . import evidence, graph, rules, text
+from . import evidence, graph, relational, rules, text
 
 
 @dataclass(frozen=True)
@@ -58,8 +62,9 @@ def key(prefix: str, *parts: Column | str) -> Column:
 
 def ensured(vertices: DataFrame) -> DataFrame:
     """One row an id: the fullest by name, then the first in order; used for vertices that stand for values."""
-    r = F.row_number().over(Window.partitionBy("id").orderBy(F.col("name").isNull(), "name", "type"))
-    return vertices.withColumn("_r", r).where("_r = 1").drop("_r")
+    rest = [c for c in vertices.columns if c not in ("id", "name", "type")]
+    best = F.min(F.struct(F.col("name").isNull().alias("_none"), "name", "type", F.struct(*rest).alias("_rest"))).alias("_x")  # partial minima: an id of any size
+    return vertices.groupBy("id").agg(best).select("id", "_x.name", "_x.type", "_x._rest.*").select(vertices.columns)
 
 
 def _union(parts: list[DataFrame], schema: StructType) -> DataFrame:
@@ -80,8 +85,9 @@ def build(w: World) -> graph.PropertyGraph:
     i = w.items.withColumn("visibility", F.coalesce("visibility", F.lit("public")))
     v = i.select(key("item", "id").alias("id"), F.lit("item").alias("type"), "name", "visibility", "category", "manufacturer", "status", "in_use", "format", "role")
     if w.channels is not None:
-        c = w.channels.select(key("item", "device").alias("id"), F.col("in").alias("midi_in_ch"), F.col("out").alias("midi_out_ch"), F.col("thru").alias("midi_thru_pass"), F.col("status").alias("midi_status"), F.col("confirmed").alias("midi_confirmed"))
-        v = v.join(c.dropDuplicates(["id"]), "id", "left")
+        told = [F.col("ord")] if "ord" in w.channels.columns else []
+        first = w.channels.withColumn("id", key("item", "device")).groupBy("id").agg(F.min(F.struct(*told, F.struct(F.col("in").alias("midi_in_ch"), F.col("out").alias("midi_out_ch"), F.col("thru").alias("midi_thru_pass"), F.col("status").alias("midi_status"), F.col("confirmed").alias("midi_confirmed")).alias("c"))).alias("x"))
+        v = v.join(first.select("id", "x.c.*"), "id", "left")  # the first record of a device by ord; without an order the least one
     own.append(v)
     for column, kind, rel in (("category", "cat", "IN_CATEGORY"), ("manufacturer", "mfr", "MADE_BY")):
         named = i.where(F.col(column).isNotNull())
@@ -105,7 +111,7 @@ def build(w: World) -> graph.PropertyGraph:
         values.append(tagged.select(key("tag", "tag").alias("id"), F.lit("tag").alias("type"), F.col("tag").alias("name")))
         edges.append(tagged.select(F.col("at").alias("src"), key("tag", "tag").alias("dst"), F.lit("TAGGED").alias("rel")))
     if w.concepts is not None:
-        own.append(w.concepts.select(key("term", "id").alias("id"), F.lit("term").alias("type"), F.col("pref").alias("name"), "facet", F.array_join("alt", "; ").alias("alt")))
+        own.append(w.concepts.select(key("term", "id").alias("id"), F.lit("term").alias("type"), F.col("pref").alias("name"), "facet", F.array_join("alt", "; ").alias("alt"), F.when(F.col("grouping") if "grouping" in w.concepts.columns else F.lit(False), "grouping").otherwise("concept").alias("role")))
         for column, rel in (("broader", "BROADER"), ("close", "CLOSE_MATCH")):
             edges.append(w.concepts.select("id", F.explode(column).alias("x")).select(key("term", "id").alias("src"), key("term", "x").alias("dst"), F.lit(rel).alias("rel")))
         values.append(w.concepts.where("tag is not null").select(key("tag", "tag").alias("id"), F.lit("tag").alias("type"), F.col("tag").alias("name")))
@@ -160,21 +166,53 @@ def gates(g: graph.PropertyGraph, forbidden: list[str] | None = None) -> DataFra
 
 def sample(violations: DataFrame, each: int = 3) -> DataFrame:
     """The first violations of each rule, and how many there are: what a failed gate reports."""
-    w = Window.partitionBy("rule")
-    x = violations.withColumn("_r", F.row_number().over(w.orderBy("subject", "detail"))).withColumn("n", F.count("*").over(w))
-    return x.where(F.col("_r") <= each).drop("_r")
+    n = violations.groupBy("rule").agg(F.count("*").alias("n"))
+    first = violations.withColumn("_r", F.row_number().over(Window.partitionBy("rule").orderBy("subject", "detail"))).where(F.col("_r") <= each)
+    return first.drop("_r").join(n, "rule")
 
 
-def publish(g: graph.PropertyGraph, path: str, forbidden: list[str] | None = None) -> None:
-    """Write the full graph as Parquet and its public part as sorted sparse JSON; a graph with gate errors isn't written."""
+def publish(g: graph.PropertyGraph, path: str, forbidden: list[str] | None = None, inputs: str | None = None) -> str:
+    """Write the full graph as Parquet and its public part as sorted sparse JSON, as one new version; a graph with gate errors isn't
+    written. Returns the version's name.
+
+    All tables go to a folder of their own under `versions`; only when they are there, the small file CURRENT, which names the
+    version and the digest of the inputs that it was made from, is replaced in one step. Until then readers see the version
+    before, and never tables of two versions; earlier versions stay as they are.
+    """
+    spark = g.vertices.sparkSession
     wrong = sample(gates(g, forbidden)).collect()  # three rows a rule
     if wrong:
         raise ValueError("; ".join(f"{r['rule']}: {r['subject']} {r['detail']} ({r['n']} in all)" for r in wrong))
-    sinks.parquet(g.vertices, f"{path}/vertices.parquet")
-    sinks.parquet(g.edges, f"{path}/edges.parquet")
+    version = f"{datetime.datetime.now(datetime.UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    at = f"{path}/versions/{version}"
+    sinks.parquet(g.vertices, f"{at}/vertices.parquet")
+    sinks.parquet(g.edges, f"{at}/edges.parquet")
     public = g.public()
-    sinks.ordered_json(public.vertices, ["id"], f"{path}/public/vertices.json")
-    sinks.ordered_json(public.edges, ["src", "rel", "dst", "setup", "medium"], f"{path}/public/edges.json")
+    sinks.ordered_json(public.vertices, ["id"], f"{at}/public/vertices.json")
+    sinks.ordered_json(public.edges, ["src", "rel", "dst", "setup", "medium"], f"{at}/public/edges.json")
+    sinks.replace_file(spark, f"{path}/CURRENT", json.dumps({"version": version, "inputs": inputs}))
+    return version
+
+
+def current(spark: SparkSession, path: str, inputs: str | None = None) -> str:
+    """The folder of the published version. With a digest of the inputs as they are now, a version made from others is an error."""
+    found = [r[0] for r in spark.read.text(f"{path}/CURRENT").collect()]  # one line
+    told = json.loads(found[0])
+    if inputs is not None and told["inputs"] != inputs:
+        raise ValueError(f"version {told['version']} is stale: its inputs have changed since")
+    return f"{path}/versions/{told['version']}"
+
+
+def published(spark: SparkSession, path: str, inputs: str | None = None) -> graph.PropertyGraph:
+    """The graph as last published, both tables of one version; see `current`."""
+    at = current(spark, path, inputs)
+    return graph.PropertyGraph(spark.read.parquet(f"{at}/vertices.parquet"), spark.read.parquet(f"{at}/edges.parquet"))
+
+
+def inputs_digest(w: World) -> str:
+    """One digest of all records, in any order of rows: what `publish` keeps and `published` compares."""
+    parts = {name: relational.digest(getattr(w, name), []).collect() for name in sorted(tables(w))}  # a row a table
+    return hashlib.sha256(json.dumps({k: v[0]["digest"] if v else None for k, v in parts.items()}).encode()).hexdigest()
 
 
 def tables(w: World) -> list[str]:

@@ -37,19 +37,18 @@ def _pairs(df: DataFrame, key: Column, value: Column) -> DataFrame:
 
 @kind
 def feeds(g: PropertyGraph, item: str, setup: str | None = None) -> DataFrame:
-    """medium -> what the item feeds."""
-    e = graph.scoped(_edges(g, "CONNECTS"), setup).where(F.col("src") == f"item:{item}")
+    """medium -> what the item feeds by confirmed links."""
+    e = graph.confirmed(graph.scoped(_edges(g, "CONNECTS"), setup)).where(F.col("src") == f"item:{item}")
     return _pairs(e, F.col("medium"), bare("dst"))
 
 
 @kind
 def reach(g: PropertyGraph, item: str, media: list[str] | None = None, setup: str | None = None) -> DataFrame:
-    """hops -> every item that confirmed links of these media lead to; links both ways count from either end."""
+    """hops -> every item that confirmed links of these media lead to, in the direction they are recorded in."""
     e = graph.confirmed(graph.scoped(_edges(g, "CONNECTS"), setup))
     e = e.where(F.col("medium").isin(media)) if media else e
-    back = e.where("bidirectional").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     root = g.vertices.sparkSession.createDataFrame([(f"item:{item}",)], "id string")
-    return _pairs(graph.reach(e.select("src", "dst").union(back), root).where("hops > 0"), F.col("hops"), bare("id"))
+    return _pairs(graph.reach(e.select("src", "dst"), root).where("hops > 0"), F.col("hops"), bare("id"))
 
 
 @kind
@@ -62,19 +61,22 @@ def support(g: PropertyGraph) -> DataFrame:
 
 @kind
 def midi_conflicts(g: PropertyGraph) -> DataFrame:
-    """source/channel -> devices that it feeds by midi on one receive channel; those without a channel under `not recorded`."""
-    e = graph.confirmed(_edges(g, "CONNECTS").where("medium = 'midi'")).select("setup", "src", "dst").distinct()
-    j = e.join(_typed(g, "item").select(F.col("id").alias("dst"), F.col("midi_in_ch").alias("ch")), "dst").where("ch is null or ch not in ('omni', 'off')")
-    n = j.groupBy("setup", "src", F.col("ch").alias("_ch")).agg(F.count_distinct("dst").alias("n"))
-    hit = j.join(n.where("n > 1 or _ch is null"), ["setup", "src"]).where("ch <=> _ch")
-    return _pairs(hit, F.concat_ws("/", "setup", bare("src"), F.coalesce("ch", F.lit("not recorded"))), bare("dst"))
+    """source/channel -> devices that share a receive channel, of a source with two confirmed midi links or more; those without a
+    channel under `not recorded`, however many."""
+    e = graph.confirmed(_edges(g, "CONNECTS").where("medium = 'midi'")).select("src", "dst")
+    fans = e.groupBy("src").agg(F.count("*").alias("fan")).where("fan >= 2").select("src")
+    j = e.join(fans, "src", "left_semi").join(_typed(g, "item").select(F.col("id").alias("dst"), F.col("midi_in_ch").alias("ch")), "dst")
+    n = j.groupBy("src", F.col("ch").alias("_ch")).agg(F.count("*").alias("n")).where("n > 1 or _ch is null")
+    hit = j.join(n, "src").where("ch <=> _ch")
+    return _pairs(hit, F.concat_ws("/", bare("src"), F.coalesce("ch", F.lit("not recorded"))), bare("dst"))
 
 
 @kind
 def unrecorded(g: PropertyGraph) -> DataFrame:
-    """category -> items in use that no link names."""
-    ends = _edges(g, "CONNECTS").select(F.col("src").alias("id")).union(_edges(g, "CONNECTS").select("dst"))
-    return _pairs(_typed(g, "item").where("in_use").join(ends, "id", "left_anti"), F.coalesce("category", F.lit("none")), bare("id"))
+    """category -> items that no confirmed link, place or supply names."""
+    e = graph.confirmed(_edges(g, "CONNECTS", "INSTALLED_IN", "POWERED_BY"))
+    ends = e.select(F.col("src").alias("id")).union(e.select("dst"))
+    return _pairs(_typed(g, "item").join(ends, "id", "left_anti"), F.coalesce("category", F.lit("none")), bare("id"))
 
 
 def _labels(g: PropertyGraph) -> DataFrame:
@@ -83,12 +85,19 @@ def _labels(g: PropertyGraph) -> DataFrame:
     return _edges(g, "USES_TERM").select("src", F.col("dst").alias("concept"), "label", F.col("value").alias("n")).join(who, "src")
 
 
+def _manual_uses(g: PropertyGraph) -> DataFrame:
+    """(item, maker, concept, label, n): terms that the manuals of items use."""
+    own = _edges(g, "HAS_MANUAL").select(F.col("dst").alias("src"), F.col("src").alias("item"))
+    item = _typed(g, "item").select(F.col("id").alias("item"), F.col("manufacturer").alias("maker"))
+    return _labels(g).drop("manufacturer").join(own, "src").join(item, "item")
+
+
 @kind
 def naming(g: PropertyGraph, show: list[str] | None = None) -> DataFrame:
-    """concept -> `who: word` where makers of manuals clearly differ in the word they use most."""
-    own = _edges(g, "HAS_MANUAL").select(F.col("dst").alias("src"), F.col("src").alias("item"))
-    by = own.join(_typed(g, "item").select(F.col("id").alias("item"), F.col("manufacturer").alias("maker")), "item").where("maker is not null").select("src", "maker").distinct()
-    used = _labels(g).drop("manufacturer").join(by, "src")
+    """concept -> `who: word` where makers of manuals clearly differ in the word they use most; concepts that only group others don't
+    count, items without a maker stand together as `maker not recorded`."""
+    used = _manual_uses(g).join(_typed(g, "term").where("role = 'concept'").select(F.col("id").alias("concept")), "concept", "left_semi")
+    used = used.withColumn("maker", F.coalesce("maker", F.lit("maker not recorded")))
     used = used.where(F.col("concept").isin([f"term:{c}" for c in show])) if show else used
     win = terms.differing(terms.dominant(used, ["concept", "maker"], "label", "n"), "concept")
     return _pairs(win, bare("concept"), F.concat_ws(": ", "maker", "winner"))
@@ -101,60 +110,82 @@ def _family(g: PropertyGraph, concept: str) -> DataFrame:
 
 
 @kind
-def inherits(g: PropertyGraph, param: str, subject: str) -> DataFrame:
-    """user -> kinds of the subject that it names, where it names the parameter as well."""
-    used = _labels(g)
-    with_param = used.where(F.col("concept") == f"term:{param}").select("src").distinct()
-    return _pairs(used.join(_family(g, subject), "concept").join(with_param, "src", "left_semi"), bare("src"), bare("concept"))
+def inherits(g: PropertyGraph, param: str, predicate: str = "MODULATES") -> DataFrame:
+    """item -> what its manual names of the things that stand in the relation to the parameter, narrower ones included, where the
+    manual names the parameter as well."""
+    subjects = _edges(g, predicate).where(F.col("dst") == f"term:{param}").select(F.col("src").alias("id")).distinct()
+    down = _edges(g, "BROADER").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    kinds = graph.reach(down, subjects).select(F.col("id").alias("concept"))
+    used = _manual_uses(g).select("item", "concept").distinct()
+    with_param = used.where(F.col("concept") == f"term:{param}").select("item")
+    return _pairs(used.join(kinds, "concept", "left_semi").join(with_param, "item", "left_semi"), bare("item"), bare("concept"))
+
+
+def _guide(g: PropertyGraph) -> DataFrame:
+    """(section, about): what the sections written for users document."""
+    told = _edges(g, "DOCUMENTS").select(F.col("src").alias("section"), F.col("dst").alias("about"))
+    return told.join(_typed(g, "doc_section").where("role = 'user'").select(F.col("id").alias("section")), "section", "left_semi")
 
 
 @kind
 def undocumented(g: PropertyGraph) -> DataFrame:
-    """app -> actions that no section documents."""
-    gone = _typed(g, "ui_action").join(_edges(g, "DOCUMENTS").select(F.col("dst").alias("id")), "id", "left_anti")
+    """app -> actions that no section for users documents."""
+    gone = _typed(g, "ui_action").join(_guide(g).select(F.col("about").alias("id")), "id", "left_anti")
     app = _edges(g, "PART_OF", "CONTAINS").select(F.col("src").alias("app"), F.col("dst").alias("id"))
     return _pairs(gone.join(app, "id", "left"), F.coalesce(bare("app"), F.lit("none")), bare("id"))
 
 
 @kind
 def doc_impact(g: PropertyGraph, route_prefix: str) -> DataFrame:
-    """route -> sections that document an action whose handler requests it, directly or through what it calls."""
-    calls = _edges(g, "CALLS", "HANDLED_BY").select("src", "dst")
-    wanted = _edges(g, "REQUESTS").where(bare("dst").startswith(route_prefix)).select(F.col("src").alias("fn"), F.col("dst").alias("route"))
-    above = graph.closure(calls).select(F.col("ancestor").alias("fn"), F.col("descendant").alias("action"))
-    hit = wanted.join(above, "fn").union(wanted.select("fn", "route", F.col("fn").alias("action")))
-    told = hit.join(_edges(g, "DOCUMENTS").select(F.col("src").alias("section"), F.col("dst").alias("action")), "action")
-    return _pairs(told, bare("route"), bare("section"))
+    """function, action, section -> what a change of the routes with this prefix touches: functions that request one, actions that
+    such a function handles, sections for users about either. One link each: a function that calls everything flags nothing."""
+    path = F.regexp_replace(bare("dst"), "^[A-Z]+ ", "")
+    functions = _edges(g, "REQUESTS").where(path.startswith(route_prefix)).select(F.col("src").alias("id")).distinct()
+    actions = _edges(g, "HANDLED_BY").select(F.col("src").alias("id"), "dst").join(functions.withColumnRenamed("id", "dst"), "dst", "left_semi").select("id").distinct()
+    sections = _guide(g).join(functions.union(actions).withColumnRenamed("id", "about"), "about", "left_semi").select(F.col("section").alias("id"))
+    rows = functions.select(F.lit("function").alias("what"), "id").union(actions.select(F.lit("action"), "id")).union(sections.select(F.lit("section"), "id"))
+    return _pairs(rows, F.col("what"), bare("id"))
 
 
 @kind
-def kb_reach(g: PropertyGraph) -> DataFrame:
-    """dataset -> `relation: n` entities that it defines or describes."""
-    e = _edges(g, "DEFINES", "DESCRIBES").where("src like 'data:%'")
-    n = e.groupBy("src", "rel").agg(F.count_distinct("dst").alias("n"))
-    return n.select(bare("src").alias("key"), F.concat_ws(": ", F.lower("rel"), F.col("n").cast("string")).alias("value"))
+def kb_reach(g: PropertyGraph, system: str, reader: str = "") -> DataFrame:
+    """dataset -> how many entities it defines or describes, of the system's datasets that a file below `reader` reads."""
+    part = _edges(g, "PART_OF").where(F.col("dst") == f"system:{system}").select("src")
+    read = _edges(g, "READS").where(F.col("src").startswith(f"file:{reader}")).select(F.col("dst").alias("src"))
+    e = _edges(g, "DEFINES", "DESCRIBES").join(part, "src", "left_semi").join(read, "src", "left_semi")
+    return e.groupBy("src").agg(F.count("*").cast("string").alias("value")).select(bare("src").alias("key"), "value")
+
+
+def _apps(g: PropertyGraph) -> DataFrame:
+    """(src, app): what each app contains."""
+    return _edges(g, "CONTAINS").join(_typed(g, "app").select(F.col("id").alias("_a")), F.col("src") == F.col("_a")).select(F.col("dst").alias("src"), bare("_a").alias("app")).distinct()
 
 
 @kind
 def concept_where(g: PropertyGraph, concept: str) -> DataFrame:
-    """type of user -> how many use the concept or a narrower one; sections of code documents are counted by their app."""
-    used = _labels(g).join(_family(g, concept), "concept").select("src", "type").distinct()
-    app = _edges(g, "CONTAINS").where("src like 'app:%'").select(F.col("src").alias("app"), F.col("dst").alias("src"))
-    name = F.when((F.col("type") == "doc_section") & F.col("app").isNotNull(), F.concat_ws(" of ", "type", bare("app"))).otherwise(F.col("type"))
-    return used.join(app, "src", "left").groupBy(name.alias("key")).agg(F.count_distinct("src").cast("string").alias("value"))
+    """Where the concept or a narrower one is used: manuals -> how many; sections of an app's documents and code files -> which."""
+    used = _labels(g).join(_family(g, concept), "concept").select("src", "type", "name").distinct()
+    manuals = used.where("type = 'manual'").agg(F.count_distinct("src").alias("n")).where("n > 0").select(F.lit("manuals").alias("key"), F.col("n").cast("string").alias("value"))
+    sections = used.where("type = 'doc_section'").join(_apps(g), "src", "left").select(F.concat(F.lit("sections of "), F.coalesce("app", F.lit("?"))).alias("key"), F.coalesce("name", bare("src")).alias("value"))
+    files = used.where("type = 'code_file'").select(F.lit("code files").alias("key"), F.coalesce("name", bare("src")).alias("value"))
+    return manuals.union(sections.union(files).distinct())
 
 
 @kind
 def vocabulary(g: PropertyGraph, concept: str) -> DataFrame:
-    """label -> users that use it for the concept."""
-    return _pairs(_labels(g).where(F.col("concept") == f"term:{concept}"), F.col("label"), bare("src"))
+    """word, in lower case -> makers whose manuals, and apps whose documents or code, use it for the concept or a narrower one."""
+    used = _labels(g).join(_family(g, concept), "concept").where("label is not null").select("src", F.explode(F.split(F.lower("label"), "; ")).alias("word"))
+    item = _edges(g, "HAS_MANUAL").select(F.col("dst").alias("src"), F.col("src").alias("item"))
+    maker = _edges(g, "MADE_BY").select(F.col("src").alias("item"), F.col("dst").alias("_m")).join(_typed(g, "manufacturer").select(F.col("id").alias("_m"), F.col("name").alias("who")), "_m").select("item", "who")
+    by_maker = used.join(item, "src").join(maker, "item").select("word", "who")
+    return _pairs(by_maker.union(used.join(_apps(g), "src").select("word", "app")), F.col("word"), F.col("who"))
 
 
 @kind
 def term_gaps(g: PropertyGraph) -> DataFrame:
-    """left_only, right_only, shared -> concepts that manuals use, that code and its documents use, and that both do."""
-    used = _labels(g).select("type", "concept")
-    sides = terms.gaps(used.where("type = 'manual'"), used.where("type <> 'manual'"), "concept")
+    """left_only, right_only, shared -> concepts that manuals use, that apps' documents and code use, and that both do."""
+    used = _labels(g)
+    sides = terms.gaps(used.where("type = 'manual'"), used.join(_apps(g), "src", "left_semi"), "concept")
     return _pairs(sides, F.col("side"), bare("concept"))
 
 

@@ -69,37 +69,42 @@ def placements(rows: DataFrame, cases: DataFrame, items: DataFrame) -> DataFrame
 
 
 def rows_of(placements: DataFrame, cases: DataFrame, items: DataFrame) -> DataFrame:
-    """placements with `_row`, the case's row it names (struct format, hp), `_rows`, how many there are, and the item's format and hp."""
+    """placements in known cases of items with a width, with `_row`, the case's row that they name (struct format, hp; counted from 1, 0 and
+    null name none), and the item's `_hp` and `_format`: the placement's own `row` if there is one, else the item's, else 3U."""
     c = cases.select("setup", F.col("id").alias("case"), F.col("rows").alias("_list"))
-    j = placements.join(c, ["setup", "case"]).join(items.select(F.col("id").alias("module"), F.col("format").alias("_format"), F.col("hp").alias("_hp")), "module", "left")
-    return j.withColumn("_rows", F.size("_list")).withColumn("_row", F.when(F.col("row_index") >= 0, F.get("_list", F.col("row_index")))).drop("_list")
+    own = F.col("row") if "row" in placements.columns else F.lit(None).cast("string")
+    j = placements.withColumn("_own", own).join(c, ["setup", "case"]).join(items.select(F.col("id").alias("module"), F.col("format").alias("_item"), F.col("hp").alias("_hp")), "module")
+    j = j.where("_hp is not null").withColumn("_format", F.coalesce("_own", "_item", F.lit("3U")))
+    return j.withColumn("_row", F.when(F.col("row_index") >= 1, F.get("_list", F.col("row_index") - 1))).drop("_list", "_own", "_item")
 
 
 def rows(placements: DataFrame, cases: DataFrame, items: DataFrame) -> DataFrame:
     """Row numbers within bounds, formats that match, one module a position."""
     j, at = rows_of(placements, cases, items), F.concat_ws("/", "setup", "module")
     return rules.together([
-        violation(j.where("row_index is not null and _row is null"), "row out of bounds", at, F.col("row_index")),
-        violation(j.where("_row is not null and _format is not null and _format <> _row.format"), "row of another format", at, F.col("_format")),
-        rules.unique(placements.where("position is not null and row_index is not null"), ["setup", "case", "row_index", "position"], "position taken twice"),
+        violation(j.where("row_index <> 0 and _row is null"), "row out of bounds", at, F.col("row_index")),
+        violation(j.where("_row is not null and _format <> _row.format"), "row of another format", at, F.col("_format")),
+        rules.unique(j.where("position is not null and _row is not null"), ["setup", "case", "row_index", "position"], "position taken twice"),
     ])
 
 
 def capacity(placements: DataFrame, cases: DataFrame, items: DataFrame) -> DataFrame:
-    """One placement a setup, placements for mounted items, rows and formats no fuller than they are wide, nothing left out."""
+    """One placement a setup, placements for mounted items, rows and formats no fuller than they are wide (a format without a row holds
+    nothing), and no module in use left out of a setup that has cases."""
     j = rows_of(placements, cases, items)
     used = j.where("_row is not null").groupBy("setup", "case", "row_index").agg(F.sum("_hp").alias("used"), F.first("_row.hp").alias("wide"))
     shelf = cases.select("setup", F.col("id").alias("case"), F.explode("rows").alias("r")).groupBy("setup", "case", F.col("r.format").alias("_format")).agg(F.sum("r.hp").alias("wide"))
-    formats = j.groupBy("setup", "case", "_format").agg(F.sum("_hp").alias("used")).join(shelf, ["setup", "case", "_format"])
+    formats = j.groupBy("setup", "case", "_format").agg(F.sum("_hp").alias("used")).join(shelf, ["setup", "case", "_format"], "left").fillna(0, ["wide"])
     mounted = cases.select("setup", F.col("id").alias("case"), F.explode("mounted").alias("module"))
-    placed = placements.select("module").distinct()
+    placed = placements.join(cases.select("setup", F.col("id").alias("case")), ["setup", "case"], "left_semi").select("setup", "module").distinct()
+    wanted = items.where("in_use and has_specs and kind = 'module'").select(F.col("id").alias("module")).crossJoin(cases.select("setup").distinct())  # a row a setup: the answer asks for each
     over = lambda df, rule, *key: violation(df.where("used > wide"), rule, F.concat_ws("/", *[F.col(k).cast("string") for k in key]), F.concat_ws(" of ", F.col("used").cast("string"), F.col("wide").cast("string")))
     return rules.together([
         rules.unique(placements, ["setup", "module"], "module placed more than once"),
-        violation(mounted.join(placements.select("setup", "case", "module"), ["setup", "case", "module"], "left_anti"), "mounted without placement", F.concat_ws("/", "setup", "module")),
+        violation(mounted.join(placed, ["setup", "module"], "left_anti"), "mounted without placement", F.concat_ws("/", "setup", "module")),
         over(used, "row too full", "setup", "case", "row_index"),
         over(formats, "format too full", "setup", "case", "_format"),
-        violation(items.where("in_use and has_specs and kind = 'module'").join(placed.withColumnRenamed("module", "id"), "id", "left_anti"), "module in use is nowhere placed", F.col("id")),
+        violation(wanted.join(placed, ["setup", "module"], "left_anti"), "module in use is nowhere placed", F.concat_ws("/", "setup", "module")),
     ])
 
 
@@ -133,54 +138,71 @@ def channels(rows: DataFrame, items: DataFrame, wired: DataFrame) -> DataFrame:
 
 
 def controllers(maps: DataFrame, channels: DataFrame, items: DataFrame, lines: DataFrame) -> DataFrame:
-    """maps(setup, controller, target, channel, cc, doc, line), and lines(doc, line, text) that they cite."""
+    """maps(setup, controller, target, channel, cc, parameter, doc), and lines(doc, line, text) of the sections that they cite. A line of the
+    section must name the parameter (what stands before a parenthesis, in any case) and the number."""
     at = F.concat_ws("/", "controller", "target", F.col("cc").cast("string"))
     own = channels.select("setup", F.col("device").alias("controller"), F.col("out").alias("_out"))
     heard = channels.select("setup", F.col("device").alias("target"), F.col("in").alias("_in"))
-    cited = maps.where("line is not null").join(lines.select("doc", "line", F.col("text").alias("_text")), ["doc", "line"], "left")
-    whole = F.regexp_like(F.coalesce("_text", F.lit("")), F.concat(F.lit(r"(?<!\d)"), F.col("cc").cast("string"), F.lit(r"(?!\d)")))
+    cited = maps.where("doc is not null").withColumn("_name", F.lower(F.substring_index(F.coalesce("parameter", F.lit("")), " (", 1)))
+    there = cited.join(lines.select("doc").distinct(), "doc", "left_semi")
+    whole = F.regexp_like("text", F.concat(F.lit(r"(?<!\d)"), F.col("cc").cast("string"), F.lit(r"(?!\d)")))
+    told = there.join(lines, "doc").where(F.contains(F.lower("text"), F.col("_name")) & whole).select("doc", "_name", "cc").distinct()
     return rules.together([
         violation(maps.join(own, ["setup", "controller"], "left").where("_out is distinct from cast(channel as string)"), "controller sends on another channel", at, F.col("_out")),
         rules.references(maps, "target", items, "id", "controller target unknown", at),
-        rules.within(maps, "cc", 0, 127, "controller number", at),
-        violation(maps.join(heard, ["setup", "target"], "left").where("_in is null or (_in <> 'omni' and _in <> cast(channel as string))"), "target does not listen", at, F.col("_in")),
-        violation(cited.where(~whole), "number not on the cited line", at, F.col("line")),
+        violation(maps.where("cc is null or cc not between 0 and 127"), "controller number", at, F.col("cc")),
+        violation(maps.join(heard, ["setup", "target"], "left").where("_in is distinct from cast(channel as string)"), "target does not listen", at, F.col("_in")),
+        violation(cited.join(lines.select("doc").distinct(), "doc", "left_anti"), "cited section unknown", at, F.col("doc")),
+        violation(there.join(told, ["doc", "_name", "cc"], "left_anti"), "no line names parameter and number", at, F.col("doc")),
     ])
 
 
-def terminology(concepts: DataFrame, predicates: DataFrame, relations: DataFrame, homographs: DataFrame, tags: DataFrame) -> DataFrame:
+def terminology(concepts: DataFrame, predicates: DataFrame, relations: DataFrame, homographs: DataFrame, tags: DataFrame, facets: DataFrame) -> DataFrame:
     """concepts(id, pref, alt[], broader[], close[], tag), predicates(id, domain[], range[]), relations(s, p, o),
-    homographs(label, senses[]), tags(id). Facets are the concepts without a broader one."""
+    homographs(label, senses[]), tags(id), facets(id): the tops, one of which every concept must reach, and only one."""
     at = F.col("id")
+    tops = facets.select("id").distinct()
     up = concepts.select("id", F.explode("broader").alias("parent"))
     near = concepts.select("id", F.explode("close").alias("other"))
     known = concepts.select("id").distinct()
-    above = graph.closure(up.join(known.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("id").alias("src"), F.col("parent").alias("dst"))).where("depth > 0")
-    facets = concepts.where("size(coalesce(broader, array())) = 0").select(F.col("id").alias("ancestor"))
-    facet = above.join(facets, "ancestor").select(F.col("descendant").alias("id"), F.col("ancestor").alias("facet")).union(facets.select("ancestor", "ancestor")).distinct()
+    nodes = known.union(tops).distinct()
+    above = graph.closure(up.join(nodes.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("id").alias("src"), F.col("parent").alias("dst"))).where("depth > 0")
+    reached = above.join(tops.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select(F.col("descendant").alias("id"), F.col("ancestor").alias("facet"))
+    per = known.join(reached, "id", "left").groupBy("id").agg(F.array_sort(F.collect_set("facet")).alias("f"))  # a concept's few facets
+    one = per.where("size(f) = 1").select("id", F.get("f", F.lit(0)).alias("facet")).union(tops.select("id", "id"))
     labels = concepts.select("id", F.explode(F.concat(F.array("pref"), F.coalesce("alt", F.array().cast("array<string>")))).alias("label")).select("id", terms.fold(F.col("label")).alias("label")).distinct()
-    free = homographs.select(terms.fold(F.col("label")).alias("label")).distinct()
-    twice = labels.join(free, "label", "left_anti").groupBy("label").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
+    told = homographs.select("label", terms.fold(F.col("label")).alias("_key"))
+    twice = labels.groupBy("label").agg(F.array_sort(F.collect_set("id")).alias("ids")).where("size(ids) > 1")
     declared = relations.join(predicates.select(F.col("id").alias("p"), "domain", "range"), "p")
-    of = lambda side: facet.groupBy(F.col("id").alias(side)).agg(F.collect_set("facet").alias(f"_{side}"))  # noqa: E731 a concept's few facets
-    typed = declared.join(of("s"), "s", "left").join(of("o"), "o", "left")
     name = F.concat_ws(" ", "s", "p", "o")
-    outside = lambda side, allowed: ~F.coalesce(F.arrays_overlap(f"_{side}", allowed), F.lit(False))
+
+    def ends(side: str, allowed: str, where: str) -> list[DataFrame]:
+        there = declared.join(nodes.withColumnRenamed("id", side), side, "left_semi")
+        typed = there.join(one.withColumnRenamed("id", side), side, "left")
+        return [
+            violation(declared.join(nodes.withColumnRenamed("id", side), side, "left_anti"), "relation end unknown", name, F.col(side)),
+            violation(typed.where(~F.coalesce(F.array_contains(allowed, F.col("facet")), F.lit(False))), where, name, F.col(side)),
+        ]
+
     both = above.select(F.col("descendant").alias("id"), F.col("ancestor").alias("other"))
     return rules.together([
         rules.unique(concepts, ["id"], "concept id twice"),
-        rules.references(up, "parent", known, "id", "broader concept unknown", at),
+        violation(known.join(tops, "id", "left_semi"), "concept is a facet as well", at),
+        violation(concepts.where("size(coalesce(broader, array())) = 0"), "concept without a broader one", at),
+        rules.references(up, "parent", nodes, "id", "broader concept unknown", at),
         rules.references(near, "other", known, "id", "close match unknown", at),
         rules.references(concepts, "tag", tags, "id", "tag not in the vocabulary", at),
         violation(graph.cycle_paths(up.select(F.col("id").alias("src"), F.col("parent").alias("dst"))), "hierarchy has a cycle", F.col("root"), F.array_join("path", " > ")),
-        violation(facet.groupBy("id").agg(F.array_sort(F.collect_set("facet")).alias("f")).where("size(f) > 1"), "more than one facet", at, F.array_join("f", ", ")),
+        violation(per.where("size(f) > 1"), "more than one facet", at, F.array_join("f", ", ")),
+        violation(per.where("size(f) = 0"), "no facet", at),
         violation(twice, "label of several concepts", F.col("label"), F.array_join("ids", ", ")),
+        violation(told.join(labels.select(F.col("label").alias("_key")).distinct(), "_key", "left_semi"), "homograph is a concept's label", F.col("label")),
         violation(homographs.where("size(coalesce(senses, array())) < 2"), "homograph with fewer than two senses", F.col("label")),
         rules.references(homographs.select("label", F.explode("senses").alias("sense")), "sense", known, "id", "homograph sense unknown", F.col("label")),
-        violation(near.join(both.union(both.select("other", "id")), ["id", "other"], "left_semi"), "close match within the hierarchy", at, F.col("other")),
+        violation(near.join(both.union(both.select("other", "id")), ["id", "other"], "left_semi").union(near.where("id = other")), "close match within the hierarchy", at, F.col("other")),
         violation(relations.join(predicates.select(F.col("id").alias("p")), "p", "left_anti"), "predicate not declared", name, F.col("p")),
-        violation(typed.where(outside("s", "domain")), "subject outside the domain", name, F.col("s")),
-        violation(typed.where(outside("o", "range")), "object outside the range", name, F.col("o")),
+        *ends("s", "domain", "subject outside the domain"),
+        *ends("o", "range", "object outside the range"),
         rules.unique(relations, ["s", "p", "o"], "relation twice"),
     ])
 

@@ -35,27 +35,27 @@ def link_rules(t):
     return _tally(v.links(rows, items, t.lineitem.sparkSession.createDataFrame([("O",)], "id string"), ["A", "N"]))
 
 
-_PLACED = """i AS (SELECT 'p' || p_partkey AS id, p_size > 5 AS in_use, CASE WHEN p_size % 7 <> 0 THEN p_size END AS hp, CASE WHEN p_size % 2 = 0 THEN '1U' ELSE '3U' END AS format, p_retailprice > 1000 AS has_specs FROM part),
+_PLACED = """i AS (SELECT 'p' || p_partkey AS id, p_size > 5 AS in_use, CASE WHEN p_size % 7 <> 0 THEN p_size END AS hp, CASE WHEN p_size % 11 = 0 THEN '2U' WHEN p_size % 2 = 0 THEN '1U' ELSE '3U' END AS format, p_retailprice > 1000 AS has_specs FROM part),
 c AS (SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS supply FROM supplier WHERE s_suppkey % 10 <> 3),
-p AS (SELECT 'p' || l_partkey AS module, 's' || l_suppkey AS box, 'n' || (l_suppkey % 25) AS power, (l_suppkey % 3)::INT AS ix, (min(l_orderkey) % 50)::INT AS position FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey, l_suppkey),
-j AS (SELECT p.*, i.hp, i.format, CASE ix WHEN 0 THEN '1U' WHEN 1 THEN '3U' END AS row_format FROM p JOIN c ON c.id = p.box LEFT JOIN i ON i.id = p.module),
+p AS (SELECT 'p' || l_partkey AS module, 's' || l_suppkey AS box, 'n' || (l_suppkey % 25) AS power, (l_suppkey % 4)::INT AS ix, (min(l_orderkey) % 50)::INT AS position FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey, l_suppkey),
+j AS (SELECT p.*, i.hp, i.format, CASE ix WHEN 1 THEN '1U' WHEN 2 THEN '3U' END AS row_format FROM p JOIN c ON c.id = p.box JOIN i ON i.id = p.module WHERE hp IS NOT NULL),
 f AS (SELECT box, format, sum(hp) AS used FROM j GROUP BY 1, 2)"""
 
 
 @query(_sql(_PLACED, {
     "placement case unknown": "p WHERE box NOT IN (SELECT id FROM c)", "powered by another supply": "p JOIN c ON c.id = box WHERE power <> supply",
     "placed but not in use": "p JOIN i ON i.id = module WHERE NOT in_use", "placed without width": "p JOIN i ON i.id = module WHERE hp IS NULL",
-    "row out of bounds": "j WHERE ix = 2", "row of another format": "j WHERE row_format <> format", "position taken twice": "(SELECT box FROM p GROUP BY box, ix, position HAVING count(*) > 1)",
-    "module placed more than once": "(SELECT module FROM p GROUP BY 1 HAVING count(*) > 1)", "row too full": "(SELECT box FROM j WHERE ix < 2 GROUP BY box, ix HAVING sum(hp) > 400)", "format too full": "f WHERE used > 400",
-    "module in use is nowhere placed": "i WHERE in_use AND has_specs AND id NOT IN (SELECT module FROM p)"}, ("placed but not in use", "placed without width")))
+    "row out of bounds": "j WHERE ix = 3", "row of another format": "j WHERE row_format <> format", "position taken twice": "(SELECT box FROM j WHERE ix IN (1, 2) GROUP BY box, ix, position HAVING count(*) > 1)",
+    "module placed more than once": "(SELECT module FROM p GROUP BY 1 HAVING count(*) > 1)", "row too full": "(SELECT box FROM j WHERE ix IN (1, 2) GROUP BY box, ix HAVING sum(hp) > 400)", "format too full": "f WHERE used > CASE format WHEN '2U' THEN 0 ELSE 400 END",
+    "module in use is nowhere placed": "i WHERE in_use AND has_specs AND id NOT IN (SELECT module FROM p WHERE box IN (SELECT id FROM c))"}, ("placed but not in use", "placed without width")))
 def placement_rules(t):
     """First lines as parts placed in their supplier's case of two rows."""
     size = F.col("p_size")
-    items = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), (size > 5).alias("in_use"), F.when(size % 7 != 0, size).alias("hp"), F.when(size % 2 == 0, "1U").otherwise("3U").alias("format"), (F.col("p_retailprice") > 1000).alias("has_specs"), F.lit("module").alias("kind"))
+    items = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("id"), (size > 5).alias("in_use"), F.when(size % 7 != 0, size).alias("hp"), F.when(size % 11 == 0, "2U").when(size % 2 == 0, "1U").otherwise("3U").alias("format"), (F.col("p_retailprice") > 1000).alias("has_specs"), F.lit("module").alias("kind"))
     row = lambda f: F.struct(F.lit(f).alias("format"), F.lit(400).alias("hp"))
     cases = t.supplier.where("s_suppkey % 10 <> 3").select(F.lit("w").alias("setup"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("n"), "s_nationkey").alias("supply"), F.array().cast("array<string>").alias("mounted"), F.array(row("1U"), row("3U")).alias("rows"))
     first = t.lineitem.where("l_linenumber = 1").groupBy("l_partkey", "l_suppkey").agg((F.min("l_orderkey") % 50).cast("int").alias("position"))
-    placed = first.select(F.lit("w").alias("setup"), F.concat(F.lit("p"), "l_partkey").alias("module"), F.concat(F.lit("s"), "l_suppkey").alias("case"), F.concat(F.lit("n"), F.col("l_suppkey") % 25).alias("powered_by"), (F.col("l_suppkey") % 3).cast("int").alias("row_index"), "position", F.lit("confirmed").alias("status"), F.lit("d").alias("confirmed"))
+    placed = first.select(F.lit("w").alias("setup"), F.concat(F.lit("p"), "l_partkey").alias("module"), F.concat(F.lit("s"), "l_suppkey").alias("case"), F.concat(F.lit("n"), F.col("l_suppkey") % 25).alias("powered_by"), (F.col("l_suppkey") % 4).cast("int").alias("row_index"), "position", F.lit("confirmed").alias("status"), F.lit("d").alias("confirmed"))
     return _tally(v.placements(placed, cases, items).union(v.rows(placed, cases, items)).union(v.capacity(placed, cases, items)))
 
 
@@ -109,27 +109,26 @@ def channel_clashes(t):
 
 
 _TERMS = """n AS (SELECT count(*) AS n FROM supplier), b AS (SELECT s_suppkey AS s, s_nationkey AS k FROM supplier UNION SELECT s_suppkey, (s_nationkey + 1) % 25 FROM supplier WHERE s_suppkey % 10 = 0),
-f AS (SELECT DISTINCT s, n_regionkey AS r FROM b JOIN nation ON n_nationkey = k), rel AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 13 = 0 THEN 'hums' ELSE 'sells' END AS p, (s_suppkey * 3) % n + 1 AS o FROM supplier, n)"""
+f AS (SELECT DISTINCT s, n_regionkey AS r FROM b JOIN nation ON n_nationkey = k), f1 AS (SELECT s, min(r) AS r FROM f GROUP BY s HAVING count(*) = 1), rel AS (SELECT s_suppkey AS s, CASE WHEN s_suppkey % 13 = 0 THEN 'hums' ELSE 'sells' END AS p, (s_suppkey * 3) % n + 1 AS o FROM supplier, n)"""
 
 
 @query(_sql(_TERMS, {
     "more than one facet": "(SELECT s FROM f GROUP BY s HAVING count(*) > 1)", "label of several concepts": "(SELECT s_suppkey % 60 AS k FROM supplier GROUP BY 1 HAVING count(*) > 1)",
     "close match within the hierarchy": "supplier WHERE s_suppkey % 7 = 0", "predicate not declared": "rel WHERE p = 'hums'", "tag not in the vocabulary": "nation WHERE n_regionkey > 2",
-    "subject outside the domain": "rel WHERE p = 'sells' AND s NOT IN (SELECT s FROM f WHERE r < 2)", "object outside the range": "rel WHERE p = 'sells' AND o NOT IN (SELECT s FROM f WHERE r > 1)"}))
+    "subject outside the domain": "rel WHERE p = 'sells' AND s NOT IN (SELECT s FROM f1 WHERE r < 2)", "object outside the range": "rel WHERE p = 'sells' AND o NOT IN (SELECT s FROM f1 WHERE r > 1)"}))
 def term_rules(t):
-    """Regions, nations and suppliers as concepts; a tenth of the suppliers are in two nations."""
+    """Nations and suppliers as concepts under regions as facets; a tenth of the suppliers are in two nations."""
     spark, key = t.nation.sparkSession, lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
     none, blank = F.array().cast("array<string>"), F.lit(None).cast("string")
     row = lambda id_, pref, broader, close, tag: [id_.alias("id"), pref.alias("pref"), none.alias("alt"), broader.alias("broader"), close.alias("close"), tag.alias("tag")]
     k, s = F.col("s_nationkey"), F.col("s_suppkey")
-    regions = t.region.select(*row(key("r", F.col("r_regionkey")), key("region ", F.col("r_regionkey")), none, none, blank))
     nations = t.nation.select(*row(key("n", F.col("n_nationkey")), key("nation ", F.col("n_nationkey")), F.array(key("r", F.col("n_regionkey"))), none, key("t", F.col("n_regionkey"))))
     up = F.when(s % 10 == 0, F.array(key("n", k), key("n", (k + 1) % 25))).otherwise(F.array(key("n", k)))
     suppliers = t.supplier.select(*row(key("s", s), key("sup ", s % 60), up, F.when(s % 7 == 0, F.array(key("n", k))).otherwise(none), blank))
     predicates = spark.createDataFrame([("sells", ["r0", "r1"], ["r2", "r3", "r4"])], "id string, domain array<string>, range array<string>")
     relations = t.supplier.crossJoin(t.supplier.agg(F.count("*").alias("n"))).select(key("s", s).alias("s"), F.when(s % 13 == 0, "hums").otherwise("sells").alias("p"), key("s", (s * 3) % F.col("n") + 1).alias("o"))  # n: one row
     tags = spark.createDataFrame([("t0",), ("t1",), ("t2",)], "id string")
-    return _tally(v.terminology(regions.union(nations).union(suppliers), predicates, relations, spark.createDataFrame([], "label string, senses array<string>"), tags))
+    return _tally(v.terminology(nations.union(suppliers), predicates, relations, spark.createDataFrame([], "label string, senses array<string>"), tags, t.region.select(key("r", F.col("r_regionkey")).alias("id"))))
 
 
 _SESSIONS = """nd AS (SELECT c_mktsegment AS session, 'u' || c_nationkey AS uid, c_acctbal > -900 AS named FROM customer WHERE c_nationkey < 20),

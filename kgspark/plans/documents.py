@@ -112,6 +112,16 @@ def term_match_full(t):
     return terms.match_labels(t.documents, LABELS, "doc_id")
 
 
+@query()
+def vocabulary_match(t):
+    """A vocabulary read from the tables: the first two words of each benchmark text and its longer words as labels; what whole
+    documents use of it. No SQL: matches are taken leftmost first."""
+    first = t.benchmark.select(F.regexp_extract(F.lower("text"), r"^\W*(\w+\s\w+)\s", 1).alias("label")).where("label <> ''").distinct()
+    longer = tx.tokens(t.benchmark, [], "text", "[a-z]{7,}").select(F.col("token").alias("label"))
+    labels = first.withColumn("concept", F.lit("opening")).union(longer.withColumn("concept", F.lit("word")))
+    return terms.match_vocabulary(t.documents, labels, "doc_id").groupBy("concept", "label").agg(F.count("*").alias("documents"), F.sum("n").alias("uses"))
+
+
 TAGS = {"article": ["the", "der", "les"], "pointer": ["this", "that"], "motion": ["tion", "ment"], "joint": ["and", "und", "con"]}
 _TAG_SQL = " UNION ALL ".join(f"SELECT id, '{k}' AS tag FROM x WHERE len(regexp_extract_all(h, '\\b(?:{'|'.join(v)})')) > 0 OR len(regexp_extract_all(b, '\\b(?:{'|'.join(v)})')) >= 3" for k, v in TAGS.items())
 

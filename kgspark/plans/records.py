@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import build, consumer
+from ..operators import build, consumer, golden
 from ..operators import text as tx
 from .base import query
 from .project import CONNECTS_SQL, wires
@@ -21,7 +21,7 @@ def world(t) -> build.World:
     items = t.part.where("p_size <> 7").select(text("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("manufacturer"), none.alias("status"), (F.col("p_size") > 5).alias("in_use"), none.alias("format"), none.alias("role"), F.when(F.col("p_size") > 48, "private").otherwise("public").alias("visibility"), "p_size")
     told = t.lineitem.select(text("l_partkey").alias("item"), text("l_suppkey").alias("url")).distinct().join(items.select(F.col("id").alias("item"), F.col("p_size").alias("value")), "item")
     evidence = told.select("item", F.lit("size").alias("field"), F.lit("maker").alias("tier"), "url", F.lit("200").alias("http"), "value", none.alias("line"))
-    links = wires(t).select("setup", text("src").alias("src"), text("dst").alias("dst"), none.alias("src_port"), none.alias("dst_port"), "medium", F.lit("confirmed").alias("status"), none.alias("confirmed"), F.lit(None).cast("boolean").alias("swappable"), F.lit(None).cast("boolean").alias("bidirectional"), none.alias("note"))
+    links = wires(t).select("setup", text("src").alias("src"), text("dst").alias("dst"), none.alias("src_port"), none.alias("dst_port"), "medium", F.when((F.col("src") + F.col("dst")) % 13 == 0, "confirmed").otherwise("unconfirmed").alias("status"), none.alias("confirmed"), F.lit(None).cast("boolean").alias("swappable"), F.lit(None).cast("boolean").alias("bidirectional"), none.alias("note"))
     return build.World(items=items.drop("p_size"), evidence=evidence, links=links)
 
 
@@ -100,3 +100,33 @@ def pages_covered(t):
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     starts = t.events.where("event_type = 'signup'").select(F.col("user_id").alias("id"), n.alias("ord"), F.col("event_id").alias("at"), F.lit(None).cast("bigint").alias("until"))
     return tx.pages_covered(marks, starts)
+
+
+_WIRED = "SELECT src AS id FROM wires WHERE (src + dst) % 13 = 0 UNION SELECT dst FROM wires WHERE (src + dst) % 13 = 0"
+
+
+@query(f"""WITH {_WORLD_SQL} SELECT medium AS key, dst::VARCHAR AS value FROM wires WHERE src = 1 AND setup = 'F' AND (src + dst) % 13 = 0""")
+def asked_feeds(t):
+    """What part 1 feeds in setup F, by confirmed links."""
+    return golden.feeds(build.build(world(t)), "1", "F").distinct()
+
+
+@query(f"""WITH RECURSIVE {_WORLD_SQL}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM wires WHERE medium = 'N' AND setup = 'O' AND (src + dst) % 13 = 0),
+r(id, d) USING KEY (id) AS (SELECT 2, 0 UNION SELECT e.dst, min(d) + 1 FROM r JOIN e ON e.src = r.id WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS seen WHERE seen.id = e.dst) GROUP BY e.dst)
+SELECT d::VARCHAR AS key, id::VARCHAR AS value FROM r WHERE d > 0""")
+def asked_reach(t):
+    """What part 2 reaches in setup O over one medium, with hops."""
+    return golden.reach(build.build(world(t)), "2", ["N"], "O")
+
+
+@query(f"""WITH {_WORLD_SQL} SELECT p_type AS key, id::VARCHAR AS value FROM i WHERE id NOT IN ({_WIRED})""")
+def asked_unrecorded(t):
+    """Items that no confirmed link names, by category; some have unconfirmed ones."""
+    return golden.unrecorded(build.build(world(t)))
+
+
+@query(f"""WITH {_WORLD_SQL}, n AS (SELECT id, count(*) AS n FROM ev GROUP BY 1)
+SELECT CASE WHEN n = 1 THEN 'one maker' ELSE 'two or more' END AS key, count(*)::VARCHAR AS value FROM n GROUP BY 1""")
+def asked_support(t):
+    """Figures by how many sources stand behind them."""
+    return golden.support(build.build(world(t)))

@@ -44,20 +44,40 @@ def test_cases(frame):
 
 
 def world(frame):
-    items = frame([("m1", True, 10, "3U", True, "module"), ("m2", True, 90, "3U", True, "module"), ("m3", False, None, "1U", True, "module"), ("m4", True, 8, "3U", True, "module"), ("psu", True, None, None, True, "supply")], ITEM)
+    items = frame([("m1", True, 10, "3U", True, "module"), ("m2", True, 90, "3U", True, "module"), ("m3", False, None, "1U", True, "module"), ("m4", True, 8, "3U", True, "module"), ("m5", True, 4, "3U", False, "module"), ("m6", True, 800, "2U", False, "module"), ("psu", True, None, None, True, "supply")], ITEM)
     cases = frame([("live", "rack", "psu", ["m1", "m3"], [("1U", 84), ("3U", 84)])], CASE)
     return items, cases
 
 
 def test_placements(frame):
     items, cases = world(frame)
-    good = frame([("live", "m1", "rack", "psu", 1, 0, "confirmed", "d"), ("live", "m4", "rack", None, None, None, "unconfirmed", None)], PLACE)
+    good = frame([("live", "m1", "rack", "psu", 2, 0, "confirmed", "d"), ("live", "m4", "rack", None, None, None, "unconfirmed", None)], PLACE)
     assert rules_of(v.placements(good, cases, items)) == {} and rules_of(v.rows(good, cases, items)) == {}
     assert rules_of(v.capacity(good, cases.withColumn("mounted", v.F.array(v.F.lit("m1"))), items.where("id <> 'm2'"))) == {}
     bad = frame([("live", "zz", "rack", "psu", 0, 0, "confirmed", "d"), ("live", "m1", "tent", "psu", 0, 1, "confirmed", "d"), ("live", "m2", "rack", "sun", 5, 1, "confirmed", "d"), ("live", "m3", "rack", "psu", 1, 3, "odd", "d"), ("live", "m2", "rack", "psu", 1, 3, "confirmed", None), ("live", "m4", "rack", "psu", -1, 9, "unconfirmed", None)], PLACE)
     assert rules_of(v.placements(bad, cases, items)) == {"placed module unknown": 1, "placement case unknown": 1, "powered by another supply": 1, "placement status": 1, "confirmed placement without date": 1, "placed but not in use": 1, "placed without width": 1}
-    assert broken(v.rows(bad, cases, items)) == {("row out of bounds", "live/m2"): 1, ("row out of bounds", "live/m4"): 1, ("row of another format", "live/m3"): 1, ("position taken twice", "live/rack/1/3"): 1}
-    assert broken(v.capacity(bad.where("module <> 'm4' and module <> 'm3'"), cases, items)) == {("module placed more than once", "live/m2"): 1, ("mounted without placement", "live/m1"): 1, ("mounted without placement", "live/m3"): 1, ("row too full", "live/rack/1"): 1, ("format too full", "live/rack/3U"): 1, ("module in use is nowhere placed", "m4"): 1}
+
+
+def test_rows_are_counted_from_one(frame):
+    items, cases = world(frame)
+    put = lambda module, row, position: ("live", module, "rack", "psu", row, position, "confirmed", "d")
+    one = frame([put("m1", 2, 1), put("m5", 0, 1), put("m4", None, 1)], PLACE)
+    assert rules_of(v.rows(one, cases, items)) == {}
+    bad = frame([put("m2", 3, 1), put("m1", 1, 3), put("m4", 2, 3), put("m5", 2, 3), put("m3", 9, 1), put("m6", -1, 1)], PLACE)
+    assert broken(v.rows(bad, cases, items)) == {("row out of bounds", "live/m2"): 1, ("row out of bounds", "live/m6"): 1, ("row of another format", "live/m1"): 1, ("position taken twice", "live/rack/2/3"): 1}
+    own = bad.where("module = 'm1'").withColumn("row", v.F.lit("1U"))  # the placement's own format goes before the item's
+    assert rules_of(v.rows(own, cases, items)) == {}
+
+
+def test_capacity_of_rows_and_formats(frame):
+    items, cases = world(frame)
+    put = lambda module, row, box="rack": ("live", module, box, "psu", row, None, "confirmed", "d")
+    two = cases.union(frame([("home", "bag", "psu", [], [("3U", 84)])], CASE))
+    bad = frame([put("m2", 2), put("m2", None), put("m6", None), put("m1", 2, "tent")], PLACE)
+    assert broken(v.capacity(bad, two, items)) == {
+        ("module placed more than once", "live/m2"): 1, ("mounted without placement", "live/m1"): 1, ("mounted without placement", "live/m3"): 1, ("row too full", "live/rack/2"): 1, ("format too full", "live/rack/3U"): 1, ("format too full", "live/rack/2U"): 1,
+        ("module in use is nowhere placed", "live/m1"): 1, ("module in use is nowhere placed", "live/m4"): 1, ("module in use is nowhere placed", "home/m1"): 1, ("module in use is nowhere placed", "home/m2"): 1, ("module in use is nowhere placed", "home/m4"): 1,
+    }
 
 
 def test_ports_in_text(frame):
@@ -75,11 +95,11 @@ def test_channels_and_controllers(frame):
     assert rules_of(v.channels(good, items, wired)) == {}
     bad = frame([("live", "zz", "1", "1", "confirmed", "d"), ("live", "a", "17", "omni", "confirmed", "d"), ("live", "b", "x", "0", "odd", "d"), ("live", "c", "1", "2", "confirmed", None), ("live", "c", "1", "2", "confirmed", "d")], CHANNEL)
     assert rules_of(v.channels(bad, items, wired)) == {"channel device unknown": 1, "in channel": 2, "out channel": 2, "channel status": 1, "confirmed channel without date": 1, "channel recorded twice": 1, "channel but no midi link": 3}
-    maps = "setup string, controller string, target string, channel int, cc int, doc string, line int"
-    lines = frame([("m", 3, "CC 74 filter"), ("m", 4, "CC 174")], "doc string, line int, text string")
-    assert rules_of(v.controllers(frame([("live", "a", "b", 16, 74, "m", 3)], maps), good.withColumn("in", v.F.lit("16")), items, lines)) == {}
-    wrong = frame([("live", "a", "b", 2, 74, "m", 4), ("live", "a", "zz", 16, 128, None, None)], maps)
-    assert rules_of(v.controllers(wrong, good, items, lines)) == {"controller sends on another channel": 1, "controller target unknown": 1, "controller number": 1, "target does not listen": 2, "number not on the cited line": 1}
+    maps = "setup string, controller string, target string, channel int, cc int, parameter string, doc string"
+    lines = frame([("m", 3, "CC 74 Filter"), ("m", 4, "CC 174"), ("m", 5, "filter 12")], "doc string, line int, text string")
+    assert rules_of(v.controllers(frame([("live", "a", "b", 16, 74, "Filter (cutoff)", "m"), ("live", "a", "b", 16, 12, "FILTER", None)], maps), good.withColumn("in", v.F.lit("16")), items, lines)) == {}
+    wrong = frame([("live", "a", "b", 2, 74, "resonance", "m"), ("live", "a", "zz", 16, 128, "filter", None), ("live", "b", "a", 1, 74, "filter", "n"), ("live", "a", "b", 16, 17, "filter", "m")], maps)
+    assert rules_of(v.controllers(wrong, good, items, lines)) == {"controller sends on another channel": 2, "controller target unknown": 1, "controller number": 1, "target does not listen": 4, "cited section unknown": 1, "no line names parameter and number": 2}
 
 
 CONCEPT = "id string, pref string, alt array<string>, broader array<string>, close array<string>, tag string"
@@ -89,16 +109,19 @@ def test_terminology(frame):
     predicates = frame([("shapes", ["sound"], ["sound"])], "id string, domain array<string>, range array<string>")
     tags = frame([("t",)], "id string")
     homographs, relation = "label string, senses array<string>", "s string, p string, o string"
-    good = frame([("sound", "Sound", [], [], [], "t"), ("pitch", "Pitch", ["tone"], ["sound"], [], None), ("tone2", "Tone", [], ["sound"], ["pitch"], None)], CONCEPT)
-    clean = v.terminology(good, predicates, frame([("pitch", "shapes", "tone2")], relation), frame([("tone", ["pitch", "tone2"])], homographs), tags)
+    facets = frame([("sound",), ("time",)], "id string")
+    good = frame([("pitch", "Pitch", ["tone"], ["sound"], [], "t"), ("tone2", "Tone height", [], ["sound"], ["pitch"], None)], CONCEPT)
+    clean = v.terminology(good, predicates, frame([("pitch", "shapes", "tone2"), ("sound", "shapes", "pitch")], relation), frame([("solo", ["pitch", "tone2"])], homographs), tags, facets)
     assert rules_of(clean) == {}
     bad = frame([
-        ("sound", "Sound", [], [], [], "t"), ("time", "Time", None, None, None, "odd"), ("twice", "Twice", [], ["sound"], [], None), ("twice", "Twice", [], ["sound"], [], None),
+        ("free", "Free", None, None, None, "odd"), ("twice", "Twice", [], ["sound"], [], None), ("twice", "Twice", [], ["sound"], [], None), ("time", "Time", [], ["sound"], [], None),
         ("lost", "Lost", [], ["nowhere"], ["nothing"], None), ("c1", "C1", [], ["c2"], [], None), ("c2", "C2", [], ["c3"], [], None), ("c3", "C3", [], ["c1"], [], None),
-        ("both", "Both", [], ["sound", "time"], ["sound"], None), ("same", "Both", [], ["time"], [], None),
+        ("both", "Both", [], ["sound", "beat"], ["both"], None), ("same", "Both", [], ["beat"], ["beat"], None), ("beat", "Solo", [], ["time2"], [], None),
     ], CONCEPT)
-    out = v.terminology(bad, predicates, frame([("twice", "hums", "sound"), ("time", "shapes", "sound"), ("sound", "shapes", "time"), ("sound", "shapes", "time")], relation), frame([("solo", ["sound"]), ("odd", ["sound", "ghost"])], homographs), tags)
-    assert rules_of(out) == {"concept id twice": 1, "broader concept unknown": 1, "close match unknown": 1, "tag not in the vocabulary": 1, "hierarchy has a cycle": 1, "more than one facet": 1, "label of several concepts": 1, "homograph with fewer than two senses": 1, "homograph sense unknown": 1, "close match within the hierarchy": 1, "predicate not declared": 1, "subject outside the domain": 1, "object outside the range": 2, "relation twice": 1}
+    facets = frame([("sound",), ("time",), ("time2",)], "id string")
+    told = frame([("twice", "hums", "sound"), ("beat", "shapes", "sound"), ("sound", "shapes", "both"), ("ghost", "shapes", "sound"), ("sound", "shapes", "beat"), ("sound", "shapes", "beat")], relation)
+    out = v.terminology(bad, predicates, told, frame([("solo", ["twice"]), ("odd", ["twice", "ghost"])], homographs), tags, facets)
+    assert rules_of(out) == {"concept id twice": 1, "concept is a facet as well": 1, "concept without a broader one": 1, "broader concept unknown": 1, "close match unknown": 1, "tag not in the vocabulary": 1, "hierarchy has a cycle": 1, "more than one facet": 1, "no facet": 5, "label of several concepts": 1, "homograph is a concept's label": 1, "homograph with fewer than two senses": 1, "homograph sense unknown": 1, "close match within the hierarchy": 2, "predicate not declared": 1, "relation end unknown": 1, "subject outside the domain": 1, "object outside the range": 3, "relation twice": 1}
     assert [r["detail"] for r in out.where("rule = 'hierarchy has a cycle'").collect()] == ["c1 > c2 > c3 > c1"]
 
 
