@@ -115,7 +115,7 @@ f AS (SELECT DISTINCT s, n_regionkey AS r FROM b JOIN nation ON n_nationkey = k)
 @query(_sql(_TERMS, {
     "more than one facet": "(SELECT s FROM f GROUP BY s HAVING count(*) > 1)", "label of several concepts": "(SELECT s_suppkey % 60 AS k FROM supplier GROUP BY 1 HAVING count(*) > 1)",
     "close match within the hierarchy": "supplier WHERE s_suppkey % 7 = 0", "predicate not declared": "rel WHERE p = 'hums'", "tag not in the vocabulary": "nation WHERE n_regionkey > 2",
-    "subject outside the domain": "rel WHERE p = 'sells' AND s NOT IN (SELECT s FROM f1 WHERE r < 2)", "object outside the range": "rel WHERE p = 'sells' AND o NOT IN (SELECT s FROM f1 WHERE r > 1)"}))
+    "subject outside the domain": "rel WHERE p = 'sells' AND s NOT IN (SELECT s FROM f1 WHERE r < 2)", "object outside the range": "rel WHERE p = 'sells' AND o IN (SELECT s FROM b) AND o NOT IN (SELECT s FROM f1 WHERE r > 1)", "relation end unknown": "rel WHERE p = 'sells' AND o NOT IN (SELECT s FROM b)"}))
 def term_rules(t):
     """Nations and suppliers as concepts under regions as facets; a tenth of the suppliers are in two nations."""
     spark, key = t.nation.sparkSession, lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))

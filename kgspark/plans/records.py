@@ -105,18 +105,18 @@ def pages_covered(t):
 _WIRED = "SELECT src AS id FROM wires WHERE (src + dst) % 13 = 0 UNION SELECT dst FROM wires WHERE (src + dst) % 13 = 0"
 
 
-@query(f"""WITH {_WORLD_SQL} SELECT medium AS key, dst::VARCHAR AS value FROM wires WHERE src = 1 AND setup = 'F' AND (src + dst) % 13 = 0""")
+@query(f"""WITH {_WORLD_SQL} SELECT DISTINCT medium AS key, dst::VARCHAR AS value FROM wires WHERE src = 0 AND setup = 'F' AND (src + dst) % 13 = 0""")
 def asked_feeds(t):
-    """What part 1 feeds in setup F, by confirmed links."""
-    return golden.feeds(build.build(world(t)), "1", "F").distinct()
+    """What part 0 feeds in setup F, by confirmed links."""
+    return golden.feeds(build.build(world(t)), "0", "F")
 
 
-@query(f"""WITH RECURSIVE {_WORLD_SQL}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM wires WHERE medium = 'N' AND setup = 'O' AND (src + dst) % 13 = 0),
-r(id, d) USING KEY (id) AS (SELECT 2, 0 UNION SELECT e.dst, min(d) + 1 FROM r JOIN e ON e.src = r.id WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS seen WHERE seen.id = e.dst) GROUP BY e.dst)
+@query(f"""WITH RECURSIVE {_WORLD_SQL}, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM wires WHERE medium IN ('N', 'R') AND (src + dst) % 13 = 0),
+r(id, d) USING KEY (id) AS (SELECT 27, 0 UNION SELECT e.dst, min(d) + 1 FROM r JOIN e ON e.src = r.id WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS seen WHERE seen.id = e.dst) GROUP BY e.dst)
 SELECT d::VARCHAR AS key, id::VARCHAR AS value FROM r WHERE d > 0""")
 def asked_reach(t):
-    """What part 2 reaches in setup O over one medium, with hops."""
-    return golden.reach(build.build(world(t)), "2", ["N"], "O")
+    """What part 27 reaches by confirmed links of two media, with hops."""
+    return golden.reach(build.build(world(t)), "27", ["N", "R"])
 
 
 @query(f"""WITH {_WORLD_SQL} SELECT p_type AS key, id::VARCHAR AS value FROM i WHERE id NOT IN ({_WIRED})""")

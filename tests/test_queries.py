@@ -5,8 +5,8 @@ import pytest
 
 from kgspark.plans import registry
 
-#: queries without SQL, because DuckDB's patterns have no look-around, the steps are sequential or no SQL peels a graph
-NO_SQL = {"term_match_full", "first_fit_rows", "cycle_check"}
+#: queries without SQL, because DuckDB's patterns have no look-around, the steps (or matches) are sequential or no SQL peels a graph
+NO_SQL = {"term_match_full", "vocabulary_match", "first_fit_rows", "cycle_check"}
 
 
 @pytest.fixture(scope="module")
