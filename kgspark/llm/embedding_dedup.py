@@ -5,16 +5,19 @@ Vectors link when their labels are equal and their cosine, in double precision,
 1. Equal vectors of one label become one node with a weight; copies are never compared with each other.
 2. Shards: a cell starts as a label and a vector length. A cell of over CELL nodes is split among centroids that are
    fitted on about SAMPLE of its own nodes, again and again, so shards stay small whatever the table's size. A node goes
-   to its nearest centroid and to further ones (up to the overlap) that are not beyond twice the range's angle from it:
-   no link leads farther. A cell that does not shrink, a crowd within the range, is dealt into chunks of CHUNK.
+   to its nearest centroid and to further ones that are not beyond twice the range's angle from it: no link leads farther.
+   The overlap is one for the whole descent: at every level a node keeps the `overlap` cells that it lies deepest in (by the
+   sum of its margins to the nearest centroids on the way), its nearest one first, so it never has more copies than that. A
+   cell that does not shrink, a crowd within the range, is dealt into chunks of CHUNK.
 3. Each chunk's graph: every node's nearest LIST nodes, robustly pruned to DEGREE, with reverse edges. A node's
    adjacency lists of all its shards are united.
 4. Every node is a query: greedy search from the chunk's medoids with a beam, which goes on expanding any node in range.
    The chunks of a crowd meet in tiles, each pair of chunks once: the later one's nodes are queries to the earlier one's
    graph. Found pairs are verified in double precision; a pair that meets in several shards is counted in the first one.
    Only counts and spanning edges leave a tile, never its pairs.
-5. Recall is audited: every row with vec_id divisible by 100 against all rows by brute force in blocks. Below AUDIT, the
-   search is repeated with a wider overlap and beam, at last by exact products of all tiles of each label.
+5. Recall is audited in one job: every row with vec_id divisible by 100 against all rows of its label by brute force, in
+   tiles of QUERIES by ROWS. Below AUDIT, the search is repeated with a wider overlap and beam, at last by exact products of
+   all tiles of each label.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows without label, link
 with nothing; vectors of different length don't link; a null vec_id links with nothing and has neither component nor kept;
@@ -24,19 +27,19 @@ an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, read_table
 
 RANGE = 0.98
 SAMPLE, FAN, SHARD, CELL, CHUNK = 4096, 64, 250, 1000, 2000
-LIST, SPREAD, LONG, ENTRIES, DEGREE, ALPHA, BEAM, OVERLAP, WIDEST, AUDIT, QUERIES = 48, 16, 8, 24, 24, 1.2, 32, 2, 8, 0.99, 2000
+LIST, SPREAD, LONG, ENTRIES, DEGREE, ALPHA, BEAM, OVERLAP, WIDEST, AUDIT, QUERIES, ROWS = 48, 16, 8, 24, 24, 1.2, 32, 2, 8, 0.99, 2000, 20_000
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -201,6 +204,7 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 PLACED = "shard string, node bigint, embedding array<float>"
+ROUTED = PLACED + ", margin double, depth int"
 
 
 def _centroids(t: pa.Table) -> pa.Table:
@@ -210,41 +214,55 @@ def _centroids(t: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([t.column("shard")[0].as_py()] * len(c)), "c": pa.array(np.arange(len(c), dtype=np.int32)), "embedding": pa.array(list(c), pa.list_(pa.float32()))})
 
 
-def _assign(t: pa.Table, overlap: int) -> pa.Table:
-    """PLACED rows of one block of a cell: its nodes, each once for every centroid that it goes to."""
+def _assign(t: pa.Table, overlap: int, depth: int) -> pa.Table:
+    """ROUTED rows of one block of a cell: its nodes, each once for every centroid that it may go to."""
     nodes, cents = t.filter(pc.is_null(t.column("c"))), t.filter(pc.is_valid(t.column("c")))
     if not nodes.num_rows:
-        return pa.table({"shard": pa.array([], pa.string()), "node": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))})
+        return pa.table({"shard": pa.array([], pa.string()), "node": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32())), "margin": pa.array([], pa.float64()), "depth": pa.array([], pa.int32())})
     sims = _matrix(nodes.column("embedding")) @ _matrix(cents.column("embedding")).T
     near = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
     angle = np.arccos(np.clip(np.take_along_axis(sims, near, axis=1), -1, 1))
-    i, j = np.nonzero(angle <= angle[:, :1] + 2 * np.arccos(RANGE) + 1e-6)
+    more = angle - angle[:, :1]
+    i, j = np.nonzero(more <= 2 * np.arccos(RANGE) + 1e-6)
     number, name = cents.column("c").to_numpy(), t.column("shard")[0].as_py()
-    return pa.table({"shard": pa.array([f"{name}.{number[near[a, b]]}" for a, b in zip(i, j, strict=True)], pa.string()), "node": nodes.column("node").take(pa.array(i)), "embedding": nodes.column("embedding").take(pa.array(i)).cast(pa.list_(pa.float32()))})
+    return pa.table(
+        {
+            "shard": pa.array([f"{name}.{number[near[a, b]]}" for a, b in zip(i, j, strict=True)], pa.string()),
+            "node": nodes.column("node").take(pa.array(i)),
+            "embedding": nodes.column("embedding").take(pa.array(i)).cast(pa.list_(pa.float32())),
+            "margin": pa.array(nodes.column("margin").to_numpy()[i] + more[i, j]),
+            "depth": pa.array(np.full(len(i), depth, np.int32)),
+        }
+    )
+
+
+def _assigned(overlap: int, depth: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda t: _assign(t, overlap, depth)
 
 
 def shards(nodes: DataFrame, overlap: int, scratch: Scratch) -> DataFrame:
-    """PLACED rows: every node in its shards, split until a cell has CELL nodes or no longer shrinks."""
-    cells = nodes.select(F.concat_ws("/", "label", F.size("embedding")).alias("shard"), "node", "embedding")
-    done, level, parents = [], 0, None
+    """PLACED rows: every node in at most `overlap` shards, split until a cell has CELL nodes or no longer shrinks."""
+    cells = nodes.select(F.concat_ws("/", "label", F.size("embedding")).alias("shard"), "node", "embedding", F.lit(0.0).alias("margin"), F.lit(0).alias("depth"))
+    level, parents = 0, None
     while True:
-        sizes = cells.groupBy("shard").agg(F.count("*").alias("n"))
+        sizes = cells.where(F.col("depth") == level).groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > CELL)  # shallower cells are final
         if parents is not None:
-            sizes = sizes.join(parents, F.substring_index("shard", ".", level) == F.col("parent"), "left")
-            sizes = sizes.where((F.col("n") > CELL) & (F.col("n") <= 0.8 * F.col("was"))).select("shard", "n")
-        big = scratch.write(sizes.where(F.col("n") > CELL), f"big{overlap}-{level}")
-        done.append(cells.join(big, "shard", "left_anti"))
+            sizes = sizes.join(parents, F.regexp_replace("shard", r"\.[0-9]+$", "") == F.col("parent")).where(F.col("n") <= 0.8 * F.col("was")).select("shard", "n")
+        big = scratch.write(sizes, f"big{overlap}-{level}")
         if not big.limit(1).count():
-            return reduce(DataFrame.unionByName, done)
+            return cells.select("shard", "node", "embedding")
         going = cells.join(big, "shard")
         cents = going.where(F.pmod(F.xxhash64("node", F.lit(level)), "n") < SAMPLE).groupBy("shard").applyInArrow(_centroids, "shard string, c int, embedding array<float>")
         cents = scratch.write(cents, f"centroids{overlap}-{level}")
         blocks = F.ceil(F.col("n") / CHUNK).cast("int")  # a cell's nodes are dealt into blocks; each gets the cell's few centroids
-        left = going.select("shard", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", F.lit(None).cast("int").alias("c"), "embedding")
-        right = cents.join(big, "shard").select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("bigint").alias("node"), "c", "embedding")
+        left = going.select("shard", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "node", F.lit(None).cast("int").alias("c"), "embedding", "margin")
+        right = cents.join(big, "shard").select("shard", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(None).cast("bigint").alias("node"), "c", "embedding", F.lit(None).cast("double").alias("margin"))
         parents = big.select(F.col("shard").alias("parent"), F.col("n").alias("was"))
         level += 1
-        cells = scratch.write(left.unionByName(right).groupBy("shard", "block").applyInArrow(lambda t: _assign(t, overlap), PLACED), f"cells{overlap}-{level}")
+        moved = left.unionByName(right).groupBy("shard", "block").applyInArrow(_assigned(overlap, level), ROUTED)
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("margin", "shard"))  # of at most overlap^2 rows
+        cells = cells.join(big, "shard", "left_anti").unionByName(moved).withColumn("rank", rank).where(F.col("rank") <= overlap).drop("rank")
+        cells = scratch.write(cells, f"cells{overlap}-{level}")
 
 
 def _chunked(placed: DataFrame) -> DataFrame:
@@ -313,37 +331,29 @@ def _found(placed: DataFrame, nodes: DataFrame, graph: DataFrame | None, beam: i
     return rows.drop("other", "chunks").groupBy("shard", "i", "j").applyInArrow(lambda t: found_in_tile(t, beam), "node bigint, links bigint, to bigint")
 
 
-def _audit(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> float:
+def _true_links(t: pa.Table) -> pa.Table:
+    """(node, true): the weight of one tile's rows in range of each of its queries."""
+    query = t.column("query").to_numpy()
+    ids, weight, x = t.column("node").to_numpy(), t.column("weight").to_numpy(), _matrix(t.column("embedding"))
+    asks, rows = np.flatnonzero(query), np.flatnonzero(~query)
+    total = np.zeros(len(asks), np.int64)
+    for lo in range(0, len(rows), QUERIES):
+        some = rows[lo : lo + QUERIES]
+        total += ((x[asks] @ x[some].T >= RANGE) & (ids[asks][:, None] != ids[some][None, :])) @ weight[some]
+    return pa.table({"node": pa.array(ids[asks]), "true": pa.array(total)})
+
+
+def _audit(nodes: DataFrame, links: DataFrame) -> float:
     """Share of the brute-force links of the nodes of rows with vec_id divisible by 100 that were counted."""
-    asked = nodes.where("asked").select("node", "label", "embedding")
-    n = asked.count()
-    blocks = max(1, -(-n // QUERIES))
-    truth = got = 0
-    for b in range(blocks):  # each block is a bounded query set against all rows
-        some = asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).toArrow()
-        if not some.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((some.column("node").to_numpy(), some.column("label").to_numpy(), some.column("embedding").to_pylist()))
-
-        def go(batches):
-            ids, labels, emb = shared.value
-            sizes = np.array([len(e) for e in emb])
-            total = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                size = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
-                for d in np.unique(size):
-                    at, mine = np.flatnonzero(size == d), np.flatnonzero(sizes == d)
-                    if not len(mine):
-                        continue
-                    x = _matrix(batch.column("embedding").take(pa.array(at)))
-                    q = _matrix(pa.array([emb[i] for i in mine], pa.list_(pa.float32())))
-                    hit = (q @ x.T >= RANGE) & (labels[mine][:, None] == batch.column("label").to_numpy()[at][None, :]) & (ids[mine][:, None] != batch.column("node").to_numpy()[at][None, :])
-                    total[mine] += hit @ batch.column("weight").to_numpy()[at]
-            yield pa.record_batch([pa.array(ids), pa.array(total)], names=["node", "true"])
-
-        exact = nodes.select("node", "label", "weight", "embedding").mapInArrow(go, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
-        row = exact.join(links, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-        truth, got = truth + (row[0] or 0), got + (row[1] or 0)
+    rows = nodes.select(F.concat_ws("/", "label", F.size("embedding")).alias("shard"), "node", "weight", "embedding", "asked")
+    sizes = rows.groupBy("shard").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("m"), F.ceil(F.count_if("asked") / QUERIES).cast("int").alias("k")).where("k > 0")
+    rows = rows.join(sizes, "shard")
+    row_block, query_block = F.pmod(F.xxhash64("node"), "m").cast("int"), F.pmod(F.xxhash64("node"), "k").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tiles = rows.select("shard", "node", "weight", "embedding", F.lit(False).alias("query"), row_block.alias("i"), every("k").alias("j"))
+    tiles = tiles.unionByName(rows.where("asked").select("shard", "node", "weight", "embedding", F.lit(True).alias("query"), every("m").alias("i"), query_block.alias("j")))
+    exact = tiles.groupBy("shard", "i", "j").applyInArrow(_true_links, "node bigint, true bigint").groupBy("node").agg(F.sum("true").alias("true"))
+    truth, got = exact.join(links, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
     return got / truth if truth else 1.0
 
 
@@ -360,7 +370,7 @@ def near_duplicates(spark: SparkSession, rows: DataFrame, overlap: int = OVERLAP
         graph = None if exact else scratch.write(_graph(placed), f"graph{overlap}")
         found = scratch.write(_found(placed, nodes, graph, search_beam), f"found{overlap}-{exact}")
         links = scratch.write(found.groupBy("node").agg(F.sum("links").alias("links")), f"links{overlap}-{exact}")
-        recall = 1.0 if exact else _audit(spark, nodes, links)
+        recall = 1.0 if exact else _audit(nodes, links)
         if recall >= AUDIT:
             break
         if overlap < WIDEST:

@@ -5,6 +5,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from kgspark.llm import embedding_dedup as ed
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int"
@@ -92,8 +94,6 @@ def test_extra_columns_with_clashing_names(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     clash = ["node", "weight", "shard", "chunk", "chunks", "vec", "asked", "near", "links", "n_links", "component_id", "kept", "to", "i", "j"]
-    from pyspark.sql import functions as F
-
     out, _ = ed.near_duplicates(spark, df.select("*", *[F.lit("own").alias(c) for c in clash]))
     assert Counter(map(tuple, out.collect())) == brute(rows)
 
@@ -137,3 +137,38 @@ def test_one_link_across_chunks_joins_two_groups(monkeypatch):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     assert set(up) == {0} and (links == near.sum(axis=1) - 1).all()
+
+
+def test_no_more_copies_than_the_overlap(spark, monkeypatch):
+    """Whatever the number of levels, a node is in its nearest cells only, and in at least one."""
+    from kgspark.llm.common import Scratch
+
+    monkeypatch.setattr(ed, "CELL", 40)
+    monkeypatch.setattr(ed, "SHARD", 20)
+    monkeypatch.setattr(ed, "FAN", 6)
+    r = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(r.normal(size=(1500, 8)))]
+    nodes = spark.createDataFrame(rows, "node bigint, embedding array<float>, label int").repartition(3)
+    for overlap in (1, 2, 4):
+        scratch = Scratch(spark, f"copies{overlap}")
+        placed = ed.shards(nodes, overlap, scratch).collect()
+        copies = Counter(p["node"] for p in placed)
+        assert set(copies) == set(range(1500)) and max(copies.values()) <= overlap
+        assert len({(p["node"], p["shard"]) for p in placed}) == len(placed)
+        assert max(p["shard"].count(".") for p in placed) >= 3
+
+
+def test_audit_equals_brute_force(spark, monkeypatch):
+    """Tiles of few queries and rows; the share of links that are missing is what recall lacks."""
+    monkeypatch.setattr(ed, "QUERIES", 3)
+    monkeypatch.setattr(ed, "ROWS", 11)
+    r = np.random.default_rng(3)
+    base = r.normal(size=(9, 12))
+    rows = [(20 * i, [float(v) for v in base[i % 9] + r.normal(size=12) * 0.03], i % 2) for i in range(120)]
+    nodes = ed.nodes_of(spark.createDataFrame(rows, SCHEMA)).selectExpr("*", "vec as node")
+    true = {i: n for (i, n, _, _) in brute(rows)}
+    asked = [i for i in true if i % 100 == 0]
+    assert sum(true[i] for i in asked) > 100
+    whole = spark.createDataFrame(list(true.items()), "node bigint, links bigint")
+    assert ed._audit(nodes, whole) == 1.0
+    assert ed._audit(nodes, whole.where(F.col("node") != asked[0])) == 1 - true[asked[0]] / sum(true[i] for i in asked)
