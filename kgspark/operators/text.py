@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,11 +71,14 @@ def slug(text: Column, most: int = 60) -> Column:
 
 
 def describe(text: Column, least: int = 40, most: int = 200) -> Column:
-    """The first paragraph of 40 characters or more, cut at a word to 197 and '...' where it is over 200."""
-    plain = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[#*_`>|]+", " "), r"\s+", " "))
-    first = F.get(F.filter(F.transform(F.split(text, r"\n+"), plain), lambda p: F.length(p) >= least), F.lit(0))
-    cut = F.regexp_replace(F.left(first, F.lit(most - 3)), r"\s+\S*$", "")
-    return F.when(F.length(first) > most, F.concat(cut, F.lit("..."))).otherwise(first)
+    """The first paragraph (empty lines divide them) of 40 characters or more that is no comment, cut at a word to 197 and '...'
+    where it is over 200; '' without one. Marks and numbers that it begins with, bold and code marks go."""
+    bare = lambda p: F.regexp_replace(F.regexp_replace(p, r"\s+$", ""), r"^[#>*\-\d.\s]+|\*\*|`", "")
+    plain = F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(bare(p), r"\s+", " "))
+    first = F.get(F.filter(plain, lambda p: (F.length(p) >= least) & ~F.startswith(p, F.lit("<!--"))), F.lit(0))
+    cut = F.regexp_replace(F.left(first, F.lit(most - 3)), r" \S*$", "")
+    found = F.when(F.length(first) > most, F.concat(cut, F.lit("..."))).otherwise(first)
+    return F.when(text.isNotNull(), F.coalesce(found, F.lit("")))
 
 
 def sections(docs: DataFrame, id_col: str, heading: str, least: int = 20, text: str = "text") -> DataFrame:
@@ -111,11 +115,16 @@ def heading_path(df: DataFrame, keys: list[str], at: str, level: str, title: str
     return out.withColumn("path", F.array_compact(F.array(*parts))).drop(*[f"_h{i}" for i in range(1, most + 1)])
 
 
-def auto_tags(docs: DataFrame, id_col: str, heading: str, body: str, vocabulary: dict[str, list[str]], least: int = 3) -> DataFrame:
-    """(id, tag): a keyword starts a word of the heading, or keywords start at least 3 words of the body."""
-    rows = [F.struct(F.lit(t).alias("tag"), F.lit(r"\b(?:" + "|".join(k) + ")").alias("pattern")) for t, k in vocabulary.items()]
-    x = docs.select(F.col(id_col).alias("id"), F.lower(heading).alias("h"), F.lower(body).alias("b"), F.explode(F.array(*rows)).alias("v"))
-    return x.where((F.regexp_count("h", F.col("v.pattern")) > 0) | (F.regexp_count("b", F.col("v.pattern")) >= least)).select("id", "v.tag")
+def auto_tags(docs: DataFrame, id_col: str, heading: str, body: str, vocabulary: dict[str, list[str]], least: int = 3, heading_only: tuple[str, ...] = ()) -> DataFrame:
+    """(id, tag): a keyword starts a word of the heading, or keywords start at least 3 words of the body, each keyword counted
+    for itself; tags of heading_only go by the heading alone. Keywords are plain text."""
+    x = docs.select(F.col(id_col).alias("id"), F.lower(heading).alias("h"), F.lower(body).alias("b"))
+
+    def hits(column: str, keywords: list[str]) -> Column:
+        return sum((F.regexp_count(column, F.lit(r"\b" + re.escape(k.lower()))) for k in keywords), F.lit(0))
+
+    tags = [F.when((hits("h", k) > 0) | (F.lit(tag not in heading_only) & (hits("b", k) >= least)), F.lit(tag)) for tag, k in vocabulary.items()]
+    return x.select("id", F.explode(F.array_compact(F.array(*tags))).alias("tag"))
 
 
 def tokens(df: DataFrame, keys: list[str], text: str, pattern: str = "[a-z]{4,}") -> DataFrame:

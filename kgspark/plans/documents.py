@@ -133,8 +133,8 @@ def auto_tags(t):
     return tx.auto_tags(d, "doc_id", "h", "b", TAGS)
 
 
-@query("""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: trim(regexp_replace(regexp_replace(x, '[#*_`>|]+', ' ', 'g'), '\\s+', ' ', 'g'))), lambda x: length(x) >= 40)[1] AS d FROM documents)
-SELECT doc_id, CASE WHEN length(d) > 200 THEN regexp_replace(left(d, 197), '\\s+\\S*$', '') || '...' ELSE d END AS description FROM p""")
+@query("""WITH p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '\\s+$', ''), '^[#>*\\-\\d.\\s]+|\\*\\*|`', '', 'g'), '\\s+', ' ', 'g')), lambda x: length(x) >= 40 AND NOT starts_with(x, '<!--'))[1] AS d FROM documents)
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN length(d) > 200 THEN regexp_replace(left(d, 197), ' \\S*$', '') || '...' ELSE coalesce(d, '') END AS description FROM p""")
 def describe_docs(t):
     """The first longer paragraph of each document."""
     return t.documents.select("doc_id", tx.describe(F.col("text")).alias("description"))

@@ -102,11 +102,19 @@ def test_recall(spark):
 def test_describe_slug_links_tags_lines(spark):
     long = "word " * 60
     assert one(spark, tx.describe(F.lit("short\n" + long))).endswith("...") and len(one(spark, tx.describe(F.lit(long)))) <= 200
+    wrapped = "## 1. **A wrapped paragraph** of\nshort lines that `go on`\nover three of them"
+    assert one(spark, tx.describe(F.lit("short\n\n<!-- a comment that is long enough to be taken for text -->\n \n" + wrapped + "\n\nlast"))) == "A wrapped paragraph of short lines that go on over three of them"
+    assert one(spark, tx.describe(F.lit("short\n\nlines"))) == "" and one(spark, tx.describe(F.lit(None).cast("string"))) is None
+    exact = "w" * 150 + " " + "x" * 60
+    assert one(spark, tx.describe(F.lit(exact))) == "w" * 150 + "..." and one(spark, tx.describe(F.lit("y" * 201))) == "y" * 197 + "..."
     assert one(spark, tx.slug(F.lit("  Hello, World! 2 "))) == "hello-world-2"
     p = spark.createDataFrame([(1, "https://a.org/x?y", '<a href="/b"></a><a href="https://c.org/d#e"></a>')], "id int, url string, html string")
     assert rows(tx.links(p, "id", "html", "url"), "href", "host") == [("/b", "a.org"), ("https://c.org/d#e", "c.org")]
     d = spark.createDataFrame([(1, "cutoff here", "x"), (2, "no", "filter filters filtering"), (3, "no", "filter twice filter")], "id int, h string, b string")
     assert rows(tx.auto_tags(d, "id", "h", "b", {"filter": ["filter", "cutoff"]})) == [(1, "filter"), (2, "filter")]
+    assert rows(tx.auto_tags(d, "id", "h", "b", {"filter": ["filter", "cutoff"]}, heading_only=("filter",))) == [(1, "filter")]
+    e = spark.createDataFrame([(1, "a.b", ""), (2, "axb", ""), (3, "", "midi midi in"), (4, None, None)], "id int, h string, b string")
+    assert rows(tx.auto_tags(e, "id", "h", "b", {"dot": ["a.b"], "midi": ["midi", "midi in"]})) == [(1, "dot"), (3, "midi")]
     t = spark.createDataFrame([(1, "cutoff cc 74\nother"), (2, "cutoff cc 174"), (3, "cutoff\ncc 74")], "id int, text string")
     assert rows(tx.same_line(t, "id", F.lit("cutoff"), F.lit(74))) == [(1,)]
 
