@@ -33,9 +33,24 @@ def first_match(left: DataFrame, right: DataFrame, on: Column, id_cols: list[str
     return left.join(hit, id_cols, "left")
 
 
-def default_fill(present: DataFrame, defaults: DataFrame, on: list[str]) -> DataFrame:
-    """Defaults for what is not there."""
-    return defaults.join(present.select(*on).distinct(), on, "left_anti")
+def default_fill(present: DataFrame, defaults: DataFrame, on: list[str], covers: dict[str, dict[str, list[str]]] | None = None, unless: list[str] | None = None) -> DataFrame:
+    """Defaults for what is not there.
+
+    covers: for a column of `on`, values that stand for others as well ({"dir": {"bidir": ["in", "out"]}}). unless: a default
+    is also left out where what is present has the same values in these columns, in any case; nulls match nothing.
+    """
+    have = present
+    for column, wider in (covers or {}).items():
+        also = F.array(F.col(column))
+        for value, others in wider.items():
+            also = F.when(F.col(column) == value, F.array(F.col(column), *map(F.lit, others))).otherwise(also)
+        have = have.withColumn(column, F.explode(also))
+    out = defaults.join(have.select(*on).distinct(), on, "left_anti")
+    if not unless:
+        return out
+    keys = [f"_unless{i}" for i in range(len(unless))]
+    plain = [F.lower(F.col(c).cast("string")).alias(k) for c, k in zip(unless, keys, strict=True)]
+    return out.select("*", *plain).join(present.select(*plain).distinct(), keys, "left_anti").select(*out.columns)
 
 
 def allocate(requests: DataFrame, slots: DataFrame, keys: list[str], request_order: list[str], slot_order: list[str]) -> DataFrame:

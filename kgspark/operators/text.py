@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,12 +57,19 @@ def html_to_text(html: Column) -> Column:
 
 
 def extract(text: Column, fields: dict[str, list[str]]) -> dict[str, tuple[Column, Column]]:
-    """field -> (value, line): of a field's ordered patterns the first that matches gives an int and its source line."""
+    """field -> (value, line): of a field's ordered patterns the first that matches, in any case, gives an int and the line that its
+    match begins on, blanks drawn together and cut to 160. A figure that is no int is null."""
+    low = F.lower(text)
     out = {}
     for field, pats in fields.items():
-        value = F.coalesce(*[F.try_to_number(F.nullif(F.regexp_extract(text, p, 1), F.lit("")), F.lit("999999999")).cast("int") for p in pats])
-        line = F.coalesce(*[F.nullif(F.regexp_extract(text, rf"(?m)^.*?{p}.*$", 0), F.lit("")) for p in pats])
-        out[field] = (value, F.left(F.trim(line), F.lit(160)))
+        hits = []
+        for p in pats:
+            parts = F.split(low, f"(?im){p}", 2)  # what stands before the match says its line
+            line = F.get(F.split(text, "\n"), F.regexp_count(F.get(parts, F.lit(0)), F.lit("\n")))
+            value = F.regexp_extract(low, f"(?im){p}", 1).try_cast("int")
+            hits.append(F.when(F.size(parts) > 1, F.struct(value.alias("value"), F.left(F.trim(F.regexp_replace(line, r"\s+", " ")), F.lit(160)).alias("line"))))
+        first = F.coalesce(*hits)
+        out[field] = (first["value"], first["line"])
     return out
 
 
@@ -70,6 +78,30 @@ def slug(text: Column, most: int = 60) -> Column:
     return F.regexp_replace(F.left(F.regexp_replace(x, "^-+|-+$", ""), F.lit(most)), "-+$", "")
 
 
+def section_slug(title: Column, most: int = 60) -> Column:
+    """The slug of a section's title without the number it begins with; 'section' where nothing is left."""
+    return F.coalesce(F.nullif(slug(F.regexp_replace(title, r"^\s*\d+(?:\.\d+)*\.?\s*", ""), most), F.lit("")), F.lit("section"))
+
+
+def plain_title(title: Column) -> Column:
+    """A title as it is compared: lower case, without marks, blanks drawn together."""
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(title, "[*_#`]", ""), r"\s+", " ")))
+
+
+def clean_title(title: Column, language: str | None = None) -> Column:
+    """A title without heading, list and bold marks; with a language its mark, as '(EN)', goes too, in a table's cell as well."""
+    x = F.regexp_replace(F.regexp_replace(title, r"\*\*", ""), r"^\s*(?:#+|[-*](?=\s))\s*", "")
+    if language:
+        x = F.regexp_replace(x, rf"^[|\s]*\({re.escape(language)}\)[|\s]*", "")
+    return F.regexp_replace(x, r"^[|\s]+|[|\s]+$", "")
+
+
+def kept_headings(headings: DataFrame, skip: list[str], title: str = "title") -> DataFrame:
+    """headings but those with a title of the skip list; what stands under these belongs to the section before."""
+    asked = headings.sparkSession.createDataFrame([(s,) for s in skip], "_skip string").select(plain_title(F.col("_skip")).alias("_skip"))
+    return headings.join(asked, plain_title(F.col(title)) == F.col("_skip"), "left_anti")
+
+
 def describe(text: Column, least: int = 40, most: int = 200) -> Column:
     """The first paragraph (empty lines divide them) of 40 characters or more that is no comment, cut at a word to 197 and '...'
     where it is over 200; '' without one. Marks and numbers that it begins with, bold and code marks go."""
@@ -81,15 +113,26 @@ def describe(text: Column, least: int = 40, most: int = 200) -> Column:
     return F.when(text.isNotNull(), F.coalesce(found, F.lit("")))
 
 
-def sections(docs: DataFrame, id_col: str, heading: str, least: int = 20, text: str = "text") -> DataFrame:
+def sections(docs: DataFrame, id_col: str, heading: str, least: int = 20, text: str = "text", skip: list[str] | None = None, clean: bool = False, language: str | None = None) -> DataFrame:
     """(id, ord, title, start, body) split where `heading` matches whole lines; stubs are left out before numbering, a
-    title met again gets ' (continued)'. Text before the first heading has a null title."""
+    title met again gets ' (continued)'. Text before the first heading has a null title.
+
+    A heading with a title of the skip list begins no section: it and its text stay with the section before (at the beginning: with
+    a null title). With clean, titles are cleaned first, and a heading without any words begins none either.
+    """
     parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text), rf"(?m)^(?={heading})")).alias("at", "part"))
     w = Window.partitionBy("id").orderBy("at")
-    parts = parts.withColumn("start", F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    title = strip(F.nullif(F.regexp_extract("part", rf"^({heading})", 1), F.lit("")))
-    parts = parts.withColumn("title", title).withColumn("body", strip(F.regexp_replace("part", rf"^{heading}", "")))
+    head = F.nullif(F.regexp_extract("part", rf"^({heading})", 1), F.lit(""))
+    parts = parts.withColumn("title", clean_title(head, language) if clean else strip(head))
+    if skip or clean:
+        passed = reduce(lambda a, s: a | (plain_title(F.col("title")) == plain_title(F.lit(s))), skip or [], (F.col("title") == "") if clean else F.lit(False))
+        parts = parts.withColumn("_passed", F.coalesce(passed, F.lit(False)))
+        parts = parts.withColumn("_at", F.max(F.when(~F.col("_passed"), F.col("at"))).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_at", F.coalesce("_at", F.lit(0)))
+        own = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])  # a document's own text
+        parts = parts.groupBy("id", "_at").agg(F.array_join(own, "").alias("part"), F.max(F.when((F.col("at") == F.col("_at")) & ~F.col("_passed"), F.col("title"))).alias("title")).withColumnRenamed("_at", "at")
+    parts = parts.withColumn("start", F.coalesce(F.sum(F.length("part")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.withColumn("body", strip(F.when(F.col("title").isNull(), F.col("part")).otherwise(F.regexp_replace("part", rf"\A{heading}", ""))))
     kept = parts.where(F.length("body") >= least)
     again = F.row_number().over(Window.partitionBy("id", F.lower("title")).orderBy("at")) > 1
     kept = kept.withColumn("title", F.when(F.col("title").isNotNull() & again, F.concat("title", F.lit(" (continued)"))).otherwise(F.col("title")))
@@ -280,7 +323,7 @@ def assemble(docs: DataFrame, located: DataFrame, least: int = 60, headers: int
     w = Window.partitionBy("id").orderBy("at")
     again = F.row_number().over(Window.partitionBy("id", F.lower("title")).orderBy("at")) > 1
     named = good.withColumn("title", F.when(again, F.concat("title", F.lit(" (continued)"))).otherwise(F.col("title"))).withColumn("ord", F.row_number().over(w))
-    named = named.withColumn("slug", F.concat(F.lpad(F.col("ord").cast("string"), 3, "0"), F.lit("-"), slug(F.col("title"))))
+    named = named.withColumn("slug", F.concat(F.lpad(F.col("ord").cast("string"), 3, "0"), F.lit("-"), section_slug(F.col("title"))))
     page = F.when(F.col("first_page").isNotNull(), F.concat(F.lit("pages: "), F.concat_ws("-", F.col("first_page").cast("string"), F.col("last_page").cast("string")), F.lit("\n"))).otherwise("")
     title = F.concat(F.lit('title: "'), F.regexp_replace("title", '"', "'"), F.lit('"\n'))
     return named.select("id", "ord", "title", "slug", "first_page", "last_page", "body", F.concat(F.lit("---\n"), title, F.lit("document: "), F.col("id"), F.lit("\n"), page, F.lit("---\n"), F.col("body"), F.lit("\n")).alias("file"))

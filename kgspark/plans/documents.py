@@ -169,13 +169,14 @@ FIELDS = {"number": [r"/[a-z]{2}/(\d{1,6})", r"page=(\d+)"], "ad": [r"<!-- ad (\
 
 def _spec_sql(field: str, patterns: list[str]) -> str:
     """A field's value and line: of its patterns the first that matches."""
-    q = [p.replace("'", "''") for p in patterns]
-    value = ", ".join(f"try_cast(nullif(regexp_extract(x, '{p}', 1), '') AS INTEGER)" for p in q)
-    line = ", ".join(f"nullif(regexp_extract(x, '(?m)^.*?{p}.*$', 0), '')" for p in q)
-    return f"coalesce({value}) AS {field}_value, left(trim(coalesce({line})), 160) AS {field}_line"
+    q = ["(?im)" + p.replace("'", "''") for p in patterns]
+    before = [f"string_split_regex(low, '{p}')[1]" for p in q]
+    value = " ".join(f"WHEN regexp_matches(low, '{p}') THEN try_cast(regexp_extract(low, '{p}', 1) AS INTEGER)" for p in q)
+    line = " ".join(f"WHEN regexp_matches(low, '{p}') THEN string_split(x, chr(10))[1 + length({b}) - length(replace({b}, chr(10), ''))]" for p, b in zip(q, before, strict=True))
+    return f"CASE {value} END AS {field}_value, left(trim(regexp_replace(CASE {line} END, '\\s+', ' ', 'g')), 160) AS {field}_line"
 
 
-@query(f"WITH p AS (SELECT page_id, url || chr(10) || html AS x FROM pages) SELECT page_id, {', '.join(_spec_sql(k, v) for k, v in FIELDS.items())} FROM p")
+@query(f"WITH x AS (SELECT page_id, url || chr(10) || html AS x FROM pages), p AS (SELECT *, lower(x) AS low FROM x) SELECT page_id, {', '.join(_spec_sql(k, v) for k, v in FIELDS.items())} FROM p")
 def spec_extract(t):
     """Fields of pages with the line each value came from."""
     got = tx.extract(F.concat_ws("\n", "url", "html"), FIELDS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import checks, documents, evidence, graphs, records, shapes  # noqa: F401
+from . import checks, documents, evidence, graphs, records, shapes, sources  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

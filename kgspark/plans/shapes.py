@@ -97,6 +97,22 @@ def default_fill(t):
     return rel.default_fill(x, d, ["nation", "priority", "segment"])
 
 
+@query("""
+WITH p AS (SELECT l_suppkey AS device, 'PORT ' || l_linenumber AS name, CASE l_linenumber % 3 WHEN 0 THEN 'in' WHEN 1 THEN 'out' ELSE 'bidir' END AS dir, l_returnflag AS medium FROM lineitem WHERE l_discount > 0.09 AND l_tax > 0.07),
+c AS (SELECT device, unnest(CASE dir WHEN 'bidir' THEN ['bidir', 'in', 'out'] ELSE [dir] END) AS dir, medium FROM p),
+d AS (SELECT s_suppkey AS device, name, dir, medium FROM supplier, (VALUES ('Port 1', 'in', 'A'), ('Port 2', 'out', 'A'), ('Out', 'out', 'N'), ('In', 'in', 'R'), ('Thru', 'bidir', 'N')) v(name, dir, medium))
+SELECT * FROM d WHERE (device, dir, medium) NOT IN (SELECT (device, dir, medium) FROM c) AND (device, upper(name)) NOT IN (SELECT (device, name) FROM p)""")
+def default_ports(t):
+    """Default ports of suppliers: those of a direction and medium that no line covers (one both ways covers in and out) and whose
+    name none has."""
+    way = F.when(F.col("l_linenumber") % 3 == 0, "in").when(F.col("l_linenumber") % 3 == 1, "out").otherwise("bidir")
+    p = t.lineitem.where("l_discount > 0.09 and l_tax > 0.07").select(F.col("l_suppkey").alias("device"), F.concat(F.lit("PORT "), F.col("l_linenumber").cast("string")).alias("name"), way.alias("dir"), F.col("l_returnflag").alias("medium"))
+    port = lambda n, d, m: F.struct(F.lit(n).alias("name"), F.lit(d).alias("dir"), F.lit(m).alias("medium"))
+    five = F.array(port("Port 1", "in", "A"), port("Port 2", "out", "A"), port("Out", "out", "N"), port("In", "in", "R"), port("Thru", "bidir", "N"))
+    d = t.supplier.select(F.col("s_suppkey").alias("device"), F.explode(five).alias("p")).select("device", "p.*")
+    return rel.default_fill(p, d, ["device", "dir", "medium"], {"dir": {"bidir": ["in", "out"]}}, ["device", "name"])
+
+
 @query("""
 WITH r AS (SELECT o_orderkey, o_orderpriority AS p, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS k FROM orders WHERE o_orderstatus = 'P'),
 s AS (SELECT c_custkey, CASE c_nationkey % 5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS p, c_acctbal FROM customer),

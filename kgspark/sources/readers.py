@@ -109,7 +109,7 @@ def overlaid(seed: DataFrame, path: str, schema: StructType | str, keys: list[st
 
 
 def functions(spark: SparkSession, path: str, language: str) -> DataFrame:
-    """(file, name, line, calls, doc) of the functions defined in Python or JavaScript files."""
+    """(file, name, line, calls, doc) of the functions defined in Python or JavaScript files; a file that isn't valid Python gives none."""
 
     def go(batches):
         import ast
@@ -120,7 +120,11 @@ def functions(spark: SparkSession, path: str, language: str) -> DataFrame:
             rows = []
             for text, file in zip(batch.column("value").to_pylist(), batch.column("file").to_pylist(), strict=True):
                 if language == "python":
-                    for node in ast.walk(ast.parse(text)):
+                    try:
+                        tree = ast.parse(text or "")
+                    except (SyntaxError, ValueError, RecursionError):
+                        continue
+                    for node in ast.walk(tree):
                         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
                             calls = sorted({f.id if isinstance(f, ast.Name) else f.attr for c in ast.walk(node) if isinstance(c, ast.Call) and isinstance(f := c.func, ast.Name | ast.Attribute)})
                             rows.append((file, node.name, node.lineno, calls, ast.get_docstring(node)))

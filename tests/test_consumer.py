@@ -99,9 +99,8 @@ def test_code_as_a_graph(spark, tmp_path):
     assert rows(code.docstrings(every), "name", "text") == [("", "Serves."), ("handle", "Handles.")]
     got = {r["file"]: r for r in df.select("file", code.comments(F.col("text"), "python").alias("p"), code.comments(F.col("text"), "javascript").alias("j")).collect()}
     assert got["web/serve.py"]["p"] == "first note\none" and got["web/app.js"]["j"] == "the start\ntwo\nlines"
-    fns = readers.functions(spark, f"{tmp_path}/web/serve.py", "python")
-    e = code.graph_edges(code.api_calls(df), code.served_routes(df), fns)
-    assert ("fn:handle", "fn:listed", "CALLS") in rows(e) and ("route:api/list", "file:web/serve.py", "SERVED_BY") in rows(e) and ("file:web/app.js", "route:api/kit/:id", "REQUESTS") in rows(e)
+    e = code.graph_edges(code.api_calls(df), code.served_routes(df), code.symbols(every.where("file like '%spare.py'").union(df)))
+    assert ("fn:web/serve.py:handle", "fn:web/serve.py:listed", "CALLS") in rows(e) and ("route:api/list", "file:web/serve.py", "SERVED_BY") in rows(e) and ("file:web/app.js", "route:api/kit/:id", "REQUESTS") in rows(e)
 
 
 def test_corpus_records_overlays(spark, tmp_path, frame):

@@ -57,3 +57,42 @@ def test_everyday_words_count_in_manuals_only(spark):
     c = spark.createDataFrame([("m", "manual", "note", "note", 3), ("c", "code", "note", "note", 5), ("c", "code", "filter", "VCF", 2), ("x", None, "note", "notes", 1)], "id string, source_type string, concept string, label string, n int")
     kept, skipped = terms.source_aware(c, ["note"])
     assert sorted((r["id"], r["n"]) for r in kept.collect()) == [("c", 2), ("m", 3)] and [tuple(r) for r in skipped.collect()] == [("note", 6)]
+
+
+def test_titles_slugs_and_skipped_headings(spark):
+    titles = ["3.1.2 Menu Use", "12", "2. ", None, "# **(EN) Start**", "| (EN) | Controls |", "- item one", "-5 V rail"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r[0] for r in df.select(tx.section_slug(F.col("t"))).collect()] == ["menu-use", "section", "section", "section", "en-start", "en-controls", "item-one", "5-v-rail"]
+    assert [r[0] for r in df.select(tx.clean_title(F.col("t"), "EN")).collect()] == ["3.1.2 Menu Use", "12", "2.", None, "Start", "Controls", "item one", "-5 V rail"]
+    body = "a body that is long enough to be a section"
+    text = f"# Index\n{body} 0\n# Start\n{body} 1\n## **NOTE**\n{body} 2\n# \n{body} 3\n# Stub\nx\n# start\n{body} 4\n# Note"
+    docs = spark.createDataFrame([("d", text), ("e", f"{body}"), ("f", None), ("g", "")], "id string, text string")
+    got = [(r.id, r.ord, r.title, r.start, r.body) for r in tx.sections(docs, "id", r"#+ [^\n]*(?:\n|$)", skip=["note", "Index"], clean=True).orderBy("id", "ord").collect()]
+    start, again = text.index("# Start"), text.index("# start")
+    assert got == [
+        ("d", 1, None, 0, f"# Index\n{body} 0"),
+        ("d", 2, "Start", start, f"{body} 1\n## **NOTE**\n{body} 2\n# \n{body} 3"),
+        ("d", 3, "start (continued)", again, f"{body} 4\n# Note"),
+        ("e", 1, None, 0, body),
+    ]
+    heads = spark.createDataFrame([("d", "The  *Note*"), ("d", "Noted"), ("d", None)], "id string, title string")
+    assert sorted(str(r.title) for r in tx.kept_headings(heads, ["the note"]).collect()) == ["None", "Noted"]
+
+
+def test_figures_come_with_the_line_of_their_own_pattern(spark):
+    text = "Width here: 30 mm\n  WIDTH:\t 12   HP \U0001f600\nDepth 9999999999 mm\n" + "w" * 200 + " 7 te"
+    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    got = tx.extract(F.col("t"), {"hp": [r"^\s*width:\s*(\d+)\s*hp", r"width\D+(\d+)"], "mm": [r"none (\d+)", r"width\D+(\d+) mm$"], "deep": [r"depth (\d+)"], "te": [r"(\d+) te"]})
+    rows = df.select(*[c for v in got.values() for c in v]).collect()
+    assert tuple(rows[0]) == (12, "WIDTH: 12 HP \U0001f600", 30, "Width here: 30 mm", None, "Depth 9999999999 mm", 7, "w" * 160)
+    assert all(v is None for r in rows[1:] for v in r)
+
+
+def test_defaults_covered_both_ways_or_by_name(spark):
+    from kgspark.operators import relational as rel
+
+    have = spark.createDataFrame([("d", "THRU", "bidir", "midi"), ("d", "Out", "out", "audio"), (None, "x", "in", "cv")], "device string, name string, dir string, medium string")
+    add = spark.createDataFrame([("d", "In", "in", "midi"), ("d", "Out 2", "out", "audio"), ("d", "thru", "in", "cv"), ("d", "CV", "in", "cv"), ("d", "Both", "bidir", "audio"), ("e", "Thru", "in", "midi")], "device string, name string, dir string, medium string")
+    on = ["device", "dir", "medium"]
+    assert sorted(r.name for r in rel.default_fill(have, add, on, {"dir": {"bidir": ["in", "out"]}}, ["device", "name"]).collect()) == ["Both", "CV", "Thru"]
+    assert sorted(r.name for r in rel.default_fill(have, add, on).collect()) == ["Both", "CV", "In", "Thru", "thru"]
