@@ -137,6 +137,41 @@ def channels(rows: DataFrame, items: DataFrame, wired: DataFrame) -> DataFrame:
     ])
 
 
+def mentions(rows: DataFrame, texts: DataFrame, word: str = "midi") -> DataFrame:
+    """(device, found): whether any of a device's texts(device, text) holds the word, in any case; null for a device without texts."""
+    told = texts.where("text is not null").groupBy("device").agg(F.bool_or(F.contains(F.lower("text"), F.lit(word.lower()))).alias("found"))
+    return rows.select("device").where("device is not null").distinct().join(told, "device", "left")
+
+
+def channel_records(rows: DataFrame, items: DataFrame, wired: DataFrame, setups: DataFrame, texts: DataFrame, word: str = "midi") -> DataFrame:
+    """The rules of `channels` and those of its records: setups(id) that are there, `thru` (as text) true or false, unconfirmed ones,
+    and devices whose texts(device, text) never mention the word; a device without texts is not judged."""
+    at = F.concat_ws("/", "setup", "device")
+    known = rows.join(items.select(F.col("id").alias("device")).distinct(), "device", "left_semi")
+    return rules.together([
+        channels(rows, items, wired),
+        rules.references(rows, "setup", setups, "id", "channel setup unknown", at),
+        violation(rows.where("thru is not null and lower(thru) not in ('true', 'false')"), "thru is not true or false", at, F.col("thru")),
+        violation(rows.where("status = 'unconfirmed'"), "channel unconfirmed", at, "", "WARN"),
+        violation(mentions(known, texts, word).where("not found"), "texts never mention it", F.col("device"), word, "WARN"),
+    ])
+
+
+def controller_records(rows: DataFrame, targets: DataFrame, channels: DataFrame, items: DataFrame, setups: DataFrame) -> DataFrame:
+    """controllers(id, setup, device, status, program): what a controller's record says of itself; program is the channel of its program
+    changes, null if it sends none. targets(id, device) are those it is meant for and those it is said not to be."""
+    at = F.col("id")
+    own = channels.select("setup", "device", F.col("out").alias("_out"))
+    return rules.together([
+        rules.references(rows, "device", items, "id", "controller unknown", at),
+        rules.references(rows, "setup", setups, "id", "controller setup unknown", at),
+        rules.domain(rows, "status", STATUSES, "controller status", at),
+        violation(rows.where("status = 'unconfirmed'"), "controller unconfirmed", at, "", "WARN"),
+        violation(rows.where("program is not null").join(own, ["setup", "device"], "left").where("_out is distinct from cast(program as string)"), "program changes on another channel", at, F.col("_out")),
+        rules.references(targets, "device", items, "id", "controller's target unknown", at),
+    ])
+
+
 def controllers(maps: DataFrame, channels: DataFrame, items: DataFrame, lines: DataFrame) -> DataFrame:
     """maps(setup, controller, target, channel, cc, parameter, doc), and lines(doc, line, text) of the sections that they cite. A line of the
     section must name the parameter (what stands before a parenthesis, in any case) and the number."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators import validators as v
@@ -146,3 +147,110 @@ def session_rules(t):
     cables = t.customer.select(F.col("c_mktsegment").alias("session"), k.cast("string").alias("uid"), uid(F.col("c_nationkey")).alias("from_uid"), uid(k % 30).alias("to_uid"), F.when(k % 9 == 0, "fog").otherwise("cv").alias("medium"))
     ports = spark.createDataFrame([], "device string, name string, dir string, medium string")
     return _tally(v.session(t.customer.select(F.col("c_mktsegment").alias("name")).distinct(), nodes, cables, ports))
+
+
+def _id(prefix: str, number) -> Column:
+    return F.concat(F.lit(prefix), (F.col(number) if isinstance(number, str) else number).cast("string"))
+
+
+_CASES = """i AS (SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey < 20),
+st AS (SELECT 'r' || r_regionkey AS id, 'n' || (r_regionkey * 7) AS interface FROM region WHERE r_regionkey < 4),
+s AS (SELECT * FROM supplier UNION ALL SELECT * FROM supplier WHERE s_suppkey % 9 = 0),
+c AS (SELECT 'r' || (s_nationkey % 5) AS setup, 's' || s_suppkey AS id, 'n' || s_nationkey AS supply, s_suppkey AS k FROM s)"""
+
+
+@query(_sql(_CASES, {
+    "setup interface is no item": "st WHERE interface NOT IN (SELECT id FROM i)", "case setup unknown": "c WHERE setup NOT IN (SELECT id FROM st)", "case is no item": "c WHERE id NOT IN (SELECT id FROM i)",
+    "case supply is no item": "c WHERE supply NOT IN (SELECT id FROM i)", "mounted item unknown": "c, (VALUES (1), (7)) v(d) WHERE 's' || (k + d) NOT IN (SELECT id FROM i)", "case recorded twice": "(SELECT id FROM c GROUP BY setup, id HAVING count(*) > 1)"}))
+def case_rules(t):
+    """Suppliers as cases of their region's setup, every ninth recorded twice."""
+    items = t.supplier.where("s_acctbal > 0").select(_id("s", "s_suppkey").alias("id")).union(t.nation.where("n_nationkey < 20").select(_id("n", "n_nationkey")))
+    setups = t.region.where("r_regionkey < 4").select(_id("r", "r_regionkey").alias("id"), _id("n", F.col("r_regionkey") * 7).alias("interface"))
+    s = t.supplier.union(t.supplier.where("s_suppkey % 9 = 0"))
+    k = F.col("s_suppkey")
+    return _tally(v.cases(s.select(_id("r", F.col("s_nationkey") % 5).alias("setup"), _id("s", k).alias("id"), _id("n", "s_nationkey").alias("supply"), F.array(_id("s", k + 1), _id("s", k + 7)).alias("mounted")), setups, items))
+
+
+_CONTROLLERS = """m AS (SELECT c_mktsegment AS setup, 'n' || c_nationkey AS a, 'n' || ((c_nationkey + 1) % 26) AS b, (c_custkey % 16 + 1)::VARCHAR AS ch, c_custkey % 140 AS cc, ['red', 'Small', 'BLUE bolt (x)'][(c_custkey % 3)::INT + 1] AS par, 'b' || (c_custkey % 60) AS cited FROM customer),
+h AS (SELECT c_mktsegment AS setup, 'n' || c_nationkey AS d, (min(c_custkey) % 17)::VARCHAR AS o, (max(c_custkey) % 17)::VARCHAR AS i FROM customer GROUP BY 1, 2),
+l AS (SELECT 'b' || p_size AS doc, p_name || ' CC ' || (p_partkey % 128) AS text FROM part),
+told AS (SELECT DISTINCT doc, par, cc FROM m JOIN l ON doc = cited WHERE contains(lower(text), lower(split_part(par, ' (', 1))) AND regexp_matches(text, '(^|[^0-9])' || cc || '([^0-9]|$)'))"""
+
+
+@query(_sql(_CONTROLLERS, {
+    "controller sends on another channel": "m LEFT JOIN h ON h.setup = m.setup AND d = a WHERE o IS DISTINCT FROM ch", "controller target unknown": "m WHERE b NOT IN (SELECT 'n' || n_nationkey FROM nation)", "controller number": "m WHERE cc > 127",
+    "target does not listen": "m LEFT JOIN h ON h.setup = m.setup AND d = b WHERE i IS DISTINCT FROM ch", "cited section unknown": "m WHERE cited NOT IN (SELECT doc FROM l)",
+    "no line names parameter and number": "m WHERE cited IN (SELECT doc FROM l) AND NOT EXISTS (SELECT 1 FROM told WHERE doc = cited AND told.par = m.par AND told.cc = m.cc)"}))
+def controller_rules(t):
+    """Customers as controls of their nation that cite the parts of a size as lines."""
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment").alias("setup")
+    par = F.element_at(F.array(F.lit("red"), F.lit("Small"), F.lit("BLUE bolt (x)")), (k % 3 + 1).cast("int"))
+    maps = t.customer.select(seg, _id("n", "c_nationkey").alias("controller"), _id("n", (F.col("c_nationkey") + 1) % 26).alias("target"), (k % 16 + 1).alias("channel"), (k % 140).cast("int").alias("cc"), par.alias("parameter"), _id("b", k % 60).alias("doc"))
+    heard = t.customer.groupBy(seg, _id("n", "c_nationkey").alias("device")).agg((F.min("c_custkey") % 17).cast("string").alias("out"), (F.max("c_custkey") % 17).cast("string").alias("in"))
+    lines = t.part.select(_id("b", "p_size").alias("doc"), F.col("p_partkey").alias("line"), F.concat("p_name", F.lit(" CC "), (F.col("p_partkey") % 128).cast("string")).alias("text"))
+    return _tally(v.controllers(maps, heard, t.nation.select(_id("n", "n_nationkey").alias("id")), lines))
+
+
+_RECORDS = """c AS (SELECT c_mktsegment AS setup, 'n' || c_nationkey AS device, c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'unconfirmed' ELSE 'odd' END AS status, CASE c_custkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'False' WHEN 2 THEN 'yes' END AS thru FROM customer),
+n AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_regionkey < 4), st AS (SELECT min(c_mktsegment) AS id FROM customer UNION ALL SELECT max(c_mktsegment) FROM customer),
+x AS (SELECT 'n' || s_nationkey AS device, bool_or(contains(s_name, '7')) AS found FROM supplier GROUP BY 1),
+h AS (SELECT setup, device, (min(k) % 17)::VARCHAR AS o FROM c GROUP BY 1, 2)"""
+
+
+@query(_sql(_RECORDS, {
+    "channel device unknown": "c WHERE device NOT IN (SELECT id FROM n)", "in channel": "c WHERE k % 20 NOT BETWEEN 1 AND 16", "channel status": "c WHERE status = 'odd'", "channel recorded twice": "(SELECT setup FROM c GROUP BY setup, device HAVING count(*) > 1)",
+    "channel setup unknown": "c WHERE setup NOT IN (SELECT id FROM st)", "thru is not true or false": "c WHERE thru = 'yes'", "channel unconfirmed": "c WHERE status = 'unconfirmed'",
+    "texts never mention it": "x WHERE NOT found AND device IN (SELECT id FROM n) AND device IN (SELECT device FROM c)",
+    "controller unknown": "c WHERE device NOT IN (SELECT id FROM n)", "controller setup unknown": "c WHERE setup NOT IN (SELECT id FROM st)", "controller status": "c WHERE status = 'odd'", "controller unconfirmed": "c WHERE status = 'unconfirmed'",
+    "program changes on another channel": "c JOIN h USING (setup, device) WHERE k % 5 <> 0 AND o <> (k % 16 + 1)::VARCHAR",
+    "controller''s target unknown": "c WHERE 'n' || (k % 27) NOT IN (SELECT id FROM n)"}, ("channel unconfirmed", "texts never mention it", "controller unconfirmed")))
+def channel_record_rules(t):
+    """Customers as channel and controller records of their nation; its suppliers' names are its texts."""
+    k = F.col("c_custkey")
+    status = F.when(k % 3 == 0, "confirmed").when(k % 3 == 1, "unconfirmed").otherwise("odd")
+    thru = F.when(k % 4 == 0, "true").when(k % 4 == 1, "False").when(k % 4 == 2, "yes")
+    base = t.customer.select(F.col("c_mktsegment").alias("setup"), _id("n", "c_nationkey").alias("device"), (k % 20).cast("string").alias("in"), F.lit("off").alias("out"), status.alias("status"), F.lit("d").alias("confirmed"), thru.alias("thru"), k.alias("k"))
+    items = t.nation.where("n_regionkey < 4").select(_id("n", "n_nationkey").alias("id"))
+    setups = t.customer.agg(F.min("c_mktsegment").alias("id")).union(t.customer.agg(F.max("c_mktsegment")))
+    heard = base.groupBy("setup", "device").agg((F.min("k") % 17).cast("string").alias("out"))
+    texts = t.supplier.select(_id("n", "s_nationkey").alias("device"), F.col("s_name").alias("text"))
+    maps = base.select(_id("c", "k").alias("id"), "setup", "device", "status", F.when(F.col("k") % 5 != 0, F.col("k") % 16 + 1).alias("program"))
+    own = v.channel_records(base, items, base.select("setup", "device").distinct(), setups, texts, "7")
+    return _tally(own.union(v.controller_records(maps, base.select(_id("c", "k").alias("id"), _id("n", F.col("k") % 27).alias("device")), heard, items, setups)))
+
+
+_PICTURES = """p AS (SELECT 's' || (p_partkey % 120) AS device, p_name || '-' || p_size AS file, ['photo', 'drawing', 'panel', 'film'][(p_size % 4)::INT + 1] AS type, CASE WHEN p_partkey % 6 <> 0 THEN 'own' END AS source FROM part),
+i AS (SELECT 's' || s_suppkey AS id, s_acctbal > 0 AS in_use FROM supplier), f AS (SELECT DISTINCT p_name || '-' || (p_size + 1) AS path FROM part)"""
+
+
+@query(_sql(_PICTURES, {
+    "picture device unknown": "p WHERE device NOT IN (SELECT id FROM i)", "picture file missing": "p WHERE file NOT IN (SELECT path FROM f)", "picture type": "p WHERE type = 'film'", "picture without source": "p WHERE source IS NULL",
+    "file of no picture": "f WHERE path NOT IN (SELECT file FROM p)", "item without picture": "i WHERE in_use AND id NOT IN (SELECT device FROM p)"}, ("item without picture",)))
+def picture_rules(t):
+    """Parts as pictures of suppliers."""
+    named = lambda size: F.concat_ws("-", "p_name", size.cast("string"))
+    kinds = F.array(*map(F.lit, ["photo", "drawing", "panel", "film"]))
+    rows = t.part.select(_id("p", "p_partkey").alias("id"), _id("s", F.col("p_partkey") % 120).alias("device"), named(F.col("p_size")).alias("file"), F.element_at(kinds, (F.col("p_size") % 4 + 1).cast("int")).alias("type"), F.when(F.col("p_partkey") % 6 != 0, "own").alias("source"))
+    return _tally(v.pictures(rows, t.supplier.select(_id("s", "s_suppkey").alias("id"), (F.col("s_acctbal") > 0).alias("in_use")), t.part.select(named(F.col("p_size") + 1).alias("path")).distinct()))
+
+
+_CODE = """a AS (SELECT 'a' || c_custkey AS action, ['1-URGENT', 'high', '(LOW)'][(c_custkey % 3)::INT + 1] AS label, ['1 urgent', 'high', 'low'][(c_custkey % 3)::INT + 1] AS plain FROM customer),
+c AS (SELECT 'a' || (o_custkey + 30) AS action, regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', ' ', 'g') AS body FROM orders),
+w AS (SELECT 'f' || s_nationkey AS file, 'd' || (s_suppkey % 40) AS dataset, 'd' || (s_suppkey % 41) AS said, s_nationkey FROM supplier)"""
+
+
+@query(_sql(_CODE, {
+    "route that nothing serves": "(SELECT DISTINCT o_orderkey % 500 AS r FROM orders) WHERE r NOT IN (SELECT s_suppkey FROM supplier)", "action without documentation": "a WHERE action NOT IN (SELECT action FROM c)",
+    "documented action does not exist": "c WHERE action NOT IN (SELECT action FROM a)", "label not in the section": "c JOIN a USING (action) WHERE NOT contains(body, plain)",
+    "path that is no file": "(SELECT DISTINCT s_nationkey + 3 AS n FROM supplier) WHERE n NOT IN (SELECT n_nationkey FROM nation)",
+    "declared write not performed": "w WHERE (file, said) NOT IN (SELECT (file, dataset) FROM w)"}, ("action without documentation",)))
+def code_rules(t):
+    """Customers as actions that orders document, order numbers as routes that suppliers serve, nations as files."""
+    k = F.col("c_custkey")
+    actions = t.customer.select(_id("a", k).alias("action"), F.element_at(F.array(F.lit("1-URGENT"), F.lit("high"), F.lit("(LOW)")), (k % 3 + 1).cast("int")).alias("label"))
+    vertices = actions.select(F.col("action").alias("id"), F.lit("ui_action").alias("type")).union(t.nation.select(_id("f", "n_nationkey"), F.lit("code_file")))
+    edges = t.orders.select(_id("c", "o_custkey").alias("src"), _id("route:", F.col("o_orderkey") % 500).alias("dst"), F.lit("REQUESTS").alias("rel"))
+    edges = edges.union(t.supplier.select(_id("route:", "s_suppkey"), _id("f", "s_nationkey"), F.lit("SERVED_BY"))).union(t.supplier.select(_id("f", "s_nationkey"), _id("d", F.col("s_suppkey") % 40), F.lit("WRITES")))
+    covers = t.orders.select(_id("o", "o_orderkey").alias("section"), _id("a", F.col("o_custkey") + 30).alias("action"), F.col("o_orderpriority").alias("body"))
+    paths = t.supplier.select(_id("f", F.col("s_nationkey") + 3).alias("path")).distinct()
+    return _tally(v.code(vertices, edges, covers, actions, paths, t.supplier.select(_id("f", "s_nationkey").alias("file"), _id("d", F.col("s_suppkey") % 41).alias("dataset"))))

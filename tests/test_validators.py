@@ -169,3 +169,21 @@ def test_receive_clashes_and_coverage(frame):
     assert [(r["subject"], r["detail"]) for r in v.receive_clashes(nodes, cables, channels).collect()] == [("n1/1", "a, b")]
     recall = frame([("x", 0.9), ("y", 0.96)], "id string, occurrence_recall double")
     assert broken(v.low_coverage(recall, "id")) == {("conversion lost text", "x"): 1}
+
+
+def test_channel_and_controller_records(frame):
+    items, setups = frame([("a",), ("b",), ("c",)], "id string"), frame([("live",)], "id string")
+    wired = frame([("live", "a"), ("live", "b"), ("live", "c")], "setup string, device string")
+    schema = CHANNEL + ", thru string"
+    texts = frame([("a", "no such thing"), ("a", "MIDI In"), ("b", "audio only"), ("b", None), ("zz", "x")], "device string, text string")
+    good = frame([("live", "a", "1", "2", "confirmed", "d", "true"), ("live", "c", "3", None, "confirmed", "d", None)], schema)
+    assert rules_of(v.channel_records(good, items, wired, setups, texts)) == {}
+    bad = frame([("gone", "a", "1", "2", "confirmed", "d", "FALSE"), ("live", "b", "1", "2", "unconfirmed", None, "yes"), ("live", "zz", "1", "2", "confirmed", "d", None)], schema)
+    assert broken(v.channel_records(bad, items, wired, setups, texts)) == {("channel device unknown", "live/zz"): 1, ("channel but no midi link", "gone/a"): 1, ("channel but no midi link", "live/zz"): 1, ("channel setup unknown", "gone/a"): 1, ("thru is not true or false", "live/b"): 1, ("channel unconfirmed", "live/b"): 1, ("texts never mention it", "b"): 1}
+    assert sorted((r.device, r.found) for r in v.mentions(bad, texts).collect() if r.found is not None) == [("a", True), ("b", False), ("zz", False)]
+    record = "id string, setup string, device string, status string, program int"
+    fine = frame([("m", "live", "a", "confirmed", 2), ("n", "live", "b", "confirmed", None)], record)
+    targets = frame([("m", "b"), ("m", "c")], "id string, device string")
+    assert rules_of(v.controller_records(fine, targets, good, items, setups)) == {}
+    wrong = frame([("m", "gone", "zz", "odd", 2), ("n", "live", "a", "unconfirmed", 3), ("o", "live", "b", None, 1)], record)
+    assert broken(v.controller_records(wrong, frame([("m", "yy")], targets.schema), good, items, setups)) == {("controller unknown", "m"): 1, ("controller setup unknown", "m"): 1, ("controller status", "m"): 1, ("controller status", "o"): 1, ("controller unconfirmed", "n"): 1, ("program changes on another channel", "m"): 1, ("program changes on another channel", "n"): 1, ("program changes on another channel", "o"): 1, ("controller's target unknown", "m"): 1}
