@@ -174,14 +174,17 @@ def controller_records(rows: DataFrame, targets: DataFrame, channels: DataFrame,
 
 def controllers(maps: DataFrame, channels: DataFrame, items: DataFrame, lines: DataFrame) -> DataFrame:
     """maps(setup, controller, target, channel, cc, parameter, doc), and lines(doc, line, text) of the sections that they cite. A line of the
-    section must name the parameter (what stands before a parenthesis, in any case) and the number."""
+    section must name the parameter (what stands before a parenthesis, in any case) and the number: each triple of section, name and number
+    is looked up once, among the lines of its section that hold the number."""
     at = F.concat_ws("/", "controller", "target", F.col("cc").cast("string"))
     own = channels.select("setup", F.col("device").alias("controller"), F.col("out").alias("_out"))
     heard = channels.select("setup", F.col("device").alias("target"), F.col("in").alias("_in"))
     cited = maps.where("doc is not null").withColumn("_name", F.lower(F.substring_index(F.coalesce("parameter", F.lit("")), " (", 1)))
     there = cited.join(lines.select("doc").distinct(), "doc", "left_semi")
-    whole = F.regexp_like("text", F.concat(F.lit(r"(?<!\d)"), F.col("cc").cast("string"), F.lit(r"(?!\d)")))
-    told = there.join(lines, "doc").where(F.contains(F.lower("text"), F.col("_name")) & whole).select("doc", "_name", "cc").distinct()
+    numbers = F.regexp_extract_all("text", F.lit(r"(?<!\d)(-?\d+)"), F.lit(1))  # whole ones; -5 names 5 as well
+    said = lines.select("doc", F.lower("text").alias("_text"), F.explode(F.array_distinct(F.concat(numbers, F.transform(numbers, lambda n: F.ltrim(n, F.lit("-")))))).alias("_cc"))
+    asked = there.select("doc", "_name", "cc", F.col("cc").cast("string").alias("_cc")).distinct()
+    told = asked.join(said.distinct(), ["doc", "_cc"]).where(F.contains("_text", "_name")).select("doc", "_name", "cc").distinct()
     return rules.together([
         violation(maps.join(own, ["setup", "controller"], "left").where("_out is distinct from cast(channel as string)"), "controller sends on another channel", at, F.col("_out")),
         rules.references(maps, "target", items, "id", "controller target unknown", at),
