@@ -93,27 +93,40 @@ def first_fit(items: DataFrame, rows: DataFrame) -> DataFrame:
     """(box, item, row): items(box, ord, item, format, size, row_index) into rows(box, row_index, format, size).
 
     An item goes to the row it names, else to the first row of its format with room, else to the last row of its format;
-    without any it stays unplaced (null). One after the other within a box, so a box is one task's group.
+    without any it stays unplaced (null). One after the other within a box: sorted parts hold a box's rows and then its items, and are
+    read in one pass that keeps no more than a batch and the room of one box.
     """
-    import pandas as pd
-
-    def fit(items_: pd.DataFrame, rows_: pd.DataFrame) -> pd.DataFrame:
-        rows_ = rows_.sort_values("row_index")
-        room = dict(zip(rows_.row_index, rows_["size"], strict=True))
-        out = []
-        for x in items_.sort_values("ord").itertuples():
-            of = rows_[rows_.format == x.format].row_index.tolist()
-            named = x.row_index if x.row_index is not None and not pd.isna(x.row_index) else None
-            if named is not None and named in room:
+    slot = rows.select("box", F.lit(0).alias("_item"), F.lit(None).cast(items.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("item"), "format", F.col("size").cast("double").alias("size"), F.col("row_index").cast("int").alias("row_index"))
+    both = slot.unionByName(items.select("box", F.lit(1).alias("_item"), "ord", "item", "format", F.col("size").cast("double").alias("size"), F.col("row_index").cast("int").alias("row_index")))
+    both = both.repartition("box").sortWithinPartitions("box", "_item", "ord", "row_index").drop("ord")
+
+    def fit(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        at, room, of = None, {}, {}
+        for batch in batches:
+            out = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("box", "_item", "format", "size", "row_index")]
+            for box, item, format_, size, named in zip(*columns, strict=True):
+                if box != at:
+                    at, room, of = box, {}, {}
+                size = float("nan") if size is None else size
+                if not item:
+                    room[named] = size
+                    of.setdefault(format_, []).append(named)
+                    continue
                 row = named
-            else:
-                row = next((r for r in of if room[r] >= x.size), of[-1] if of else None)
-            if row is not None:
-                room[row] -= x.size
-            out.append((x.box, x.item, row))
-        return pd.DataFrame(out, columns=["box", "item", "row"])
-
-    return items.groupBy("box").cogroup(rows.groupBy("box")).applyInPandas(fit, "box string, item string, row int")
+                if named is None or named not in room:
+                    mine = of.get(format_) if format_ is not None else None
+                    row = next((r for r in mine if room[r] >= size), mine[-1]) if mine else None
+                if row is not None:
+                    room[row] -= size
+                out.append(row)
+            placed = batch.filter(pc.equal(batch.column(batch.schema.get_field_index("_item")), 1)).select(["box", "item"])
+            yield pa.record_batch([*placed.columns, pa.array(out, pa.int32())], names=["box", "item", "row"])
+
+    return both.mapInArrow(fit, "box string, item string, row int")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def first_fit_rows(t):
     """Items put into the rows of their supplier one after the other: exact row, first with room, last."""
     items = t.lineitem.where("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("box"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("item"), F.concat(F.lit("f"), F.col("l_partkey") % 2).alias("format"), F.col("l_quantity").alias("size"), F.when(F.col("l_linenumber") == 1, F.lit(2)).cast("int").alias("row_index"))
     items = items.groupBy("box", "item").agg(F.min("format").alias("format"), F.sum("size").alias("size"), F.min("row_index").alias("row_index"))
-    items = items.withColumn("ord", F.row_number().over(Window.partitionBy("box").orderBy("item")))
+    items = items.withColumn("ord", F.col("item"))
     rows = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("box"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("row_index")).select("box", "row_index", F.concat(F.lit("f"), F.col("row_index") % 2).alias("format"), F.lit(1500.0).alias("size"))
     return rel.first_fit(items, rows)
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,9 +179,28 @@ def test_allocation_order_names_and_fit(spark):
     items = spark.createDataFrame([("b", 1, "i1", "3U", 60.0, None), ("b", 2, "i2", "3U", 60.0, None), ("b", 3, "i3", "3U", 60.0, None), ("b", 4, "i4", "1U", 5.0, None), ("b", 5, "i5", "3U", 1.0, 1)], "box string, ord int, item string, format string, size double, row_index int")
     boxes = spark.createDataFrame([("b", 1, "3U", 84.0), ("b", 2, "3U", 84.0)], "box string, row_index int, format string, size double")
     assert rows(rel.first_fit(items, boxes), "item", "row") == [("i1", 1), ("i2", 2), ("i3", 2), ("i4", None), ("i5", 1)]
+    odd = [("b", 1, "i1", None, 9.0, None), ("b", 2, "i2", "3U", None, None), ("b", 3, "i3", "3U", 1.0, 7), (None, 1, "i4", "3U", 1.0, None), ("c", 1, "i5", "3U", 1.0, 1)]
+    assert rows(rel.first_fit(spark.createDataFrame(odd, items.schema), boxes), "item", "row") == [("i1", None), ("i2", 2), ("i3", 1), ("i4", None), ("i5", None)]
     assert rel.same_rows(r, r).count() == 0 and rel.same_rows(r, r.where("r > 1")).count() == 1
 
 
+def test_first_fit_of_many_items(spark):
+    """40 boxes of 5,000 items each, as placed one after the other; within a minute."""
+    items = spark.range(200_000).selectExpr("concat('s', id % 40) AS box", "cast(hash(id) AS bigint) AS ord", "concat('i', id) AS item", "concat('f', id % 7 % 3) AS format", "double(id % 11 + 1) AS size", "CASE WHEN id % 13 = 0 THEN int(id % 5) END AS row_index")
+    boxes = spark.range(40 * 4).selectExpr("concat('s', id % 40) AS box", "int(id DIV 40) + 1 AS row_index", "concat('f', id DIV 40 % 2) AS format", "4000.0 AS size")
+    began = time.time()
+    got = {r["item"]: r["row"] for r in rel.first_fit(items, boxes).collect()}
+    assert time.time() - began < 60
+    left = {(f"s{b}", r): 4000.0 for b in range(40) for r in range(1, 5)}
+    for x in items.orderBy("ord", "item").collect():
+        mine = [r for r in range(1, 5) if x["format"] == f"f{(r - 1) % 2}"]
+        row = x["row_index"] if (x["box"], x["row_index"]) in left else next((r for r in mine if left[x["box"], r] >= x["size"]), mine[-1] if mine else None)
+        if row:
+            left[x["box"], row] -= x["size"]
+        assert got.pop(x["item"]) == row
+    assert not got
+
+
 # rules ---------------------------------------------------------------------------------------------------------------
 def test_rules(spark):
     links = spark.createDataFrame([("l1", "a", "audio"), ("l2", "x", "audio"), ("l3", "a", "smell"), ("l3", "a", None)], "id string, to string, medium string")
