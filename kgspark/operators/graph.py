@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hierarchy import parents
 from .layout import layers
 from .lineage import cut
 
@@ -242,24 +244,31 @@ def rewrite_boundary(edges: DataFrame, members: DataFrame, box: str) -> tuple[Da
     return outer, inner
 
 
-def preorder(tree: DataFrame) -> DataFrame:
-    """(id, depth, path) of a tree given as (id, parent), roots having a null parent; sorted by path it is a pre-order walk.
-    What hangs on a cycle has no root and isn't reached."""
-    level = tree.where("parent is null").select("id", F.lit(0).alias("depth"), F.array("id").alias("path"))
+def preorder(tree: DataFrame, name: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(id, depth, path) of a tree given as (id, parent), roots having a null parent; sorted by path it is a pre-order walk. Paths
+    hold what name makes of ids. What hangs on a cycle has no root and isn't reached."""
+    level = tree.where("parent is null").select("id", F.lit(0).alias("depth"), F.array(name(F.col("id"))).alias("path"))
     out, d = level, 0
     while True:
         d += 1
-        level = cut(level.select(F.col("id").alias("parent"), "path").join(tree, "parent").select("id", F.lit(d).alias("depth"), F.concat("path", F.array("id")).alias("path")))
+        level = cut(level.select(F.col("id").alias("parent"), "path").join(tree, "parent").select("id", F.lit(d).alias("depth"), F.concat("path", F.array(name(F.col("id")))).alias("path")))
         if not level.limit(1).count():
             return out
         out = out.union(level)
 
 
-def taxonomy_walk(ids: DataFrame, broader: DataFrame) -> DataFrame:
-    """(id, depth, path, also) of a hierarchy in which ids(id) may have several parents, broader(id, ord, parent): under its
-    first parent a vertex is walked on from, under the others it stands as a leaf with also = true."""
-    first = broader.groupBy("id").agg(F.min(F.struct("ord", "parent")).alias("p")).select("id", F.col("p.parent").alias("parent"))
-    walk = preorder(ids.select("id").join(first, "id", "left"))
-    rest = broader.join(first, ["id", "parent"], "left_anti").select("id", "parent").distinct()
-    leaves = rest.join(walk.select(F.col("id").alias("parent"), "depth", "path"), "parent").select("id", F.col("depth") + 1, F.concat("path", F.array("id")), F.lit(True))
-    return walk.withColumn("also", F.lit(False)).union(leaves)
+def taxonomy_walk(ids: DataFrame, broader: DataFrame, leaves: DataFrame | None = None, name: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(id, depth, path, also) of a hierarchy in which vertices may have several parents, broader(id, ord, parent): under its
+    first parent a vertex is walked on from, under the others it stands as a leaf with also = true. ids(id) are those without parents;
+    others need not be among them.
+
+    leaves(id, ord, parent) are links of vertices that are nobody's parent. They take no part in the levels and are put under their
+    parents at the end: one shuffle by vertex, one by parent. Vertices may be numbers that name makes names of in the result.
+    """
+    links = cut(parents(broader, ids))
+    walk = cut(preorder(links.where("not also").select("id", "parent"), name))
+    hung = links.where("also")
+    hung = hung if leaves is None else hung.union(parents(leaves))
+    above = walk.select(F.col("id").alias("parent"), "depth", "path")
+    hung = hung.join(above, "parent").select(name(F.col("id")).alias("id"), F.col("depth") + 1, F.concat("path", F.array(name(F.col("id")))), "also")
+    return walk.select(name(F.col("id")).alias("id"), "depth", "path", F.lit(False).alias("also")).union(hung)

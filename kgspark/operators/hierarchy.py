@@ -3,7 +3,7 @@ no table of all pairs. Second parents are a small table beside the tree."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -11,18 +11,38 @@ from .ranking import running_total
 
 #: Numbers are below 2^LEVELS
 LEVELS = 40
+#: Tables of at most so many rows are counted and sent to all tasks, so what they are joined with stays where it is
+SMALL = 20_000
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def parents(broader: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, parent, also) of broader(id, ord, parent), each pair once: also is false for the first parent by ord, and true for others.
+
+    With ids(id), vertices without a parent are there too, with a null parent. One shuffle by id; a vertex's parents are sorted in one task.
+    """
+    rows = broader.select("id", "ord", "parent")
+    if ids is not None:
+        rows = rows.unionByName(ids.select("id", F.lit(None).cast(broader.schema["ord"].dataType).alias("ord"), F.lit(None).cast(broader.schema["parent"].dataType).alias("parent")))
+    once = rows.repartition("id").groupBy("id", "parent").agg(F.min("ord").alias("ord"))
+    first = F.min(F.when(F.col("parent").isNotNull(), F.struct("ord", "parent"))).over(Window.partitionBy("id"))
+    flagged = once.withColumn("_first", first).where("parent is not null or _first is null")
+    return flagged.select("id", "parent", F.coalesce(F.col("parent") != F.col("_first.parent"), F.lit(False)).alias("also"))
 
 
 def intervals(ids: DataFrame, broader: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels, extra) of ids(id) and broader(id, ord, parent).
+    """(labels, extra) of ids(id) and broader(id, ord, parent); vertices with a parent need not be among ids.
 
     labels(id, parent, depth, pre, last): a vertex hangs under its first parent by ord; pre counts a walk in pre-order, siblings by
     id, and last is the number of its last descendant. extra(id, parent) are the other parents. Three rounds a level (down,
     sizes up, numbers down), each over one level; siblings are summed over all tasks. What hangs on a cycle isn't reached.
     """
-    first = broader.groupBy("id").agg(F.min(F.struct("ord", "parent")).alias("p")).select("id", F.col("p.parent").alias("parent"))
-    tree = cut(ids.select("id").distinct().join(first, "id", "left"))
-    extra = cut(broader.join(first, ["id", "parent"], "left_anti").select("id", "parent").distinct())
+    links = cut(parents(broader, ids))
+    tree = cut(links.where("not also").select("id", "parent"))
+    extra = links.where("also").select("id", "parent")
     level = tree.where("parent is null")
     levels = []
     while level.limit(1).count():
@@ -74,31 +94,34 @@ def covered(points: DataFrame, ranges: DataFrame) -> DataFrame:
     sizes = blocks.agg(F.collect_set("k").alias("ks"))  # one row of at most LEVELS numbers
     places = points.crossJoin(F.broadcast(sizes)).select("id", "pre", F.explode("ks").alias("k"))
     places = places.select("id", "k", F.expr("shiftright(pre, k)").alias("j"))
-    return places.join(blocks, ["k", "j"]).select("id", "top")
+    return places.join(_sent(blocks), ["k", "j"]).select("id", "top")
 
 
 def below(labels: DataFrame, extra: DataFrame, tops: DataFrame, among: DataFrame | None = None) -> DataFrame:
     """(id, top): which of tops(id) each vertex (or each of among(id)) stands below, itself included, each pair once.
 
     By the tree, and through second parents: what is below the child of an extra link is below all that its other parent is
-    below, links in turn included.
+    below, links in turn included. That is settled once for each of these parents, however many links lead to it.
     """
     ranges = tops.select("id").distinct().join(labels, "id").select(F.col("id").alias("top"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
     points = labels.select("id", "pre") if among is None else labels.join(among.select("id").distinct(), "id", "left_semi").select("id", "pre")
     by_tree = covered(points, ranges)
     if not extra.limit(1).count():
         return by_tree
-    links = cut(extra.withColumn("link", F.monotonically_increasing_id()))
-    under = links.join(labels, "id").select(F.col("link").alias("top"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
-    others = cut(links.select(F.col("parent").alias("id")).distinct().join(labels.select("id", "pre"), "id"))
-    known = cut(links.join(covered(others, ranges).withColumnRenamed("id", "parent"), "parent").select("link", "top").distinct())
-    onward = cut(links.join(covered(others, under).withColumnRenamed("id", "parent").withColumnRenamed("top", "next"), "parent").select("link", "next").where("link <> next"))
+    children = cut(extra.select("id").distinct())
+    under = children.join(labels, "id").where("last > pre").select(F.col("id").alias("top"), F.col("pre").alias("lo"), F.col("last").alias("hi"))
+    others = cut(extra.select(F.col("parent").alias("id")).distinct().join(labels.select("id", "pre"), "id"))
+    known = cut(covered(others, ranges).distinct())
+    # an other parent at or below a child with other parents in turn is below all that these are below
+    inside = covered(others, under).union(others.join(children, "id", "left_semi").select("id", F.col("id").alias("top")))
+    onward = cut(extra.withColumnRenamed("id", "top").join(_sent(cut(inside)), "top").select("id", F.col("parent").alias("next")).where("id <> next").distinct())
     fresh = known
-    while True:  # a link's other parent may itself be below another link's child
-        new = onward.join(fresh.withColumnRenamed("link", "next"), "next").select("link", "top").distinct()
-        fresh = cut(new.join(known, ["link", "top"], "left_anti"))
+    while True:
+        new = onward.join(fresh.withColumnRenamed("id", "next"), "next").select("id", "top").distinct()
+        fresh = cut(new.join(known, ["id", "top"], "left_anti"))
         if not fresh.limit(1).count():
             break
         known = known.union(fresh)
-    through = covered(points, under).withColumnRenamed("top", "link").join(known, "link").select("id", "top")
-    return by_tree.union(through).distinct()
+    own = cut(extra.join(_sent(known.withColumnRenamed("id", "parent")), "parent").select("id", "top").distinct())
+    through = covered(points, under).withColumnRenamed("top", "_child").join(own.withColumnRenamed("id", "_child"), "_child").select("id", "top")
+    return by_tree.union(through).union(own.join(points.select("id"), "id", "left_semi")).distinct()

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgspark.operators import graph as g
+from kgspark.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +108,20 @@ def test_two_steps_around_and_walk_with_several_parents(spark):
     assert ids(walk, "path", "also") == [(["a"], False), (["a", "b"], False), (["a", "b", "d"], False), (["a", "b", "d", "e"], False), (["a", "c"], False), (["a", "c", "d"], True)]
 
 
+def test_leaves_of_a_walk_need_no_levels(spark, sf):
+    """Links of leaves given apart make the same walk, numbers are named at the end; tree_walk reads its lines once, in one go."""
+    b = [(2, 0, 1), (3, 0, 1), (4, 5, 2), (4, 1, 3), (9, 0, 8), (8, 0, 9)]
+    hung = [(5, 2, 4), (5, 7, 1), (5, 7, 1), (6, 0, 3), (7, 0, 99), (7, 1, 2), (10, 0, 9)]
+    f = lambda x: spark.createDataFrame(x, "id long, ord int, parent long")
+    name = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    roots = spark.createDataFrame([(1,)], "id long")
+    want = [(["v1"], False), (["v1", "v2"], False), (["v1", "v2", "v4"], True), (["v1", "v2", "v7"], True), (["v1", "v3"], False), (["v1", "v3", "v4"], False), (["v1", "v3", "v4", "v5"], False), (["v1", "v3", "v6"], False), (["v1", "v5"], True)]
+    assert ids(g.taxonomy_walk(roots, f(b), f(hung), name), "path", "also") == want
+    assert ids(g.taxonomy_walk(roots, f(b + hung), None, name), "path", "also") == want
+    plan = registry.QUERIES["tree_walk"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_partkey" in line for line in plan.splitlines()) == 1
+
+
 def test_integrity(spark, five):
     bad = five.edges.union(spark.createDataFrame([("a", "nowhere", "s1", "confirmed")], five.edges.schema)).withColumn("rel", F.lit("CONNECTS"))
     assert ids(g.dangling(bad, five.vertices), "side", "id") == [("dst", "nowhere")]
