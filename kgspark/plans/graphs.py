@@ -385,13 +385,12 @@ WITH sells AS (SELECT DISTINCT 'part:' || l_partkey AS p, 'nation:' || s_nationk
 SELECT r AS region, count(DISTINCT p) AS parts FROM sells JOIN up USING (n) GROUP BY 1""")
 def below_regions(t):
     """Parts below each region: a part hangs under the nation of its first supplier, and has other nations as second parents."""
-    tag = lambda k, c: F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))
-    sells = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(tag("part", "l_partkey").alias("id"), F.col("s_nationkey").alias("ord"), tag("nation", "s_nationkey").alias("parent")).distinct()
-    broader = sells.union(t.nation.select(tag("nation", "n_nationkey"), F.lit(0), tag("region", "n_regionkey")))
-    ids = broader.select("id").union(broader.select("parent")).distinct()
-    labels, extra = hierarchy.intervals(ids, broader)
-    pairs = hierarchy.below(labels, extra, ids.where("id like 'region:%'"), ids.where("id like 'part:%'"))
-    return pairs.groupBy(F.col("top").alias("region")).agg(F.count("*").alias("parts"))
+    sells = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(_number("part", "l_partkey").alias("id"), F.col("s_nationkey").alias("ord"), _number("nation", "s_nationkey").alias("parent"))
+    broader = sells.union(t.nation.select(_number("nation", "n_nationkey"), F.lit(0), _number("region", "n_regionkey")))
+    regions = t.region.select(_number("region", "r_regionkey").alias("id"))
+    labels, extra = hierarchy.intervals(regions, broader)
+    pairs = hierarchy.below(labels, extra, regions, labels.where(_kind(F.col("id")) == _KINDS.index("part")).select("id"))
+    return pairs.groupBy(_name(F.col("top")).alias("region")).agg(F.count("*").alias("parts"))
 
 
 _LAYOUT_SQL = """

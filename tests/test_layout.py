@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -143,6 +144,22 @@ def test_below_equals_the_closure(spark, seed):
     assert len(pairs) == len(want) and set(map(tuple, pairs)) == want
 
 
+def test_many_links_to_few_other_parents(spark):
+    """30,000 leaves under 20 of 25 vertices each, 570,000 second parents in all, some of these under other ones; within two minutes."""
+    leaf = "SELECT 1000 + id DIV 20 AS id, int(id % 20) AS ord, 10 + (id DIV 20 + id % 20 * 3) % 25 AS parent FROM range(600000)"
+    inner = "SELECT 10 + id AS id, 0 AS ord, 1 + id % 5 AS parent FROM range(24) UNION ALL SELECT 10, 9, 3L UNION ALL SELECT 34, 0, 10L UNION ALL SELECT 34, 1, 11L"
+    b = spark.sql(f"{leaf} UNION ALL {inner}")
+    began = time.time()
+    tops = spark.range(1, 6)
+    labels, extra = hierarchy.intervals(tops, b)
+    got = {(x["id"], x["top"]) for x in hierarchy.below(labels, extra, tops, labels.where("id >= 1000")).collect()}
+    assert time.time() - began < 120
+    above = {10 + k: {1 + k % 5} for k in range(24)}
+    above[10].add(3)
+    above[34] = above[10] | above[11]
+    assert got == {(1000 + k, t) for k in range(30000) for j in range(20) for t in above[10 + (k + 3 * j) % 25]}
+
+
 def test_ranges_are_cut_to_aligned_blocks(spark):
     r = random.Random(3)
     ranges = [(k, *sorted((r.randrange(500), r.randrange(500)))) for k in range(40)] + [(100, 0, 0), (101, 7, 7), (102, 0, 511)]
